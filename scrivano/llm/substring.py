@@ -16,9 +16,9 @@ _ODD = U(0x8CB92BA72F3D8DD7)
 
 
 # -- words -------------------------------------------------------------------
-def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word starts, word stops, word offsets by document) of concatenated texts."""
-    solid = ~_SPACE[data]
+def word_edges(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word starts, word stops, word offsets by document) of concatenated texts; space: the bytes between words."""
+    solid = ~space[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
