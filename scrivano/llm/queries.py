@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near import minhash_near_dedup
+from .quality import quality_classifier
 from .substring import substring_dedup, suffix_array_dedup
 
 
@@ -16,10 +18,20 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    """Quality and clean posteriors of every document, fitted on a bounded sample of labels."""
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+
+
+def op3_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate groups of five-word shingle sets at 0.75."""
+    return minhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark, sf_dir):
     """Bytes covered by repeated 200-byte strings, removed."""
     return suffix_array_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_minhash_near_dedup, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
