@@ -54,9 +54,9 @@ def minima(names: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _digests(words: int):
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, rids = batch.column("doc_id"), batch.column("rid")
             for i, j, data, offsets in chunks(batch.column("text")):
                 names, edges = shingle_sets(data, offsets, words)
                 n = np.diff(edges)
@@ -79,7 +79,7 @@ def _digests(words: int):
                     for k in range(ROWS):
                         keys = mix(keys * U(3) + rows[:, k])
                     sig, bands = packed, keys
-                columns = [ids.slice(i, j - i), pa.array(n), pa.array(node.view(np.int64))]
+                columns = [rids.slice(i, j - i), ids.slice(i, j - i), pa.array(n), pa.array(node.view(np.int64))]
                 for part, wide in ((sig, MINIMA * BITS // 64), (bands, MINIMA // ROWS)):
                     lengths = np.where(n > 0, wide, 0)
                     flat = part.T.reshape(-1).view(np.int64) if part is not None else np.zeros(0, dtype=np.int64)
@@ -152,7 +152,7 @@ def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack
     """Group documents whose word-shingle sets have a Jaccard similarity of ``percent`` or more.
 
     docs: doc_id, text and any other columns (ignored).  Returns doc_id,
-    n_shingles, component_id, kept.
+    n_shingles, component_id, kept and rid, the row's number in this reading.
 
     Documents with equal sets are one node.  128 minima make 32 bands of four
     (a pair at 0.75 shares none with a chance of 5e-6); the low four bits of the
@@ -166,15 +166,15 @@ def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack
     takes part; the component's id is its least known id, null if it has none.
     Rows that repeat an id are nodes by their text.  Empty table: no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = materialize(docs.mapInArrow(_digests(words), "doc_id long, n long, node long, sig array<long>, bands array<long>"))
+    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = materialize(docs.mapInArrow(_digests(words), "rid long, doc_id long, n long, node long, sig array<long>, bands array<long>"))
     nodes = materialize(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     spread = nodes.select("node", F.explode("bands").alias("band"))
     many = spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     postings = materialize(spread.join(many.hint("shuffle_merge"), "band", "left_semi").select("band", "node"))
     sigs = nodes.select("node", "sig")
     floor = percent / 100 - slack
-    texts = docs.mapInArrow(_packed(words), "node long, body binary")
+    texts = docs.select("text").mapInArrow(_packed(words), "node long, body binary")
 
     def confirmed(pairs):
         near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
@@ -221,6 +221,6 @@ def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack
 
 
 def _finish(base: DataFrame, of_node: DataFrame) -> DataFrame:
-    out = base.select("doc_id", "n", "node").join(of_node, "node", "left")
+    out = base.select("rid", "doc_id", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid")

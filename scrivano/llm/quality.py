@@ -163,9 +163,11 @@ def quality_scores(docs: DataFrame, model, columns: list[str] | None = None, hos
     pseudo-count from the spread between groups (method of moments), so a sparse
     site stays near the global prior.  A site moves a document's log odds by at
     most ``strength`` times its own difference from the global rate.  Documents
-    are kept if both posteriors are at least ``limit``.
+    are kept if both posteriors are at least ``limit``.  Columns of docs with the
+    names that are added here are replaced.
     """
-    names = columns or docs.columns
+    added = ("quality_evidence", "clean_evidence", "quality_posterior", "clean_posterior", "keep", "_host", "_path", "_q", "_c")
+    names = [c for c in columns or docs.columns if c not in added]
     picked = docs.select(*dict.fromkeys([*names, "text", host, path]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema]
     scored = picked.mapInArrow(_scored(model, picked.columns), ", ".join([*fields, "quality_evidence double", "clean_evidence double"]))

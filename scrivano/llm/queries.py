@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact import exact_dedup
+from .mixing import pfair_mix
 from .near import minhash_near_dedup
+from .pieces import token_table
 from .quality import quality_classifier
 from .substring import substring_dedup, suffix_array_dedup
 
@@ -25,7 +28,22 @@ def op2_quality_classifier(spark, sf_dir):
 
 def op3_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate groups of five-word shingle sets at 0.75."""
-    return minhash_near_dedup(table(spark, sf_dir, "documents"))
+    return minhash_near_dedup(table(spark, sf_dir, "documents")).drop("rid")
+
+
+def op5_exact_dedup(spark, sf_dir):
+    """Exact duplicates of the texts without blanks."""
+    return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op7_sentencepiece(spark, sf_dir):
+    """Token ids of every document, with the round trip checked."""
+    return token_table(table(spark, sf_dir, "documents"))
+
+
+def op8_pfair_mix(spark, sf_dir):
+    """Every document's block and slot in the mixed stream."""
+    return pfair_mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot")
 
 
 def op10_suffix_array_dedup(spark, sf_dir):
@@ -33,5 +51,27 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_array_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_minhash_near_dedup, op10_suffix_array_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_quality_classifier,
+        op3_minhash_near_dedup,
+        op5_exact_dedup,
+        op7_sentencepiece,
+        op8_pfair_mix,
+        op10_suffix_array_dedup,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+            FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER g AS keep_id,
+               count(*) OVER (PARTITION BY text_sha256) AS group_size,
+               doc_id = first_value(doc_id) OVER g AS kept, text_sha256
+        FROM t WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+    """,
+}
