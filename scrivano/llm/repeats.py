@@ -170,7 +170,8 @@ class Plan:
     def marks(self, docs: DataFrame, packed: DataFrame) -> DataFrame:
         """(id, place, bits): candidates by document; null bits mean all windows of the place,
         unless another row of the same place has bits."""
-        once = docs.mapInArrow(self.keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        # Read again from a table, the join's own shuffle can split a hot gram between tasks.
+        once = materialize(docs.mapInArrow(self.keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         named = docs.mapInArrow(self.names, "key long, ctx long, id long, place long")
         found = materialize(named.join(once.hint("shuffle_merge"), "key", "left_semi"))
         contexts = found.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("rep"))
