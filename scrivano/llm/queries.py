@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import ESCAPES, chat_digest
 from .exact import exact_dedup
 from .mixing import pfair_mix
 from .near import minhash_near_dedup
 from .pieces import token_table
 from .quality import quality_classifier
+from .secrets import secret_digest
+from .spots import spotsigs
 from .substring import substring_dedup, suffix_array_dedup
 
 
@@ -31,11 +34,27 @@ def op3_minhash_near_dedup(spark, sf_dir):
     return minhash_near_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op4_secret_scan(spark, sf_dir):
+    """Secrets in every whole text."""
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     """Exact duplicates of the texts without blanks."""
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: The conversation that the query adds: its texts look like the template's own marks.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op6_chat_format(spark, sf_dir):
+    """All conversations and conversation -7, formatted in windows and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mine = [f"SELECT -7L AS conv_id, {k}L AS turn, '{role}' AS role, r'{TRICKY}' AS text" for k, role in enumerate(("user", "assistant"))]
+    return chat_digest(turns.unionByName(spark.sql(" UNION ALL ".join(mine))))
+
+
 def op7_sentencepiece(spark, sf_dir):
     """Token ids of every document, with the round trip checked."""
     return token_table(table(spark, sf_dir, "documents"))
@@ -46,6 +65,11 @@ def op8_pfair_mix(spark, sf_dir):
     return pfair_mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot")
 
 
+def op9_spotsigs(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    return spotsigs(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark, sf_dir):
     """Bytes covered by repeated 200-byte strings, removed."""
     return suffix_array_dedup(table(spark, sf_dir, "documents"))
@@ -57,13 +81,83 @@ QUERIES = {
         op1_substring_dedup,
         op2_quality_classifier,
         op3_minhash_near_dedup,
+        op4_secret_scan,
         op5_exact_dedup,
+        op6_chat_format,
         op7_sentencepiece,
         op8_pfair_mix,
+        op9_spotsigs,
         op10_suffix_array_dedup,
     )
 }
+_GAPS = """list_transform(regexp_split_to_array(text, '{p}'), lambda x: length(x))"""
+_SIZES = """list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))"""
+_ASSIGN = """((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: kind, pattern, group, least length: as in secrets.py, in the order of the ranks.
+_KINDS = (
+    ("assign", _ASSIGN, 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("google", "AIza[A-Za-z0-9_-]{35,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("private", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+)
+
+
+def _secret_sql() -> str:
+    parts = [
+        f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, m.pos AS pos, m.fin AS fin FROM (
+            SELECT rid, unnest(list_transform(range(1, len(w) + 1), lambda i: {{
+                'pos': list_sum(list_slice(g, 1, i)) + coalesce(list_sum(list_slice(w, 1, i - 1)), 0),
+                'fin': list_sum(list_slice(g, 1, i)) + list_sum(list_slice(w, 1, i)), 'size': length(h[i])}})) AS m
+            FROM (SELECT rid, {_GAPS.format(p=p)} AS g, {_SIZES.format(p=p)} AS w, regexp_extract_all(text, '{p}', {group}) AS h
+                  FROM t WHERE regexp_matches(text, '{p}'))) WHERE m.size >= {least}"""
+        for rank, (kind, p, group, least) in enumerate(
+            (k, (p if k != "hex" else "[0-9a-f]{24,}").replace("{", "{{").replace("}", "}}").replace("{{", "{").replace("}}", "}"), g, n) for k, p, g, n in _KINDS
+        )
+    ]
+    return f"""
+        WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        s AS ({" UNION ALL ".join(parts)}),
+        a AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+                     string_agg(concat(kind, ':', CAST(pos AS BIGINT), ':', CAST(fin AS BIGINT)), ',' ORDER BY pos, rank) FILTER (rank < 3) AS base,
+                     string_agg(concat(kind, ':', CAST(pos AS BIGINT), ':', CAST(fin AS BIGINT)), ',' ORDER BY pos, rank) AS spans FROM s GROUP BY rid)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN a USING (rid)"""
+
+
+def _coded(x: str) -> str:
+    for plain, code in ESCAPES:
+        x = f"replace({x}, '{plain}', '{code}')"
+    return x
+
+
+_CHAT = f"""
+    WITH raw AS (SELECT conv_id, turn, role, text FROM conversations
+                 UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')),
+    t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ceil(length(coalesce(text, '')) / 4.0) + 4 AS size FROM raw),
+    p AS (SELECT *, sum(size) OVER w - size AS before, row_number() OVER w - 1 AS nth,
+                 8 + length(replace({_coded("role")}, chr(10), chr(92) || 'n')) + length({_coded("text")}) + 8 - 1 AS chars
+          FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+    q AS (SELECT *, floor(before / 768.0) AS win FROM p),
+    g AS (SELECT conv_id, win, min(before) AS start FROM q GROUP BY ALL),
+    b AS (SELECT *, lead(start) OVER (PARTITION BY conv_id ORDER BY win) AS next_start,
+                 count(*) OVER (PARTITION BY conv_id) - 1 AS later FROM g),
+    z AS (SELECT q.*, CASE WHEN nth = 0 AND role = 'system' THEN later
+                           WHEN next_start - before <= 256 THEN 1 ELSE 0 END AS copies
+          FROM q JOIN b USING (conv_id, win)),
+    a AS (SELECT conv_id, count(*) AS n_turns,
+                 string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text) AS turns,
+                 coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS learnt,
+                 CAST(sum(chars + copies * (chars + 6)) AS BIGINT) AS formatted_chars FROM z GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM a"""
+
 ORACLES: dict[str, str] = {
+    "op4_secret_scan": _secret_sql(),
+    "op6_chat_format": _CHAT,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

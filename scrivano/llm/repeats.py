@@ -31,7 +31,7 @@ from .scratch import materialize
 #: Bytes of text worked on at a time.
 CHUNK = 1 << 20
 #: Contexts of one gram that are resolved in a task; beyond, windows are aggregated.
-HOT = 10_000
+HOT = 1024
 _NULL_ID = -(1 << 63)
 
 
@@ -189,8 +189,8 @@ class Plan:
         told = cool.repartition(int(parts), "key").sortWithinPartitions("key").mapInArrow(self.shared, "id long, place long, bits binary")
         if some_hot:
             windows = bodies.where(F.col("many") > self.hot).mapInArrow(self.window_names, "key long, n long, id long, place long, w int, name long")
-            twice = windows.groupBy("key", "name").agg(F.count("*").alias("c")).where("c > 1").select("key", "name")
-            lone = windows.where("n = 1").join(twice.withColumn("hit", F.lit(1)), ["key", "name"], "left")
+            twice = materialize(windows.groupBy("key", "name").agg(F.count("*").alias("c")).where("c > 1").select("key", "name", F.lit(1).alias("hit")))
+            lone = windows.where("n = 1").join(twice.hint("shuffle_merge"), ["key", "name"], "left")
             bits = lone.groupBy("id", "place").agg(F.collect_set(F.when(F.col("hit") == 1, F.col("w"))).alias("ws"))
             told = told.unionByName(bits.mapInArrow(_bitmaps, "id long, place long, bits binary"))
         return found.select("id", "place", F.lit(None).cast("binary").alias("bits")).unionByName(told)
