@@ -1,6 +1,616 @@
-"""Registry of the named queries and of the SQL that checks them."""
+"""Registry of the named queries and of the SQL that checks them.
+
+A query is (spark, sf_dir) -> DataFrame over whole tables, or over a golden
+fixture where the driver's tables hold no such input.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import markup, names, render, rx
+from ..operators import analytics, classify, evaluate, lines, match, parse
+from .fixtures import frame, values
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its own name, with the SQL that must give the same rows."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- classification ------------------------------------------------------------
+#: Rules for the driver's invented prose: two categories by common words, one by layout.
+PROSE = (
+    classify.Category("listing", ("|", "license"), (r"\|",), ("en",)),
+    classify.Category("french", ("que", "les", "des"), ("^é",), ("fr",)),
+    classify.Category("german", ("der", "und", "die"), ("^die",), ("de",)),
+    classify.Category("spanish", ("que", "los", "ción"), ("^ci",), ("es",)),
+)
+
+
+def _score_sql(c: classify.Category, title: str, text: str, name: str) -> str:
+    w = classify.Weights()
+    parts = [f"CASE WHEN contains(lower({title}), '{k.lower()}') THEN {w.title_keyword} ELSE 0 END" for k in c.keywords]
+    parts += [f"CASE WHEN contains(lower(substr({text}, 1, 500)), '{k.lower()}') THEN {w.content_keyword} ELSE 0 END" for k in c.keywords]
+    parts.append(f"CASE WHEN {' OR '.join(f'''regexp_matches({title}, '(?i){p}')''' for p in c.patterns)} THEN {w.title_pattern} ELSE 0 END")
+    parts.append(f"CASE WHEN {' OR '.join(f'''contains(lower({name}), '{h.lower()}')''' for h in c.hints)} THEN {w.file_hint} ELSE 0 END")
+    return f"CAST(least(100, {' + '.join(parts)}) AS BIGINT)"
+
+
+def _classify_sql(rules, source: str, keep: str, title: str, text: str, name: str) -> str:
+    scores = ", ".join(f"{_score_sql(c, title, text, name)} AS score_{c.key}" for c in rules)
+    best = f"greatest({', '.join(f'score_{c.key}' for c in rules)})"
+    winner = "CASE " + " ".join(f"WHEN score_{c.key} = {best} THEN '{c.key}'" for c in rules) + " END"
+    shown = ", ".join(f"score_{c.key}" for c in rules)
+    return f"SELECT {keep}, {shown}, {best} AS score, CASE WHEN {best} < 30 THEN '_uncategorized' ELSE {winner} END AS category, {best} < 30 AS needs_review FROM (SELECT *, {scores} FROM {source})"
+
+
+_PROSE_SOURCE = "(SELECT doc_id, split_part(text, chr(10), 1) AS title, text, concat(source, '.', lang) AS name FROM documents)"
+
+
+def _prose(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", F.concat("source", F.lit("."), "lang").alias("name"))
+    return classify.classify(docs, PROSE).drop("title", "text", "name")
+
+
+@query(_classify_sql(PROSE, _PROSE_SOURCE, "doc_id", "title", "text", "name"))
+def doc_classify(spark, sf_dir):
+    """CLS-01/02/04, AGG-04/05, FLT-03: scores, category and review flag of every document."""
+    return _prose(spark, sf_dir)
+
+
+@query(f"SELECT category, count(*) AS n, count(*) FILTER (needs_review) AS n_review, max(score) AS best FROM ({ORACLES['doc_classify']}) GROUP BY category")
+def doc_category_counts(spark, sf_dir):
+    """AGG-08/10/13: documents and reviews by category."""
+    return _prose(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.count_if("needs_review").alias("n_review"), F.max("score").alias("best"))
+
+
+@query(_classify_sql(classify.DEFAULT, f"(SELECT id, title, text, coalesce(name, '') AS name FROM {values('titles')})", "id", "title", "text", "name").replace("\\[.*\\]", "\\[.*\\]"))
+def title_classify(spark, sf_dir):
+    """CLS-01/02: the default Korean categories."""
+    return classify.classify(frame(spark, "titles"), classify.DEFAULT).drop("title", "text", "name")
+
+
+_TAGS = ", ".join(f"CASE WHEN contains(t, '{k}') THEN '{classify.TAG_ALIASES.get(k, k)}' END" for k in (*classify.AUTO_TAGS, *classify.TAG_ALIASES))
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter([{_TAGS}], lambda x: x IS NOT NULL))), ',') AS tags FROM (SELECT id, lower(concat(title, ' ', substr(text, 1, 1000))) AS t FROM {values('titles')})")
+def title_tags(spark, sf_dir):
+    """CLS-03, AGG-18, SRT-08: tags found in titles and texts."""
+    return frame(spark, "titles").select("id", F.array_join(classify.auto_tags(F.col("title"), F.col("text")), ",").alias("tags"))
+
+
+# -- names -----------------------------------------------------------------------
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[^\p{L}\p{N}_\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')"
+_SLUG = f"array_to_string(list_transform(string_split({_BARE}, '-'), lambda w: CASE WHEN regexp_matches(w, '^[A-Za-z]') THEN lower(w) ELSE w END), '-')"
+
+
+@query(
+    f"SELECT id, {_SLUG} AS slug, substr(translate({_BARE}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 1, 80) AS blog_slug, "
+    r"coalesce(nullif(regexp_replace(regexp_replace(title, '[<>:\"/\\|?*]', '-', 'g'), '\s+', '-', 'g'), ''), 'untitled') AS safe "
+    f"FROM {values('titles')}"
+)
+def title_slugs(spark, sf_dir):
+    """STR-01/02, PRJ-01: slugs and safe file names."""
+    t = F.col("title")
+    return frame(spark, "titles").select("id", names.slug(t).alias("slug"), names.blog_slug(t).alias("blog_slug"), names.safe_name(t).alias("safe"))
+
+
+@query("SELECT event_id, concat(strftime(ts, '%Y%m%d'), 't', strftime(ts, '%H%M%S'), '--', event_type, '__', event_type, '_x.md') AS name FROM events")
+def event_names(spark, sf_dir):
+    """STR-03/04, MSC-04: file names from a time, a title and tags."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", names.file_name(F.col("ts"), F.col("event_type"), F.array(F.lit("X!"), F.col("event_type")), F.lit("md")).alias("name"))
+
+
+_NAME = r"^(\d{8}[tT]\d{6})--(.+?)(?:__(.+?))?\.([^.]+)$"
+
+
+@query(f"SELECT id, CASE WHEN f THEN upper(regexp_extract(name, '{_NAME}', 1)) END AS stamp, CASE WHEN f THEN regexp_extract(name, '{_NAME}', 2) END AS title, nullif(CASE WHEN f THEN regexp_extract(name, '{_NAME}', 3) END, '') AS tags, CASE WHEN f THEN regexp_extract(name, '{_NAME}', 4) END AS ext FROM (SELECT *, regexp_matches(name, '{_NAME}') AS f FROM {values('names')})")
+def name_parse(spark, sf_dir):
+    """STR-05: the parts of file names."""
+    return frame(spark, "names").select("id", *(c.alias(k) for k, c in names.parse_name(F.col("name")).items()))
+
+
+@query(f"SELECT id, CASE WHEN regexp_replace(trim(coalesce(title, '')), '\\s+', '-', 'g') = '' THEN 'uncategorized' ELSE regexp_replace(trim(title), '\\s+', '-', 'g') END AS folder FROM {values('titles')}")
+def folders(spark, sf_dir):
+    """STR-17: category folder names."""
+    return frame(spark, "titles").select("id", names.folder(F.col("title")).alias("folder"))
+
+
+@query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(string_split(spec, ','), lambda p: CASE WHEN regexp_matches(trim(p), '^\\d+$') THEN [CAST(trim(p) AS INT)] WHEN regexp_matches(trim(p), '^\\d+\\s*-\\s*\\d+$') THEN range(CAST(trim(split_part(p, '-', 1)) AS INT), CAST(trim(split_part(p, '-', 2)) AS INT) + 1) ELSE [] END)), lambda n: n >= 1 AND n <= total))), ',') AS pages FROM {values('pages_spec')} WHERE trim(spec) <> '' UNION ALL SELECT id, array_to_string(range(1, total + 1), ',') FROM {values('pages_spec')} WHERE trim(spec) = ''")
+def page_ranges(spark, sf_dir):
+    """FLT-07: page range specifications."""
+    return frame(spark, "pages_spec").select("id", F.array_join(names.page_numbers(F.col("spec"), F.col("total")), ",").alias("pages"))
+
+
+# -- markup ----------------------------------------------------------------------
+def _decoded(x: str) -> str:
+    for _ in range(3):
+        for name, plain in markup.ENTITIES:
+            plain = plain.replace("'", "''")
+            x = f"replace({x}, '{name}', '{plain}')"
+    return f"trim(regexp_replace(replace({x}, chr(8203), ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+@query(f"SELECT id, {_decoded('text')} AS decoded, {_decoded('''regexp_replace(text, '<[^>]+>', '', 'g')''')} AS clean FROM {values('markup')}")
+def markup_decode(spark, sf_dir):
+    """STR-08 (named), STR-09: entities and tags."""
+    return frame(spark, "markup").select("id", markup.decode_entities(F.col("text")).alias("decoded"), markup.strip_tags(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT page_id, {_decoded('''regexp_replace(html, '<[^>]+>', '', 'g')''')} AS clean FROM pages")
+def page_clean_text(spark, sf_dir):
+    """STR-09: text of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", markup.strip_tags(F.col("html")).alias("clean"))
+
+
+_TITLE = "regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"
+
+
+@query(f"SELECT page_id, {_SLUG.replace('title', _TITLE, 1)} AS slug, nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '') AS h1, len(regexp_extract_all(html, 'href=\"([^\"]*)\"')) AS n_links, len(regexp_extract_all(html, '<p>')) AS n_paragraphs FROM pages")
+def page_headings(spark, sf_dir):
+    """HTML-02, STR-01, AGG-15: title slug, heading, counts of links and paragraphs."""
+    h = F.col("html")
+    title = F.regexp_extract(h, "(?is)<title>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", names.slug(title).alias("slug"), F.nullif(F.regexp_extract(h, "(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("")).alias("h1"), F.regexp_count(h, F.lit('href="([^"]*)"')).cast("long").alias("n_links"), F.regexp_count(h, F.lit("<p>")).cast("long").alias("n_paragraphs"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '^(https?://[^/]+)', 1), '') AS origin, CASE WHEN regexp_matches(url, '/$|^https?://[^/]+$') THEN 'index.html' ELSE regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) END AS local_path, coalesce(nullif(lower(regexp_extract(url, '(?i)\\.(jpe?g|png|gif|webp|bmp)(?:\\?|$)', 1)), ''), 'jpg') AS image_ext FROM pages")
+def url_parts(spark, sf_dir):
+    """SNK-15, JON-20, STR-12, MSC-20/28: origin, local path and image extension of URLs."""
+    u = F.col("url")
+    local = F.when(u.rlike(r"/$|^https?://[^/]+$"), F.lit("index.html")).otherwise(F.regexp_extract(u, r"^https?://[^/]+/([^?#]*)", 1))
+    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract(u, "^(https?://[^/]+)", 1), F.lit("")).alias("origin"), local.alias("local_path"), names.image_ext(u).alias("image_ext"))
+
+
+@query(
+    f"""SELECT id, regexp_replace(text, '\\\\([~<>+\\-.)=&_*\\[\\]])', '\\1', 'g') AS plain,
+        nullif(regexp_extract(text, '(?m)^# (.+)$', 1), '') AS heading,
+        array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN starts_with(ltrim(l), '*') THEN concat(',', l) ELSE l END), chr(10)) AS org_body,
+        array_to_string(regexp_extract_all(regexp_replace(text, 'https?://\\S+', '', 'g'), '(?:^|\\s)#([^\\s#]+)', 1), ',') AS tags,
+        replace(replace(replace(replace(text, '{{vbar}}', '|'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS adoc,
+        replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml,
+        regexp_replace(text, '표\\s*<sequence>\\s*\\d+\\s*</sequence>\\s*:\\s*', '<표> ', 'g') AS caption,
+        regexp_matches(trim(text), '^<[^>]+>$') AND NOT regexp_matches(trim(text), '^</?[A-Za-z!]') AS is_caption,
+        regexp_matches(trim(text), '^템플릿\\s*\\d+') AS is_placeholder,
+        regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS has_letter FROM {values('markup')}"""
+)
+def markup_rewrites(spark, sf_dir):
+    """STR-06/13/20/25/42/54, FLT-04/14/15: single-pass rewrites and predicates."""
+    t = F.col("text")
+    return frame(spark, "markup").select(
+        "id",
+        markup.unescape_markdown(t).alias("plain"),
+        markup.first_heading(t).alias("heading"),
+        markup.org_body(t).alias("org_body"),
+        F.array_join(names.hashtags(t), ",").alias("tags"),
+        markup.unescape_adoc(t).alias("adoc"),
+        markup.escape_xml(t).alias("xml"),
+        markup.strip_caption_number(t).alias("caption"),
+        markup.is_caption(t).alias("is_caption"),
+        markup.is_placeholder(t).alias("is_placeholder"),
+        names.has_letter(t).alias("has_letter"),
+    )
+
+
+@query(f"SELECT id, len(m) AS n, coalesce(m[1], '') AS first FROM (SELECT id, list_filter(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3)), lambda w: regexp_matches(w, '^[가-힣][.?!][가-힣]$')) AS w, list_transform(list_filter(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3)), lambda w: regexp_matches(w, '^[가-힣][.?!][가-힣]$')), lambda w: substr(w, 1, 2)) AS m FROM {values('markup')})")
+def lint_stops(spark, sf_dir):
+    """STR-55: sentence ends that run into the next word."""
+    return frame(spark, "markup").select("id", markup.hangul_after_stop(F.col("text")).alias("m")).select("id", F.size("m").cast("long").alias("n"), F.coalesce(F.get("m", F.lit(0)), F.lit("")).alias("first"))
+
+
+_SIGNS = (("^□\\s*(.+)$", "'□ '", 1), ("^[oO○]\\s+(.+)$", "'o '", 1), ("^\\((\\d+|[가-힣])\\)\\s*(.+)$", "concat('(', regexp_extract(s, '^\\((\\d+|[가-힣])\\)', 1), ') ')", 2), ("^[-–—]\\s+(.+)$", "'- '", 1), ("^[⋅·•]\\s*(.+)$", "'·'", 1))
+
+
+@query(
+    "SELECT id, CASE WHEN cap THEN level + 1 ELSE level END AS org_level, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '{p}') THEN {b}" for p, b, _ in _SIGNS)
+    + " WHEN cap OR regexp_matches(s, '^(\\d+[\\.-])+\\d*\\.?\\s+') THEN '' ELSE coalesce((['', '', '□ ', 'o ', '- ', '·'])[level], '') END AS bullet, CASE "
+    + " ".join(f"WHEN regexp_matches(s, '{p}') THEN regexp_extract(s, '{p}', {g})" for p, _, g in _SIGNS)
+    + f" ELSE s END AS clean FROM (SELECT id, level, s, regexp_matches(s, '^<([^>]+)>$') AS cap FROM (SELECT id, level, regexp_replace(trim(text), '\\*\\*([^*]+)\\*\\*', '\\1', 'g') AS s FROM {values('headings')}))"
+)
+def heading_levels(spark, sf_dir):
+    """STR-32: level, bullet and text of headings."""
+    return frame(spark, "headings").select("id", *(c.alias(k) for k, c in markup.heading_level(F.col("text"), F.col("level")).items()))
+
+
+_SEAM_RULES = (
+    ("t = ''", "skip", "empty"),
+    ("regexp_matches(h, '^\\p{Nd}')", "skip", "digit-head"),
+    ("regexp_matches(h, '^(그림|사진|표)\\s*\\d[\\d.\\-]*\\s*[:：]')", "skip", "caption-head"),
+    ("regexp_matches(t, '\\d\\s*쪽$')", "skip", "pageref-tail"),
+    ("regexp_matches(ltrim(t), '^[①-⑳]') AND length(ltrim(t)) <= 24", "skip", "enum-circled"),
+    ("ends_with(t, ',')", "space", "comma"),
+    ("NOT regexp_matches(t, '[가-힣]$')", "skip", "non-hangul"),
+    (f"regexp_matches(h, '^({markup.JOSA})\\s')", "nospace", "josa-head"),
+    ("regexp_matches(h, '^[A-Za-z]')", "space", "latin-head"),
+    (f"regexp_matches(h, '^({markup.CONJUNCTIONS})\\s')", "space", "conj-head"),
+    (f"regexp_extract(t, '(\\S+)$', 1) IN ({', '.join(repr(w) for w in markup.SPACE_WORDS)})", "space", "adv-tail"),
+    ("ends_with(t, '적')", "space", "jeok-tail"),
+    (f"ends_with(t, '이') AND regexp_matches(h, '^[{markup.FUSED}]')", "nospace", "fusion"),
+    (f"regexp_matches(t, '({'|'.join(markup.SPACE_ENDINGS)})$')", "space", "josa/ending"),
+)
+
+
+@query("SELECT id, " + ", ".join("CASE " + " ".join(f"WHEN {test} THEN '{r[k]}'" for test, *r in _SEAM_RULES) + f" ELSE '{other}' END AS {name}" for k, other, name in ((0, "nospace", "seam"), (1, "mid-eojeol", "reason"))) + f" FROM (SELECT id, rtrim(tail) AS t, ltrim(head) AS h FROM {values('seams')})")
+def seam_decisions(spark, sf_dir):
+    """STR-31: how the halves of split paragraphs join."""
+    return frame(spark, "seams").select("id", *(c.alias(k) for k, c in markup.seam(F.col("tail"), F.col("head")).items()))
+
+
+def _content_sql(x: str, mode: str) -> str:
+    label = "^\\s*\\[fn:[^\\]]*\\]\\s*"
+    keep = {"keep": "", "drop": f" AND NOT regexp_matches(s, '{label}')", "only": f" AND regexp_matches(s, '{label}')"}[mode]
+    body = f"array_to_string(list_transform(list_filter(string_split({x}, chr(10)), lambda s: NOT regexp_matches(s, '^\\s*#\\+') AND NOT regexp_matches(s, '^\\s*:[A-Z_]+:\\s*$'){keep}), lambda s: regexp_replace(s, '{label}', '')), chr(10))"
+    for p in markup.FOOTNOTE_MARKS:
+        body = f"regexp_replace({body}, '{p}', '', 'g')"
+    for p, r in (("!\\[[^\\]]*\\]\\([^)]*\\)", ""), ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("</?[a-zA-Z][^>]*>", ""), ("(?m)^\\s*#{1,6}\\s+", ""), ("(?m)^\\s*\\*+\\s+", ""), ("\\*", ""), ("[\\s]+", ""), ("[\\[\\](){}「」『』〈〉《》‘’“”''\"…]", "")):
+        body = f"regexp_replace({body}, '{p}', '{r}', 'g')"
+    return body
+
+
+@query("SELECT id, projection, hyp_key, ref_key FROM (" + " UNION ALL ".join(f"SELECT id, '{name}' AS projection, {_content_sql('hyp', mode)} AS hyp_key, {_content_sql('ref', mode)} AS ref_key FROM {values('transcripts')}" for name, mode in evaluate.PROJECTIONS.items()) + ") WHERE hyp_key <> '' AND ref_key <> ''")
+def transcript_projections(spark, sf_dir):
+    """EVL-01/02/07: comparable content of transcripts, in three projections."""
+    return evaluate.projections(frame(spark, "transcripts")).select("id", "projection", "hyp_key", "ref_key")
+
+
+@query(f"SELECT id, projection, levenshtein(hyp_key, ref_key) AS dist, levenshtein(hyp_key, ref_key) / greatest(length(ref_key), 1)::DOUBLE AS cer FROM ({ORACLES['transcript_projections']})")
+def transcript_cer(spark, sf_dir):
+    """EVL-04/08: edit distance and error rate."""
+    return evaluate.error_rates(frame(spark, "transcripts")).select("id", "projection", "dist", "cer")
+
+
+@query()
+def transcript_opcodes(spark, sf_dir):
+    """EVL-03/05: alignment, ratio and distance bound of documents and benchmark passages by position."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.substring("text", 1, 400).alias("hyp"))
+    ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.substring("text", 1, 400).alias("ref"))
+    pairs = docs.join(ref, "k")
+    return pairs.select("k", evaluate.align("hyp", "ref").alias("a")).select("k", "a.distance", "a.blocks", "a.ratio", F.size("a.ops").alias("n_ops"))
+
+
+@query("SELECT doc_id, translate(regexp_replace(text, '[\\s]+', '', 'g'), '[](){}「」『』〈〉《》‘’“”''\"…', '') AS content FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9 .,\\n\\[\\](){}]', '', 'g') AS text FROM documents)")
+def doc_content_key(spark, sf_dir):
+    """EVL-02, MSC-06: content without white space and brackets, of every document."""
+    text = rx.sub(F.col("text"), r"[^a-zA-Z0-9 .,\n\[\](){}]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate(rx.nospace(text), markup.BRACKETS, "").alias("content"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\|')) AS pipes, len(regexp_extract_all(regexp_replace(text, '\\|', ';', 'g'), ' +;')) AS spaced, length(regexp_replace(regexp_replace(text, '\\|', ';', 'g'), ' +;', ';', 'g')) AS n_after, len(regexp_extract_all(text, '\\s')) / greatest(length(text), 1)::DOUBLE AS blank_share FROM documents")
+def rewrite_stats(spark, sf_dir):
+    """STR-46/47/58, AGG-15/20: counted rewriting steps and the share of white space."""
+    steps = (rx.Step("pipes", r"\|", ";"), rx.Step("spaced", " +;", ";"))
+    text, counts = rx.rewrite_counted(F.col("text"), steps)
+    share = F.regexp_count("text", F.lit(r"\s")) / F.greatest(F.length("text"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.cast("long").alias(k) for k, c in counts.items()), F.length(text).cast("long").alias("n_after"), share.alias("blank_share"))
+
+
+# -- lines -----------------------------------------------------------------------
+_LINES = "(SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+def _lines(spark, sf_dir):
+    return lines.explode_lines(table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT doc_id, CAST(pos AS INT) AS pos, line FROM {_LINES}")
+def doc_lines(spark, sf_dir):
+    """D2, SRC-31: every line of every document."""
+    return _lines(spark, sf_dir)
+
+
+@query("SELECT doc_id, text FROM documents")
+def doc_round_trip(spark, sf_dir):
+    """D2, WIN-11: exploding and assembling lines gives the texts back."""
+    return lines.assemble(_lines(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, island, count(*) AS n, sum(length(line)) AS chars FROM (SELECT *, sum(CASE WHEN contains(line, '|') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM {_LINES}) GROUP BY ALL")
+def doc_islands(spark, sf_dir):
+    """WIN-02, AGG-10: runs of lines between table-like ones."""
+    rows = lines.islands(_lines(spark, sf_dir), F.contains("line", F.lit("|")))
+    return rows.groupBy("doc_id", "island").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+@query(f"SELECT doc_id, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM {_LINES} WHERE contains(line, '|')) GROUP BY doc_id, g")
+def doc_table_runs(spark, sf_dir):
+    """WIN-10, STM-03: contiguous table-like runs."""
+    return lines.runs(_lines(spark, sf_dir), F.contains("line", F.lit("|")))
+
+
+@query(f"SELECT doc_id, CAST(pos AS INT) AS pos, last_value(CASE WHEN length(line) < 60 THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS head FROM {_LINES}")
+def doc_carry(spark, sf_dir):
+    """WIN-01/14: the last short line up to each line."""
+    return lines.carry(_lines(spark, sf_dir), F.when(F.length("line") < 60, F.col("pos").cast("long")), "head").select("doc_id", "pos", "head")
+
+
+@query(f"SELECT line, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {_LINES} GROUP BY line HAVING count(*) > 1")
+def doc_dup_lines(spark, sf_dir):
+    """WIN-07, AGG-01: lines that occur more than once."""
+    return _lines(spark, sf_dir).groupBy("line").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("n > 1")
+
+
+@query(f"SELECT doc_id, CAST(pos AS INT) AS pos, nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth FROM {_LINES}) WHERE nth > 1")
+def doc_repeated_lines(spark, sf_dir):
+    """WIN-07: later occurrences of a line in its document."""
+    return lines.first_seen(_lines(spark, sf_dir), "line").where("nth > 1").select("doc_id", "pos", F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"SELECT doc_id, CAST(pos AS INT) AS pos, line FROM (SELECT *, lead(substr(line, 1, 8)) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM {_LINES}) WHERE NOT coalesce(nx = substr(line, 1, 8), false)")
+def doc_drop_repeats(spark, sf_dir):
+    """WIN-05: of lines with one beginning in a row the last stays."""
+    return lines.drop_repeats(_lines(spark, sf_dir), F.substring("line", 1, 8))
+
+
+@query(f"SELECT doc_id, CAST(pos AS INT) AS pos, line FROM (SELECT *, min(CASE WHEN length(line) >= 30 THEN pos END) OVER (PARTITION BY doc_id) AS lo, max(CASE WHEN length(line) >= 30 THEN pos END) OVER (PARTITION BY doc_id) AS hi FROM {_LINES}) WHERE pos BETWEEN lo AND hi")
+def doc_trim_edges(spark, sf_dir):
+    """WIN-12: without short lines at both ends."""
+    return lines.trim_edges(_lines(spark, sf_dir), F.length("line") < 30)
+
+
+@query(f"SELECT doc_id, CAST(min(pos) AS INT) AS pos, string_agg(CASE WHEN loose THEN trim(line) ELSE line END, ' ' ORDER BY pos) AS line FROM (SELECT *, sum(CASE WHEN NOT loose OR NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM (SELECT *, lag(loose) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM (SELECT *, NOT (trim(line) = '' OR starts_with(trim(line), '* ') OR starts_with(trim(line), '#+') OR (starts_with(trim(line), ':') AND ends_with(trim(line), ':')) OR regexp_matches(trim(line), '^[-*]\\s') OR regexp_matches(trim(line), '^\\d+\\.\\s') OR (starts_with(trim(line), '<<') AND ends_with(trim(line), '>>')) OR starts_with(trim(line), '[[file:') OR starts_with(trim(line), '[[./')) AS loose FROM {_LINES}))) GROUP BY doc_id, part")
+def doc_unfill(spark, sf_dir):
+    """PAR-01, WIN-03, FLT-13: paragraphs on one line."""
+    return lines.unfill(_lines(spark, sf_dir))
+
+
+# -- parsing ---------------------------------------------------------------------
+@query(
+    "SELECT * FROM (VALUES (1, 1, 'Main', 't.0', 0, 3, 4, concat('hello', chr(10), 'world')), (1, 2, 'Child', 't.1', 1, 6, 6, 'in child'), (1, 3, 'Last', NULL, 0, 8, 8, 'end')) AS t(id, idx, name, tab_id, depth, line_start, line_end, content)"
+)
+def tab_split(spark, sf_dir):
+    """STM-01, D3: tabs of an exported document (the oracle states the golden rows)."""
+    return parse.split_tabs(frame(spark, "tabs"), "id")
+
+
+@query("SELECT * FROM (VALUES (1, 'Main'), (1, 'Child')) AS t(id, name)")
+def tab_subtree(spark, sf_dir):
+    """FLT-01/02: the first tab that fits and what lies below it."""
+    return parse.subtree(parse.split_tabs(frame(spark, "tabs"), "id"), "mai", "id").select("id", "name")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'text', NULL, NULL, NULL, NULL, 'lead text'), (1, 1, 'title', 1, 2, 3, 4, 'A title'), (1, 2, 'text', 5, 6, 7, 8, concat('line one', chr(10), 'line two')), (1, 3, 'image', 0, 0, 9, 9, '')) AS t(page, idx, label, x1, y1, x2, y2, text)")
+def ocr_blocks(spark, sf_dir):
+    """STM-15, D9: labelled blocks of recognised pages."""
+    return parse.grounded_blocks(frame(spark, "grounded"))
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'page_boundary', 'open sentence', 'goes on'), (1, 2, 'image_interrupt', 'goes on', 'after image.'), (1, 5, 'eq_interrupt', 'next open', 'eq end,'), (1, 7, 'table_interrupt', 'eq end,', 'cell'), (1, 9, 'samepage_break', 'cell', 'same page')) AS t(doc_id, pos, class, tail, head)")
+def layout_splits(spark, sf_dir):
+    """STM-13, WIN-04, SET-06, FLT-16: split paragraphs by what splits them."""
+    return parse.layout_splits(frame(spark, "blocks"))
+
+
+@query("SELECT * FROM (VALUES (1, 1, 0, 'a', 1, 1), (1, 1, 1, 'b', 1, 1), (1, 1, 2, 'c', 1, 1), (1, 2, 0, 'wide', 2, 1), (1, 2, 1, 'x', 1, 1), (1, 3, 0, 'tall', 1, 3), (1, 3, 1, 'y', 1, 1), (1, 4, 0, 'both | sign', 2, 3)) AS t(doc_id, pos, ord, text, colspan, rowspan)")
+def adoc_cells(spark, sf_dir):
+    """TBL-02, AGG-14: AsciiDoc cells with their spans."""
+    return parse.adoc_cells(frame(spark, "adoc").where("line <> '|==='"))
+
+
+@query()
+def markdown_block_counts(spark, sf_dir):
+    """STM-02, AGG-10: blocks of every document by kind, from the sequential parser."""
+    return parse.markdown_blocks(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, coalesce(nullif(regexp_extract(coalesce(text, ''), '#([\\p{{L}}\\p{{N}}_]+)', 1), ''), CASE WHEN trim(split_part(text, chr(10), 1)) <> '' AND length(trim(split_part(text, chr(10), 1))) <= 20 THEN trim(split_part(text, chr(10), 1)) END, '(미분류)') AS topic FROM {values('posts')}")
+def post_topics(spark, sf_dir):
+    """STR-18, AGG-06: topics of posts."""
+    return frame(spark, "posts").select("id", names.topic(F.col("text")).alias("topic"))
+
+
+# -- matching --------------------------------------------------------------------
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'orphan' ELSE 'matched' END AS status FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def labels_reconcile(spark, sf_dir):
+    """JON-07/08, SET-04/05: documents against labels."""
+    return match.reconcile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query(f"SELECT *, CASE WHEN missing = 0 AND orphan = 0 THEN 'OK' ELSE 'ISSUES' END AS verdict FROM (SELECT count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'orphan') AS orphan FROM ({ORACLES['labels_reconcile']}))")
+def integrity_summary(spark, sf_dir):
+    """AGG-11: counts of a reconciliation and its verdict."""
+    return analytics.integrity(labels_reconcile(spark, sf_dir))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabeled_docs(spark, sf_dir):
+    """JON-03, STM-S1: documents that are not yet labelled."""
+    return match.not_yet(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def good_docs(spark, sf_dir):
+    """JON-04: documents with a good label."""
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("SELECT n_name, r_name, concat(r_name, '/', n_name) AS path FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def nation_region(spark, sf_dir):
+    """JON-01/02: lookups with a default."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    out = n.join(r, n.n_regionkey == r.r_regionkey, "left")
+    return out.select("n_name", "r_name", F.concat("r_name", F.lit("/"), "n_name").alias("path"))
+
+
+@query("SELECT * FROM (VALUES ('1', 1, 'root'), ('2', 2, 'root/a'), ('3', 3, 'root/a/leaf'), ('4', 2, 'root/b'), ('5', 3, 'root/b/leaf'), ('6', 1, 'lost'), ('7', 1, 'self'), ('8', 2, 'y/x'), ('9', 2, 'x/y')) AS t(id, depth, path)")
+def category_paths(spark, sf_dir):
+    """JON-05, D13: ancestor paths; missing parents and cycles end them."""
+    return match.category_paths(frame(spark, "nodes"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def last_write_wins(spark, sf_dir):
+    """JON-11: the latest event of each user."""
+    return match.last_write(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT * FROM (VALUES (1, '1', 'key', 'one'), (2, '1.1', 'key', 'new'), (3, '4.1', 'suffix', 'new'), (4, '9.9', 'none', NULL), (5, '2.3.4', 'suffix', 'deep')) AS t(ord, k, how, body)")
+def suffix_fallback(spark, sf_dir):
+    """JON-09, STR-40: equal keys first, then what follows the first dot; the first such key counts."""
+    return match.suffix_join(frame(spark, "template"), frame(spark, "content"), "k", "pos", ["body"])
+
+
+@query("SELECT o_custkey, nth, o_orderkey, l_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) LEFT JOIN (SELECT o_custkey, l_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) AS nth FROM lineitem JOIN orders ON l_orderkey = o_orderkey) USING (o_custkey, nth)")
+def ordinal_join(spark, sf_dir):
+    """JON-10: the k-th order of a customer with the k-th of its order lines."""
+    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    slots = i.join(o.select("o_orderkey", "o_custkey"), i.l_orderkey == o.o_orderkey).select("o_custkey", "l_orderkey", "l_linenumber")
+    return match.ordinal_join(o.select("o_custkey", "o_orderkey"), slots, "o_custkey", ["o_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey"]).select("o_custkey", F.col("nth").cast("long").alias("nth"), "o_orderkey", "l_orderkey")
+
+
+@query("SELECT event_type, max(lo) AS lo, min(hi) AS hi FROM (SELECT event_type, user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY ALL HAVING count(*) > 20) GROUP BY event_type HAVING min(hi) > max(lo)")
+def span_intersection(spark, sf_dir):
+    """JON-14: the stretch of ids that all busy users share."""
+    spans = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min("event_id").alias("start"), F.max("event_id").alias("stop"), F.count("*").alias("c")).where("c > 20")
+    return match.common_span(spans, "event_type")
+
+
+@query("SELECT doc_id, strpos(text, substr(text, 101, 40)) AS at, length(text) - length(replace(text, substr(text, 101, 40), '')) = length(substr(text, 101, 40)) AND length(substr(text, 101, 40)) > 0 AS once FROM documents WHERE length(text) >= 141")
+def anchored_once(spark, sf_dir):
+    """JON-15/16: where a stretch stands, and whether it occurs exactly once."""
+    part = F.substring("text", 101, 40)
+    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 141)
+    return docs.select("doc_id", match.locate(F.col("text"), part, (40,)).cast("long").alias("at"), match.occurs_once(F.col("text"), part).alias("once"))
+
+
+_RANGES = ((1, "fr", 1, 1), (2, "en", 2, 3), (3, "de", 1, 2))
+_RANGES_SQL = "(VALUES " + ", ".join(f"({o}, '{s}', {a}, {b})" for o, s, a, b in _RANGES) + ") AS r(out_ord, source, lo, hi)"
+_LANG_LINES = "(SELECT doc_id, lang AS source, CAST(unnest(range(1, len(l) + 1)) AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))"
+
+
+def _lang_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+    return docs.select("doc_id", "source", (F.col("p") + 1).alias("pos"), "line")
+
+
+@query(f"SELECT out_ord, l.source, l.pos, l.line FROM {_LANG_LINES} l JOIN {_RANGES_SQL} ON l.source = r.source AND l.pos BETWEEN r.lo AND r.hi")
+def line_range_union(spark, sf_dir):
+    """SET-01/02, MSC-07: lines placed by a table of ranges."""
+    return match.place_ranges(_lang_lines(spark, sf_dir), spark.createDataFrame(list(_RANGES), "out_ord int, source string, lo int, hi int"))
+
+
+@query(f"SELECT source, count(*) AS n, count(*) FILTER (trim(line) NOT IN ('', '---')) AS substantive FROM {_LANG_LINES} l WHERE NOT EXISTS (SELECT 1 FROM {_RANGES_SQL} WHERE l.source = r.source AND l.pos BETWEEN r.lo AND r.hi) GROUP BY source")
+def unused_lines(spark, sf_dir):
+    """SET-03, AGG-17: lines that no range takes."""
+    left = match.unused_lines(_lang_lines(spark, sf_dir), spark.createDataFrame(list(_RANGES), "out_ord int, source string, lo int, hi int"))
+    return left.groupBy("source").agg(F.count("*").alias("n"), F.count_if("substantive").alias("substantive"))
+
+
+# -- counts ----------------------------------------------------------------------
+_WORDS = "(SELECT conv_id, w AS tag FROM (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM conversations))"
+
+
+def _words(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tag")).distinct()
+
+
+@query(f"SELECT tag, count(*) AS n FROM {_WORDS} GROUP BY tag ORDER BY n DESC, tag LIMIT 50")
+def word_freq_top(spark, sf_dir):
+    """AGG-01, SRT-03/04: the 50 most frequent words of conversations."""
+    return analytics.top(analytics.tag_counts(_words(spark, sf_dir)), 50, F.desc("n"), "tag")
+
+
+_EVENT_TAGS = "(SELECT DISTINCT user_id, event_type AS tag FROM events)"
+
+
+@query(f"SELECT a.tag AS a, b.tag AS b, count(*) AS n FROM {_EVENT_TAGS} a JOIN {_EVENT_TAGS} b ON a.user_id = b.user_id AND a.tag < b.tag GROUP BY ALL ORDER BY n DESC, a, b LIMIT 100")
+def event_cooccur(spark, sf_dir):
+    """AGG-02, JON-06, SRT-04: kinds of events that users share."""
+    tags = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("tag"))
+    return analytics.top(analytics.pair_counts(tags, "user_id"), 100, F.desc("n"), "a", "b")
+
+
+@query(f"SELECT count(DISTINCT CASE WHEN length(tag) < 14 THEN conv_id END) AS groups, count(DISTINCT CASE WHEN length(tag) < 14 THEN tag END) AS unique_tags, count(*) AS raw, count(*) FILTER (length(tag) < 14) AS clean, count(*) FILTER (length(tag) >= 14) AS noise FROM {_WORDS}")
+def word_totals(spark, sf_dir):
+    """AGG-03: totals of a tagged corpus."""
+    return analytics.corpus_totals(_words(spark, sf_dir), "conv_id", "tag", F.length("tag") >= 14)
+
+
+@query("SELECT CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day, count(*) AS n FROM events GROUP BY ALL")
+def event_datetree(spark, sf_dir):
+    """AGG-07, SRT-02: events by year, month and day, newest first."""
+    return analytics.date_tree(table(spark, sf_dir, "events"), F.col("ts"))
+
+
+@query("SELECT event_type, event_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS nth FROM events) WHERE nth <= 5")
+def event_top_values(spark, sf_dir):
+    """SRT-05, AGG-19: the five highest of each kind."""
+    e = analytics.top_per_group(table(spark, sf_dir, "events"), ["event_type"], 5, F.desc("value"), "event_id")
+    return e.select("event_type", "event_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def event_props(spark, sf_dir):
+    """SRC-04/06: fields of JSON texts."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT conv_id, string_agg(concat('[', role, '] ', text), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def conv_transcript(spark, sf_dir):
+    """SNK-05, SRT-01: transcripts in order."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line"))
+    return lines.assemble(t, "conv_id", out="transcript")
+
+
+@query("SELECT conv_id, turn, length(text) AS asked, length(nx) AS answered FROM (SELECT *, lead(text) OVER w AS nx, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'")
+def conv_turn_pairs(spark, sf_dir):
+    """WIN-13: questions with the answers that follow."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.struct("role", "text").alias("v"), F.lit("x").alias("line"))
+    nxt = F.lead("v").over(lines._order("conv_id"))
+    rows = t.withColumn("next", nxt).where("v.role = 'user' AND next.role = 'assistant'")
+    return rows.select("conv_id", F.col("pos").alias("turn"), F.length("v.text").cast("long").alias("asked"), F.length("next.text").cast("long").alias("answered"))
+
+
+# -- rendering -------------------------------------------------------------------
+@query("SELECT doc_id, concat('---', chr(10), 'id: ', doc_id, chr(10), 'lang: ', lang, chr(10), 'source: ', source, chr(10), '---', chr(10), chr(10), text) AS text FROM documents")
+def doc_front_matter(spark, sf_dir):
+    """SNK-02, STR-21: documents with a head of fields."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", render.front_matter({"id": F.col("doc_id"), "lang": F.col("lang"), "none": F.lit(None).cast("string"), "source": F.col("source")}, F.col("text")).alias("text"))
+
+
+_DESC = "replace(replace(regexp_replace(coalesce(description, ''), '[{}]', '', 'g'), '\"', '\\\"'), chr(10), ' ')"
+
+
+@query(f"SELECT id, concat('@software{{', regexp_replace(full_name, '[^A-Za-z0-9]', '', 'g'), ',', chr(10), '  title = {{', full_name, '}},', chr(10), '  author = {{', owner, '}},', chr(10), '  url = {{', url, '}},', chr(10), '  urldate = {{', split_part(starred, 'T', 1), '}},', chr(10), '  abstract = {{', {_DESC}, '}},', chr(10), '  keywords = {{a, b}},', chr(10), '  note = {{stars: ', stars, ', language: ', coalesce(language, 'unknown'), '}}', chr(10), '}}', chr(10)) AS entry FROM {values('stars')}")
+def bibtex_entries(spark, sf_dir):
+    """STR-51, SNK-07, SRC-25: bibliography entries."""
+    c = F.col
+    return frame(spark, "stars").select("id", render.bibtex(c("full_name"), c("owner"), c("url"), c("starred"), c("description"), F.array(F.lit("a"), F.lit("b")), c("stars"), c("language")).alias("entry"))
+
+
+_LINK = "CASE WHEN coalesce(url, '') = '' THEN '(링크 없음)' ELSE concat('🔗 ', url) END"
+_P = ", ".join(f"('{k}', '{c}', {n if n is not None else 'NULL'}, {repr(g) if g else 'NULL'}, '{r}')" for k, c, n, g, r in render.PLATFORMS)
+_BODY = f"""CASE cls WHEN 'raw' THEN CASE WHEN rule = 'comment' THEN coalesce(original, '') ELSE concat(coalesce(original, ''), chr(10), chr(10), {_LINK}) END
+    WHEN 'full' THEN concat_ws(chr(10) || chr(10), nullif(commentary, ''), CASE WHEN coalesce(original, '') <> '' THEN concat('─── 원문 ───', chr(10), chr(10), original) END, {_LINK})
+    ELSE concat(coalesce(nullif(CASE WHEN lang = 'en' THEN en ELSE ko END, ''), nullif(ko, ''), '(요약 없음)'), chr(10), chr(10), {_LINK}, CASE WHEN rule = 'bio' THEN concat(chr(10), '(링크는 프로필 참조)') ELSE '' END) END"""
+
+
+@query(f"SELECT note_id, platform, body, length(body) AS n_chars, CASE WHEN length(body) > max_chars THEN length(body) - max_chars END AS over, CASE WHEN rule = 'comment' THEN {_LINK} END AS comment FROM (SELECT *, {_BODY} AS body FROM {values('notes')} CROSS JOIN (VALUES {_P}) AS p(platform, cls, max_chars, lang, rule))")
+def bundles(spark, sf_dir):
+    """JON-12, STR-23, SNK-11, FLT-10, MSC-08/14: a note for every surface, with its excess."""
+    return render.bundle(frame(spark, "notes"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents")
+def doc_digests(spark, sf_dir):
+    """SNK-15, AGG-09: digests and sizes."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
