@@ -13,8 +13,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 def text_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """(path, text): a row for each whole file."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def headers(files: DataFrame, size: int = 2000) -> DataFrame:
@@ -38,7 +38,7 @@ def json_or_empty(raw: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(raw, schema), F.from_json(F.lit("{}"), schema))
 
 
-@F.pandas_udf("struct<value:string,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]))
 def mime_html(content: pd.Series) -> pd.DataFrame:
     """The first text/html part of a MIME message, NFC; a row never fails, its error is told."""
     import email
@@ -110,3 +110,9 @@ class FolderSource(DataSource):
 
     def reader(self, schema) -> FolderReader:
         return FolderReader(self.options["path"], int(self.options.get("filesPerTask", 64)))
+
+
+def register(spark: SparkSession) -> None:
+    """Make format "document_folder" known, with filters pushed to its reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(FolderSource)
