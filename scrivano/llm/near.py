@@ -148,7 +148,7 @@ def estimated(a, b):
     return (1 - unlike / F.lit(MINIMA) - chance) / (1 - chance)
 
 
-def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack: float = 0.21, stars: int = 2) -> DataFrame:
+def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack: float = 0.21, stars: int = 1) -> DataFrame:
     """Group documents whose word-shingle sets have a Jaccard similarity of ``percent`` or more.
 
     docs: doc_id, text and any other columns (ignored).  Returns doc_id,
@@ -158,9 +158,10 @@ def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack
     (a pair at 0.75 shares none with a chance of 5e-6); the low four bits of the
     minima are packed into eight longs, and the estimate by bit counts, less
     chance agreement, drops pairs more than ``slack`` (five deviations) below
-    the limit.  Links are confirmed on full sets.  Each bucket is joined to one
-    centre, ``stars`` times, and only members that are still in different
-    components are paired with each other, so a group of n copies costs n rows.
+    the limit.  Links are confirmed on full sets.  The members of a bucket meet
+    two centres, those still apart meet ``stars`` more; what is then still in
+    different components is paired by its rarest shingles (``prefix_pairs``), never
+    all with all.
 
     Null or blank texts: an empty set, a component of their own.  Null doc_id:
     takes part; the component's id is its least known id, null if it has none.
@@ -187,30 +188,33 @@ def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack
         whole = whole.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")).hint("shuffle_merge"), "a")
         return materialize(whole.select("a", "b", "body_a", "body_b").mapInArrow(_confirm(words, percent), "a long, b long"))
 
-    links, roots, seen = None, None, None
+    # Every member of a bucket against two centres of it.
+    hubs = postings.groupBy("band").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("hub"))).alias(f"c{r}") for r in range(2)))
+    first = postings.join(hubs, "band").select("node", F.explode(F.array_distinct(F.array("c0.hub", "c1.hub"))).alias("hub"))
+    seen = materialize(_pairs(first.where("node <> hub"), "node", "hub"))
+    links = confirmed(seen)
+    roots = None if links.isEmpty() else materialize(components(links))
     for r in range(stars + 1):
-        if roots is None:
-            labelled = postings.withColumn("root", F.col("node"))
-        else:
-            labelled = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("c")).where("x <> y")
+        labelled = postings if roots is None else postings.join(roots, "node", "left")
+        labelled = labelled.select("band", "node", F.coalesce("root", "node").alias("root") if roots is not None else F.col("node").alias("root"))
+        split = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(r + 2)).alias("h"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("c")).where("x <> y")
         if r < stars:
-            # Every member of a bucket against the bucket's centre.
-            pairs = labelled.join(split.select("band", "c.hub", "c.hub_root"), "band").where("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            # The members that are still apart against another centre.
+            pairs = labelled.join(split.select("band", "c.hub", "c.hub_root"), "band").where("root <> hub_root").select("node", F.col("hub").alias("other"))
         else:
-            # What the stars left apart, pair by pair.
-            apart = labelled.join(split.select("band"), "band", "left_semi")
-            other = apart.select("band", F.col("node").alias("node2"), F.col("root").alias("root2"))
-            pairs = apart.join(other, "band").where("node < node2 and root <> root2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        pairs = pairs.distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.isEmpty():
-            break
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = confirmed(pairs)
-        links = found if links is None else links.unionByName(found)
+            # What the centres left apart.
+            apart = materialize(labelled.join(split.select("band"), "band", "left_semi").select("node", "root").distinct())
+            if apart.isEmpty():
+                break
+            pairs = prefix_pairs(apart, texts, words, percent)
+        fresh = materialize(_pairs(pairs, "node", "other").join(seen, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            continue
+        seen = seen.unionByName(fresh)
+        found = confirmed(fresh)
+        if found.isEmpty():
+            continue
+        links = links.unionByName(found)
         roots = materialize(components(links))
     if roots is None:
         return _finish(base, nodes.select("node", F.col("least").alias("component_id")))
@@ -220,6 +224,53 @@ def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack
     return _finish(base, of_node)
 
 
+def _tokens(words: int):
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            sets = [_set(unpack, body, words) for body in batch.column("body").to_pylist()]
+            edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], ["node", "root", "tokens"])
+
+    return run
+
+
+def prefix_pairs(apart: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, other) of different components that may be alike enough, by their rarest shingles.
+
+    Two sets of the wanted similarity share a shingle among the first of each in
+    the order of rarity, and from there on enough are left to share (prefix and
+    position bounds).  Copies with many edits of their own have only shingles of
+    their own in front, so they meet nobody: a large group of copies that are not
+    alike enough costs no pairs.  Bounds are exact; nothing is lost.
+    """
+    bodies = texts.join(apart.select("node").hint("shuffle_merge"), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
+    sets = materialize(bodies.join(apart.hint("shuffle_merge"), "node").select("node", "root", "body").mapInArrow(_tokens(words), "node long, root long, tokens array<long>"))
+    exploded = sets.select("node", F.explode("tokens").alias("token"))
+    common = materialize(exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    # A set's own shingles come first; they need no names.
+    shared = exploded.join(common.hint("shuffle_merge"), "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    n, own = F.size("tokens"), F.size("tokens") - F.size("ranked")
+    ordered = sets.join(shared, "node").select("node", "root", n.alias("n"), own.alias("own"), "ranked")
+    probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    index = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+
+    def part(limit, tag):
+        taken = F.slice("ranked", F.lit(1), F.greatest(limit - F.col("own"), F.lit(0)).cast("int"))
+        rows = ordered.select("node", "root", "n", "own", F.posexplode(taken).alias("k", "t"))
+        return rows.select(F.col("t.token").alias("token"), F.col("node").alias(f"node{tag}"), F.col("root").alias(f"root{tag}"), F.col("n").alias(f"n{tag}"), (F.col("own") + F.col("k")).alias(f"at{tag}"))
+
+    both = part(probe, "x").hint("shuffle_merge").join(part(index, "y"), "token")
+    smaller = F.expr("rootx <> rooty AND (ny < nx OR (ny = nx AND nodey < nodex))")
+    alike = F.expr(f"ny * 100 >= nx * {percent} AND (1 + least(nx - 1 - atx, ny - 1 - aty)) * {100 + percent} >= (nx + ny) * {percent}")
+    return both.where(smaller & alike).select(F.col("nodex").alias("node"), F.col("nodey").alias("other")).distinct()
+
+
+def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
 def _finish(base: DataFrame, of_node: DataFrame) -> DataFrame:
     out = base.select("rid", "doc_id", "n", "node").join(of_node, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
