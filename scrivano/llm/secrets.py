@@ -199,17 +199,19 @@ def secret_scan(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
     the candidates, and only they meet the pattern.  A rule without mandatory
     trigrams (hex) scans every text.  Lower-cased trigrams only widen the set.
 
-    Null text: empty, no spans.  Null or repeated doc_id: rows are told apart by
-    their number in the reading.  Empty table: no rows.  The spans of one
+    Null text: empty, no spans.  Null or repeated doc_id: each row has its own
+    result; postings are kept by text.  Empty table: no rows.  The spans of one
     document are kept in one array.
     """
     rules = (*BASE, *more)
     known = [(r, trigram_query(r.pattern)) for r in rules]
     indexed = [(r, q) for r, q in known if q is not None]
     wanted = sorted(set().union(*(trigrams(q) for _, q in indexed)))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    picked = candidates(postings(rows, wanted, "rid"), wanted, indexed, "rid")
-    both = rows.join(picked, "rid", "left")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Equal texts have equal postings, and a collision only widens the candidates.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    picked = candidates(postings(rows, wanted, "key"), wanted, indexed, "key")
+    both = rows.hint("shuffle_merge").join(picked, "key", "left")
     place = {r.kind: i for i, (r, _) in enumerate(indexed)}
     none = F.array().cast("array<struct<rank:int,kind:string,start:int,stop:int>>")
     found = []
