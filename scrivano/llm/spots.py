@@ -19,12 +19,13 @@ ANCHORS = (
 CHAIN, STRETCH = 3, 4096
 
 
-def _name(row: Column) -> Column:
-    return F.lower(F.lpad(F.hex(F.hash(row).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+def fingerprint(spots: Column) -> Column:
+    """Spot names as hex, joined by commas."""
+    return F.lower(F.array_join(F.transform(spots, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ","))
 
 
 def with_spots(rows: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
-    """Add the sorted distinct names (32-bit, hex) of a text's spots.
+    """Add the sorted distinct names (32-bit hashes) of a text's spots.
 
     A spot is a common word and the ``chain`` content words that follow it, other
     common words skipped.  A text with words but without such spots is named by
@@ -42,12 +43,12 @@ def with_spots(rows: DataFrame, text: str, out: str, chain: int = CHAIN) -> Data
 
     def spot(w, i):
         anchor = F.substring_index(F.substring_index(w, "|", -2), "|", 1)
-        return F.when(F.contains(w, F.lit("|")) & (i + chain <= F.size(p_)), _name(F.concat_ws(" ", anchor, F.slice(p_, i + 1, F.lit(chain)))))
+        return F.when(F.contains(w, F.lit("|")) & (i + chain <= F.size(p_)), F.hash(F.concat_ws(" ", anchor, F.slice(p_, i + 1, F.lit(chain)))))
 
     step = step.withColumn(s_, _distinct(F.transform(c_, spot)))
-    runs = _distinct(F.transform(w_, lambda w, i: F.when(i + chain <= F.size(w_), _name(F.concat_ws(" ", F.slice(w_, i + 1, F.lit(chain)))))))
-    whole = F.array(_name(F.concat_ws(" ", w_)))
-    spots = F.when(F.size(s_) > 0, F.col(s_)).when(F.size(w_) >= chain, runs).when(F.size(w_) > 0, whole).otherwise(F.array().cast("array<string>"))
+    runs = _distinct(F.transform(w_, lambda w, i: F.when(i + chain <= F.size(w_), F.hash(F.concat_ws(" ", F.slice(w_, i + 1, F.lit(chain)))))))
+    whole = F.array(F.hash(F.concat_ws(" ", w_)))
+    spots = F.when(F.size(s_) > 0, F.col(s_)).when(F.size(w_) >= chain, runs).when(F.size(w_) > 0, whole).otherwise(F.array().cast("array<int>"))
     return step.withColumn(out, spots).drop(w_, c_, p_, s_)
 
 
@@ -72,26 +73,26 @@ def pruned_jaccard(a: Column, b: Column, floor: float = 0.05) -> Column:
 
 
 def neighbours(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(rid, next_rid, n_chars): the following row by descending id, null last, then number; after the last the first.
+    """rows with next_id, next_mark: the following row by descending id, then mark; after the last the first.
 
-    rows: rid, id, n_chars.  Stretches of about ``stretch`` rows are cut at quantiles of the ids;
-    neighbours are found inside them, and their ends are joined through one row for each stretch.
+    rows: id, mark (together unique) and any other columns.  Stretches of about
+    ``stretch`` rows are cut at quantiles of the ids; neighbours are found inside
+    them, and their ends are joined through one row for each stretch.
     """
     total = rows.select(F.count("*").alias("n")).first()["n"]
     pieces = min(max(total // stretch, 1), 2000)
     # At most 2000 numbers.
     cuts = rows.select(F.percentile_approx("id", [k / pieces for k in range(1, pieces)], 10 * pieces).alias("c")).first()["c"] if pieces > 1 else []
     cuts = sorted(set(cuts or []))
-    place = F.lit(0)
-    if cuts:
-        place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("id")))
-    put = rows.withColumn("part", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(place))
-    order = W.partitionBy("part").orderBy(F.col("id").desc_nulls_last(), "rid")
-    inner = put.select("rid", "n_chars", "part", F.lead("rid").over(order).alias("inner"), F.row_number().over(order).alias("nth"))
+    place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("id"))) if cuts else F.lit(0)
+    order = W.partitionBy("part").orderBy(F.col("id").desc(), "mark")
+    inner = rows.withColumn("part", place).withColumn("inner", F.lead(F.struct("id", "mark")).over(order)).withColumn("nth", F.row_number().over(order))
     # One row for each stretch.
-    firsts = inner.where("nth = 1").select(F.col("part").alias("p"), F.col("rid").alias("first"))
-    ends = firsts.select("p", F.coalesce(F.lead("first").over(W.orderBy(F.col("p").desc())), F.first("first").over(W.orderBy(F.col("p").desc()))).alias("following"))
-    return inner.join(F.broadcast(ends), F.col("part") == F.col("p")).select("rid", F.coalesce("inner", "following").alias("next_rid"), "n_chars")
+    firsts = inner.where("nth = 1").select(F.col("part").alias("p"), F.struct("id", "mark").alias("first"))
+    down = W.orderBy(F.col("p").desc())
+    ends = firsts.select("p", F.coalesce(F.lead("first").over(down), F.first("first").over(down)).alias("following"))
+    following = F.coalesce("inner", "following")
+    return inner.join(F.broadcast(ends), F.col("part") == F.col("p")).select(*rows.columns, following["id"].alias("next_id"), following["mark"].alias("next_mark"))
 
 
 def spotsigs(docs: DataFrame, chain: int = CHAIN, floor: float = 0.05) -> DataFrame:
@@ -99,7 +100,7 @@ def spotsigs(docs: DataFrame, chain: int = CHAIN, floor: float = 0.05) -> DataFr
 
     docs: doc_id, text and any other columns (ignored).  Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, spots
-    and band (set size and its length partition).
+    and band (set size and its length partition), next_doc_id.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the
     first as many, or all, of the next document (descending doc_id, the first
@@ -107,28 +108,35 @@ def spotsigs(docs: DataFrame, chain: int = CHAIN, floor: float = 0.05) -> DataFr
     ``pruned_jaccard``.
 
     Null text: empty, with the empty fingerprint.  Null doc_id: after all ids.
-    Repeated ids: in the order of reading.  A single row is its own next.  Empty
-    table: no rows.
+    Repeated ids: in the order of a hash of their texts.  Equal rows are one
+    document, followed by the next different row.  A single row is its own next.
+    Empty table: no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    slim = materialize(rows.select("rid", F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n_chars")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # A row is known by its id and a hash of its text; null ids come last.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    slim = materialize(rows.select("id", "mark", F.length("text").cast("long").alias("n_chars")).distinct())
     pairs = materialize(neighbours(slim))
-    # Each row goes to its own place with its text, and to that of the row before with a head and its spots.
-    before = pairs.select(F.col("next_rid").alias("rid"), F.col("rid").alias("prior"), F.floor(F.col("n_chars") / 3).cast("int").alias("room"))
-    named = with_spots(rows, "text", "spots", chain).join(before.hint("shuffle_merge"), "rid")
-    heads = named.select(F.col("prior").alias("rid"), F.substring(F.col("text"), F.lit(1), F.col("room")).alias("head"), F.col("spots").alias("next_spots"))
-    both = named.select("rid", "doc_id", "text", "spots").join(heads.hint("shuffle_merge"), "rid")
+    # Each row goes to its own place with its text (one shuffle that both sides use), and to that
+    # of the row before with a head and its spots.
+    named = with_spots(rows, "text", "spots", chain)
+    before = pairs.select(F.col("next_id").alias("id"), F.col("next_mark").alias("mark"), F.col("id").alias("prior"), F.col("mark").alias("prior_mark"), F.floor(F.col("n_chars") / 3).cast("int").alias("room"))
+    heads = named.hint("shuffle_merge").join(before, ["id", "mark"]).select(F.col("prior").alias("id"), F.col("prior_mark").alias("mark"), F.struct(F.col("doc_id").alias("next_doc_id"), F.substring(F.col("text"), F.lit(1), F.col("room")).alias("head"), F.col("spots").alias("next_spots")).alias("next"))
+    # Equal rows send one head.
+    heads = heads.groupBy("id", "mark").agg(F.first("next").alias("next"))
+    both = named.hint("shuffle_merge").join(heads, ["id", "mark"]).select("doc_id", "text", "spots", "next.*")
     n = F.length("text")
-    edited = both.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), "head").alias("edited"))
+    edited = both.select("doc_id", "next_doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), "head").alias("edited"))
     done = with_spots(edited, "edited", "edited_spots", chain)
     return done.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.array_join("spots", ",").alias("fingerprint"),
-        F.array_join("edited_spots", ",").alias("edited_fingerprint"),
+        fingerprint(F.col("spots")).alias("fingerprint"),
+        fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
         pruned_jaccard(F.col("spots"), F.col("edited_spots"), floor).alias("near_edited"),
         pruned_jaccard(F.col("spots"), F.col("next_spots"), floor).alias("near_next"),
         F.size("spots").cast("long").alias("spots"),
         length_band(F.col("spots"), floor).alias("band"),
+        "next_doc_id",
     )
