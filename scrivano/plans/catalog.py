@@ -7,10 +7,11 @@ fixture where the driver's tables hold no such input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import markup, names, render, rx
-from ..operators import analytics, classify, evaluate, lines, match, parse
+from ..functions import markup, names, render, rx, web
+from ..operators import analytics, classify, evaluate, lines, match, outline, parse
 from .fixtures import frame, values
 
 QUERIES: dict = {}
@@ -614,3 +615,109 @@ def bundles(spark, sf_dir):
 def doc_digests(spark, sf_dir):
     """SNK-15, AGG-09: digests and sizes."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+# -- web, exports, outlines: golden rows, stated in the oracle -----------------------
+def _rows(columns: str, *rows: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + r + ')' for r in rows)}) AS t({columns})"
+
+
+@query(_rows("id, raw, clean", "1, '철학,', '철학'", "2, '통일(종합)', '통일(종합)'", "3, '존재와_시간).', '존재와_시간'", "4, NULL, NULL", "5, NULL, NULL", "6, 'λογος:', 'λογος'", "7, '(a)b', 'a)b'", "8, 'A&B', 'A&B'", "9, '[x]''', 'x]'"))
+def tag_cleaning(spark, sf_dir):
+    """STR-14/15/16: scanned tags as written and for counting."""
+    return frame(spark, "raw_tags").select("id", web.raw_tag(F.col("tag")).alias("raw"), web.clean_tag(F.col("tag")).alias("clean"))
+
+
+@query(_rows("id, text", "1, concat('# Head', chr(10), chr(10), 'body', chr(10), chr(10), chr(10), 'end', chr(10), chr(10), '```json', chr(10), '{}', chr(10), '```')", "2, 'plain'", "3, 'é'"))
+def export_cleaning(spark, sf_dir):
+    """STR-24, MSC-17: converted wiki exports."""
+    return frame(spark, "exports").select("id", web.clean_export(F.col("text")).alias("text"))
+
+
+@query(_rows("id, title, authors, date, body", "1, 'A & B', 'X Y, Z', 'May 1', '<d-article><h2 id=\"in\">Intro</h2><p>t</p></d-article>'", "2, 'Untitled', '', '', ''"))
+def paper_front(spark, sf_dir):
+    """HTML-01/02: head and body of article pages."""
+    return frame(spark, "papers").select("id", *(c.alias(k) for k, c in web.paper_front(F.col("html")).items()), web.paper_body(F.col("html")).alias("body"))
+
+
+@query(_rows("id, nth, url", "1, '01', 'u1'", "1, '02', 'u2'", "2, '01', 's'", "4, '01', 'w'"))
+def album_images(spark, sf_dir):
+    """MSC-02, WIN-11: images of posts by kind."""
+    return web.image_rows(frame(spark, "albums").select("id", "media_type", "media_url", F.array("a", "b").alias("children")))
+
+
+@query(_rows("id, stamp, expiry", "1, '20250304T090501', 'expired'", "75, '20251231T000015', 'week'", "3, NULL, 'fortnight'", "4, '20240102T235904', 'fine'", "5, NULL, 'unknown'", "6, NULL, 'unknown'"))
+def post_times(spark, sf_dir):
+    """HTML-08, MSC-10: stamps of posts, expiry of tokens."""
+    return frame(spark, "dates").select("id", web.post_time(F.col("text"), F.col("id")).alias("stamp"), web.expiry(F.col("expires"), F.to_date(F.lit("2025-01-14"))).alias("expiry"))
+
+
+@query(_rows("id, resolved, unresolved, unused", "1, '1', '10,2', '3'", "2, '', '', ''", "3, '', '', '1'"))
+def footnote_check(spark, sf_dir):
+    """JON-07, SET-04, STM-10: footnote references against definitions."""
+    return frame(spark, "notes_fn").select("id", *(c.alias(k) for k, c in web.footnotes(F.col("text")).items()))
+
+
+@query(_rows("id, org, plain", "1, '*b* ~c~ [[u][t]] ![[i.png][a]]', '**b** `c` [t](u) ![a](i.png)'", "2, concat('### 1.2 Title', chr(10), '## 3 keep', chr(10), '#### *4) bold*', chr(10), '### ① x'), concat('### Title', chr(10), '## 3 keep', chr(10), '#### **bold**', chr(10), '### x')", "3, '', ''"))
+def markdown_inline(spark, sf_dir):
+    """STR-33/35/36: inline marks and heading numbers."""
+    return frame(spark, "mixed_md").select("id", web.org_inline(F.col("text")).alias("org"), web.unnumbered(F.col("text")).alias("plain"))
+
+
+@query(_rows("id, broken", "1, true", "2, true", "3, false", "4, false", "5, true"))
+def broken_images(spark, sf_dir):
+    """VER-01: files that are no images."""
+    return frame(spark, "images").select("id", web.broken_image(F.col("size"), F.col("head")).alias("broken"))
+
+
+@query(_rows("doc_id, text", "1, array_to_string(['#+options: H:5', '***** - Parent: child — detail', '***** - Parent: other', '***** - Full', 'text', '***** - kept', '***** - With: colon', '***** - plain', '**** four', '***** - orphan'], chr(10))", "2, 'no headings'"))
+def level_merge(spark, sf_dir):
+    """ORG-04, JON-17, WIN-08/09, STR-43: level-6 items lifted to level 5."""
+    return lines.assemble(outline.merge_levels(frame(spark, "levels")))
+
+
+@query(_rows("n, line", "1, '* 2025'", "2, '** 2025-03 March'", "3, '*** 2025-03-04 Tuesday'", "4, '**** 09:00 - short line'", "5, '**** 11:22 - #여행 오늘의 글'", "6, '* 2024'", "7, '** 2024-12 December'", "8, '*** 2024-12-31 Tuesday'", "9, '**** 23:00 - a line that is much longer than twenty characters'"))
+def date_tree_outline(spark, sf_dir):
+    """SNK-05/06, SRT-01/02, STR-19/20: posts as an outline by day (the first lines of its parts)."""
+    rows = outline.date_tree_lines(frame(spark, "posts").where("text <> ''"))
+    # Nine golden rows.
+    return rows.select(F.row_number().over(W.orderBy("ord")).alias("n"), F.split_part("line", F.lit("\n"), F.lit(1)).alias("line"))
+
+
+@query(_rows("doc_id, text, merged, skipped, missed", "1, concat('사이에 전이', chr(10), chr(10), '끝.'), 1, 1, 1"))
+def seam_merge(spark, sf_dir):
+    """STM-11: seams applied in order, with an audit."""
+    texts = spark.createDataFrame([(1, "사이\n\n에 전이\n\n끝.")], "doc_id int, text string")
+    splits = spark.createDataFrame([(1, 0, "page_boundary", "사이", "에 전이"), (1, 1, "page_boundary", "없는", "말"), (1, 2, "page_boundary", "x", "y"), (1, 3, "image_interrupt", "a", "b")], "doc_id int, pos int, class string, tail string, head string")
+    return outline.apply_seams(texts, splits)
+
+
+@query(_rows("doc_id, lo, hi", "1, 0, 11"))
+def body_bounds(spark, sf_dir):
+    """STM-12: where a book's body begins and ends."""
+    return outline.body_bounds(frame(spark, "blocks"), "open", ("Heading",))
+
+
+@query(_rows("section, nth, slot, text, status", "'a', 1, '템플릿1', 'one', 'filled'", "'a', 2, '템플릿2', '템플릿2', 'short'", "'b', 1, '템플릿3', 'x', 'filled'", "'b', 2, NULL, 'y', 'extra'"))
+def template_fill(spark, sf_dir):
+    """ORG-03, JON-10, AGG-12: placeholders filled in order."""
+    slots = spark.createDataFrame([("a", 0, "템플릿1"), ("a", 5, "템플릿2"), ("b", 0, "템플릿3")], "section string, pos int, slot string")
+    content = spark.createDataFrame([("a", 3, "one"), ("b", 1, "x"), ("b", 2, "y")], "section string, pos int, text string")
+    return outline.fill_template(slots, content)
+
+
+@query("SELECT n_regionkey AS table_id, concat('|===', chr(10), string_agg(concat('|', n_nationkey, ' ', CASE WHEN n_nationkey % 3 = 0 THEN '2+' WHEN n_nationkey % 3 = 1 THEN '2.3+' ELSE '.3+' END, '|', n_name), chr(10) ORDER BY n_nationkey), chr(10), '|===') AS text FROM nation GROUP BY n_regionkey")
+def adoc_render(spark, sf_dir):
+    """SNK-10: tables with spans, one for each region."""
+    n = table(spark, sf_dir, "nation")
+    place = [F.col("n_regionkey").alias("table_id"), F.col("n_nationkey").alias("row")]
+    third = F.col("n_nationkey") % 3
+    left = n.select(*place, F.lit(0).alias("ord"), F.col("n_nationkey").cast("string").alias("text"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))
+    right = n.select(*place, F.lit(1).alias("ord"), F.col("n_name").alias("text"), F.when(third < 2, 2).otherwise(1).alias("colspan"), F.when(third > 0, 3).otherwise(1).alias("rowspan"))
+    return render.adoc_table(left.unionByName(right))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?m)^\*+ ')) AS headings, len(regexp_extract_all(html, '\\\(')) AS inline_math, len(regexp_extract_all(html, '\\\[')) AS display_math, len(regexp_extract_all(html, '\[cite:')) AS cites, len(regexp_extract_all(html, '\[fn:')) AS footnotes, len(regexp_extract_all(html, '§§[A-Z]+\d+§§')) AS leftover FROM pages")
+def residue_audit(spark, sf_dir):
+    """HTML-06: what conversions left on every page."""
+    return table(spark, sf_dir, "pages").select("page_id", *(c.alias(k) for k, c in web.residue(F.col("html")).items()))

@@ -112,6 +112,30 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
             (1, 11, "text", "Heading", 1, 3), (1, 12, "text", "- list", None, 3),
         ],
     ),
+    "raw_tags": ("id INT, tag STRING", [(1, "철학,"), (2, "통일(종합)"), (3, "존재와_시간)."), (4, "x3D;18509&fbclid"), (5, "!!!"), (6, "λογος:"), (7, "(a)b"), (8, "A&amp;B"), (9, "[x]'")]),
+    "exports": (
+        "id INT, text STRING",
+        [(1, "\n\n::: {.x}\n# Head {#id-1}\n:::\n::: Section12 more\nbody\n\n\n\n\nend\n::: note\n``` {.syntaxhighlighter-pre a=b}\n{}\n```"), (2, "plain"), (3, "é")],
+    ),
+    "papers": (
+        "id INT, html STRING",
+        [
+            (1, "<html><d-title><h1>A &amp; B</h1></d-title><span class='author'>X Y*,</span><span class='author'>Z†</span><div id='published'><h3>d</h3><div>May 1</div></div><d-article><nav class=\"visual-toc\">toc</nav><h2><a id='in' href='#in'>Intro</a></h2><p>t</p></d-article></html>"),
+            (2, "<p>none</p>"),
+        ],
+    ),
+    "albums": ("id INT, media_type STRING, media_url STRING, a STRING, b STRING", [(1, "CAROUSEL_ALBUM", None, "u1", "u2"), (2, "IMAGE", "s", None, None), (3, "VIDEO", "v", None, None), (4, "CAROUSEL_ALBUM", None, "w", None), (5, "IMAGE", None, None, None)]),
+    "dates": ("id INT, text STRING, expires STRING", [(1, "2025. 3. 4. 9:05", "2025-01-01"), (75, "2025. 12. 31.", "2025-01-20"), (3, "none", "2025-01-25"), (4, "2024. 1. 2. 23:59", "2026-01-01"), (5, "", "bad"), (6, "x", None)]),
+    "notes_fn": ("id INT, text STRING", [(1, "a[fn:1] b[fn:2] c[fn:10]\n[fn:1] one\n[fn:3] three"), (2, "none"), (3, "[fn:1] only")]),
+    "mixed_md": ("id INT, text STRING", [(1, "**b** `c` [t](u) ![a](i.png)"), (2, "### 1.2 Title\n## 3 keep\n#### **4) bold**\n### ① x"), (3, "")]),
+    "levels": (
+        "doc_id INT, text STRING",
+        [
+            (1, "#+options: H:6\n***** - Parent\n:PROPERTIES:\n:ID: 1\n:END:\n\n****** ·Parent child: detail\n****** ·other\n***** - Full\ntext\n****** ·kept\n***** - With: colon\n****** ·plain\n**** four\n****** ·orphan"),
+            (2, "no headings"),
+        ],
+    ),
+    "images": ("id INT, size INT, head STRING", [(1, 500, "GIF89a"), (2, 3000, "<!DOCTYPE html>"), (3, 3000, "PNG"), (4, 9000, "<html>"), (5, 999, "")]),
     "adoc": ("doc_id INT, pos INT, line STRING", [(1, 0, "|==="), (1, 1, "|a |b |c"), (1, 2, "2+|wide |x"), (1, 3, ".3+|tall |y"), (1, 4, "2.3+|both \\| sign"), (1, 5, "text")]),
 }
 
