@@ -280,10 +280,10 @@ def transcript_cer(spark, sf_dir):
 
 @query()
 def transcript_opcodes(spark, sf_dir):
-    """EVL-03/05: alignment, ratio and distance bound of documents and benchmark passages by position."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.substring("text", 1, 400).alias("hyp"))
-    ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.substring("text", 1, 400).alias("ref"))
-    pairs = docs.join(ref, "k")
+    """EVL-03/05: alignment, ratio and distance bound of each benchmark passage and the next one."""
+    items = table(spark, sf_dir, "benchmark")
+    nxt = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("ref"))
+    pairs = items.select("item_id", F.col("text").alias("hyp")).join(nxt, "item_id").withColumnRenamed("item_id", "k")
     return pairs.select("k", evaluate.align("hyp", "ref").alias("a")).select("k", "a.distance", "a.blocks", "a.ratio", F.size("a.ops").alias("n_ops"))
 
 
