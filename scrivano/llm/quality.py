@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .anchors import PrefixHash, U, byte_symbols, mix
 from .repeats import chunks
+from .scratch import materialize
 from .substring import word_edges
 
 #: Hashed word features; each style measure has STEPS more.
-WORDS, STEPS = 1 << 18, 24
+WORDS, STEPS = 1 << 18, 12
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _UPPER = np.zeros(256, dtype=bool)
@@ -85,27 +86,16 @@ def _featured(batches):
         for i, j, data, offsets in chunks(batch.column("text")):
             ids, edges = features(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([lists, *(batch.column(c).slice(i, j - i) for c in ("good", "toxic"))], ["ids", "good", "toxic"])
+            yield pa.RecordBatch.from_arrays([lists, *(batch.column(c).slice(i, j - i) for c in HEADS)], ["ids", *HEADS])
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 200, decay: float = 1e-4, sure: float = 4.0) -> tuple[np.ndarray, float, float]:
-    """Logistic regression on sets of feature numbers: (weights, bias, log odds of the sample).
-
-    Only features whose rates in the two classes differ by ``sure`` deviations take part.
-    """
-    weights = np.zeros(FEATURES)
-    n, ones = len(rows), float(target.sum())
+def fit(ids: np.ndarray, row: np.ndarray, target: np.ndarray, rounds: int = 80, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
+    """Logistic regression on (feature, row) pairs: (weights, bias, log odds of the sample)."""
+    weights = np.zeros(FEATURES, dtype=np.float32)
+    n, ones = len(target), float(target.sum())
     base = float(np.log((ones + 1) / (n - ones + 1)))
     if not n or ones in (0.0, float(n)):
         return weights, base, base
-    ids = np.concatenate(rows)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    seen = np.bincount(ids, minlength=FEATURES)
-    in_one = np.bincount(ids, weights=target[row], minlength=FEATURES)
-    share = np.clip(seen / n, 1e-9, 1 - 1e-9)
-    z = (in_one / ones - (seen - in_one) / (n - ones)) / np.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
-    told = ((np.abs(z) >= sure) & (seen >= 3))[ids]
-    ids, row = ids[told], row[told]
     names, ids = np.unique(ids, return_inverse=True)
     w, bias = np.zeros(len(names)), base
     first, second = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -115,22 +105,74 @@ def fit(rows: list[np.ndarray], target: np.ndarray, rounds: int = 200, decay: fl
         step = np.append(np.bincount(ids, weights=lack[row], minlength=len(names)) + decay * w, lack.sum())
         first = 0.9 * first + 0.1 * step
         second = 0.99 * second + 0.01 * step * step
-        move = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
+        move = 0.2 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
         w -= move[:-1]
         bias -= move[-1]
     weights[names] = w
     return weights, bias, base
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000):
-    """Fit both heads on at most ``max_labels`` labelled documents, those of least hashed id."""
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"), (F.coalesce("toxic", F.lit(0)) > 0).alias("toxic"))
+def _fitted(use: dict[str, np.ndarray]):
+    """The sample -> (head, feature, weight) of both heads; feature -1 is the bias, -2 the sample's log odds."""
+
+    def run(batches):
+        parts = {h: ([], [], []) for h in use}
+        n = 0
+        for batch in batches:
+            lists = batch.column("ids")
+            flat = lists.flatten().to_numpy()
+            row = n + np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+            n += batch.num_rows
+            for head, kept in use.items():
+                told = kept[flat]
+                parts[head][0].append(flat[told])
+                parts[head][1].append(row[told].astype(np.int32))
+                parts[head][2].append(batch.column(head).to_numpy(zero_copy_only=False).astype(float))
+        if not n:
+            return
+        for head, (ids, row, target) in parts.items():
+            weights, bias, base = fit(np.concatenate(ids), np.concatenate(row), np.concatenate(target))
+            told = np.flatnonzero(weights)
+            numbers = np.concatenate([[-1, -2], told]).astype(np.int32)
+            values = np.concatenate([[bias, base], weights[told]]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([head] * len(numbers)), pa.array(numbers), pa.array(values)], ["head", "feature", "weight"])
+
+    return run
+
+
+HEADS = ("good", "clean")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, sure: float = 4.0):
+    """Fit both heads on at most ``max_labels`` labelled documents, those of least hashed id.
+
+    Features are counted by class; those whose rates in the two classes differ by
+    ``sure`` deviations take part.  One task fits the bounded sample; the driver
+    gets the weights, FEATURES numbers a head at most.
+    """
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"), (F.coalesce("toxic", F.lit(0)) <= 0).alias("clean"))
+    # At most max_labels rows of an id and two flags.
     picked = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("text", "good", "toxic").mapInArrow(_featured, "ids array<int>, good boolean, toxic boolean").toPandas()
-    sets = [np.asarray(x, dtype=np.int64) for x in rows["ids"]]
-    good = rows["good"].to_numpy(dtype=bool, na_value=False) if len(rows) else np.zeros(0, dtype=bool)
-    toxic = rows["toxic"].to_numpy(dtype=bool, na_value=False) if len(rows) else np.zeros(0, dtype=bool)
-    return fit(sets, good.astype(float)), fit(sets, (~toxic).astype(float))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", *HEADS).mapInArrow(_featured, "ids array<int>, good boolean, clean boolean")
+    sample = materialize(sample)
+    total = sample.agg(F.count("*").alias("n"), *(F.count_if(h).alias(h) for h in HEADS)).first()
+    counts = sample.select(F.explode("ids").alias("id"), *HEADS).groupBy("id").agg(F.count("*").alias("n"), *(F.count_if(h).alias(h) for h in HEADS)).where("n >= 3")
+    use = {}
+    for h in HEADS:
+        n, ones = total["n"], total[h]
+        use[h] = np.zeros(FEATURES, dtype=bool)
+        if 0 < ones < n:
+            share = F.col("n") / n
+            spread = F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
+            z = F.col(h) / ones - (F.col("n") - F.col(h)) / (n - ones)
+            use[h][[r.id for r in counts.where(F.abs(z) >= sure * spread).select("id").collect()]] = True
+    model = {h: [np.zeros(FEATURES, dtype=np.float32), 0.0, 0.0] for h in HEADS}
+    for r in sample.coalesce(1).mapInArrow(_fitted(use), "head string, feature int, weight double").collect():
+        if r.feature >= 0:
+            model[r.head][0][r.feature] = r.weight
+        else:
+            model[r.head][-r.feature] = r.weight
+    return tuple(tuple(model[h]) for h in HEADS)
 
 
 def _scored(model, names):
