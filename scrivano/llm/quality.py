@@ -13,7 +13,7 @@ from .scratch import materialize
 from .substring import word_edges
 
 #: Hashed word features; each style measure has STEPS more.
-WORDS, STEPS = 1 << 18, 12
+WORDS, STEPS = 1 << 18, 24
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _UPPER = np.zeros(256, dtype=bool)
@@ -89,7 +89,7 @@ def _featured(batches):
             yield pa.RecordBatch.from_arrays([lists, *(batch.column(c).slice(i, j - i) for c in HEADS)], ["ids", *HEADS])
 
 
-def fit(ids: np.ndarray, row: np.ndarray, target: np.ndarray, rounds: int = 80, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
+def fit(ids: np.ndarray, row: np.ndarray, target: np.ndarray, rounds: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
     """Logistic regression on (feature, row) pairs: (weights, bias, log odds of the sample)."""
     weights = np.zeros(FEATURES, dtype=np.float32)
     n, ones = len(target), float(target.sum())
@@ -105,7 +105,7 @@ def fit(ids: np.ndarray, row: np.ndarray, target: np.ndarray, rounds: int = 80,
         step = np.append(np.bincount(ids, weights=lack[row], minlength=len(names)) + decay * w, lack.sum())
         first = 0.9 * first + 0.1 * step
         second = 0.99 * second + 0.01 * step * step
-        move = 0.2 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
+        move = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
         w -= move[:-1]
         bias -= move[-1]
     weights[names] = w
