@@ -96,6 +96,13 @@ def title_tags(spark, sf_dir):
     return frame(spark, "titles").select("id", F.array_join(classify.auto_tags(F.col("title"), F.col("text")), ",").alias("tags"))
 
 
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{_TAGS}], lambda x: x IS NOT NULL))), ',') AS tags FROM (SELECT doc_id, lower(concat(split_part(text, chr(10), 1), ' ', substr(text, 1, 1000))) AS t FROM documents)")
+def doc_tags(spark, sf_dir):
+    """CLS-03, AGG-18: tags found in the first line and the text of every document."""
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(classify.auto_tags(title, F.col("text")), ",").alias("tags"))
+
+
 # -- names -----------------------------------------------------------------------
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '[^\p{L}\p{N}_\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')"
 _SLUG = f"array_to_string(list_transform(string_split({_BARE}, '-'), lambda w: CASE WHEN regexp_matches(w, '^[A-Za-z]') THEN lower(w) ELSE w END), '-')"
@@ -278,13 +285,25 @@ def transcript_cer(spark, sf_dir):
     return evaluate.error_rates(frame(spark, "transcripts")).select("id", "projection", "dist", "cer")
 
 
+def _passages(spark, sf_dir):
+    """(k, hyp, ref): a document and the passage of its number, spread over tasks as a text takes long."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("hyp"))
+    ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("ref"))
+    return docs.join(ref, "k").repartition(32, "k")
+
+
 @query()
 def transcript_opcodes(spark, sf_dir):
-    """EVL-03/05: alignment, ratio and distance bound of each benchmark passage and the next one."""
-    items = table(spark, sf_dir, "benchmark")
-    nxt = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("ref"))
-    pairs = items.select("item_id", F.col("text").alias("hyp")).join(nxt, "item_id").withColumnRenamed("item_id", "k")
-    return pairs.select("k", evaluate.align("hyp", "ref").alias("a")).select("k", "a.distance", "a.blocks", "a.ratio", F.size("a.ops").alias("n_ops"))
+    """EVL-03/05: alignment, ratio and distance bound of whole documents and benchmark passages by position."""
+    return _passages(spark, sf_dir).select("k", evaluate.align("hyp", "ref").alias("a")).select("k", "a.distance", "a.blocks", "a.ratio", F.size("a.ops").alias("n_ops"))
+
+
+@query()
+def doc_benchmark_distance(spark, sf_dir):
+    """EVL-04/08: edit distance and error rate of whole documents and benchmark passages by position.
+
+    Without SQL: DuckDB's levenshtein counts bytes of what isn't ASCII."""
+    return evaluate.error_rates(_passages(spark, sf_dir)).select("k", "projection", "dist", "cer")
 
 
 @query("SELECT doc_id, translate(regexp_replace(text, '[\\s]+', '', 'g'), '[](){}「」『』〈〉《》‘’“”''\"…', '') AS content FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9 .,\\n\\[\\](){}]', '', 'g') AS text FROM documents)")

@@ -1,5 +1,6 @@
 """Operators against independent Python, on golden rows."""
 
+import difflib
 import random
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scrivano.functions import markup, names, rx
 from scrivano.operators import classify, evaluate, lines, match, parse
+from scrivano.plans import catalog
 
 
 def column(spark, texts, f):
@@ -173,3 +175,18 @@ def test_content_key_is_symmetric(spark, footnotes):
 
 def test_pandas_is_there():
     assert pd.__version__
+
+
+def test_documents_meet_their_passages(spark):
+    """Whole documents, not passages among themselves or a prefix."""
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    refs = {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    got = {r.k: r for r in catalog.QUERIES["transcript_opcodes"](spark, d).collect()}
+    assert set(got) == set(docs) & set(refs)
+    for k in sorted(got, key=lambda k: len(docs[k]))[:5] + [max(got, key=lambda k: len(docs[k]))]:
+        assert got[k].ratio == pytest.approx(difflib.SequenceMatcher(None, docs[k], refs[k], autojunk=False).ratio())
+    far = {(r.k, r.projection) for r in catalog.QUERIES["doc_benchmark_distance"](spark, d).collect()}
+    assert {k for k, name in far if name == "body"} == set(got)
+    tags = {r.doc_id for r in catalog.QUERIES["doc_tags"](spark, d).collect()}
+    assert tags == set(docs)
