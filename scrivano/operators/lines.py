@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.markup import is_structural
-from ..functions.rx import strip
+from ..functions.markup import heading_level, is_structural
+from ..functions.rx import nospace, strip
 
 
 def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,6 +73,28 @@ def drop_repeats(lines: DataFrame, same: Column, key: str = "doc_id") -> DataFra
     return lines.withColumn("_next", following).where(~F.coalesce(F.col("_next") == same, F.lit(False))).drop("_next")
 
 
+def drop_repeat_headings(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Drop a Markdown heading whose next element is a heading of its level and whole text, white space and bullet aside.
+
+    Blank lines, rules and comments are no elements; what stands in a code block is no heading.
+    """
+    bare = strip(F.col("line"))
+    opens = F.col("line").rlike(r"^\s*<!--")
+    code = lines.withColumn("_fence", F.sum(F.col("line").rlike(r"^```").cast("int")).over(_upto(key)))
+    noted = in_block(code, opens & ~F.contains("line", F.lit("-->")), F.contains("line", F.lit("-->")), "_note", key)
+    free = F.col("_fence") % 2 == 0
+    level = F.when(free & ~F.col("_note"), F.nullif(F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1)), F.lit(0)))
+    text = heading_level(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1), level)["clean"]
+    same = F.when(level.isNotNull(), F.struct(level.alias("level"), nospace(text).alias("text")))
+    skipped = free & (F.col("_note") | (bare == "") | bare.rlike("^-{3,}$"))
+    # The next element, as a struct that is there even if the element is no heading.
+    element = F.when(~skipped, F.struct(same.alias("same")))
+    back = W.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
+    following = F.last(element, ignorenulls=True).over(back)
+    known = noted.withColumn("_same", same).withColumn("_next", following["same"])
+    return known.where(~F.coalesce(F.col("_next") == F.col("_same"), F.lit(False))).select(*lines.columns)
+
+
 def collapse_rules(lines: DataFrame, rule: str = "---", key: str = "doc_id") -> DataFrame:
     """Drop a rule whose previous non-blank line is a rule."""
     trimmed = F.trim("line")

@@ -375,10 +375,16 @@ def doc_repeated_lines(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(pos AS INT) AS pos, line FROM (SELECT *, lead(substr(line, 1, 8)) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM {_LINES}) WHERE NOT coalesce(nx = substr(line, 1, 8), false)")
 def doc_drop_repeats(spark, sf_dir):
-    """WIN-05: of lines with one beginning in a row the last stays."""
+    """The window of WIN-05 on lines with one beginning; for headings see doc_drop_repeat_headings."""
     return lines.drop_repeats(_lines(spark, sf_dir), F.substring("line", 1, 8))
 
 
+@query()
+def doc_drop_repeat_headings(spark, sf_dir):
+    """WIN-05: of equal headings in a row the last stays; all other lines stay."""
+    return lines.drop_repeat_headings(_lines(spark, sf_dir))
+
+
 @query(f"SELECT doc_id, CAST(pos AS INT) AS pos, line FROM (SELECT *, min(CASE WHEN length(line) >= 30 THEN pos END) OVER (PARTITION BY doc_id) AS lo, max(CASE WHEN length(line) >= 30 THEN pos END) OVER (PARTITION BY doc_id) AS hi FROM {_LINES}) WHERE pos BETWEEN lo AND hi")
 def doc_trim_edges(spark, sf_dir):
     """WIN-12: without short lines at both ends."""

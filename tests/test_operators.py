@@ -190,3 +190,11 @@ def test_documents_meet_their_passages(spark):
     assert {k for k, name in far if name == "body"} == set(got)
     tags = {r.doc_id for r in catalog.QUERIES["doc_tags"](spark, d).collect()}
     assert tags == set(docs)
+
+
+def test_repeated_headings(spark):
+    """Whole headings of one level count; lists and code that begin alike stay."""
+    text = "# 2 . Title\n\n# 2. Title\n# 2. Titles\n## 2. Titles\n- licence one\n- licence two\n### □ a b\n---\n<!-- x -->\n### ab\ntext\n### ab\n```\n# x\n# x\n```\n# x\n"
+    rows = text.split("\n")
+    got = lines.drop_repeat_headings(lines.explode_lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))).orderBy("pos").collect()
+    assert [r.line for r in got] == [x for k, x in enumerate(rows) if k not in (0, 7)]
