@@ -78,7 +78,7 @@ def occurs_once(text: Column, part: Column) -> Column:
     return (F.length(part) > 0) & ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) == F.length(part))
 
 
-def locate(text: Column, words: Column, sizes: tuple[int, ...] = (40, 24, 12)) -> Column:
+def locate(text: Column, words: Column, sizes: tuple[int, ...] = (60, 40, 30, 24, 18)) -> Column:
     """Position from 1 of the longest of the leading stretches of ``words`` that occurs in text, else null."""
     found = [F.nullif(F.instr(text, F.substring(words, 1, n)), F.lit(0)) for n in sizes]
     return F.coalesce(*(F.when(F.length(words) > 0, x) for x in found))

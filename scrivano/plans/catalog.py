@@ -516,6 +516,12 @@ def anchored_once(spark, sf_dir):
     return docs.select("doc_id", match.locate(F.col("text"), part, (40,)).cast("long").alias("at"), match.occurs_once(F.col("text"), part).alias("once"))
 
 
+@query()
+def anchored_spans(spark, sf_dir):
+    """JON-15, EVL-06: the span of every benchmark passage in every document, short ones too, with the passage trimmed to it."""
+    return evaluate.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _RANGES = ((1, "fr", 1, 1), (2, "en", 2, 3), (3, "de", 1, 2))
 _RANGES_SQL = "(VALUES " + ", ".join(f"({o}, '{s}', {a}, {b})" for o, s, a, b in _RANGES) + ") AS r(out_ord, source, lo, hi)"
 _LANG_LINES = "(SELECT doc_id, lang AS source, CAST(unnest(range(1, len(l) + 1)) AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))"

@@ -198,3 +198,28 @@ def test_repeated_headings(spark):
     rows = text.split("\n")
     got = lines.drop_repeat_headings(lines.explode_lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))).orderBy("pos").collect()
     assert [r.line for r in got] == [x for k, x in enumerate(rows) if k not in (0, 7)]
+
+
+def test_spans_have_head_tail_and_trim(spark):
+    body = "".join(chr(97 + k * k % 23) + str(k) for k in range(60))
+    hay = "before " + body + " after"
+    docs = spark.createDataFrame([(1, hay), (2, "short"), (3, None), (4, body[:50])], "doc_id int, text string")
+    probes = [
+        (10, body),  # whole
+        (11, body + "#" * 20),  # its end is not there: one step back
+        (12, body[:30] + "~" + body[31:]),  # only windows of 30 and less begin it
+        (13, "??????????" + body),  # no head
+        (14, body[:17]),  # too short for a tail
+        (15, body[:50]),
+    ]
+    got = {(r.doc_id, r.probe): (r.start, r.stop, r.trimmed) for r in evaluate.spans(docs, spark.createDataFrame(probes, "item_id int, text string")).collect()}
+    end = 7 + len(body)
+    assert got == {
+        (1, 10): (7, end, body),
+        (1, 11): (7, end, body),
+        (1, 12): (7, end, probes[2][1]),
+        (1, 15): (7, 57, body[:50]),
+        (2, None): (None, None, None),
+        (3, None): (None, None, None),
+        (4, 15): (0, 50, body[:50]),
+    }
