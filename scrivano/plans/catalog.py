@@ -560,6 +560,26 @@ def word_freq_top(spark, sf_dir):
     return analytics.top(analytics.tag_counts(_words(spark, sf_dir)), 50, F.desc("n"), "tag")
 
 
+_ALL_WORDS = r"(SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tag FROM conversations)"
+
+
+def _all_words(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("tag"))
+
+
+@query(f"SELECT tag, count(*) AS n FROM {_ALL_WORDS} GROUP BY tag ORDER BY n DESC, tag LIMIT 50")
+def all_word_freq_top(spark, sf_dir):
+    """AGG-01, SRT-03/04: the 50 most frequent words of conversations, of any length and script, each occurrence counted."""
+    return analytics.top(analytics.tag_counts(_all_words(spark, sf_dir)), 50, F.desc("n"), "tag")
+
+
+@query(f"SELECT count(DISTINCT CASE WHEN length(tag) < 14 THEN conv_id END) AS groups, count(DISTINCT CASE WHEN length(tag) < 14 THEN tag END) AS unique_tags, count(*) AS raw, count(*) FILTER (length(tag) < 14) AS clean, count(*) FILTER (length(tag) >= 14) AS noise FROM {_ALL_WORDS}")
+def all_word_totals(spark, sf_dir):
+    """AGG-03: totals of all words of conversations."""
+    return analytics.corpus_totals(_all_words(spark, sf_dir), "conv_id", "tag", F.length("tag") >= 14)
+
+
 _EVENT_TAGS = "(SELECT DISTINCT user_id, event_type AS tag FROM events)"
 
 

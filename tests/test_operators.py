@@ -1,7 +1,9 @@
 """Operators against independent Python, on golden rows."""
 
+import collections
 import difflib
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -223,3 +225,13 @@ def test_spans_have_head_tail_and_trim(spark):
         (3, None): (None, None, None),
         (4, 15): (0, 50, body[:50]),
     }
+
+
+def test_all_words_count(spark):
+    """Short and accented words too, against Python."""
+    d = "/root/testdata/sf0.001"
+    texts = [r.text or "" for r in spark.read.parquet(f"{d}/conversations.parquet").collect()]
+    told = collections.Counter(w for t in texts for w in re.findall(r"[^\W_]+", t.lower()))
+    got = {r.tag: r.n for r in catalog.QUERIES["all_word_freq_top"](spark, d).collect()}
+    assert min(map(len, got)) < 6 and len(got) == min(50, len(told))
+    assert all(told[w] == n for w, n in got.items())
