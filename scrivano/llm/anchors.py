@@ -111,3 +111,43 @@ def elect(order: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     ends[:-1] = change[1:] | ~valid[1:]
     last = np.flatnonzero(ends & valid)
     return chosen[first], first, last
+
+
+def widest(rank: np.ndarray, low: np.ndarray, high: np.ndarray, offsets: np.ndarray, width: int):
+    """Assign every window of ``width`` units to the symbol of the highest rank (32 bits) whose
+    region low..high - 1 is inside it; the first of equal ones.  Returns (symbol, first, last).
+
+    Symbol k is inside the windows high[k] - width..low[k]: the maximum over these ranges is
+    taken by two overlapping power-of-two blocks for each and pushed down.
+    """
+    n = int(offsets[-1])
+    none = np.zeros(0, dtype=np.int64)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = np.flatnonzero((low >= 0) & (high <= n))
+    of = doc[low[inside]]
+    left = np.maximum(high[inside] - width, offsets[of])
+    right = np.minimum(low[inside], offsets[of + 1] - width)
+    able = np.flatnonzero(left <= right)
+    left, right, inside = left[able], right[able], inside[able]
+    if not len(inside):
+        return none, none, none
+    full = rank[inside] << U(32) | U(0xFFFFFFFF) - inside.astype(U)
+    power = np.frexp((right - left + 1).astype(float))[1] - 1
+    best = None
+    for p in range(int(power.max()), -1, -1):
+        level = np.zeros(n, dtype=U)
+        if best is not None:
+            np.maximum(level, best, out=level)
+            half = 1 << p
+            np.maximum(level[half:], best[: n - half], out=level[half:])
+        k = np.flatnonzero(power == p)
+        np.maximum.at(level, left[k], full[k])
+        np.maximum.at(level, right[k] - (1 << p) + 1, full[k])
+        best = level
+    valid = best > 0
+    change = np.ones(n, dtype=bool)
+    change[1:] = best[1:] != best[:-1]
+    ends = np.ones(n, dtype=bool)
+    ends[:-1] = change[1:]
+    first, last = np.flatnonzero(change & valid), np.flatnonzero(ends & valid)
+    return (U(0xFFFFFFFF) - (best[first] & U(0xFFFFFFFF))).astype(np.int64), first, last

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,9 +53,15 @@ def minima(names: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_digests(names, edges):
+    """128 bits of each set's sorted names; null for an empty set."""
+    view = memoryview(np.ascontiguousarray(names)).cast("B")
+    return pa.array([xxhash.xxh3_128_digest(view[8 * a : 8 * b]) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+
+
 def _digests(words: int):
     def run(batches):
-        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
             ids, rids = batch.column("doc_id"), batch.column("rid")
             for i, j, data, offsets in chunks(batch.column("text")):
@@ -62,12 +69,9 @@ def _digests(words: int):
                 n = np.diff(edges)
                 full = np.flatnonzero(n > 0)
                 size = len(full)
-                # A set's name: two sums of its scrambled members and its size.
-                node = np.zeros(j - i, dtype=U)
                 sig = bands = None
                 if size:
                     at = np.append(edges[:-1][full], edges[-1])
-                    node[full] = mix(mix(np.add.reduceat(mix(names + U(7)), at[:-1])) ^ np.add.reduceat(names, at[:-1]) + n[full].astype(U))
                     low = minima(names, at)
                     per = 64 // BITS
                     nibbles = (low & U((1 << BITS) - 1)).reshape(-1, per, size)
@@ -79,7 +83,7 @@ def _digests(words: int):
                     for k in range(ROWS):
                         keys = mix(keys * U(3) + rows[:, k])
                     sig, bands = packed, keys
-                columns = [rids.slice(i, j - i), ids.slice(i, j - i), pa.array(n), pa.array(node.view(np.int64))]
+                columns = [rids.slice(i, j - i), ids.slice(i, j - i), pa.array(n), _set_digests(names, edges)]
                 for part, wide in ((sig, MINIMA * BITS // 64), (bands, MINIMA // ROWS)):
                     lengths = np.where(n > 0, wide, 0)
                     flat = part.T.reshape(-1).view(np.int64) if part is not None else np.zeros(0, dtype=np.int64)
@@ -90,21 +94,17 @@ def _digests(words: int):
 
 
 def _packed(words: int):
-    """Texts with the name of their set."""
+    """Texts with the digest of their set."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column("text")):
                 names, edges = shingle_sets(data, offsets, words)
-                n = np.diff(edges)
-                full = np.flatnonzero(n > 0)
-                if not len(full):
-                    continue
-                at = np.append(edges[:-1][full], edges[-1])
-                node = mix(mix(np.add.reduceat(mix(names + U(7)), at[:-1])) ^ np.add.reduceat(names, at[:-1]) + n[full].astype(U))
-                blobs = [press.compress(data[offsets[k] : offsets[k + 1]].tobytes()) for k in full]
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(blobs, pa.binary())], ["node", "body"])
+                full = np.flatnonzero(np.diff(edges) > 0)
+                if len(full):
+                    blobs = [press.compress(data[offsets[k] : offsets[k + 1]].tobytes()) for k in full]
+                    yield pa.RecordBatch.from_arrays([_set_digests(names, edges).take(pa.array(full)), pa.array(blobs, pa.binary())], ["digest", "body"])
 
     return run
 
@@ -148,79 +148,83 @@ def estimated(a, b):
     return (1 - unlike / F.lit(MINIMA) - chance) / (1 - chance)
 
 
-def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack: float = 0.21, stars: int = 1) -> DataFrame:
+def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack: float = 0.21, stars: int = 2) -> DataFrame:
     """Group documents whose word-shingle sets have a Jaccard similarity of ``percent`` or more.
 
     docs: doc_id, text and any other columns (ignored).  Returns doc_id,
     n_shingles, component_id, kept and rid, the row's number in this reading.
 
-    Documents with equal sets are one node.  128 minima make 32 bands of four
-    (a pair at 0.75 shares none with a chance of 5e-6); the low four bits of the
-    minima are packed into eight longs, and the estimate by bit counts, less
-    chance agreement, drops pairs more than ``slack`` (five deviations) below
-    the limit.  Links are confirmed on full sets.  The members of a bucket meet
-    two centres, those still apart meet ``stars`` more; what is then still in
-    different components is paired by its rarest shingles (``prefix_pairs``), never
-    all with all.
+    Documents with equal sets (128-bit digest of the sorted shingle names) are one
+    node.  128 minima make 32 bands of four (a pair at 0.75 shares none with a chance
+    of 5e-6); the low four bits of the minima are packed into eight longs, and the
+    estimate by bit counts, less chance agreement, drops pairs more than ``slack``
+    (five deviations) below the limit.  Links are confirmed on full sets of 64-bit
+    shingle names.  In each of ``stars`` rounds the members of a bucket that are not in its
+    centre's component yet meet that centre, and components are drawn together; what
+    is then still apart is paired by its rarest shingles (``prefix_pairs``), never all
+    with all.
 
     Null or blank texts: an empty set, a component of their own.  Null doc_id:
     takes part; the component's id is its least known id, null if it has none.
     Rows that repeat an id are nodes by their text.  Empty table: no rows.
     """
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = materialize(docs.mapInArrow(_digests(words), "rid long, doc_id long, n long, node long, sig array<long>, bands array<long>"))
-    nodes = materialize(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    base = materialize(docs.mapInArrow(_digests(words), "rid long, doc_id long, n long, digest binary, sig array<long>, bands array<long>"))
+    # Node numbers are given once, in the written table.
+    nodes = base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     spread = nodes.select("node", F.explode("bands").alias("band"))
     many = spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     postings = materialize(spread.join(many.hint("shuffle_merge"), "band", "left_semi").select("band", "node"))
     sigs = nodes.select("node", "sig")
     floor = percent / 100 - slack
-    texts = docs.select("text").mapInArrow(_packed(words), "node long, body binary")
+    texts = docs.select("text").mapInArrow(_packed(words), "digest binary, body binary")
+
+    def bodies_of(wanted):
+        """node, body of the wanted nodes: one text for each."""
+        named = wanted.join(nodes.select("node", "digest").hint("shuffle_merge"), "node")
+        return texts.join(named.hint("shuffle_merge"), "digest").groupBy("node").agg(F.first("body").alias("body"))
 
     def confirmed(pairs):
         near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         near = materialize(near.where(estimated(F.col("sa"), F.col("sb")) >= floor).select("a", "b"))
         if near.isEmpty():
             return near
-        need = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        bodies = materialize(texts.join(need.hint("shuffle_merge"), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")))
+        bodies = materialize(bodies_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct()))
         whole = near.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")).hint("shuffle_merge"), "b")
         whole = whole.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")).hint("shuffle_merge"), "a")
         return materialize(whole.select("a", "b", "body_a", "body_b").mapInArrow(_confirm(words, percent), "a long, b long"))
 
-    # Every member of a bucket against two centres of it.
-    hubs = postings.groupBy("band").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("hub"))).alias(f"c{r}") for r in range(2)))
-    first = postings.join(hubs, "band").select("node", F.explode(F.array_distinct(F.array("c0.hub", "c1.hub"))).alias("hub"))
-    seen = materialize(_pairs(first.where("node <> hub"), "node", "hub"))
-    links = confirmed(seen)
-    roots = None if links.isEmpty() else materialize(components(links))
+    seen = links = roots = None
     for r in range(stars + 1):
+        # The members of each bucket, by component, and one of them as its centre: of least rank
+        # among all nodes, so that the buckets of a group have few centres.
         labelled = postings if roots is None else postings.join(roots, "node", "left")
         labelled = labelled.select("band", "node", F.coalesce("root", "node").alias("root") if roots is not None else F.col("node").alias("root"))
-        split = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(r + 2)).alias("h"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("c")).where("x <> y")
+        split = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("c")).where("x <> y")
         if r < stars:
-            # The members that are still apart against another centre.
             pairs = labelled.join(split.select("band", "c.hub", "c.hub_root"), "band").where("root <> hub_root").select("node", F.col("hub").alias("other"))
         else:
             # What the centres left apart.
             apart = materialize(labelled.join(split.select("band"), "band", "left_semi").select("node", "root").distinct())
             if apart.isEmpty():
                 break
-            pairs = prefix_pairs(apart, texts, words, percent)
-        fresh = materialize(_pairs(pairs, "node", "other").join(seen, ["a", "b"], "left_anti"))
+            pairs = prefix_pairs(apart, bodies_of(apart.select("node")), words, percent)
+        fresh = _pairs(pairs, "node", "other")
+        fresh = materialize(fresh if seen is None else fresh.join(seen, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue
-        seen = seen.unionByName(fresh)
+        seen = fresh if seen is None else seen.unionByName(fresh)
         found = confirmed(fresh)
         if found.isEmpty():
             continue
-        links = links.unionByName(found)
+        links = found if links is None else links.unionByName(found)
         roots = materialize(components(links))
     if roots is None:
-        return _finish(base, nodes.select("node", F.col("least").alias("component_id")))
+        return _finish(base, nodes.select("digest", F.col("least").alias("component_id")))
     least = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = least.select("node", "root").join(named, "root").select("node", "component_id")
+    of_node = least.select("digest", "root").join(named, "root").select("digest", "component_id")
     return _finish(base, of_node)
 
 
@@ -236,16 +240,16 @@ def _tokens(words: int):
     return run
 
 
-def prefix_pairs(apart: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def prefix_pairs(apart: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, other) of different components that may be alike enough, by their rarest shingles.
 
-    Two sets of the wanted similarity share a shingle among the first of each in
-    the order of rarity, and from there on enough are left to share (prefix and
-    position bounds).  Copies with many edits of their own have only shingles of
-    their own in front, so they meet nobody: a large group of copies that are not
-    alike enough costs no pairs.  Bounds are exact; nothing is lost.
+    apart: node, root; bodies: node, body.  Two sets of the wanted similarity share a
+    shingle among the first of each in the order of rarity; what they share there, and what
+    is left behind the last of these in the shorter rest, must reach the limit (prefix and
+    position bounds).  Copies with many edits of their own have only shingles of their own
+    in front, so they meet nobody: a large group of copies that are not alike enough costs
+    few pairs.  Bounds are exact; nothing is lost.
     """
-    bodies = texts.join(apart.select("node").hint("shuffle_merge"), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
     sets = materialize(bodies.join(apart.hint("shuffle_merge"), "node").select("node", "root", "body").mapInArrow(_tokens(words), "node long, root long, tokens array<long>"))
     exploded = sets.select("node", F.explode("tokens").alias("token"))
     common = materialize(exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
@@ -264,7 +268,10 @@ def prefix_pairs(apart: DataFrame, texts: DataFrame, words: int, percent: int) -
     both = part(probe, "x").hint("shuffle_merge").join(part(index, "y"), "token")
     smaller = F.expr("rootx <> rooty AND (ny < nx OR (ny = nx AND nodey < nodex))")
     alike = F.expr(f"ny * 100 >= nx * {percent} AND (1 + least(nx - 1 - atx, ny - 1 - aty)) * {100 + percent} >= (nx + ny) * {percent}")
-    return both.where(smaller & alike).select(F.col("nodex").alias("node"), F.col("nodey").alias("other")).distinct()
+    met = both.where(smaller & alike).groupBy("nodex", "nodey").agg(F.count("*").alias("met"), F.max("atx").alias("atx"), F.max("aty").alias("aty"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    # A shared token that stands behind the position bound of its own has been left out: one more at most before it.
+    enough = F.expr(f"(met + least(nx - 1 - atx, ny - 1 - aty)) * {100 + percent} >= (nx + ny) * {percent}")
+    return met.where(enough).select(F.col("nodex").alias("node"), F.col("nodey").alias("other"))
 
 
 def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
@@ -272,6 +279,6 @@ def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
 
 
 def _finish(base: DataFrame, of_node: DataFrame) -> DataFrame:
-    out = base.select("rid", "doc_id", "n", "node").join(of_node, "node", "left")
+    out = base.select("rid", "doc_id", "n", "digest").join(of_node, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "rid")

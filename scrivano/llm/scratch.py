@@ -10,21 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set, as in local tests."""
+    """The session's checkpoint folder.  Without one there is no folder that every machine sees."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "scrivano-shared")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        # All of Spark is this process, as in tests.
+        root = "file://" + os.path.join(tempfile.gettempdir(), "scrivano-scratch")
     return root
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, every
-    executor sees it, and a lost executor loses nothing of it.  The folder's owner clears it."""
+    executor sees it, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/scrivano-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables whose readers have all been written in their turn."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)

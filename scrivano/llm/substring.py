@@ -7,8 +7,8 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .anchors import PrefixHash, U, byte_symbols, mix
-from .repeats import HOT, Plan
+from .anchors import PrefixHash, U, byte_symbols, elect, mix, widest
+from .repeats import HOT, Layout, Plan, Units, equal_bytes
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,149 +29,183 @@ def word_edges(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
     return starts, stops, np.searchsorted(starts, offsets)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray):
+def one_spaced(data: np.ndarray, offsets: np.ndarray) -> Layout:
+    """The words of the texts, one blank after each: equal word sequences are equal bytes."""
     starts, stops, word_offsets = word_edges(data, offsets)
-    symbols = mix(PrefixHash(byte_symbols(data)).slices(starts, stops) ^ (stops - starts).astype(U))
-    return symbols, word_offsets, starts, stops
+    size = stops - starts
+    end = np.cumsum(size + 1)
+    out = np.full(int(end[-1]) if len(end) else 0, 32, dtype=np.uint8)
+    solid = np.ones(len(out), dtype=bool)
+    solid[end - 1] = False
+    out[solid] = data[~_SPACE[data]]
+    return Layout(out, end - 1 - size, end - 1, word_offsets)
 
 
-def recompress(symbols: np.ndarray, offsets: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Rounds of recompression: (level, name) of each word position.
+class Symbols:
+    """What recompression has named: symbol k has the words start[k]..stop[k] - 1 and holds
+    wherever the words of its *region* low[k]..high[k] - 1 do."""
 
-    A round names runs of two equal symbols, then the pairs "left letter, right
-    letter" of a split of the alphabet by a bit of each name.  A name is a hash
-    of the names it joins, so it is the same in every document without a global
-    dictionary.  level[i] counts the rounds after which a symbol still starts at
-    word i; name[i] is its last name.  Longer runs keep their letters apart, so
-    a symbol depends on eight words around its start at most (two rounds).
+    def __init__(self, name, start, stop, low, high):
+        self.name, self.start, self.stop, self.low, self.high = name, start, stop, low, high
+
+
+def recompress(letters: np.ndarray, offsets: np.ndarray, rounds: int = 3) -> Symbols:
+    """All symbols of ``rounds`` of recompression over words; the words themselves come first.
+
+    A round names maximal runs (letter, length), then the pairs "left letter, right
+    letter" of a split of the alphabet by a bit of each name.  A name is a hash of the
+    names it joins, so it is the same in every document of the corpus without a
+    dictionary that each round would have to shuffle.  What a symbol depends on is
+    followed exactly: a run on its neighbours, a lone letter on the neighbour that it
+    could have joined, a pair on nothing else.  So equal passages have equal symbols
+    wherever the region is inside of them.
     """
-    n = len(symbols)
-    level = np.zeros(n, dtype=np.int8)
-    name = symbols.copy()
-    if not n:
-        return level, name
-    at = np.arange(n)
-    doc = np.searchsorted(offsets, at, side="right")
-    current = symbols
-    for r in range(rounds):
-        if r == 0:
-            same = np.zeros(len(at) + 1, dtype=bool)
-            same[1:-1] = (current[1:] == current[:-1]) & (doc[at[1:]] == doc[at[:-1]])
-            # same[k]: k continues the run of k-1.
-            double = ~same[:-1] & same[1:]
-            double[:-1] &= ~same[2:]
-            current, at = _join(current, at, double, r * 2)
-        bit = ((current * _ODD) >> U(40)) & U(1)
-        pair = np.zeros(len(at), dtype=bool)
-        pair[:-1] = (bit[:-1] == 0) & (bit[1:] == 1) & (doc[at[1:]] == doc[at[:-1]])
-        current, at = _join(current, at, pair, r * 2 + 1)
-        level[at] = r + 1
-        name[at] = current
-    return level, name
-
-
-def _join(current, at, first, salt):
-    """Replace symbol k and k+1 by one name wherever first[k]."""
-    second = np.zeros_like(first)
-    second[1:] = first[:-1]
-    left = np.flatnonzero(first)
-    joined = current.copy()
-    joined[left] = mix(mix(current[left] + U(2 * salt + 1)) * U(3) + current[left + 1])
-    return joined[~second], at[~second]
-
-
-def _rank_words(gram: int):
-    half = gram // 2
-
-    def rank(symbols, offsets, grams):
-        level, name = recompress(symbols, offsets)
-        top = level[half : half + len(grams)]
-        high = mix(name[half : half + len(grams)]) >> U(2)
-        # The highest symbols first; within a level by name.
-        return ((2 - top).astype(U) << U(62)) | high
-
-    return rank
-
-
-def resolve_by_name(width: int, split):
-    """Repeated windows among contexts of each key: equal names, then equal units."""
-
-    def resolve(key, data, offsets, lead, m):
-        symbols, unit_offsets, _, _ = split(data, offsets)
+    n = len(letters)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    name, start, stop = letters, np.arange(n), np.arange(1, n + 1)
+    low, high = start.copy(), stop.copy()
+    told = [(name, start, stop, low, high)]
+    # A neighbour beyond the text's edge is in no window.
+    beyond = 1 << 40
+
+    def before(k):
+        back = np.maximum(k - 1, 0)
+        return np.where((k > 0) & (doc[start[back]] == doc[start[k]]), low[back], low[k] - beyond)
+
+    def after(k):
+        on = np.minimum(k + 1, len(start) - 1)
+        return np.where((on > k) & (doc[start[on]] == doc[start[k]]), high[on], high[k] + beyond)
+
+    for r in range(rounds if n else 0):
+        same = np.zeros(n if not r else len(name), dtype=bool)
+        same[1:] = (name[1:] == name[:-1]) & (doc[start[1:]] == doc[start[:-1]])
+        head = np.flatnonzero(~same)
+        length = np.diff(np.append(head, len(name)))
+        tail = head + length - 1
+        run = length > 1
+        low, high = before(head), after(tail)
+        start, stop = start[head], stop[tail]
+        name = np.where(run, mix(mix(name[head] + U(2 * r + 1)) ^ length.astype(U)), name[head])
+
+        bit = (name * _ODD >> U(40 + r)) & U(1) == 1
+        left = np.zeros(len(name), dtype=bool)
+        left[:-1] = ~bit[:-1] & bit[1:] & (doc[start[1:]] == doc[start[:-1]])
+        right = np.zeros(len(name), dtype=bool)
+        right[1:] = left[:-1]
+        one, two = np.flatnonzero(left), np.flatnonzero(right)
+        lone = ~left & ~right
+        wait, miss = np.flatnonzero(lone & ~bit), np.flatnonzero(lone & bit)
+        new_low, new_high, new_stop, new_name = low.copy(), high.copy(), stop.copy(), name.copy()
+        new_high[one], new_stop[one] = high[two], stop[two]
+        new_high[wait], new_low[miss] = after(wait), before(miss)
+        new_name[one] = mix(mix(name[one] + U(2 * r + 2)) * U(3) + name[two])
+        fresh = (left | run)[~right]
+        name, start, stop, low, high = (x[~right] for x in (new_name, start, new_stop, new_low, new_high))
+        told.append(tuple(x[fresh] for x in (name, start, stop, low, high)))
+    return Symbols(*(np.concatenate(x) for x in zip(*told, strict=True)))
+
+
+class Words(Units):
+    def __init__(self, width: int, rounds: int):
+        self.width, self.rounds = width, rounds
+
+    def layout(self, data, offsets):
+        return one_spaced(data, offsets)
+
+    def symbols(self, layout):
+        return mix(PrefixHash(byte_symbols(layout.data)).slices(layout.starts, layout.stops) ^ (layout.stops - layout.starts).astype(U))
+
+    def anchors(self, layout):
+        """The widest symbol whose region is inside a window, the greatest name of these, is its anchor."""
+        found = recompress(self.symbols(layout), layout.offsets, self.rounds)
+        rank = np.minimum(found.stop - found.start, 63).astype(U) << U(26) | found.name >> U(38)
+        chosen, first, last = widest(rank, found.low, found.high, layout.offsets, self.width)
+        name = mix(found.name[chosen] ^ (found.stop - found.start)[chosen].astype(U))
+        return name, found.start[chosen], first, last
+
+    def resolve(self, key, layout, lead, m):
+        """Equal names of whole windows around a shared symbol, then equal words."""
         row = np.repeat(np.arange(len(m)), m)
         begin = np.cumsum(m) - m
-        start = unit_offsets[:-1][row] + np.arange(len(row)) - begin[row]
-        name = PrefixHash(symbols).slices(start, start + width)
+        first = layout.offsets[:-1][row] + np.arange(len(row)) - begin[row]
+        a, b = layout.starts[first], layout.stops[first + self.width - 1]
+        name = PrefixHash(byte_symbols(layout.data)).slices(a, b)
         order = np.lexsort((name, key[row]))
-        a, b = order[:-1], order[1:]
-        like = np.flatnonzero((key[row[a]] == key[row[b]]) & (name[a] == name[b]))
-        same = np.ones(len(like), dtype=bool)
-        for k in range(width):
-            same &= symbols[start[a[like]] + k] == symbols[start[b[like]] + k]
+        x, y = order[:-1], order[1:]
+        like = np.flatnonzero((key[row[x]] == key[row[y]]) & (name[x] == name[y]))
+        x, y = x[like], y[like]
+        size = (b - a)[x]
+        same = size == (b - a)[y]
+        same[same] = equal_bytes(layout.data, a[x[same]], a[y[same]], size[same])
         hit = np.zeros(len(row), dtype=bool)
-        hit[a[like[same]]] = True
-        hit[b[like[same]]] = True
-        return np.split(hit, begin[1:])
-
-    return resolve
-
-
-def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 18, hot: int = HOT) -> DataFrame:
+        if same.all():
+            hit[x] = hit[y] = True
+            return hit
+        # Two different windows share a name: those names are told by their bytes.
+        odd = set(zip(key[row[x[~same]]].tolist(), name[x[~same]].tolist(), strict=True))
+        seen: dict[tuple, int] = {}
+        for at in range(len(row)):
+            if (group := (int(key[row[at]]), int(name[at]))) in odd:
+                whole = (*group, layout.data[a[at] : b[at]].tobytes())
+                if whole in seen:
+                    hit[[at, seen[whole]]] = True
+                seen.setdefault(whole, at)
+        good = same & np.array([(int(key[row[k]]), int(name[k])) not in odd for k in x])
+        hit[x[good]] = hit[y[good]] = True
+        return hit
+
+    def finish(self, layout, covered):
+        size = layout.stops - layout.starts + 1
+        kept = layout.data[np.repeat(~covered, size)].tobytes()
+        edges = _cumulated(np.where(covered, 0, size))[layout.offsets].tolist()
+        # Without the last word's blank.
+        shas = [hashlib.sha256(kept[a : max(b - 1, a)]).hexdigest() for a, b in zip(edges, edges[1:], strict=False)]
+        return [np.diff(layout.offsets), np.diff(_cumulated(covered)[layout.offsets]), shas]
+
+
+def _cumulated(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(x)]).astype(np.int64)
+
+
+def substring_dedup(docs: DataFrame, window: int = 35, rounds: int = 3, hot: int = HOT) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts elsewhere.
 
     docs: doc_id, text and any other columns (ignored).  Words are the maximal
     runs of characters other than blanks and tab..carriage return; windows stay
     within a document.  Returns doc_id, n_words, n_removed, kept_sha256.
 
-    Recompression names word runs and pairs in rounds (``recompress``); the
-    highest symbol inside each window is its anchor, so equal windows share it,
-    and repeated names around shared symbols are verified word by word.
+    Recompression names runs and pairs of words in rounds (``recompress``).  The
+    widest symbol inside each window is its anchor, so equal windows share it; the
+    symbols that occur more than once, counted over the corpus, are written, and the
+    windows around shared symbols are verified byte by byte.  See ``repeats``.
 
     Null or blank text: no words, zero removed, the digest of the empty string.
     Null doc_id: kept as null.  Rows that repeat an id are documents of their
     own, so two equal rows of at least ``window`` words repeat each other.
     Empty table: no rows.
     """
-
-    def finish(text, starts, stops, covered):
-        raw = text.tobytes()
-        kept = b" ".join(raw[a:b] for a, b in zip(starts[~covered].tolist(), stops[~covered].tolist(), strict=True))
-        return len(covered), int(covered.sum()), hashlib.sha256(kept).hexdigest()
-
-    plan = Plan(window, gram, split_words, _rank_words(gram), resolve_by_name(window, split_words), hot)
-    return plan.apply(docs, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return Plan(Words(window, rounds), hot).apply(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 # -- bytes -------------------------------------------------------------------
-def split_bytes(data: np.ndarray, offsets: np.ndarray):
-    at = np.arange(len(data))
-    return byte_symbols(data), offsets, at, at + 1
-
-
 class Suffixes:
     """Suffixes of texts, compared by prefix hashes: a binary search finds the common extension."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, salt: int = 0):
         self.data = data
-        self.hash = PrefixHash(byte_symbols(data))
+        self.hash = PrefixHash(mix(byte_symbols(data) ^ U(salt)) if salt else byte_symbols(data))
 
     def common(self, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
-        """Length of the common extension of the suffixes at a and b, up to room."""
+        """Length of the common extension of the suffixes at a and b, up to room, by hashes."""
         low, high = np.zeros(len(a), dtype=np.int64), room.copy()
         while True:
             open_ = low < high
             if not open_.any():
-                break
+                return low
             mid = (low + high + 1) >> 1
             like = self.hash.slices(a, a + mid) == self.hash.slices(b, b + mid)
             low = np.where(open_ & like, mid, low)
             high = np.where(open_ & ~like, mid - 1, high)
-        # Verify against the bytes: a difference inside is a hash collision and shortens the extension.
-        for k in range(int(low.max(initial=0))):
-            far = np.flatnonzero(low > k)
-            bad = far[self.data[a[far] + k] != self.data[b[far] + k]]
-            low[bad] = np.minimum(low[bad], k)
-        return low
 
     def less(self, a, b, end_a, end_b):
         """Whether suffix a sorts before b; ties are false."""
@@ -182,6 +216,21 @@ class Suffixes:
         out[inside] = self.data[a[inside] + c[inside]] < self.data[b[inside] + c[inside]]
         return out
 
+    def sorted(self, group, start, end, order) -> bool:
+        """Whether the order is right on the bytes themselves: each suffix against the next."""
+        x, y = order[:-1], order[1:]
+        near = group[x] == group[y]
+        x, y = x[near], y[near]
+        room = np.minimum(end[x] - start[x], end[y] - start[y])
+        c = self.common(start[x], start[y], room)
+        whole = c == room
+        if (whole & (end[x] - start[x] > end[y] - start[y])).any():
+            return False
+        at = np.flatnonzero(~whole)
+        if (self.data[start[x[at]] + c[at]] >= self.data[start[y[at]] + c[at]]).any():
+            return False
+        return bool(equal_bytes(self.data, start[x], start[y], c).all())
+
     def sort(self, group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Merge sort of suffixes inside each group of equal ``group`` (sorted): a permutation.
 
@@ -227,54 +276,70 @@ class Suffixes:
         return order
 
 
-def resolve_by_suffixes(width: int):
-    """Repeated windows among the contexts of each key, from their sorted suffixes.
-
-    The suffixes at the anchors are merge-sorted; one position further left, the
-    order follows from the byte in front (a stable sort), and two neighbours in
-    it with a common extension of ``width`` bytes or more are a repeat.
-    """
-
-    def resolve(key, data, offsets, lead, m):
-        n = len(m)
-        suffixes = Suffixes(data)
-        at = offsets[:-1] + lead
-        group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if n else np.zeros(0, dtype=np.int64)
-        order = suffixes.sort(group, at, offsets[1:])
-        hits = [np.zeros(k, dtype=bool) for k in m.tolist()]
-        flat = np.zeros(int(m.sum()), dtype=bool)
+def sorted_suffixes(data, group, start, end, attempts: int = 4):
+    """``Suffixes.sort`` with the result checked on the bytes; a hash collision calls for other hashes."""
+    for salt in range(attempts):
+        suffixes = Suffixes(data, salt)
+        order = suffixes.sort(group, start, end)
+        if suffixes.sorted(group, start, end, order):
+            return order
+    raise RuntimeError(f"hashes collided in {attempts} families")
+
+
+class Bytes(Units):
+    def __init__(self, width: int, gram: int):
+        if not 0 < gram < width:
+            raise ValueError("a gram is shorter than a window")
+        self.width, self.gram = width, gram
+
+    def layout(self, data, offsets):
+        at = np.arange(len(data))
+        return Layout(data, at, at + 1, offsets)
+
+    def symbols(self, layout):
+        return byte_symbols(layout.data)
+
+    def anchors(self, layout):
+        grams = PrefixHash(self.symbols(layout)).windows(self.gram)
+        anchor, first, last = elect(grams, layout.offsets, self.width, self.gram)
+        return grams[anchor], anchor, first, last
+
+    def resolve(self, key, layout, lead, m):
+        """From the sorted suffixes at the anchors; one position further left the order follows
+        from the byte in front (a stable sort), and two neighbours in it that agree on a whole
+        window are a repeat."""
+        data, width = layout.data, self.width
+        at = layout.offsets[:-1] + lead
+        group = _cumulated(key[1:] != key[:-1]) if len(key) else np.zeros(0, dtype=np.int64)
+        order = sorted_suffixes(data, group, at, layout.offsets[1:])
+        hit = np.zeros(int(m.sum()), dtype=bool)
         begin = np.cumsum(m) - m
-        names = suffixes.hash.windows(width)
+        names = PrefixHash(byte_symbols(data)).windows(width)
         for back in range(int(lead.max(initial=-1)) + 1):
             if back:
                 order = order[lead[order] >= back]
                 front = data[at[order] - back].astype(np.int64)
                 order = order[np.argsort(group[order] * 256 + front, kind="stable")]
-            window = lead[order] - back
-            able = order[window < m[order]]
+            able = order[lead[order] - back < m[order]]
             if len(able) < 2:
                 continue
             a, b = able[:-1], able[1:]
-            near = np.flatnonzero(group[a] == group[b])
-            a, b = a[near], b[near]
-            pa_, pb = at[a] - back, at[b] - back
-            like = np.flatnonzero(names[pa_] == names[pb])
-            a, b, pa_, pb = a[like], b[like], pa_[like], pb[like]
-            same = np.ones(len(a), dtype=bool)
-            for k in range(0, width, 8):
-                same &= data[pa_ + k] == data[pb + k]
-            whole = np.flatnonzero(same)
-            if len(whole):
-                view = np.lib.stride_tricks.sliding_window_view(data, width)
-                step = 4096
-                for i in range(0, len(whole), step):
-                    w = whole[i : i + step]
-                    same[w] = (view[pa_[w]] == view[pb[w]]).all(axis=1)
-            for side in (a[same], b[same]):
-                flat[begin[side] + lead[side] - back] = True
-        return np.split(flat, begin[1:]) if n else hits
-
-    return resolve
+            x, y = at[a] - back, at[b] - back
+            like = np.flatnonzero((group[a] == group[b]) & (names[x] == names[y]))
+            like = like[equal_bytes(data, x[like], y[like], np.full(len(like), width))]
+            for side in (a[like], b[like]):
+                hit[begin[side] + lead[side] - back] = True
+        return hit
+
+    def finish(self, layout, covered):
+        kept = layout.data[~covered].tobytes()
+        edges = _cumulated(~covered)[layout.offsets].tolist()
+        begins = covered.copy()
+        begins[1:] &= ~covered[:-1]
+        inner = layout.offsets[layout.offsets < len(covered)]
+        begins[inner] = covered[inner]
+        shas = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(edges, edges[1:], strict=False)]
+        return [np.diff(layout.offsets), *(np.diff(_cumulated(x)[layout.offsets]) for x in (covered, begins)), shas]
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = 200, gram: int = 48, hot: int = HOT) -> DataFrame:
@@ -284,18 +349,12 @@ def suffix_array_dedup(docs: DataFrame, length: int = 200, gram: int = 48, hot:
     bytes and matches stay within a document.  Returns doc_id, n_bytes,
     n_removed, n_spans, kept_sha256.
 
-    Sampled suffixes (one anchor for each window) are sorted with comparisons by
-    prefix hashes (``Suffixes``); common extensions are verified byte by byte.
+    Sampled suffixes (one anchor for each window) are merge-sorted with comparisons by
+    prefix hashes, logarithmic in their common extension (``Suffixes``); the finished
+    order and every repeat are verified on the bytes.  See ``repeats``.
 
     Null or empty text: zero bytes, the digest of the empty string.  Null
     doc_id: kept as null.  Rows that repeat an id are documents of their own.
     Empty table: no rows.
     """
-
-    def finish(text, starts, stops, covered):
-        n = int(covered.sum())
-        spans = int(covered[:1].sum() + (covered[1:] & ~covered[:-1]).sum())
-        return len(covered), n, spans, hashlib.sha256(text[~covered].tobytes()).hexdigest()
-
-    plan = Plan(length, gram, split_bytes, lambda symbols, offsets, grams: grams, resolve_by_suffixes(length), hot)
-    return plan.apply(docs, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return Plan(Bytes(length, gram), hot).apply(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -12,7 +12,7 @@ from scrivano.llm import anchors, near
 from scrivano.llm.components import components
 from scrivano.llm.exact import CuckooIndex, exact_dedup
 from scrivano.llm.near import minhash_near_dedup
-from scrivano.llm.substring import Suffixes, recompress, split_words, substring_dedup, suffix_array_dedup
+from scrivano.llm.substring import Suffixes, Words, recompress, sorted_suffixes, substring_dedup, suffix_array_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,12 +34,16 @@ def frame(spark, rows):
 
 
 def covered(units, width):
-    seen = collections.Counter(tuple(u[i : i + width]) for u in units for i in range(len(u) - width + 1))
+    def window(u, i):
+        part = u[i : i + width]
+        return hash(part) if isinstance(part, bytes) else "\n".join(part)
+
+    seen = collections.Counter(window(u, i) for u in units for i in range(len(u) - width + 1))
     out = []
     for u in units:
         marks = [False] * len(u)
         for i in range(len(u) - width + 1):
-            if seen[tuple(u[i : i + width])] > 1:
+            if seen[window(u, i)] > 1:
                 marks[i : i + width] = [True] * width
         out.append(marks)
     return out
@@ -89,21 +93,39 @@ def test_empty(spark):
     assert substring_dedup(none).count() == suffix_array_dedup(none).count() == minhash_near_dedup(none).count() == exact_dedup(none).count() == 0
 
 
-def test_symbols_depend_on_near_words_only():
-    """Level and name of a position are the same wherever its nine words each side are."""
+def test_symbols_depend_on_their_region_only():
+    """Wherever the words of a symbol's region stand, the symbol is there with its name."""
     rng = random.Random(2)
-    for _ in range(300):
-        core = " ".join(rng.choice("abc") for _ in range(18))
-        seen = set()
-        for _ in range(6):
-            text = " ".join([*(rng.choice("abcd") for _ in range(rng.randint(0, 12))), core, *(rng.choice("abcd") for _ in range(rng.randint(0, 12)))])
-            data = np.frombuffer(text.encode(), dtype=np.uint8)
-            symbols, offsets, _, _ = split_words(data, np.array([0, len(data)]))
-            level, name = recompress(symbols, offsets)
-            for at in range(len(symbols) - 17):
-                if " ".join(text.split()[at : at + 18]) == core:
-                    seen.add((int(level[at + 9]), int(name[at + 9])))
-        assert len(seen) == 1
+    unit = Words(35, 3)
+    seen = {}
+    for _ in range(400):
+        texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 60))).encode() for _ in range(3)]
+        layout = unit.layout(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *(len(t) for t in texts)]))
+        words = [w for t in texts for w in t.decode().split()]
+        told = recompress(unit.symbols(layout), layout.offsets)
+        here = collections.defaultdict(set)
+        for name, a, b, low, high in zip(*(x.tolist() for x in (told.name, told.start, told.stop, told.low, told.high))):
+            if low >= 0 and high <= len(words):
+                assert low <= a < b <= high
+                here[low, high].add((name, a - low, b - low))
+        for (low, high), names in here.items():
+            region = tuple(words[low:high])
+            assert seen.setdefault(region, names) == names
+
+
+def test_widest_symbol_of_each_window():
+    rng = np.random.default_rng(5)
+    offsets = np.array([0, 50, 60, 60, 140])
+    low = rng.integers(0, 140, 300)
+    high = np.minimum(low + rng.integers(1, 12, 300), 140)
+    rank = rng.integers(0, 9, 300).astype(np.uint64)
+    chosen, first, last = anchors.widest(rank, low, high, offsets, 20)
+    told = {w: int(c) for c, f, l in zip(chosen, first, last) for w in range(f, l + 1)}
+    for a, b in zip(offsets, offsets[1:]):
+        for w in range(a, b - 19):
+            inside = [(int(rank[k]), -k) for k in range(300) if low[k] >= w and high[k] <= w + 20]
+            assert told.pop(w, None) == (-max(inside)[1] if inside else None)
+    assert not told
 
 
 def test_every_window_has_one_anchor():
@@ -131,6 +153,90 @@ def test_suffix_sort():
     assert [(group[i], texts[i]) for i in order] == sorted((g, t) for g, t in zip(group, texts))
 
 
+def weak_hashes(monkeypatch, bits):
+    """All names and comparisons by a few bits: everything collides."""
+    full = anchors.PrefixHash.slices
+    monkeypatch.setattr(anchors.PrefixHash, "slices", lambda self, a, b: full(self, a, b) & np.uint64(bits))
+    monkeypatch.setattr(anchors.PrefixHash, "windows", lambda self, w: self.slices(np.arange(max(len(self.sums) - w, 0)), np.arange(max(len(self.sums) - w, 0)) + w))
+
+
+def test_collisions_are_told(monkeypatch):
+    """Equal names of different windows: the bytes decide."""
+    rng = random.Random(8)
+    parts = [" ".join(rng.choice("pqrs") * 3 for _ in range(9)) for _ in range(12)]
+    bodies = [rng.choice(parts) for _ in range(60)]
+    data = np.frombuffer("".join(bodies).encode(), dtype=np.uint8)
+    offsets = np.cumsum([0, *(len(b) for b in bodies)])
+    key, zero = np.zeros(60, dtype=np.int64), np.zeros(60, dtype=np.int64)
+    wanted = [bodies.count(b) > 1 for b in bodies]
+    weak_hashes(monkeypatch, 3)
+    unit = Words(9, 3)
+    assert unit.resolve(key, unit.layout(data, offsets), zero, zero + 1).tolist() == wanted
+
+
+def test_suffix_sort_is_checked(monkeypatch):
+    """The first family of hashes collides; the next one sorts."""
+    rng = random.Random(9)
+    texts = sorted("".join(rng.choice("ab") for _ in range(30)) for _ in range(100))
+    shuffled = rng.sample(texts, len(texts))
+    data = np.frombuffer("".join(shuffled).encode(), dtype=np.uint8)
+    start = np.arange(100) * 30
+    plain = Suffixes.__init__
+
+    def weak(self, data, salt=0):
+        plain(self, data, salt)
+        if not salt:
+            self.hash.sums[:] = 0
+
+    monkeypatch.setattr(Suffixes, "__init__", weak)
+    order = sorted_suffixes(data, np.zeros(100, dtype=np.int64), start, start + 30)
+    assert [shuffled[k] for k in order] == texts
+
+
+def null_rows():
+    """Hundreds of rows without an id: some share a passage, most share nothing."""
+    rng = random.Random(13)
+    passage = " ".join("p%d" % rng.randint(0, 999) for _ in range(80))
+    rows = []
+    for k in range(320):
+        words = ["n%d" % rng.randint(0, 10**6) for _ in range(rng.randint(0, 120))]
+        if k % 40 == 0:
+            words[len(words) // 2 : len(words) // 2] = passage.split()
+        rows.append((None if k % 5 else 7, " ".join(words)))
+    return rows
+
+
+def passages():
+    """One passage in many settings: few names with many contexts, halved to whole windows."""
+    rng = random.Random(14)
+    passage = ["p%d" % rng.randint(0, 30) for _ in range(70)]
+    rows = []
+    for k in range(150):
+        words = list(passage)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = "e%d" % rng.randint(0, 40)
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("rows,hot", [(null_rows, 8192), (passages, 8192), (passages, 20), (passages, 1)])
+def test_repeats_whatever_the_ids(spark, rows, hot):
+    rows = rows()
+    df = frame(spark, rows).repartition(5)
+    assert collections.Counter(map(tuple, substring_dedup(df, hot=hot).collect())) == expected_words(rows)
+    assert collections.Counter(map(tuple, suffix_array_dedup(df, hot=hot).collect())) == expected_bytes(rows)
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    rng = random.Random(15)
+    long = " ".join("v%d" % rng.randint(0, 50_000) for _ in range(250_000))
+    assert len(long) > 1.4e6
+    rows = [(1, long), (2, long[400_000:400_900]), (3, "x" * 300), (4, None)]
+    got = collections.Counter(map(tuple, suffix_array_dedup(frame(spark, rows)).collect()))
+    assert got == expected_bytes(rows)
+    assert collections.Counter(map(tuple, substring_dedup(frame(spark, rows)).collect())) == expected_words(rows)
+
+
 def shingles(text, n=5):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
