@@ -59,9 +59,16 @@ def _set_digests(names, edges):
     return pa.array([xxhash.xxh3_128_digest(view[8 * a : 8 * b]) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
 
 
+_ROW = "rid long, doc_id long, n long, digest binary, sig array<long>, bands array<long>, body binary"
+
+
 def _digests(words: int):
+    """Rows with the size, digest, packed minima and bands of their set, and their packed text."""
+
     def run(batches):
-        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+        press = zstandard.ZstdCompressor(level=3)
+        types = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+        schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in _ROW.split(", ")])
         for batch in batches:
             ids, rids = batch.column("doc_id"), batch.column("rid")
             for i, j, data, offsets in chunks(batch.column("text")):
@@ -69,7 +76,7 @@ def _digests(words: int):
                 n = np.diff(edges)
                 full = np.flatnonzero(n > 0)
                 size = len(full)
-                sig = bands = None
+                packed = keys = None
                 if size:
                     at = np.append(edges[:-1][full], edges[-1])
                     low = minima(names, at)
@@ -82,33 +89,17 @@ def _digests(words: int):
                     keys = np.zeros((MINIMA // ROWS, size), dtype=U) + mix(np.arange(1, MINIMA // ROWS + 1, dtype=U))[:, None]
                     for k in range(ROWS):
                         keys = mix(keys * U(3) + rows[:, k])
-                    sig, bands = packed, keys
                 columns = [rids.slice(i, j - i), ids.slice(i, j - i), pa.array(n), _set_digests(names, edges)]
-                for part, wide in ((sig, MINIMA * BITS // 64), (bands, MINIMA // ROWS)):
+                for part, wide in ((packed, MINIMA * BITS // 64), (keys, MINIMA // ROWS)):
                     lengths = np.where(n > 0, wide, 0)
                     flat = part.T.reshape(-1).view(np.int64) if part is not None else np.zeros(0, dtype=np.int64)
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat)))
+                columns.append(pa.array([press.compress(data[x:y].tobytes()) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def _packed(words: int):
-    """Texts with the digest of their set."""
-
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=6)
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column("text")):
-                names, edges = shingle_sets(data, offsets, words)
-                full = np.flatnonzero(np.diff(edges) > 0)
-                if len(full):
-                    blobs = [press.compress(data[offsets[k] : offsets[k + 1]].tobytes()) for k in full]
-                    yield pa.RecordBatch.from_arrays([_set_digests(names, edges).take(pa.array(full)), pa.array(blobs, pa.binary())], ["digest", "body"])
-
-    return run
-
-
 def _confirm(words: int, percent: int):
     """Pairs with both texts -> the pairs whose full sets are alike enough."""
 
@@ -148,68 +139,68 @@ def estimated(a, b):
     return (1 - unlike / F.lit(MINIMA) - chance) / (1 - chance)
 
 
-def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack: float = 0.21, stars: int = 2) -> DataFrame:
+def minhash_near_dedup(docs: DataFrame, words: int = 5, percent: int = 75, slack: float = 0.21, stars: int = 1, row: str | None = None) -> DataFrame:
     """Group documents whose word-shingle sets have a Jaccard similarity of ``percent`` or more.
 
     docs: doc_id, text and any other columns (ignored).  Returns doc_id,
-    n_shingles, component_id, kept and rid, the row's number in this reading.
+    n_shingles, component_id, kept and rid: the row's number, from the column ``row`` or given here.
 
     Documents with equal sets (128-bit digest of the sorted shingle names) are one
     node.  128 minima make 32 bands of four (a pair at 0.75 shares none with a chance
     of 5e-6); the low four bits of the minima are packed into eight longs, and the
     estimate by bit counts, less chance agreement, drops pairs more than ``slack``
     (five deviations) below the limit.  Links are confirmed on full sets of 64-bit
-    shingle names.  In each of ``stars`` rounds the members of a bucket that are not in its
-    centre's component yet meet that centre, and components are drawn together; what
-    is then still apart is paired by its rarest shingles (``prefix_pairs``), never all
-    with all.
+    shingle names.  The members of a bucket meet two centres, those not in a
+    centre's component yet meet ``stars`` more, and components are drawn together after
+    each; what is then still apart is paired by its rarest shingles (``prefix_pairs``),
+    never all with all.
 
     Null or blank texts: an empty set, a component of their own.  Null doc_id:
     takes part; the component's id is its least known id, null if it has none.
     Rows that repeat an id are nodes by their text.  Empty table: no rows.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = materialize(docs.mapInArrow(_digests(words), "rid long, doc_id long, n long, digest binary, sig array<long>, bands array<long>"))
-    # Node numbers are given once, in the written table.
-    nodes = base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    docs = docs.select(number.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = materialize(docs.mapInArrow(_digests(words), _ROW))
+    # Node numbers are given once, in the written table; a node's text is that of one of its rows.
+    nodes = base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("rid").alias("rid"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     spread = nodes.select("node", F.explode("bands").alias("band"))
     many = spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     postings = materialize(spread.join(many.hint("shuffle_merge"), "band", "left_semi").select("band", "node"))
-    sigs = nodes.select("node", "sig")
     floor = percent / 100 - slack
-    texts = docs.select("text").mapInArrow(_packed(words), "digest binary, body binary")
 
-    def bodies_of(wanted):
-        """node, body of the wanted nodes: one text for each."""
-        named = wanted.join(nodes.select("node", "digest").hint("shuffle_merge"), "node")
-        return texts.join(named.hint("shuffle_merge"), "digest").groupBy("node").agg(F.first("body").alias("body"))
+    def held(wanted):
+        """node, sig, body of the wanted nodes."""
+        named = nodes.select("node", "rid", "sig").join(wanted.hint("shuffle_merge"), "node", "left_semi")
+        return base.select("rid", "body").join(named.hint("shuffle_merge"), "rid").select("node", "sig", "body")
 
     def confirmed(pairs):
-        near = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        near = materialize(near.where(estimated(F.col("sa"), F.col("sb")) >= floor).select("a", "b"))
-        if near.isEmpty():
-            return near
-        bodies = materialize(bodies_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct()))
-        whole = near.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")).hint("shuffle_merge"), "b")
-        whole = whole.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")).hint("shuffle_merge"), "a")
-        return materialize(whole.select("a", "b", "body_a", "body_b").mapInArrow(_confirm(words, percent), "a long, b long"))
+        there = materialize(held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+        both = pairs
+        for side in "ba":
+            both = both.join(there.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("body").alias(f"body_{side}")).hint("shuffle_merge"), side)
+        alike = both.where(estimated(F.col("sig_a"), F.col("sig_b")) >= floor)
+        return materialize(alike.select("a", "b", "body_a", "body_b").mapInArrow(_confirm(words, percent), "a long, b long"))
+
+    def centre(k):
+        """Of least rank among all nodes, so that the buckets of a group have few centres."""
+        return F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("hub"), F.col("root").alias("hub_root")))
 
     seen = links = roots = None
-    for r in range(stars + 1):
-        # The members of each bucket, by component, and one of them as its centre: of least rank
-        # among all nodes, so that the buckets of a group have few centres.
-        labelled = postings if roots is None else postings.join(roots, "node", "left")
-        labelled = labelled.select("band", "node", F.coalesce("root", "node").alias("root") if roots is not None else F.col("node").alias("root"))
-        split = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("c")).where("x <> y")
-        if r < stars:
-            pairs = labelled.join(split.select("band", "c.hub", "c.hub_root"), "band").where("root <> hub_root").select("node", F.col("hub").alias("other"))
+    for r in range(stars + 2):
+        # The members of each bucket, by component.
+        labelled = postings.withColumn("root", F.col("node")) if roots is None else postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = labelled.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), centre(r).alias("c"), centre(-1).alias("d")).where("x <> y")
+        if r <= stars:
+            hubs = F.explode(F.array("c", "d") if r == 0 else F.array("c")).alias("c")
+            pairs = labelled.join(split.select("band", hubs).select("band", "c.hub", "c.hub_root"), "band").where("root <> hub_root").select("node", F.col("hub").alias("other"))
         else:
             # What the centres left apart.
             apart = materialize(labelled.join(split.select("band"), "band", "left_semi").select("node", "root").distinct())
             if apart.isEmpty():
                 break
-            pairs = prefix_pairs(apart, bodies_of(apart.select("node")), words, percent)
+            pairs = prefix_pairs(apart, held(apart.select("node")), words, percent)
         fresh = _pairs(pairs, "node", "other")
         fresh = materialize(fresh if seen is None else fresh.join(seen, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
@@ -269,7 +260,7 @@ def prefix_pairs(apart: DataFrame, bodies: DataFrame, words: int, percent: int)
     smaller = F.expr("rootx <> rooty AND (ny < nx OR (ny = nx AND nodey < nodex))")
     alike = F.expr(f"ny * 100 >= nx * {percent} AND (1 + least(nx - 1 - atx, ny - 1 - aty)) * {100 + percent} >= (nx + ny) * {percent}")
     met = both.where(smaller & alike).groupBy("nodex", "nodey").agg(F.count("*").alias("met"), F.max("atx").alias("atx"), F.max("aty").alias("aty"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    # A shared token that stands behind the position bound of its own has been left out: one more at most before it.
+    # The bound falls along the order, so the tokens that it leaves out stand behind those it lets through.
     enough = F.expr(f"(met + least(nx - 1 - atx, ny - 1 - aty)) * {100 + percent} >= (nx + ny) * {percent}")
     return met.where(enough).select(F.col("nodex").alias("node"), F.col("nodey").alias("other"))
 
