@@ -30,6 +30,7 @@ class CuckooIndex:
         self.kicks = kicks
         self.resizes = 0
         self.live = 0
+        self.stash: dict[bytes, object] = {}
         self._clear(buckets)
 
     def _clear(self, buckets: int) -> None:
@@ -58,7 +59,7 @@ class CuckooIndex:
 
     def get(self, key: bytes):
         slot = self._slot(key)
-        return None if slot < 0 else self.values[slot]
+        return self.values[slot] if slot >= 0 else self.stash.get(key) if self.stash else None
 
     def put(self, key: bytes, value) -> None:
         """Insert a key or replace its value."""
@@ -66,6 +67,9 @@ class CuckooIndex:
         if slot >= 0:
             self.values[slot] = value
             return
+        if key in self.stash:
+            self.stash[key] = value
+            return
         self.live += 1
         left = self._insert(key, value)
         if left is not None:
@@ -74,13 +78,15 @@ class CuckooIndex:
     def delete(self, key: bytes) -> bool:
         slot = self._slot(key)
         if slot < 0:
-            return False
+            self.live -= key in self.stash
+            return self.stash.pop(key, self) is not self
         self.prints[slot], self.keys[slot], self.values[slot] = 0, None, None
         self.live -= 1
         return True
 
     def items(self):
-        return ((k, v) for k, v in zip(self.keys, self.values, strict=True) if k is not None)
+        yield from ((k, v) for k, v in zip(self.keys, self.values, strict=True) if k is not None)
+        yield from self.stash.items()
 
     def _insert(self, key: bytes, value):
         """None, or the (key, value) that found no place."""
@@ -105,6 +111,7 @@ class CuckooIndex:
     def _grow(self, left) -> None:
         """Double the table, again if need be, and reinsert the stored keys."""
         stored = [*self.items(), left]
+        self.stash = {}
         buckets = self.mask + 1
         for _ in range(8):
             buckets *= 2
@@ -112,78 +119,94 @@ class CuckooIndex:
             self._clear(buckets)
             if all(self._insert(key, value) is None for key, value in stored):
                 return
-        raise OverflowError("digests share both buckets more often than the table holds")
+        # More keys share both buckets than these hold at any size: the last one waits outside.
+        self.stash[left[0]] = left[1]
+        stored.pop()
+        for key, value in stored:
+            if (out := self._insert(key, value)) is not None:
+                self.stash[out[0]] = out[1]
 
 
 _FIELDS = "sha binary, n long, chars long, id long, rid long"
 
 
-def _merge(batches):
-    """Groups (sha, n, best row) -> the groups of this task, merged by an index."""
-    names = [f.split()[0] for f in _FIELDS.split(", ")]
-    types = [pa.binary(), *[pa.int64()] * 4]
+_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
+_TYPES = [pa.binary(), *[pa.int64()] * 4]
 
-    def flushed(index):
-        rows = [(k, *v) for k, v in index.items()]
-        for at in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000], strict=True), types, strict=True)], names)
 
-    index = CuckooIndex()
+def _add(index: CuckooIndex, sha, n, chars, doc_id, rid) -> None:
+    """Put a group into the index, or merge it with its digest's."""
+    had = index.get(sha)
+    if had is not None:
+        # The longest text, then the least id (null last), then the first row.
+        if (-chars, doc_id is None, doc_id or 0, rid) > (-had[1], had[2] is None, had[2] or 0, had[3]):
+            chars, doc_id, rid = had[1:]
+        n += had[0]
+    index.put(sha, (n, chars, doc_id, rid))
+
+
+def _rows(batches):
     for batch in batches:
-        for sha, n, chars, doc_id, rid in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            had = index.get(sha)
-            if had is not None:
-                # The longest text, then the least id (null last), then the first row.
-                rank = (-chars, doc_id is None, doc_id or 0, rid)
-                if rank > (-had[1], had[2] is None, had[2] or 0, had[3]):
-                    chars, doc_id, rid = had[1:]  # noqa: PLW2901
-                n += had[0]  # noqa: PLW2901
-            index.put(sha, (n, chars, doc_id, rid))
+        yield from zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True)
+
+
+def _taken(index: CuckooIndex, keys: list[bytes]):
+    """Delete digests from the index and pass their groups on."""
+    for at in range(0, len(keys), 10_000):
+        rows = [(k, *index.get(k)) for k in keys[at : at + 10_000]]
+        for k in keys[at : at + 10_000]:
+            index.delete(k)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+def _merge(batches):
+    """Groups (sha, n, best row) -> the groups of this task, merged by an index.
+
+    A full index lets half of its groups go; what comes later of these is merged after the shuffle."""
+    index = CuckooIndex()
+    for row in _rows(batches):
+        _add(index, *row)
         if index.live >= HELD:
-            yield from flushed(index)
-            index = CuckooIndex()
-    yield from flushed(index)
+            yield from _taken(index, [k for k, _ in index.items()][: HELD // 2])
+    yield from _taken(index, [k for k, _ in index.items()])
 
 
 def _sorted(batches):
-    """As _merge, for rows sorted by digest: the index is emptied only between digests."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        if rest.num_rows < HELD:
-            continue
-        last = rest.column("sha")[-1]
-        cut = rest.num_rows
-        while cut and rest.column("sha")[cut - 1] == last:
-            cut -= 1
-        done, rest = list(_merge(rest.slice(0, cut).to_batches())), pa.Table.from_batches(list(_merge(rest.slice(cut).to_batches())))
-        yield from done
-    if rest is not None:
-        yield from _merge(rest.to_batches())
-
-
-def digests(docs: DataFrame) -> DataFrame:
+    """As _merge, for rows sorted by digest: a digest is deleted as soon as the next one is seen."""
+    index, done, last = CuckooIndex(), [], None
+    for row in _rows(batches):
+        if row[0] != last and last is not None:
+            done.append(last)
+            if len(done) == 10_000:
+                yield from _taken(index, done)
+                done = []
+        _add(index, *row)
+        last = row[0]
+    yield from _taken(index, [k for k, _ in index.items()])
+
+
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
     """rid, doc_id, chars and the digest of the text without blanks, for each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("chars"), F.unhex(F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)).alias("sha"))
+    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("chars"), F.unhex(F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)).alias("sha"))
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Group documents whose texts are equal without blanks and tab..carriage return.
 
-    docs: doc_id, text and any other columns (ignored).  Returns rid (the row's
-    number in this reading), doc_id, keep_id, group_size, kept, text_sha256.
+    docs: doc_id, text and any other columns (ignored).  Returns rid (the row's number,
+    from the column ``row`` or given here), doc_id, keep_id, group_size, kept, text_sha256.
 
     Map tasks merge their groups in a ``CuckooIndex`` before the shuffle, so a
-    group of any size sends one row per task; reduce tasks merge the rest.
+    group of any size sends one row per task; reduce tasks merge the rest, in the order
+    of digests, and delete from the index what is complete.
     Digests are SHA-256 of the whole normalised text.
 
     Null text counts as empty.  The longest original stays, then the least
     doc_id (null last), then the first row; one row of each group is kept even if
     rows repeat.  Empty table: no rows.
     """
-    rows = materialize(digests(docs))
+    rows = materialize(digests(docs, row))
     single = rows.select("sha", F.lit(1).cast("long").alias("n"), "chars", F.col("doc_id").alias("id"), "rid")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = single.mapInArrow(_merge, _FIELDS).repartition(parts, "sha").sortWithinPartitions("sha").mapInArrow(_sorted, _FIELDS)
