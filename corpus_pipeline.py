@@ -21,38 +21,58 @@ from scrivano.llm.scratch import materialize
 MODEL = DEFAULT_MODEL
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose numbers are in kept.  docs is a written table, so numbers are stable."""
+def _only(docs: DataFrame, dedup) -> DataFrame:
+    """The rows that dedup keeps.  Rows are numbered once, in a written table."""
     name = "_rid"
     while name in docs.columns:
         name = "_" + name
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    return numbered.join(kept.select(F.col("rid").alias(name)).hint("shuffle_merge"), name, "left_semi").drop(name)
+    numbered = materialize(docs.withColumn(name, F.monotonically_increasing_id()))
+    kept = dedup(numbered, row=name).where("kept").select(F.col("rid").alias(name))
+    return numbered.join(kept.hint("shuffle_merge"), name, "left_semi").drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents of low quality or likely toxic ones."""
+    """Leave out documents of low quality or likely toxic ones.
+
+    A null text is judged as an empty one.  Rows that repeat are judged alike, extra
+    columns are kept, an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_classifier(docs, labels).where("keep").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Keep one row of each group of equal texts; null and blank texts are one group.
+
+    Of equal rows one stays.  Extra columns are kept, an empty table stays empty.
+    """
+    return _only(docs, exact_dedup)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group."""
-    return _only(docs, minhash_near_dedup(docs).where("kept"))
+    """Keep the document of least id of each near-duplicate group.
+
+    Texts without words are groups of their own and stay.  Rows of one id and group stay
+    together; a group whose ids are all null stays.  Extra columns are kept, an empty
+    table stays empty.
+    """
+    return _only(docs, minhash_near_dedup)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the documents in the order of the mixed stream."""
+    """Write the documents in the order of the mixed stream; none is lost.
+
+    A null source is the source ''.  Extra columns are kept but for those that are named
+    like the schedule's (``pfair_mix``); an empty table stays empty.
+    """
     return pfair_mix(docs).repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode what is left: ids, their number, and whether decoding restores the text."""
+    """Encode what is left: ids, their number, and whether decoding restores the text.
+
+    A null text has null ids.  Repeated rows are encoded alike; an empty table stays empty.
+    """
     return sentencepiece_tokens(docs, read_model(MODEL), ["doc_id", "source"])
 
 
