@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scratch import materialize
+
 # The template's control strings.  A repeated turn is context only.
 NEW, AGAIN, END = "<turn>", "<turn again>", "</turn>\n"
 # Characters of control strings and what stands for them in texts, in the order of escaping.
@@ -37,17 +39,20 @@ def turn_tokens(text: Column) -> Column:
 
 
 def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
-    """Format conversations as training windows.
+    """Format conversations as training windows of at most ``budget`` tokens.
 
     turns: conv_id, turn, role, text and any other columns (ignored).  Returns
-    conv_id, window, text (the formatted turns), loss (array of start and length
-    in code points: the escaped texts under the loss mask), n_tokens, n_new, n_repeated.
-
-    Prefix sums of turn tokens cut a conversation: a turn belongs to the window
-    floor(tokens before it / stride), with stride = budget - history, so windows
-    are turn-aligned and a window's new turns exceed the stride by less than its
-    last turn.  Later windows begin with the system turn, if the first turn is
-    one, and with the latest turns before the window within ``history`` tokens.
+    conv_id, window (0, 1, ... of a conversation), text (the formatted turns), loss
+    (array of start and length in code points: the escaped texts under the loss mask),
+    n_tokens, n_new, n_repeated.
+
+    The first turn, if its role is system, is retained: every later window begins with it.
+    The stride is what the budget leaves beside it and the history, one token at least.
+    Prefix sums of the other turns' tokens choose turn-aligned spans: the turns that begin
+    and end in the same stride are a window; a turn that crosses the end of a stride is
+    a window of its own.  Before its new turns a window repeats the latest turns within
+    ``history`` tokens (a stride at most), as far as the budget has room.  So a window
+    exceeds the budget only if it has one new turn, and then repeats the system turn alone.
     Repeated turns are marked and are outside the loss, so each assistant text is
     learnt once.
 
@@ -56,40 +61,47 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
     conv_id is a conversation.  Empty table: no rows.  Prefix sums run in
     chunks of the turn number, so a long conversation is spread over tasks.
     """
-    if not 0 <= history < budget - history:
-        raise ValueError("history must be less than half of the budget")
-    stride = budget - history
+    if not 0 <= history < budget:
+        raise ValueError("history must be less than the budget")
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))).cast("long").alias("chunk"), turn_tokens(text).alias("size"))
-    sums = rows.groupBy("conv_id", "chunk").agg(F.sum("size").alias("sum"), F.count("*").alias("many"))
-    earlier = W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)
-    base = sums.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), (F.sum("sum").over(earlier) - F.col("sum")).alias("base"), (F.sum("many").over(earlier) - F.col("many")).alias("base_n"))
     inside = W.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
-    summed = rows.withColumns({"upto": F.sum("size").over(inside), "nth": F.row_number().over(inside)})
+    summed = materialize(rows.withColumns({"upto": F.sum("size").over(inside), "nth": F.row_number().over(inside)}))
+    # A row for each chunk: what comes before it, and the conversation's system turn.
+    sums = summed.groupBy("conv_id", "chunk").agg(F.sum("size").alias("sum"), F.count("*").alias("many"), F.max(F.when((F.col("nth") == 1) & (F.col("role") == "system"), F.col("size"))).alias("opens"))
+    by_conv = W.partitionBy("conv_id").orderBy("chunk")
+    earlier = by_conv.rowsBetween(W.unboundedPreceding, 0)
+    base = sums.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), (F.sum("sum").over(earlier) - F.col("sum")).alias("base"), (F.sum("many").over(earlier) - F.col("many")).alias("base_n"), F.coalesce(F.first("opens").over(by_conv), F.lit(0)).alias("system"))
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))
-    placed = summed.join(base, same).select("conv_id", "role", "text", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("before"), (F.col("base_n") + F.col("nth") - 1).alias("nth"))
-    placed = placed.withColumn("window", F.floor(F.col("before") / stride).cast("long"))
-
-    # Windows in a row: where each begins, and the next one.
-    begins = placed.groupBy("conv_id", "window").agg(F.min("before").alias("begin"))
-    by_conv = W.partitionBy("conv_id").orderBy("window")
-    begins = begins.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), F.lead("window").over(by_conv).alias("next"), F.lead("begin").over(by_conv).alias("next_begin"))
-    turn = placed.join(begins, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w"))).drop("c", "w")
-    is_system = (F.col("nth") == 0) & (F.col("role") == "system")
-    new = turn.select("conv_id", "window", "nth", "role", "text", "size", F.lit(False).alias("again"))
-    # History is shorter than the stride, so it reaches the next window only.
-    recent = turn.where(F.col("next").isNotNull() & (F.col("next_begin") - F.col("before") <= history) & ~is_system)
-    recent = recent.select("conv_id", F.col("next").alias("window"), "nth", "role", "text", "size", F.lit(True).alias("again"))
-    system = turn.where(is_system).select(F.col("conv_id").alias("sc"), F.col("window").alias("sw"), F.col("role").alias("sr"), F.col("text").alias("st"), F.col("size").alias("ss"))
-    later = begins.join(system, F.col("c").eqNullSafe(F.col("sc")) & (F.col("w") > F.col("sw")))
-    kept = later.select(F.col("c").alias("conv_id"), F.col("w").alias("window"), F.lit(0).cast("long").alias("nth"), F.col("sr").alias("role"), F.col("st").alias("text"), F.col("ss").alias("size"), F.lit(True).alias("again"))
-    all_turns = new.unionByName(recent).unionByName(kept)
+    placed = summed.join(base, same).select("conv_id", "role", "text", "size", "system", (F.col("base_n") + F.col("nth") - 1).alias("nth"), (F.col("base") + F.col("upto") - F.col("size") - F.col("system")).alias("at"))
+    is_system = (F.col("at") < 0).alias("is_system")
+    stride = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(1))
+    placed = placed.select("*", is_system, stride.alias("stride"))
+    placed = materialize(placed.select("*", F.floor(F.col("at") / F.col("stride")).cast("long").alias("cell"), F.floor((F.col("at") + F.col("size") - 1) / F.col("stride")).cast("long").alias("to")))
+
+    # A row for each window: where it begins, and the room that is left for history.
+    spans = placed.where("NOT is_system").groupBy("conv_id", "cell", "to").agg(F.min("at").alias("begin"), F.sum("size").alias("new"), F.first("system").alias("system"), F.first("stride").alias("stride"))
+    spans = spans.withColumn("window", (F.row_number().over(W.partitionBy("conv_id").orderBy("begin")) - 1).cast("long"))
+    room = F.least(F.lit(history), F.col("stride"), F.lit(budget) - F.col("system") - F.col("new"))
+    spans = materialize(spans.select(F.col("conv_id").alias("c"), F.col("cell").alias("of"), F.col("to").alias("end"), "begin", "window", "stride", room.alias("room")))
+
+    here = F.col("conv_id").eqNullSafe(F.col("c"))
+    columns = ("conv_id", "window", "nth", "role", "text", "size", "again")
+    first = placed.where("is_system").withColumns({"window": F.lit(0).cast("long"), "again": F.lit(False)})
+    new = placed.where("NOT is_system").join(spans, here & (F.col("cell") == F.col("of")) & (F.col("to") == F.col("end"))).withColumn("again", F.lit(False))
+    # History reaches back a stride at most, so it begins in the window's cell or the one before.
+    back = F.floor(F.greatest(F.col("begin") - F.col("room"), F.lit(0)) / F.col("stride")).cast("long")
+    wanted = spans.where("window > 0 AND room > 0").select("c", "window", "begin", "room", F.explode(F.sequence(back, F.floor((F.col("begin") - 1) / F.col("stride")).cast("long"))).alias("of"))
+    recent = placed.where("NOT is_system").join(wanted, here & (F.col("cell") == F.col("of"))).where("at < begin AND begin - at <= room").withColumn("again", F.lit(True))
+    kept = placed.where("is_system").join(spans.where("window > 0").select("c", "window"), here).withColumn("again", F.lit(True))
+    all_turns = first.select(*columns).unionByName(new.select(*columns)).unionByName(recent.select(*columns)).unionByName(kept.select(*columns))
 
     body = escape(F.col("text"))
     head = F.concat(F.when(F.col("again"), F.lit(AGAIN)).otherwise(F.lit(NEW)), _escape_role(F.col("role")), F.lit("\n"))
     item = F.struct((~F.col("again")).alias("fresh"), "nth", F.concat(head, body, F.lit(END)).alias("piece"), F.length(head).alias("lead"), F.length(body).alias("body"), (~F.col("again") & (F.col("role") == "assistant")).alias("learn"))
     packed = all_turns.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("size").alias("n_tokens"), F.count_if(~F.col("again")).alias("n_new"), F.count_if("again").alias("n_repeated"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
+    # A window has budget / 4 turns at most.
     loss = F.aggregate(
         "items",
         start,
@@ -113,7 +125,7 @@ def read_turns(windows: DataFrame) -> DataFrame:
 
 def chat_digest(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
     """What the formatted windows hold, read back from them, for each conversation."""
-    windows = chat_windows(turns, budget, history)
+    windows = materialize(chat_windows(turns, budget, history))
     told = read_turns(windows).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "at", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("line")))).alias("lines"), F.count("*").alias("n_turns"))
     told = told.select(F.col("conv_id").alias("c"), "n_turns", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), ""), 256).alias("turns_sha256"))
     learnt = unescape(F.array_join(F.transform("loss", lambda s: F.substring(F.col("text"), s["start"] + 1, s["length"])), ""))

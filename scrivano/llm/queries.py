@@ -138,22 +138,23 @@ def _coded(x: str) -> str:
 _CHAT = f"""
     WITH raw AS (SELECT conv_id, turn, role, text FROM conversations
                  UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')),
-    t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ceil(length(coalesce(text, '')) / 4.0) + 4 AS size FROM raw),
-    p AS (SELECT *, sum(size) OVER w - size AS before, row_number() OVER w - 1 AS nth,
-                 8 + length(replace({_coded("role")}, chr(10), chr(92) || 'n')) + length({_coded("text")}) + 8 - 1 AS chars
+    t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) + 4 AS size FROM raw),
+    p AS (SELECT *, sum(size) OVER w - size AS before, row_number() OVER w AS nth,
+                 6 + length(replace({_coded("role")}, chr(10), chr(92) || 'n')) + 1 + length({_coded("text")}) + 8 AS chars
           FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
-    q AS (SELECT *, floor(before / 768.0) AS win FROM p),
-    g AS (SELECT conv_id, win, min(before) AS start FROM q GROUP BY ALL),
-    b AS (SELECT *, lead(start) OVER (PARTITION BY conv_id ORDER BY win) AS next_start,
-                 count(*) OVER (PARTITION BY conv_id) - 1 AS later FROM g),
-    z AS (SELECT q.*, CASE WHEN nth = 0 AND role = 'system' THEN later
-                           WHEN next_start - before <= 256 THEN 1 ELSE 0 END AS copies
-          FROM q JOIN b USING (conv_id, win)),
+    s AS (SELECT conv_id, coalesce(max(size) FILTER (nth = 1 AND role = 'system'), 0) AS system FROM p GROUP BY conv_id),
+    q AS (SELECT p.*, system, before - system AS at, greatest(768 - system, 1) AS stride FROM p JOIN s USING (conv_id)),
+    g AS (SELECT conv_id, system, stride, min(at) AS start, sum(size) AS fresh FROM q WHERE at >= 0
+          GROUP BY conv_id, system, stride, floor(at / stride), floor((at + size - 1) / stride)),
+    h AS (SELECT *, least(256, stride, 1024 - system - fresh) AS room, row_number() OVER (PARTITION BY conv_id ORDER BY start) AS nth FROM g),
+    r AS (SELECT h.conv_id, sum(q.chars + 6) AS chars FROM h JOIN q ON q.conv_id = h.conv_id AND h.nth > 1
+              AND (q.at < 0 OR q.at < h.start AND h.start - q.at <= h.room) GROUP BY h.conv_id),
     a AS (SELECT conv_id, count(*) AS n_turns,
                  string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text) AS turns,
                  coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS learnt,
-                 CAST(sum(chars + copies * (chars + 6)) AS BIGINT) AS formatted_chars FROM z GROUP BY conv_id)
-    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM a"""
+                 sum(chars) AS chars FROM q GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,
+           CAST(a.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars FROM a LEFT JOIN r USING (conv_id)"""
 
 ORACLES: dict[str, str] = {
     "op4_secret_scan": _secret_sql(),
