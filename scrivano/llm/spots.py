@@ -61,15 +61,41 @@ def length_band(spots: Column, floor: float) -> Column:
     return F.when(F.size(spots) == 0, F.lit(-1)).otherwise(F.floor(F.log(F.size(spots)) / F.log(F.lit(1 / floor)))).cast("int")
 
 
-def pruned_jaccard(a: Column, b: Column, floor: float = 0.05) -> Column:
-    """Jaccard similarity of two spot sets; 0 where their lengths alone rule out ``floor``.
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two spot sets; two empty sets are alike (1).  Sets need not be
+    intersected if they are equal or if one is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
+
 
-    Two empty sets are alike (1).  The sets are compared only if their length
-    bands are at most one apart and the smaller is at least ``floor`` of the larger.
+def spot_matches(rows: DataFrame, floor: float = 0.5) -> DataFrame:
+    """All pairs of sets with a Jaccard similarity of ``floor`` or more: id, other, likeness (id < other).
+
+    rows: id (unique) and spots (distinct names); empty sets match nobody.  Sets are
+    partitioned by length (``length_band``): a set is indexed in its own band and looks there
+    and in the band below.  It looks with its rarest spots only: of n spots the first
+    n - ceil(floor n) + 1, since two sets that are alike share one of these; a pair whose
+    lengths or whose places in the order of rarity leave too little to share is pruned before
+    the sets meet.  Copies are best made one set before.  Equal names of a spot count as equal.
     """
-    both = F.size(F.array_intersect(a, b))
-    near = (F.abs(length_band(a, floor) - length_band(b, floor)) <= 1) & (F.least(F.size(a), F.size(b)) >= floor * F.greatest(F.size(a), F.size(b)))
-    return F.when(a == b, F.lit(1.0)).when(near, both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0)).cast("double")
+    spots = rows.where("size(spots) > 0").select("id", "spots", F.size("spots").alias("n"), length_band(F.col("spots"), floor).alias("band"))
+    each = spots.select("id", "n", "band", F.explode("spots").alias("spot"))
+    rarity = each.groupBy("spot").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(rarity.hint("shuffle_merge"), "spot").groupBy("id", "n", "band").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("ranked"))
+    own = F.col("n") - F.size("ranked")
+    first = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(floor)) + 1 - own, F.lit(0)).cast("int")
+    probes = ranked.select("id", "n", "band", own.alias("own"), F.posexplode(F.slice("ranked", F.lit(1), first)).alias("k", "s"))
+    probes = probes.select("id", "n", "band", F.col("s.spot").alias("spot"), (F.col("own") + F.col("k")).alias("at"))
+    x = probes.select(F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "spot", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    y = probes.select("band", "spot", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    share = 1 + F.least(F.col("nx") - 1 - F.col("ax"), F.col("ny") - 1 - F.col("ay"))
+    able = (F.col("ny") >= F.col("nx") * floor) & (share * (1 + floor) >= (F.col("nx") + F.col("ny")) * floor)
+    longer = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+    pairs = x.hint("shuffle_merge").join(y, ["band", "spot"]).where(longer & able).select("x", "y").distinct()
+    told = pairs.join(spots.select(F.col("id").alias("x"), F.col("spots").alias("sx")).hint("shuffle_merge"), "x")
+    told = told.join(spots.select(F.col("id").alias("y"), F.col("spots").alias("sy")).hint("shuffle_merge"), "y")
+    out = told.select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other"), jaccard(F.col("sx"), F.col("sy")).alias("likeness"))
+    return out.where(F.col("likeness") >= floor)
 
 
 def neighbours(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -95,7 +121,7 @@ def neighbours(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return inner.join(F.broadcast(ends), F.col("part") == F.col("p")).select(*rows.columns, following["id"].alias("next_id"), following["mark"].alias("next_mark"))
 
 
-def spotsigs(docs: DataFrame, chain: int = CHAIN, floor: float = 0.05) -> DataFrame:
+def spotsigs(docs: DataFrame, chain: int = CHAIN, floor: float = 0.5) -> DataFrame:
     """Fingerprint documents, and compare each with an edited copy and with the next document.
 
     docs: doc_id, text and any other columns (ignored).  Returns doc_id, n_chars,
@@ -104,8 +130,9 @@ def spotsigs(docs: DataFrame, chain: int = CHAIN, floor: float = 0.05) -> DataFr
 
     The edited text has its last floor(n_chars / 3) code points replaced by the
     first as many, or all, of the next document (descending doc_id, the first
-    after the last).  Fingerprints are ``with_spots`` joined by commas; likeness is
-    ``pruned_jaccard``.
+    after the last).  Fingerprints are ``with_spots`` joined by commas; the likeness of these
+    two fixed pairs is the Jaccard similarity.  ``spot_matches`` finds all pairs of a
+    table above ``floor`` by the length partitions that ``band`` numbers.
 
     Null text: empty, with the empty fingerprint.  Null doc_id: after all ids.
     Repeated ids: in the order of a hash of their texts.  Equal rows are one
@@ -134,8 +161,8 @@ def spotsigs(docs: DataFrame, chain: int = CHAIN, floor: float = 0.05) -> DataFr
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("spots")).alias("fingerprint"),
         fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
-        pruned_jaccard(F.col("spots"), F.col("edited_spots"), floor).alias("near_edited"),
-        pruned_jaccard(F.col("spots"), F.col("next_spots"), floor).alias("near_next"),
+        jaccard(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
+        jaccard(F.col("spots"), F.col("next_spots")).alias("near_next"),
         F.size("spots").cast("long").alias("spots"),
         length_band(F.col("spots"), floor).alias("band"),
         "next_doc_id",
