@@ -99,12 +99,17 @@ def _exact(row) -> list[str] | None:
     return out
 
 
+def _spread(n: int) -> list[int]:
+    """Places of the trigrams that are asked for in a string that has n: its ends and its middle."""
+    return sorted({0, n // 2, n - 1}) if n > 0 else []
+
+
 def _query(row) -> object:
     """The mandatory trigrams of a row of parts."""
     needs, run = [], [""]
 
     def close():
-        needs.append(_any(_all(s[i : i + 3].lower() for i in range(len(s) - 2)) for s in run))
+        needs.append(_any(_all(s[i : i + 3].lower() for i in _spread(len(s) - 2)) for s in run))
 
     for part in row:
         if isinstance(part, tuple):
@@ -144,42 +149,65 @@ def _holds(query, bit: dict[str, Column]) -> Column:
 
 
 # -- the index -----------------------------------------------------------------
-def postings(docs: DataFrame, wanted: list[str], key: str, text: str = "text") -> DataFrame:
-    """(number of the trigram, key): which documents hold which of the wanted trigrams."""
-    low = F.lower(F.col(text))
-    held = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(wanted))), lambda x: x.isNotNull())
-    return docs.select(key, F.explode(held).alias("trigram"))
+#: Trigrams to a word of bits.
+_BITS = 62
+
+
+def postings(text: Column, wanted: list[str]) -> list[Column]:
+    """The index, by document: words of bits, a bit for each wanted trigram that the text holds."""
+    low = F.lower(text)
+    words = []
+    for w in range(0, len(wanted), _BITS):
+        bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(wanted[w : w + _BITS])]
+        words.append(sum(bits[1:], bits[0]))
+    return words
 
 
-def candidates(index: DataFrame, wanted: list[str], rules: list[tuple[Rule, object]], key: str) -> DataFrame:
-    """Intersect the postings: (key, rules) with the bits of the rules whose query a document satisfies."""
-    # 62 trigrams to a word of bits.
-    words = range(len(wanted) // 62 + 1)
-    held = index.groupBy(key).agg(*(F.bit_or(F.when(F.floor(F.col("trigram") / 62) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("trigram") % 62)).otherwise(F.lit(0).cast("long"))).alias(f"held{w}") for w in words))
-    bit = {t: F.col(f"held{i // 62}").bitwiseAND(F.lit(1 << i % 62).cast("long")) != 0 for i, t in enumerate(wanted)}
-    flags = sum((F.when(_holds(q, bit), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, q) in enumerate(rules)), F.lit(0))
-    return held.select(key, flags.cast("long").alias("rules")).where("rules <> 0")
+def candidates(held: list[Column], wanted: list[str], rules: list[tuple[Rule, object]]) -> Column:
+    """Intersect the postings: the bits of the rules whose query a document satisfies."""
+    bit = {t: held[i // _BITS].bitwiseAND(F.lit(1 << i % _BITS).cast("long")) != 0 for i, t in enumerate(wanted)}
+    return sum((F.when(_holds(q, bit), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, q) in enumerate(rules)), F.lit(0)).cast("long")
 
 
 # -- verification --------------------------------------------------------------
-def matches(text: Column, rule: Rule) -> Column:
-    """array<struct<start, stop>> of a rule's matches, leftmost and not overlapping, in code points."""
+def running(sizes: Column) -> Column:
+    """Inclusive prefix sums of an array of longs, in blocks of about the root of its length."""
+    zero, side = F.lit(0).cast("long"), F.greatest(F.ceil(F.sqrt(F.size(sizes))), F.lit(1)).cast("int")
+
+    def total(part):
+        return F.aggregate(part, zero, lambda a, v: a + v)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / side).cast("int")), lambda k: F.slice(sizes, k * side + 1, side))
+    inner = F.transform(blocks, lambda b: F.transform(b, lambda v, i: total(F.slice(b, F.lit(1), i + 1))))
+
+    def based(rows):
+        def one(row, k):
+            base = total(F.transform(F.slice(rows, F.lit(1), k), lambda r: F.coalesce(F.get(r, F.size(r) - 1), zero)))
+            # Arrays of one, so that inner and base are computed once.
+            return F.get(F.transform(F.array(base), lambda x: F.transform(row, lambda v: v + x)), F.lit(0))
+
+        return F.flatten(F.transform(rows, one))
+
+    return F.get(F.transform(F.array(inner), based), F.lit(0))
+
+
+def with_matches(rows: DataFrame, rule: Rule, out: str, wanted: Column | None) -> DataFrame:
+    """Add a rule's matches to rows with a text: array<struct<start, stop>>, leftmost and not
+    overlapping, in code points.  Texts that are not wanted have none.
+
+    The steps are columns of their own, so none is computed again for every match.
+    """
     pattern = rule.scan or rule.pattern
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
+    w_, g_, s_, e_ = (f"{out}_{x}" for x in ("whole", "group", "gaps", "ends"))
+    whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    step = rows.withColumn(w_, whole if wanted is None else F.when(wanted, whole).otherwise(F.array().cast("array<string>")))
+    some = F.size(w_) > 0
     # Lengths of the pieces before each match; the pieces and matches in a row are the text.
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    sizes = F.transform(whole, lambda m: F.length(m))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
-    found = F.aggregate(
-        steps,
-        start,
-        lambda acc, s: F.struct((acc["at"] + s["gap"] + s["size"]).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("stop")))).alias("found")),
-        lambda acc: acc["found"],
-    )
-    long = F.zip_with(found, group, lambda m, g: F.when(F.length(g) >= rule.least, m))
-    return F.filter(long, lambda m: m.isNotNull())
+    step = step.withColumn(s_, F.when(some, F.zip_with(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(w_)), w_, lambda p, m: (F.length(p) + F.length(m)).cast("long"))).otherwise(F.array().cast("array<long>")))
+    step = step.withColumn(e_, running(F.col(s_)))
+    step = step.withColumn(g_, F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(rule.group))).otherwise(F.col(w_)) if rule.group else F.col(w_))
+    long = F.transform(w_, lambda m, i: F.when(F.length(F.get(F.col(g_), i)) >= rule.least, F.struct((F.get(F.col(e_), i) - F.length(m)).cast("int").alias("start"), F.get(F.col(e_), i).cast("int").alias("stop"))))
+    return step.withColumn(out, F.filter(long, lambda m: m.isNotNull())).drop(w_, g_, s_, e_)
 
 
 def _ranked(found: Column, rank: int, kind: str) -> Column:
@@ -194,33 +222,30 @@ def secret_scan(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
     n_hex.  Positions are code points, the end exclusive; each rule's matches are
     the leftmost ones that don't overlap, and those too short are dropped.
 
-    A Boolean query on trigrams is derived from each pattern (``trigram_query``).
-    The index holds the documents of those trigrams; intersected postings name
-    the candidates, and only they meet the pattern.  A rule without mandatory
-    trigrams (hex) scans every text.  Lower-cased trigrams only widen the set.
+    A Boolean query on trigrams is derived from each pattern (``trigram_query``).  One
+    pass finds the wanted trigrams of each document; its postings are kept as bits by
+    document, so they are intersected where the text is and no text is shuffled.  Only
+    candidates meet the pattern; a rule without mandatory trigrams (hex) scans every
+    text.  Lower-cased trigrams only widen the set.
 
     Null text: empty, no spans.  Null or repeated doc_id: each row has its own
-    result; postings are kept by text.  Empty table: no rows.  The spans of one
-    document are kept in one array.
+    result.  Empty table: no rows.  The spans of one document are kept in one array; a
+    text with m matches takes time in proportion to its length and m ** 1.5.
     """
     rules = (*BASE, *more)
     known = [(r, trigram_query(r.pattern)) for r in rules]
     indexed = [(r, q) for r, q in known if q is not None]
     wanted = sorted(set().union(*(trigrams(q) for _, q in indexed)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # Equal texts have equal postings, and a collision only widens the candidates.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    picked = candidates(postings(rows, wanted, "key"), wanted, indexed, "key")
-    both = rows.hint("shuffle_merge").join(picked, "key", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    words = postings(F.col("text"), wanted)
+    rows = rows.withColumns({f"held{i}": w for i, w in enumerate(words)})
+    rows = rows.withColumn("rules", candidates([F.col(f"held{i}") for i in range(len(words))], wanted, indexed))
     place = {r.kind: i for i, (r, _) in enumerate(indexed)}
-    none = F.array().cast("array<struct<rank:int,kind:string,start:int,stop:int>>")
-    found = []
     for rank, (rule, _) in enumerate(known):
-        told = _ranked(matches(F.col("text"), rule), rank, rule.kind)
-        if rule.kind in place:
-            told = F.when(F.col("rules").bitwiseAND(F.lit(1 << place[rule.kind])) != 0, told).otherwise(none)
-        found.append(told.alias(f"f{rank}"))
-    out = both.select("doc_id", *found)
+        picked = F.col("rules").bitwiseAND(F.lit(1 << place[rule.kind]).cast("long")) != 0 if rule.kind in place else None
+        rows = with_matches(rows, rule, f"m{rank}", picked)
+    out = rows.select("doc_id", *(_ranked(F.col(f"m{i}"), i, r.kind).alias(f"f{i}") for i, (r, _) in enumerate(known)))
     spans = F.array_sort(F.concat(*(F.col(f"f{i}") for i in range(len(known)))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
     return out.select("doc_id", *(F.size(f"f{i}").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)), spans.alias("spans"))
 
