@@ -196,48 +196,77 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
+#: Rows of the site table that are broadcast; a larger one is joined by shuffles.
+SITES = 100_000
+
+
+def _spread(total, x: str, level: str, below: str | None) -> float:
+    """Variance of the rates between the groups of a level, inside those of the level below
+    (None: the whole corpus), beyond what sampling explains: the method of moments."""
+    n = total["n"]
+    rate = total[x] / n
+    inner = total[f"{level}{x}2"] / n
+    outer, free = (rate * rate, 1) if below is None else (total[f"{below}{x}2"] / n, total[f"{below}k"])
+    return max(inner - outer - rate * (1 - rate) * (total[f"{level}k"] - free) / n, 1e-6)
+
+
 def quality_scores(docs: DataFrame, model, columns: list[str] | None = None, host: str = "source", path: str = "lang", strength: float = 0.25, limit: float = 0.5) -> DataFrame:
     """Add quality and clean posteriors and ``keep`` to ``columns`` of docs (all by default).
 
-    The document's evidence is a log likelihood ratio of a linear classifier.
-    A path is (host, path column).  Soft counts of all documents give the global
-    rate, hosts shrink towards it and paths towards their host, each by a
-    pseudo-count from the spread between groups (method of moments), so a sparse
-    site stays near the global prior.  A site moves a document's log odds by at
-    most ``strength`` times its own difference from the global rate.  Documents
-    are kept if both posteriors are at least ``limit``.  Columns of docs with the
-    names that are added here are replaced.
+    The document's evidence is a log likelihood ratio of a linear classifier; every text
+    is scored once, in a written table.  A path is (host, path column).  Soft counts of
+    all documents give the global rate; hosts shrink towards it and paths towards their
+    host, each level by a pseudo-count from its own spread (method of moments), so a sparse
+    site stays near the global prior.  A document is left out of its own site's counts.  A
+    site moves a document's log odds by ``strength`` times its difference from the
+    global rate: the counts are soft and come from the same evidence, so in full they would
+    count it twice.  Documents are kept if both posteriors are at least ``limit``.  Columns
+    of docs with the names that are added here are replaced.
     """
-    added = ("quality_evidence", "clean_evidence", "quality_posterior", "clean_posterior", "keep", "_host", "_path", "_q", "_c")
+    added = ("quality_evidence", "clean_evidence", "quality_posterior", "clean_posterior", "keep")
     names = [c for c in columns or docs.columns if c not in added]
-    picked = docs.select(*dict.fromkeys([*names, "text", host, path]))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema]
-    scored = picked.mapInArrow(_scored(model, picked.columns), ", ".join([*fields, "quality_evidence double", "clean_evidence double"]))
-    site = [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path")]
-    bases = [head[2] for head in model]
-    slim = docs.select("text", host, path).mapInArrow(_scored(model, ["text", host, path]), ", ".join(["text string", *(f for f in fields if f.split()[0] in (f"`{host}`", f"`{path}`")), "quality_evidence double", "clean_evidence double"]))
-    soft = slim.select(*site, _sigmoid(F.col("quality_evidence") + bases[0]).alias("q"), _sigmoid(F.col("clean_evidence") + bases[1]).alias("c"))
-    paths = soft.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("q").alias("q"), F.sum("c").alias("c"))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("q").alias("hq"), F.sum("c").alias("hc"))
-    total = hosts.agg(F.count("*").alias("k"), F.sum("hn").alias("n"), *(F.sum(f"h{x}").alias(x) for x in "qc"), *(F.sum(F.col(f"h{x}") * F.col(f"h{x}") / F.col("hn")).alias(f"{x}2") for x in "qc")).first()
-    rates, counts = {}, {}
-    for x in "qc":
-        n = total["n"] or 0
-        rate = min(max((total[x] or 0.0) / n, 1e-4), 1 - 1e-4) if n else 0.5
-        # Between-host variance of the rates, beyond what sampling explains.
-        spread = max((total[f"{x}2"] or 0.0) / n - rate * rate - rate * (1 - rate) * (total["k"] or 0) / n, 1e-6) if n else 1e-6
-        rates[x], counts[x] = rate, min(max(rate * (1 - rate) / spread - 1, 1.0), 1e4)
-    sites = paths.join(hosts, "_host")
+    sources = list(dict.fromkeys([*names, "text", host, path]))
+    mark = "_"
+    while any(c.startswith(mark) for c in sources):
+        mark += "_"
+    picked = docs.select(*sources)
+    passed = [c for c in sources if c in names or c in (host, path)]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name in passed]
+    scored = materialize(picked.mapInArrow(_scored(model, passed), ", ".join([*fields, "quality_evidence double", "clean_evidence double"])))
+    bases = {"q": model[0][2], "c": model[1][2]}
+    evidence = {"q": F.col("quality_evidence") + bases["q"], "c": F.col("clean_evidence") + bases["c"]}
+    h_, p_ = mark + "host", mark + "path"
+    site = {h_: F.coalesce(F.col(host).cast("string"), F.lit("")), p_: F.coalesce(F.col(path).cast("string"), F.lit(""))}
+    soft = scored.select(*(c.alias(k) for k, c in site.items()), *(_sigmoid(evidence[x]).alias(x) for x in "qc"))
+    paths = soft.groupBy(h_, p_).agg(F.count("*").alias("n"), F.sum("q").alias("q"), F.sum("c").alias("c"))
+    hosts = paths.groupBy(h_).agg(F.sum("n").alias("hn"), F.sum("q").alias("hq"), F.sum("c").alias("hc"))
+    sites = materialize(paths.join(hosts, h_))
+
+    def squares(n, x):
+        return F.sum(F.col(x) * F.col(x) / F.col(n))
+
+    total = sites.agg(F.count("*").alias("pk"), F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in "qc"), *(squares("n", x).alias(f"p{x}2") for x in "qc")).first().asDict()
+    total |= sites.select(h_, "hn", "hq", "hc").distinct().agg(F.count("*").alias("hk"), *(squares("hn", f"h{x}").alias(f"h{x}2") for x in "qc")).first().asDict()
+    posterior = {}
     for x in "qc":
-        of_host = (F.col(f"h{x}") + counts[x] * rates[x]) / (F.col("hn") + counts[x])
-        of_path = (F.col(x) + counts[x] * of_host) / (F.col("n") + counts[x])
-        sites = sites.withColumn(f"_{x}", F.lit(strength) * (_logit(F.greatest(F.least(of_path, F.lit(1 - 1e-4)), F.lit(1e-4))) - float(np.log(rates[x] / (1 - rates[x])))))
-    sites = sites.select("_host", "_path", "_q", "_c")
-    keyed = scored.withColumns({"_host": site[0], "_path": site[1]})
-    both = keyed.join(sites, ["_host", "_path"], "left")
-    quality = _sigmoid(F.col("quality_evidence") + bases[0] + F.coalesce("_q", F.lit(0.0)))
-    clean = _sigmoid(F.col("clean_evidence") + bases[1] + F.coalesce("_c", F.lit(0.0)))
-    return both.select(*names, quality.alias("quality_posterior"), clean.alias("clean_posterior")).withColumn("keep", (F.col("quality_posterior") >= limit) & (F.col("clean_posterior") >= limit))
+        rate, many = 0.5, {"h": 1.0, "p": 1.0}
+        if total["n"]:
+            rate = min(max(total[x] / total["n"], 1e-4), 1 - 1e-4)
+            for level, below in (("h", None), ("p", "h")):
+                many[level] = min(max(rate * (1 - rate) / _spread(total, x, level, below) - 1, 1.0), 1e4)
+        own = _sigmoid(evidence[x])
+        of_host = (F.col(f"{mark}h{x}") - own + many["h"] * rate) / (F.col(f"{mark}hn") - 1 + many["h"])
+        of_path = (F.col(f"{mark}{x}") - own + many["p"] * of_host) / (F.col(f"{mark}n") - 1 + many["p"])
+        moved = F.lit(strength) * (_logit(F.greatest(F.least(of_path, F.lit(1 - 1e-4)), F.lit(1e-4))) - float(np.log(rate / (1 - rate))))
+        posterior[x] = _sigmoid(evidence[x] + moved)
+    keys = [F.col(f"{mark}{c}").alias(f"{mark}s_{c}") for c in ("host", "path")]
+    sites = sites.select(*keys, *(F.col(c).alias(mark + c) for c in ("n", "q", "c", "hn", "hq", "hc")))
+    same = (F.col(h_) == F.col(f"{mark}s_host")) & (F.col(p_) == F.col(f"{mark}s_path"))
+    # A site's documents may be a third of all: read from a table, the join's own shuffle can be split.
+    small = total["pk"] <= SITES
+    both = scored.withColumns(site).join(F.broadcast(sites) if small else sites.hint("shuffle_merge"), same)
+    out = both.select(*names, posterior["q"].alias("quality_posterior"), posterior["c"].alias("clean_posterior"))
+    return out.withColumn("keep", (F.col("quality_posterior") >= limit) & (F.col("clean_posterior") >= limit))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, columns: list[str] | None = None) -> DataFrame:
