@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 #: Characters of a block, and documents of a numbering bucket on average.
 BLOCK, BUCKET = 65_536, 4_096
+#: Sources of a mixture; more are an error, not a silent cut.
+MOST_SOURCES = 10_000
 
 
 def order_key(doc_id: Column) -> Column:
@@ -28,10 +30,12 @@ def shares(docs: DataFrame, weights: dict[str, int] | None = None, period: int =
         named = F.coalesce(*(F.when(F.col("source") == s, F.lit(int(w))) for s, w in weights.items()), F.lit(1))
         table = sizes.select("source", named.cast("long").alias("share"))
     else:
-        total = sizes.select(F.sum(F.sqrt("chars")).alias("t"))
-        table = sizes.crossJoin(F.broadcast(total)).select("source", F.greatest(F.lit(1), F.floor(F.sqrt("chars") * period / F.greatest("t", F.lit(1.0)))).cast("long").alias("share"))
+        # A row for each source.
+        total = sizes.withColumn("t", F.sum(F.sqrt("chars")).over(W.partitionBy(F.lit(0))))
+        table = total.select("source", F.greatest(F.lit(1), F.floor(F.sqrt("chars") * period / F.greatest("t", F.lit(1.0)))).cast("long").alias("share"))
     # One row: as many entries as there are sources.
     packed = table.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("all"))
+    packed = packed.withColumn("all", F.when(F.size("all") <= MOST_SOURCES, F.col("all")).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))))
     packed = packed.withColumn("period", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["share"]))
     return packed
 
@@ -48,7 +52,7 @@ def period_slots(packed: DataFrame) -> DataFrame:
     shares_ = "transform(all, x -> x.share)"
     pick = f"""array_min(filter(transform(acc.done, (d, i) -> named_struct(
         'due', cast(ceil((d + 1) * period / element_at({shares_}, i + 1)) as bigint), 'i', i,
-        'open', d < element_at({shares_}, i + 1) and d * period <= t * element_at({shares_}, i + 1))), x -> x.open)).i"""
+        'open', d < element_at({shares_}, i + 1) and d * period < (t + 1) * element_at({shares_}, i + 1))), x -> x.open)).i"""
     plan = f"""aggregate(sequence(0L, period - 1), named_struct('done', transform(all, x -> 0L), 'plan', cast(array() as array<int>), 'next', 0),
         (acc, t) -> transform(array({pick}), p -> named_struct('done', transform(acc.done, (d, i) -> if(i = p, d + 1, d)), 'plan', concat(acc.plan, array(p)), 'next', p))[0],
         acc -> acc.plan)"""
@@ -75,8 +79,11 @@ def pfair_mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int
     Numbering runs in two levels, buckets of ids and documents in them, so a
     source of any size is spread over tasks.  Null source: the source ''.  Null
     text: no characters.  Null or repeated ids: ordered by text; equal rows are
-    interchangeable.  Columns named block, release, deadline or slot are
-    replaced.  Empty table: no rows.
+    interchangeable.  A document longer than a block takes the slot of the block in
+    which it starts, so one slot may hold more than ``block`` characters, and the blocks
+    that it covers whole stay empty: weights hold in slots, over characters on average.
+    Columns named block, release, deadline or slot are replaced.  Empty table: no rows.
+    The schedule is one row of ``period`` turns, so sources are at most ``MOST_SOURCES``.
     """
     mark = "_"
     while any(c.startswith(mark) for c in docs.columns):
