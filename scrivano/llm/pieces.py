@@ -220,7 +220,11 @@ def encoder(data: bytes) -> Encoder:
     return _BUILT[key]
 
 
-def sentencepiece_tokens(docs: DataFrame, model: bytes, columns: list[str] | None = None, threads: int = 1) -> DataFrame:
+#: Threads of a Python worker that encode the new words of a batch.
+THREADS = 2
+
+
+def sentencepiece_tokens(docs: DataFrame, model: bytes, columns: list[str] | None = None, threads: int = THREADS) -> DataFrame:
     """Add token_ids, n_tokens and round_trip (decoding gives the text back) to ``columns`` of docs.
 
     The model's protobuf is parsed here and rebuilt for the tokenizers library:
