@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -23,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+#: The tables of the open ``temporary`` blocks.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def temporary():
+    """Remove at the end the tables that are written inside, but for those taken out of the list."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        discard(*_OPEN.pop())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, every
     executor sees it, and a lost executor loses nothing of it."""
@@ -31,6 +46,8 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
