@@ -15,7 +15,7 @@ from scrivano.llm.mixing import pfair_mix
 from scrivano.llm.near import minhash_near_dedup
 from scrivano.llm.pieces import DEFAULT_MODEL, read_model, sentencepiece_tokens
 from scrivano.llm.quality import quality_classifier
-from scrivano.llm.scratch import materialize
+from scrivano.llm.scratch import materialize, temporary
 
 #: The tokenizer's model file.
 MODEL = DEFAULT_MODEL
@@ -27,7 +27,10 @@ def _only(docs: DataFrame, dedup) -> DataFrame:
     while name in docs.columns:
         name = "_" + name
     numbered = materialize(docs.withColumn(name, F.monotonically_increasing_id()))
-    kept = dedup(numbered, row=name).where("kept").select(F.col("rid").alias(name))
+    with temporary() as tables:
+        kept = materialize(dedup(numbered, row=name).where("kept").select(F.col("rid").alias(name)))
+        # All that the operator has written but the numbers goes.
+        tables[:] = [t for t in tables if t is not kept]
     return numbered.join(kept.hint("shuffle_merge"), name, "left_semi").drop(name)
 
 
