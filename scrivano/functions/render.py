@@ -44,13 +44,16 @@ def bibtex(full_name: Column, owner: Column, url: Column, starred: Column, descr
 
 
 def adoc_table(cells: DataFrame, table: str = "table_id") -> DataFrame:
-    """AsciiDoc tables from (table, row, ord, text, colspan, rowspan)."""
+    """AsciiDoc tables from (table, row, ord, text, colspan, rowspan): a line for each cell, a
+    blank line after each row.  A table has as many columns as its widest row has spans."""
     col, row = F.col("colspan"), F.col("rowspan")
     span = F.concat(F.when(col > 1, col.cast("string")).otherwise(F.lit("")), F.when(row > 1, F.concat(F.lit("."), row.cast("string"))).otherwise(F.lit("")))
-    cell = F.concat(span, F.when(span != "", F.lit("+")).otherwise(F.lit("")), F.lit("|"), F.replace(F.col("text"), F.lit("|"), F.lit("\\|")))
-    rows = cells.groupBy(table, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", cell.alias("c")))), lambda x: x["c"]), " ").alias("line"))
-    packed = rows.groupBy(table).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return packed.select(table, F.concat(F.lit("|===\n"), F.col("body"), F.lit("\n|===")).alias("text"))
+    # A newline in a cell is a hard break.
+    cell = F.concat(span, F.when(span != "", F.lit("+")).otherwise(F.lit("")), F.lit("| "), F.replace(F.col("text"), F.lit("\n"), F.lit(" +\n")), F.lit("\n"))
+    rows = cells.groupBy(table, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", cell.alias("c")))), lambda x: x["c"]), "").alias("lines"), F.sum(F.greatest(col, F.lit(1))).alias("wide"))
+    packed = rows.groupBy(table).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "lines"))), lambda x: x["lines"]), "\n").alias("body"), F.max("wide").alias("wide"))
+    head = F.concat(F.lit('[cols="'), F.array_join(F.array_repeat(F.lit("1"), F.col("wide").cast("int")), ","), F.lit('"]\n|===\n'))
+    return packed.select(table, F.concat(head, F.col("body"), F.lit("\n|===")).alias("text"))
 
 
 # Publishing surfaces (key, class, character limit, summary language, link rule).

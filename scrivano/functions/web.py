@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .markup import decode_entities, strip_tags
-from .rx import Step, rewrite, strip, sub
+from .rx import WORD, Step, rewrite, strip, sub
 
 
 @F.pandas_udf(T.StringType())
@@ -75,7 +75,7 @@ EXPORT_STEPS = (
     Step("section", r"(?md)^:{3,}.*Section\d+.*$"),
     Step("attributes", r"(?md)^:{3,}\s*\{[^}]*\}\s*$"),
     Step("fence", r"(?md)^:{3,}\s*$"),
-    Step("named fence", r"(?md)^:{3,}\s+[\w\-]+$"),
+    Step("named fence", rf"(?md)^:{{3,}}\s+(?:{WORD}|-)+$"),
     Step("code", r"```\s*\{\.syntaxhighlighter-pre[^}]+\}", "```json"),
     Step("heading id", r"\s+\{#[^}]+\}"),
     Step("blank lines", r"\n{4,}", "\n\n\n"),

@@ -120,12 +120,15 @@ def trim_edges(lines: DataFrame, drop: Column, key: str = "doc_id") -> DataFrame
     return bounds.where("pos BETWEEN _lo AND _hi").drop("_lo", "_hi")
 
 
-def parents(lines: DataFrame, level: str = "level", key: str = "doc_id", deepest: int = 8) -> DataFrame:
-    """Add parent: the position of the nearest line before of a lower level."""
+def parents(lines: DataFrame, level: str = "level", key: str = "doc_id") -> DataFrame:
+    """Add parent: the position of the nearest line before of a lower level, whatever the depth.
+
+    The deepest level, one number, is read first; there is a window for each level."""
+    deepest = lines.agg(F.max(level)).first()[0] or 0
     before = _order(key).rowsBetween(W.unboundedPreceding, -1)
-    latest = {k: F.max(F.when(F.col(level) == k, F.col("pos"))).over(before) for k in range(1, deepest + 1)}
+    latest = {k: F.max(F.when(F.col(level) == k, F.col("pos"))).over(before) for k in range(1, deepest)}
     parent = F.lit(None).cast("int")
-    for k in range(deepest, 0, -1):
-        lower = F.greatest(*(latest[j] for j in range(1, k)), F.lit(-1)) if k > 1 else F.lit(-1)
+    for k in range(deepest, 1, -1):
+        lower = F.greatest(*(latest[j] for j in range(1, k)), F.lit(-1))
         parent = F.when(F.col(level) == k, F.nullif(lower, F.lit(-1))).otherwise(parent)
     return lines.withColumn("parent", parent)

@@ -105,11 +105,56 @@ def adoc_cells(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return cells.select(key, "pos", "ord", F.replace(F.trim(F.col("c.t")), F.lit("\u0001"), F.lit("|")).alias("text"), col.alias("colspan"), row.alias("rowspan"))
 
 
-def org_headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Headings of Org outlines with their nearest ancestor: key, pos, level, title, parent."""
-    rows = L.explode_lines(docs, key, text).where(F.col("line").rlike(r"^\*+\s"))
-    rows = rows.select(key, "pos", F.length(F.regexp_extract("line", r"^(\*+)", 1)).alias("level"), strip(F.regexp_extract("line", r"^\*+\s+(.*)$", 1)).alias("title"))
-    return L.parents(rows, "level", key)
+# What an Org outline consists of: a block with its end, a heading with its drawer, or a line.
+_BLANK = r"[^\S\n]"
+ORG_BLOCK = rf"{_BLANK}*#\+BEGIN_(\S*)[^\n]*(?:\n(?s:.*?)(?:^{_BLANK}*#\+END_\1[^\n]*$|\z)|\z)"
+ORG_HEADING = rf"\*+{_BLANK}+[^\n]+(?:\n{_BLANK}*:PROPERTIES:{_BLANK}*$(?s:.*?)(?:^{_BLANK}*:END:{_BLANK}*$|\z))?"
+ORG_TOKEN = rf"(?md)^(?:{ORG_BLOCK}|{ORG_HEADING}|[^\n]+)"
+ORG_NUMBER = r"(?md)^\s*:HWPX_IDX:\s*(\d+)"
+
+
+def org_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, token, kind): the tokens of Org texts in order; blank lines are none.
+
+    kind: block, heading, paragraph, or title, date, number, directive, which are no elements."""
+    rows = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(ORG_TOKEN), F.lit(0))).alias("pos", "token"))
+    t = F.col("token")
+    kind = (
+        F.when(t.rlike(r"^#\+TITLE:"), "title").when(t.rlike(r"^#\+DATE:"), "date").when(t.rlike(r"^#\+HWPX:\s*\d"), "number")
+        .when(t.rlike(rf"^{_BLANK}*#\+BEGIN_"), "block").when(t.startswith("#+"), "directive").when(t.rlike(rf"^\*+{_BLANK}+[^\n]"), "heading").otherwise("paragraph")
+    )
+    return rows.withColumn("kind", kind).where((F.col("kind") == "block") | (strip(t) != ""))
+
+
+def org_elements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Elements of Org outlines: key, pos, kind, level (0 if no heading), title, number, parent.
+
+    title: a heading's or paragraph's text, a block as it stands.  number: a heading's from
+    its drawer, another element's from the '#+HWPX:' line between it and the element before.
+    parent: the position of the nearest heading above of a lower level; for what is no
+    heading the nearest heading.  In the order of pos this is the tree in preorder.
+    Null texts have no elements."""
+    rows = org_tokens(docs, key, text).where("kind NOT IN ('title', 'date', 'directive')")
+    order = W.partitionBy(key).orderBy("pos")
+    told = F.when(F.col("kind") == "number", F.regexp_extract("token", r"^#\+HWPX:\s*(\d+)", 1).cast("int"))
+    rows = rows.withColumn("gap", F.coalesce(F.sum((F.col("kind") != "number").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("told", F.last(told, ignorenulls=True).over(W.partitionBy(key, "gap").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    is_heading = F.col("kind") == "heading"
+    own = F.try_element_at(F.regexp_extract_all("token", F.lit(ORG_NUMBER), F.lit(1)), F.lit(-1)).cast("int")
+    title = F.when(is_heading, F.regexp_extract("token", r"^\*+\s+([^\n]+)", 1)).when(F.col("kind") == "paragraph", strip(F.col("token"))).otherwise(F.col("token"))
+    level = F.when(is_heading, F.length(F.regexp_extract("token", r"^(\*+)", 1))).otherwise(F.lit(0))
+    out = rows.where("kind <> 'number'").select(key, "pos", "kind", level.alias("level"), title.alias("title"), F.when(is_heading, own).otherwise(F.col("told")).alias("number"))
+    # What is no heading stands below all levels.
+    below = F.max("level").over(W.partitionBy(key)) + 1
+    ranked = out.withColumn("rank", F.when(F.col("level") > 0, F.col("level")).otherwise(below))
+    return L.parents(ranked, "rank", key).drop("rank")
+
+
+def org_meta(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, title, date of Org texts: the last lines of their kind, '' if there is none."""
+    rows = org_tokens(docs, key, text)
+    last = [F.coalesce(F.max_by(F.when(F.col("kind") == k, strip(sub(F.col("token"), r"^#\+[A-Z]+:", ""))), F.when(F.col("kind") == k, F.col("pos"))), F.lit("")).alias(k) for k in ("title", "date")]
+    return docs.select(key).distinct().join(rows.groupBy(key).agg(*last), key, "left").select(key, *(F.coalesce(k, F.lit("")).alias(k) for k in ("title", "date")))
 
 
 @udtf(returnType="idx int, kind string, level int, text string, extra string")

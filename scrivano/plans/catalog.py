@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markup, names, render, rx, web
-from ..operators import analytics, articles, classify, evaluate, lines, match, outline, parse
+from ..operators import analytics, articles, books, classify, evaluate, lines, match, outline, parse
 from .fixtures import frame, values
 
 QUERIES: dict = {}
@@ -757,7 +757,7 @@ def template_fill(spark, sf_dir):
     return outline.fill_template(slots, content)
 
 
-@query("SELECT n_regionkey AS table_id, concat('|===', chr(10), string_agg(concat('|', n_nationkey, ' ', CASE WHEN n_nationkey % 3 = 0 THEN '2+' WHEN n_nationkey % 3 = 1 THEN '2.3+' ELSE '.3+' END, '|', n_name), chr(10) ORDER BY n_nationkey), chr(10), '|===') AS text FROM nation GROUP BY n_regionkey")
+@query('''SELECT n_regionkey AS table_id, concat(CASE WHEN max(n_nationkey % 3 < 2) THEN '[cols="1,1,1"]' ELSE '[cols="1,1"]' END, chr(10), '|===', chr(10), string_agg(concat('| ', n_nationkey, chr(10), CASE WHEN n_nationkey % 3 = 0 THEN '2+' WHEN n_nationkey % 3 = 1 THEN '2.3+' ELSE '.3+' END, '| ', n_name, chr(10)), chr(10) ORDER BY n_nationkey), chr(10), '|===') AS text FROM nation GROUP BY n_regionkey''')
 def adoc_render(spark, sf_dir):
     """SNK-10: tables with spans, one for each region."""
     n = table(spark, sf_dir, "nation")
@@ -779,7 +779,7 @@ def residue_audit(spark, sf_dir):
 def article_protect(spark, sf_dir):
     """HTML-03/04, STR-49: elements out of a body and back."""
     docs = spark.createDataFrame([(1, 'a <d-math>x</d-math> <d-footnote>see\n<d-cite bibtex-key="" key="a, b"></d-cite></d-footnote> <d-math block> y </d-math>')], "id int, html string")
-    kept = docs.select("id", articles.protect("html").alias("p"))
+    kept = articles.with_protected(docs, "html", "p")
     back = kept.select("id", F.col("p.text").alias("text"), web.restore(F.col("p.text"), F.col("p.store")).alias("back"))
     return back.withColumn("leftover", web.residue(F.col("back"))["leftover"].cast("int"))
 
@@ -788,14 +788,14 @@ def article_protect(spark, sf_dir):
 def html_tables(spark, sf_dir):
     """STR-28: HTML tables as pipe rows."""
     docs = spark.createDataFrame([(1, "x\n<table><tr><td>a</td><td>&gt;</td></tr><tr><th> b </th><td></td></tr></table>\ny")], "id int, t string")
-    return docs.select("id", articles.tables_to_org("t").alias("org"))
+    return docs.select("id", articles.tables_to_org(F.col("t")).alias("org"))
 
 
 @query(_rows("id, t", "1, concat('* Energy α_1 ≤', chr(10), 'body \\(\\alpha\\)')"))
 def plain_headings(spark, sf_dir):
     """STR-29: maths in headings."""
     docs = spark.createDataFrame([(1, "* Energy \\(\\alpha_{1} \\leq \\mathrm{x}\\)\nbody \\(\\alpha\\)")], "id int, t string")
-    return docs.select("id", articles.plain_headings("t").alias("t"))
+    return docs.select("id", articles.plain_headings(F.col("t")).alias("t"))
 
 
 _ODT = """<o xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><table:table><table:table-header-rows><table:table-row><table:table-cell table:number-columns-spanned="2"><text:p>Head<text:span> er</text:span></text:p></table:table-cell><table:covered-table-cell/></table:table-row></table:table-header-rows><table:table-row><table:table-cell table:number-rows-spanned="3"><text:p>a</text:p><text:p>b</text:p></table:table-cell><table:table-cell/></table:table-row></table:table></o>"""
@@ -848,3 +848,44 @@ def capsule_requests(spark, sf_dir):
     p = "https://a/x"
     log = [(p, "https://a/i.png", 200, 1), (p, "https://a/i.png", 404, 2), (p, "https://b/j", 200, 3), (p, "data:1", 200, 4), (p, "https://a/favicon.ico", 404, 5), (p, "https://a/z", 404, 6)]
     return articles.requests(spark.createDataFrame(log, "page string, url string, status int, nth int"))
+
+
+# -- outlines and books made of the documents' lines ----------------------------
+_OUTLINE_SQL = """
+    WITH l AS (SELECT doc_id, CAST(unnest(range(len(w))) AS BIGINT) AS i, unnest(w) AS line
+               FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL)),
+    k AS (SELECT doc_id, i, regexp_replace(line, '[^a-zA-Z ]', '', 'g') AS line, 1 + (i // 3 + doc_id) % 10 AS level FROM l),
+    m AS (SELECT doc_id, i, trim(line) AS title, CASE WHEN i % 3 = 0 THEN level ELSE 0 END AS level FROM k WHERE i % 3 = 0 OR trim(line) <> ''),
+    e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM m)
+    SELECT a.doc_id, CAST(a.nth AS INT) AS nth, CASE WHEN a.level > 0 THEN 'heading' ELSE 'paragraph' END AS kind, CAST(a.level AS INT) AS level,
+           CASE WHEN a.level > 0 THEN trim(concat('h ', a.title)) ELSE a.title END AS title,
+           CAST(CASE WHEN a.level = 0 THEN a.i ELSE NULL END AS INT) AS number,
+           (SELECT CAST(max(b.nth) AS INT) FROM e b WHERE b.doc_id = a.doc_id AND b.nth < a.nth AND b.level > 0 AND (a.level = 0 OR b.level < a.level)) AS parent
+    FROM e a"""
+
+
+@query(_OUTLINE_SQL)
+def org_tree(spark, sf_dir):
+    """ORG-01/02, SRC-09: Org outlines made of every document's lines, as elements with their parents."""
+    rows = lines.explode_lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    plain = F.regexp_replace("line", "[^a-zA-Z ]", "")
+    stars = F.repeat(F.lit("*"), (1 + (F.floor(F.col("pos") / 3) + F.col("doc_id")) % 10).cast("int"))
+    heading = F.concat(stars, F.lit(" h "), F.trim(plain), F.lit("\n:PROPERTIES:\n:ID: * x\n:END:"))
+    made = rows.select("doc_id", "pos", F.when(F.col("pos") % 3 == 0, heading).otherwise(F.concat(F.lit("#+HWPX: "), F.col("pos").cast("string"), F.lit("\n"), plain)).alias("line"))
+    found = parse.org_elements(lines.assemble(made))
+    # Positions of tokens as numbers of elements.
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))
+    found = found.withColumn("nth", nth)
+    up = found.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("nth").alias("parent_nth"))
+    both = found.join(up, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("p")), "left")
+    return both.select("doc_id", "nth", "kind", "level", F.trim("title").alias("title"), "number", F.col("parent_nth").alias("parent"))
+
+
+@query()
+def book_chapters(spark, sf_dir):
+    """STM-07, FLT-17, STR-50, WIN-13/14: the chapters of books made of every document's lines."""
+    rows = lines.explode_lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    made = [F.lit("# 7강"), F.lit("3장"), F.lit("# IV."), F.lit("# 2"), F.lit(""), F.concat(F.lit("# "), F.substring("line", 1, 12)), F.lit("# One"), F.lit("# (2) item"), F.lit("# 〈x〉"), F.lit("# Un"), F.lit("# 찾아보기")]
+    pick = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(40))
+    line = F.coalesce(F.get(F.array(*made), pick.cast("int")), F.col("line"))
+    return books.chapters(rows.select("doc_id", "pos", line.alias("line")), {"One": "1장", "Two": "2장"}, {"Un": "One"})

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrivano.functions import markup, names, rx
-from scrivano.operators import classify, evaluate, lines, match, parse
+from scrivano.operators import books, classify, evaluate, lines, match, parse
 from scrivano.plans import catalog
 
 
@@ -235,3 +235,99 @@ def test_all_words_count(spark):
     got = {r.tag: r.n for r in catalog.QUERIES["all_word_freq_top"](spark, d).collect()}
     assert min(map(len, got)) < 6 and len(got) == min(50, len(told))
     assert all(told[w] == n for w, n in got.items())
+
+
+ORG = """#+TITLE: Old
+#+TITLE:  A title
+#+STARTUP: x
+#+DATE: 2024-01-02
+#+HWPX: 4
+intro text
+
+#+HWPX: 9
+* One
+:PROPERTIES:
+:HWPX_IDX: 3
+:HWPX_IDX: 5
+:END:
+  #+BEGIN_SRC py
+* no heading
+#+END_QUOTE
+  #+END_SRC done
+#+HWPX: 8
+#+OTHER: y
+after
+** Two
+*** Three
+* Four
+:PROPERTIES:
+never closed"""
+
+
+def test_org_elements(spark):
+    docs = spark.createDataFrame([(1, ORG), (2, None), (3, ""), (4, "#+BEGIN_X"), (5, "*" * 12 + " deep\ntext")], "doc_id int, text string")
+    got = parse.org_elements(docs).orderBy("doc_id", "pos").collect()
+    block = "  #+BEGIN_SRC py\n* no heading\n#+END_QUOTE\n  #+END_SRC done"
+    one = [("paragraph", 0, "intro text", 4), ("heading", 1, "One", 5), ("block", 0, block, None), ("paragraph", 0, "after", 8), ("heading", 2, "Two", None), ("heading", 3, "Three", None), ("heading", 1, "Four", None)]
+    assert [(r.kind, r.level, r.title, r.number) for r in got if r.doc_id == 1] == one
+    title = {(r.doc_id, r.pos): r.title for r in got}
+    assert [title.get((1, r.parent)) for r in got if r.doc_id == 1] == [None, None, "One", "One", "One", "Two", None]
+    assert [(r.kind, r.level, r.title) for r in got if r.doc_id == 4] == [("block", 0, "#+BEGIN_X")]
+    assert [title.get((5, r.parent)) for r in got if r.doc_id == 5] == [None, "deep"]
+    meta = {r.doc_id: (r.title, r.date) for r in parse.org_meta(docs).collect()}
+    assert meta[1] == ("A title", "2024-01-02") and meta[2] == meta[3] == ("", "")
+
+
+def book(texts, titles, variants, back, start):
+    """The same hierarchy, reading on from line to line."""
+    out, at = [], 0
+    heads = [t[1:].strip() if t[:1] == "#" and t[1:2].isspace() and t[1:].strip() else None for t in texts]
+    if start and start in heads:
+        at = heads.index(start)
+        fronts = [k for k in range(at) if (heads[k] or "").startswith(books.PREFACE)]
+        if fronts:
+            end = next((k for k in range(fronts[0] + 1, at) if heads[k]), at)
+            out = ["* " + books.PREFACE, *texts[fronts[0] + 1 : end]]
+    seen, listed = set(), False
+    while at < len(texts):
+        text, head = texts[at], heads[at]
+        follow = next((k for k in range(at + 1, len(texts)) if texts[k].strip()), None)
+        name = variants.get(head, head)
+        number = re.match(books.NUMBER, head or "")
+        step = at + 1
+        if head is None and re.match(books.PLAIN_CHAPTER, text.strip()) and follow:
+            out.append(f"* {text.strip()} {heads[follow] or texts[follow].strip()}")
+            step = follow + 1
+        elif head is None:
+            out.append(text)
+        elif listed or re.match(books.COVER, head):
+            pass
+        elif name in titles and name not in seen:
+            seen.add(name)
+            out.append(f"* {titles[name]} {name}")
+        elif head in back:
+            listed = head == books.INDEX
+            out.append(f"* {head}")
+        elif number and name not in titles and follow:
+            out.append(f"** {books.ROMAN.get(number[1], number[1])}. {heads[follow] or texts[follow].strip()}")
+            step = follow + 1
+        elif re.match(books.ITEM, head):
+            out.append(f"*** {head}")
+        else:
+            out.append(head if re.search(books.FALSE, head) else f"** {head}")
+        at = step
+    return out
+
+
+@pytest.mark.parametrize("start", [None, "Begin"])
+def test_chapters(spark, start):
+    rng = random.Random(17)
+    pool = ["# One", "# Un", "# Two", "3장", " 12장 ", "# II", "# 4.", "# 7강", "# 막간 2", "# (3) x", "# ① y", "# <z>", "# A B", "# 가", "# 참고문헌", "# 찾아보기", "# other", "text", "", "  ", "#no", "# Begin", "# 책머리에 x"]
+    titles, variants, back = {"One": "1장", "Two": "2장"}, {"Un": "One"}, ("참고문헌", "찾아보기")
+    docs = {d: [rng.choice(pool[:15] + pool[16:] if d % 3 else pool) for _ in range(rng.randint(1, 60))] for d in range(120)}
+    df = spark.createDataFrame([(d, k, t) for d, texts in docs.items() for k, t in enumerate(texts)], "doc_id int, pos int, line string")
+    got = collections.defaultdict(list)
+    for r in books.chapters(df.repartition(3), titles, variants, back, start).orderBy("doc_id", "pos").collect():
+        got[r.doc_id].append(r.line)
+    for d, texts in docs.items():
+        assert got[d] == book(texts, titles, variants, back, start), (d, texts)
