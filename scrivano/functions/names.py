@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rx import SPACE, WORD, nospace, strip, sub
+from .rx import SPACE, WORD, strip, sub
 
 # Korean tags with an English form.
 TAG_NAMES = {
@@ -104,10 +104,6 @@ def bib_text(text: Column) -> Column:
     return F.replace(F.replace(sub(F.coalesce(text, F.lit("")), r"[{}]", ""), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit(" "))
 
 
-def loose_key(text: Column) -> Column:
-    return nospace(text)
-
-
 def page_numbers(spec: Column, total: Column) -> Column:
     """'1-3,7' as sorted distinct page numbers within 1..total; blank means all."""
     every = F.sequence(F.lit(1), total)

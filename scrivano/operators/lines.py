@@ -107,11 +107,6 @@ def first_seen(lines: DataFrame, value: str, key: str = "doc_id") -> DataFrame:
     return lines.withColumn("nth", F.row_number().over(W.partitionBy(key, value).orderBy("pos")))
 
 
-def next_filled(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The non-blank lines with the next one of their document."""
-    return lines.where(F.trim("line") != "").withColumn("next_line", F.lead("line").over(_order(key)))
-
-
 def trim_edges(lines: DataFrame, drop: Column, key: str = "doc_id") -> DataFrame:
     """Without the lines at both ends where ``drop`` holds, such as running page numbers."""
     kept = W.partitionBy(key)

@@ -889,3 +889,89 @@ def book_chapters(spark, sf_dir):
     pick = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(40))
     line = F.coalesce(F.get(F.array(*made), pick.cast("int")), F.col("line"))
     return books.chapters(rows.select("doc_id", "pos", line.alias("line")), {"One": "1장", "Two": "2장"}, {"Un": "One"})
+
+
+# -- surfaces made of every document's columns ----------------------------------
+@query('''SELECT doc_id, 'im' || doc_id AS ref, 'png' AS format, source AS data,
+          concat('# ', lang, chr(10), chr(10), '![alt](images/im', doc_id, ')') AS body FROM documents''')
+def inline_image_files(spark, sf_dir):
+    """STR-07, JON-18: base64 images taken out of a text, references as files."""
+    ref = F.concat(F.lit("im"), F.col("doc_id").cast("string"))
+    text = F.concat(F.lit("# "), F.col("lang"), F.lit("\n\n\n\n![alt]["), ref, F.lit("]\n\n["), ref, F.lit("]: <data:image/PNG;base64,"), F.base64(F.encode("source", "UTF-8")), F.lit(">\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    image = F.explode(web.inline_images(F.col("t"))).alias("i")
+    return docs.select("doc_id", image, web.file_images(F.col("t")).alias("body")).select("doc_id", "i.ref", "i.format", F.decode("i.data", "UTF-8").alias("data"), "body")
+
+
+@query("SELECT page_id, concat('https://h/', page_id, '/a%20b/%C3%A9?q=x%20y&z=%20#k') AS url, concat('a é A ', page_id, ' ∉ b') AS plain FROM pages")
+def encoded_urls(spark, sf_dir):
+    """STR-10/11: addresses percent-encoded, all entities decoded."""
+    page = F.col("page_id").cast("string")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://h/"), page, F.lit("/a b/é?q=x y&z=%20#k")).alias("u"), F.concat(F.lit(" a &eacute;&nbsp; &#x41;\n"), page, F.lit(" &notin;\t b")).alias("e"))
+    return pages.select("page_id", web.encode_url("u").alias("url"), web.unescape_all("e").alias("plain"))
+
+
+@query('''WITH l AS (SELECT doc_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL)),
+    m AS (SELECT doc_id, pos, CASE (pos + doc_id) % 5 WHEN 0 THEN '---' WHEN 1 THEN ' ' WHEN 2 THEN ' ---' ELSE line END AS line FROM l),
+    f AS (SELECT *, lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m WHERE trim(line) <> '')
+    SELECT m.doc_id, m.pos, m.line FROM m LEFT JOIN f USING (doc_id, pos) WHERE NOT (trim(m.line) = '---' AND coalesce(f.before = '---', false))''')
+def doc_collapse_rules(spark, sf_dir):
+    """WIN-06: rules with only blanks between become one."""
+    rows = lines.explode_lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    k = F.pmod(F.col("pos") + F.col("doc_id"), F.lit(5))
+    made = F.when(k == 0, "---").when(k == 1, " ").when(k == 2, " ---").otherwise(F.col("line"))
+    return lines.collapse_rules(rows.select("doc_id", "pos", made.alias("line")))
+
+
+@query('''SELECT doc_id, printf('%02d--%s.md', CAST(doc_id % 120 AS INT), lang) AS name,
+    concat('#+title: ', source, chr(10), '#+date: 2024-05-0', doc_id % 9 + 1, chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('#+filetags: :', lang, ':x:', chr(10)) ELSE '' END,
+           '#+source: ', 'doc/', doc_id, chr(10), chr(10), string_split(coalesce(text, ''), chr(10))[1], chr(10), chr(10), '[[file:images/', doc_id, '.png]]', chr(10)) AS org FROM documents''')
+def doc_org_files(spark, sf_dir):
+    """SNK-03/04: names of numbered files and Org documents of blocks."""
+    number = F.col("doc_id").cast("string")
+    tags = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("lang"), F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    date = F.concat(F.lit("2024-05-0"), (F.col("doc_id") % 9 + 1).cast("string"))
+    first = F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0))
+    blocks = F.array(F.struct(F.lit("text").alias("type"), first.alias("data")), F.struct(F.lit("image").alias("type"), F.concat(F.lit("images/"), number, F.lit(".png")).alias("data")))
+    org = render.org_document(F.col("source"), date, tags, F.concat(F.lit("doc/"), number), blocks)
+    return table(spark, sf_dir, "documents").select("doc_id", render.indexed_name((F.col("doc_id") % 120).cast("int"), F.col("lang")).alias("name"), org.alias("org"))
+
+
+@query('''SELECT doc_id, concat(lang, ';', source, ';', 'x') AS cells, concat(lang, chr(92), 'vert{}', source) AS escaped, concat('표 ', doc_id) AS caption,
+          concat('제', doc_id % 12 + 1, '장') AS chapter, CAST(doc_id % 7 AS VARCHAR) AS figure FROM documents''')
+def doc_cells_and_marks(spark, sf_dir):
+    """STR-30/34/50, MSC-05, JON-19: pipe rows, captions, chapter numbers and figure numbers."""
+    number = F.col("doc_id").cast("string")
+    row = F.concat(F.lit(" |  "), F.col("lang"), F.lit(" | "), F.col("source"), F.lit("|x | "))
+    numerals = F.array(*map(F.lit, ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")))
+    numeral = F.get(numerals, (F.col("doc_id") % 12).cast("int"))
+    heading = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Chapter "), numeral)).otherwise(F.concat(F.lit("제 "), numeral, F.lit("장")))
+    html = F.concat(F.lit('<figure class="a"\n id="fig-'), number, F.lit('" data-fignum="'), (F.col("doc_id") % 7).cast("string"), F.lit('"><figure id="fig-z" data-fignum="99">'))
+    figure = F.try_element_at(articles.figure_numbers(html), F.concat(F.lit("fig-"), number))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(markup.table_cells(row), ";").alias("cells"), markup.escape_cell(F.concat(F.col("lang"), F.lit("|"), F.col("source"))).alias("escaped"), markup.caption_text(F.concat(F.lit(" <표 "), number, F.lit("> "))).alias("caption"), markup.roman(heading).alias("chapter"), figure.alias("figure"))
+
+
+@query('''WITH l AS (SELECT doc_id, CAST(unnest(range(len(w))) AS INT) AS pos, unnest(w) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL)),
+    m AS (SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN concat('한 ', line) ELSE line END AS line FROM l)
+    SELECT doc_id, pos, line FROM m WHERE length(line) >= 10 AND regexp_matches(line, '[가-힣]')''')
+def doc_kept_paragraphs(spark, sf_dir):
+    """FLT-05: paragraphs of ten characters or more with Hangul."""
+    rows = lines.explode_lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    rows = rows.select("doc_id", "pos", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("한 "), F.col("line"))).otherwise(F.col("line")).alias("line"))
+    return rows.where(web.paragraph_kept(F.col("line")))
+
+
+@query('''SELECT doc_id, concat('*', lang, '* [[file:images/', doc_id, '.png]]', chr(10), 'end', chr(10), chr(10), chr(10), 'x') AS ebook,
+          concat('[[file:', doc_id, '.png]] ', chr(92), '(', lang, chr(92), ') [fn:', doc_id, '] ', chr(92), '[y', chr(92), ']') AS ocr FROM documents''')
+def doc_surface_cleanup(spark, sf_dir):
+    """STR-27/44: remains of e-books and of recognised pages, in the steps' order."""
+    number, lang = F.col("doc_id").cast("string"), F.col("lang")
+    ebook = F.concat(F.lit("<<a.b>>\n#+begin_export html\n<p>\n#+end_export\n:PROPERTIES:\n:ID: 1\n:END:\n**"), lang, F.lit("** [[file:./images/"), number, F.lit(".png]]\\\\\nend\n\n\n\n\nx"))
+    ocr = F.concat(F.lit("![a]("), number, F.lit(".png) $"), lang, F.lit("$ $^{"), number, F.lit("}$ $$y$$"))
+    return table(spark, sf_dir, "documents").select("doc_id", rx.rewrite(ebook, markup.EBOOK_STEPS).alias("ebook"), rx.rewrite(ocr, markup.OCR_STEPS).alias("ocr"))
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id DESC, event_id) AS r FROM events) WHERE r = 1")
+def event_first_of_best(spark, sf_dir):
+    """AGG-19: the first of the best of each group."""
+    return analytics.first_of_best(table(spark, sf_dir, "events"), ["event_type"], "user_id", "event_id").select("event_type", "event_id")
