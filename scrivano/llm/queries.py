@@ -143,12 +143,12 @@ _CHAT = f"""
                  6 + length(replace({_coded("role")}, chr(10), chr(92) || 'n')) + 1 + length({_coded("text")}) + 8 AS chars
           FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
     s AS (SELECT conv_id, coalesce(max(size) FILTER (nth = 1 AND role = 'system'), 0) AS system FROM p GROUP BY conv_id),
-    q AS (SELECT p.*, system, before - system AS at, greatest(768 - system, 1) AS stride FROM p JOIN s USING (conv_id)),
-    g AS (SELECT conv_id, system, stride, min(at) AS start, sum(size) AS fresh FROM q WHERE at >= 0
-          GROUP BY conv_id, system, stride, floor(at / stride), floor((at + size - 1) / stride)),
+    q AS (SELECT p.*, system, before - system AS place, greatest(768 - system, 1) AS stride FROM p JOIN s USING (conv_id)),
+    g AS (SELECT conv_id, system, stride, min(place) AS start, sum(size) AS fresh FROM q WHERE place >= 0
+          GROUP BY conv_id, system, stride, floor(place / stride), floor((place + size - 1) / stride)),
     h AS (SELECT *, least(256, stride, 1024 - system - fresh) AS room, row_number() OVER (PARTITION BY conv_id ORDER BY start) AS nth FROM g),
     r AS (SELECT h.conv_id, sum(q.chars + 6) AS chars FROM h JOIN q ON q.conv_id = h.conv_id AND h.nth > 1
-              AND (q.at < 0 OR q.at < h.start AND h.start - q.at <= h.room) GROUP BY h.conv_id),
+              AND (q.place < 0 OR q.place < h.start AND h.start - q.place <= h.room) GROUP BY h.conv_id),
     a AS (SELECT conv_id, count(*) AS n_turns,
                  string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text) AS turns,
                  coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS learnt,
