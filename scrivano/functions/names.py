@@ -116,3 +116,9 @@ def page_numbers(spec: Column, total: Column) -> Column:
 
     wanted = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, numbers))))
     return F.when(F.trim(F.coalesce(spec, F.lit(""))) == "", every).otherwise(F.filter(wanted, lambda n: (n >= 1) & (n <= total)))
+
+
+def image_prefix(folder: Column, images: str = "images") -> Column:
+    """The path from a folder, given relative to the root, to the root's image folder."""
+    parts = F.filter(F.split(folder, "/"), lambda p: (p != "") & (p != "."))
+    return F.concat(F.repeat(F.lit("../"), F.size(parts)), F.lit(images))

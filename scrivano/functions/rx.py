@@ -62,3 +62,8 @@ def lines(text: Column) -> Column:
 def map_lines(text: Column, f) -> Column:
     """Apply f to each line."""
     return F.array_join(F.transform(lines(text), f), "\n")
+
+
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words; a longer one goes before those it begins with."""
+    return "|".join(rf"\Q{w}\E" for w in sorted(set(words), key=lambda w: (-len(w), w)))

@@ -192,3 +192,37 @@ def replace_pairs(text: Column, table: Column) -> Column:
 def paragraph_kept(text: Column) -> Column:
     """Translated paragraphs: ten characters or more with Hangul in them."""
     return (F.length(text) >= 10) & text.rlike("[가-힣]")
+
+
+# Anchors and texts of headings that a book's contents leave out.
+SKIPPED_ANCHORS = (
+    "^between-pages-", "^illustrations", "^contents$", "^thinking$", "^humor$", "^composition$", "^demonstration$",
+    "^participation$", "^animation$", "^ii$", "^iii$", "^iv$", "^v$", r"^\(a\)$", r"^\(b\)$", r"^\(c\)$", "^whooping-cranes",
+    "^national-park-service", "^principles-of-interpretation$", "^the-visitor", "^raw-material", "^the-story",
+    "^not-instruction", "^the-chiefaim", "^toward-a-perfect", "^for-the-younger", "^the-written-word$", "^past-",
+    "^nothing-in-excess$", "^the-mystery", "^the-priceless", "^of-gadgetry$", "^the-happy", "^vistas-of-beauty$",
+)
+SKIPPED_TITLES = ("THINKING", "HUMOR", "DEMONSTRATION", "PARTICIPATION", "ANIMATION")
+
+
+def skip_heading(anchor: Column, title: Column, anchors: tuple[str, ...] = SKIPPED_ANCHORS, titles: tuple[str, ...] = SKIPPED_TITLES, most: int = 50) -> Column:
+    """Whether contents leave a heading out: by its anchor, as a note between pages, by length or by its title."""
+    by_anchor = anchor.rlike("(?iu)" + "|".join(f"(?:{a})" for a in anchors)) if anchors else F.lit(False)
+    by_title = title.rlike(r"(?U)^\d+쪽과 \d+쪽 사이$") | (F.length(title) > most) | F.upper(title).isin(*titles)
+    return F.coalesce(by_anchor, F.lit(False)) | F.coalesce(by_title, F.lit(False))
+
+
+def sized_image(url: Column, hosts: tuple[str, ...], parameter: str = "type", size: str = "w966") -> Column:
+    """The image's URL at another size; null if it names none of the hosts."""
+    known = F.lit(False)
+    for host in hosts:
+        known = known | F.contains(url, F.lit(host))
+    return F.when(known, sub(url, rf"\?{parameter}={WORD}+", f"?{parameter}={size}"))
+
+
+def head_assets(html: Column) -> Column:
+    """Scripts with a source and links of the head in their order; those over several lines are left out."""
+    head = F.regexp_extract(html, r"(?s)<head\b[^>]*>(.*?)</head>", 1)
+    within = F.when(html.rlike(r"(?s)<head\b[^>]*>.*?</head>"), head).otherwise(html)
+    tags = F.regexp_extract_all(within, F.lit(r"<script\b[^>]*\bsrc=[^>]*>\s*</script>|<link\b[^>]*>"), F.lit(0))
+    return F.filter(tags, lambda t: ~F.contains(t, F.lit("\n")))

@@ -57,3 +57,15 @@ def integrity(status: DataFrame, column: str = "status") -> DataFrame:
 def first_of_best(rows: DataFrame, group: list[str], score: str, order: str) -> DataFrame:
     """The row with the highest score of each group, the first by order on ties."""
     return top_per_group(rows, group, 1, F.desc(score), F.asc(order)).drop("nth")
+
+
+def fixed_counts(rows: DataFrame, value: str, order: tuple[str, ...]) -> DataFrame:
+    """(place, value, n) for each of the values in their fixed order, 0 for those that no row has."""
+    known = rows.sparkSession.createDataFrame(list(enumerate(order)), f"place int, `{value}` string")
+    counted = rows.where(F.col(value).isin(*order)).groupBy(value).agg(F.count("*").alias("n"))
+    return known.join(counted, value, "left").select("place", value, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def by_number(rows: DataFrame, key: str) -> DataFrame:
+    """Sorted by a key of digits as a number; keys that are none come last."""
+    return rows.orderBy(F.expr(f"try_cast(`{key}` AS decimal(38, 0))").asc_nulls_last(), key)

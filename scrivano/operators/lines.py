@@ -127,3 +127,19 @@ def parents(lines: DataFrame, level: str = "level", key: str = "doc_id") -> Data
         lower = F.greatest(*(latest[j] for j in range(1, k)), F.lit(-1))
         parent = F.when(F.col(level) == k, F.nullif(lower, F.lit(-1))).otherwise(parent)
     return lines.withColumn("parent", parent)
+
+
+def drop_blocks(lines: DataFrame, begin: Column, end: Column, key: str = "doc_id") -> DataFrame:
+    """Without blocks, begin and end lines included; one that never ends goes on to the last line.
+
+    An end line outside a block stays."""
+    mark = F.when(begin, F.lit(1)).when(end, F.lit(0))
+    before = F.last(mark, ignorenulls=True).over(_order(key).rowsBetween(W.unboundedPreceding, -1))
+    marked = lines.withColumn("_in", (F.coalesce(before, F.lit(0)) == 1) | F.coalesce(begin, F.lit(False)))
+    return marked.where(~F.col("_in")).drop("_in")
+
+
+def drop_drawers(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Without property drawers and index keywords."""
+    line = strip(F.col("line"))
+    return drop_blocks(lines, line == ":PROPERTIES:", line == ":END:", key).where(~F.col("line").rlike(r"^#\+HWPX:"))

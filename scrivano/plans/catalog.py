@@ -975,3 +975,77 @@ def doc_surface_cleanup(spark, sf_dir):
 def event_first_of_best(spark, sf_dir):
     """AGG-19: the first of the best of each group."""
     return analytics.first_of_best(table(spark, sf_dir, "events"), ["event_type"], "user_id", "event_id").select("event_type", "event_id")
+
+
+# -- lists, paths and blocks --------------------------------------------------------
+_HEADS = "(SELECT page_id, unnest(regexp_extract_all(html, '<h[1-3]>([^<]*)</h[1-3]>', 1)) AS title FROM pages)"
+
+
+@query(f"SELECT page_id, title, length(title) > 50 OR starts_with(lower(title), 'the') AS skipped FROM {_HEADS}")
+def page_heading_skips(spark, sf_dir):
+    """FLT-06: which headings contents leave out, by an anchor's beginning and by length."""
+    heads = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h[1-3]>([^<]*)</h[1-3]>"), F.lit(1))).alias("title"))
+    return heads.withColumn("skipped", web.skip_heading(F.lower("title"), F.col("title"), ("^the",)))
+
+
+@query()
+def transcript_divergences(spark, sf_dir):
+    """FLT-08: differences that are shown, and those left out for their size. Without SQL: DuckDB has no alignment."""
+    rows = _passages(spark, sf_dir).select("k", evaluate.align("hyp", "ref").alias("a"))
+    shown = F.size(evaluate.divergences(F.col("a.ops")))
+    return rows.select("k", "a.ratio", shown.alias("n_shown"), (F.col("a.blocks") - shown).alias("n_large"))
+
+
+@query("SELECT page_id, CASE WHEN contains(url, 'example.org') OR contains(url, 'example.net') THEN regexp_replace(url, '\\?utm_source=[a-z]+', '?utm_source=w966') END AS image FROM pages")
+def page_image_urls(spark, sf_dir):
+    """FLT-11: URLs of known hosts at another size."""
+    return table(spark, sf_dir, "pages").select("page_id", web.sized_image(F.col("url"), ("example.org", "example.net"), "utm_source").alias("image"))
+
+
+@query("SELECT page_id, 1 AS n, concat('<link href=\"', url, '\">') AS first FROM pages")
+def page_head_assets(spark, sf_dir):
+    """FLT-12: links of the head; scripts without a source and tags over several lines are left out."""
+    html = F.replace("html", F.lit("</head>"), F.concat(F.lit('<link href="'), F.col("url"), F.lit('"><link\nrel="x"></head>')))
+    assets = web.head_assets(html)
+    return table(spark, sf_dir, "pages").select("page_id", F.size(assets).alias("n"), assets[0].alias("first"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '../images' ELSE '../../images' END AS prefix FROM documents")
+def doc_image_prefix(spark, sf_dir):
+    """PRJ-02: the way from a document's folder to the images."""
+    folder = F.when(F.col("lang") == "en", F.col("source")).otherwise(F.concat("source", F.lit("/"), "lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", names.image_prefix(folder).alias("prefix"))
+
+
+@query("SELECT CAST(o.place AS INT) AS place, o.lang, count(d.doc_id) AS n FROM (VALUES (0, 'fr'), (1, 'none'), (2, 'en')) AS o(place, lang) LEFT JOIN documents d ON d.lang = o.lang GROUP BY ALL")
+def doc_lang_counts(spark, sf_dir):
+    """AGG-16: counts in a fixed order, with those that are empty."""
+    return analytics.fixed_counts(table(spark, sf_dir, "documents"), "lang", ("fr", "none", "en"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS number, n_name FROM nation ORDER BY n_nationkey")
+def nation_by_number(spark, sf_dir):
+    """SRT-07: keys of digits sorted as numbers."""
+    return analytics.by_number(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("number"), "n_name"), "number")
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(text, 'ab') THEN 'ab' WHEN starts_with(text, 'a') THEN 'a' WHEN starts_with(text, 'The') THEN 'The' WHEN starts_with(text, 'T') THEN 'T' ELSE '' END AS head FROM documents")
+def doc_longest_head(spark, sf_dir):
+    """SRT-06: the longest of several beginnings."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.regexp_extract("text", f"^(?:{rx.any_of(('a', 'T', 'ab', 'The'))})", 0), F.lit("")).alias("head"))
+
+
+@query(f"SELECT doc_id, CAST(pos AS INT) AS pos, line FROM (SELECT *, max(CASE WHEN contains(line, '|') THEN pos END) OVER w AS b, max(CASE WHEN length(line) < 60 AND NOT contains(line, '|') THEN pos END) OVER w AS e FROM {_LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE NOT contains(line, '|') AND coalesce(b, -1) <= coalesce(e, -1)")
+def doc_drop_blocks(spark, sf_dir):
+    """STR-41: without blocks from a table-like line to the next short one."""
+    return lines.drop_blocks(_lines(spark, sf_dir), F.contains("line", F.lit("|")), F.length("line") < 60)
+
+
+@query("SELECT doc_id, concat('* ', regexp_replace(lang, '\\s', '', 'g'), chr(10), '[[file:png/', doc_id, '.png]]', chr(10), chr(10), ':HWPX_IDX: ch', doc_id, ':7', chr(10)) AS org, concat('<<fig', doc_id, '_2>>', chr(10), '#+caption: Figure ', doc_id, '.2: x [[fig', doc_id, '_2][a b]]') AS anchored FROM documents")
+def doc_org_fixups(spark, sf_dir):
+    """STR-41/45/48: headers, numbered indexes, levels and anchors of Org texts."""
+    number = F.col("doc_id").cast("string")
+    org = F.concat(F.lit("#+TITLE: t\n#+DATE: d\n \n** "), "lang", F.lit("\n[[./png/"), number, F.lit(".png]]\n\n\n\n:HWPX_IDX:  7\n"))
+    book = markup.promote_org(markup.prefix_index(markup.strip_org_header(org), F.concat(F.lit("ch"), number)))
+    anchored = F.concat(F.lit("#+caption: Figure "), number, F.lit(".2: x [[#fig"), number, F.lit("_2][a\n   b]]"))
+    return table(spark, sf_dir, "documents").select("doc_id", book.alias("org"), rx.rewrite(anchored, markup.ANCHOR_STEPS).alias("anchored"))

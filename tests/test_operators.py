@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scrivano.functions import markup, names, rx
-from scrivano.operators import books, classify, evaluate, lines, match, parse
+from scrivano.functions import markup, names, rx, web
+from scrivano.operators import analytics, books, classify, evaluate, lines, match, parse
 from scrivano.plans import catalog
 
 
@@ -331,3 +331,46 @@ def test_chapters(spark, start):
         got[r.doc_id].append(r.line)
     for d, texts in docs.items():
         assert got[d] == book(texts, titles, variants, back, start), (d, texts)
+
+
+def test_headings_left_out(spark):
+    rows = [("contents", "Contents"), ("Contents-2", "x"), (None, "12쪽과 13쪽 사이"), (None, "y" * 51), (None, "y" * 50), (None, "Humor"), ("past-x", None), (None, None)]
+    df = spark.createDataFrame(rows, "a string, t string")
+    assert [r[0] for r in df.select(web.skip_heading(F.col("a"), F.col("t"))).collect()] == [True, False, True, True, False, True, True, False]
+
+
+def test_drawers_and_headers(spark):
+    text = ":END:\na\n :PROPERTIES:\n:x: 1\n:PROPERTIES:\n:END:\nb\n#+HWPX: 3\n#+HWPX 4\n:PROPERTIES:\nlast"
+    rows = lines.drop_drawers(lines.explode_lines(spark.createDataFrame([(1, text)], "doc_id int, text string")))
+    assert [r.line for r in rows.orderBy("pos").collect()] == [":END:", "a", "b", "#+HWPX 4"]
+    texts = ["#+TITLE: a\n\n \t\n  b\n#+DATE: c\nd", "#+STARTUP: x\n\n ", "#+TITLES\n", "", None]
+    assert column(spark, texts, markup.strip_org_header) == ["  b\nd", "", "#+TITLES\n", "", None]
+    texts = [":HWPX_IDX: 0\n#+HWPX:12 $1", ":HWPX_IDX: x"]
+    assert column(spark, texts, lambda c: markup.prefix_index(c, F.lit("ch$1"))) == [":HWPX_IDX: ch$1:0\n#+HWPX: ch$1:12 $1", ":HWPX_IDX: x"]
+
+
+def test_org_fixups(spark):
+    texts = ["** a\n*** b\n* c\n**bold**\n\n\n\n[[png/x]] [[./png/y]]\n\n"]
+    assert column(spark, texts, markup.promote_org) == ["* a\n** b\n* c\n**bold**\n\n[[file:png/x]] [[file:png/y]]\n"]
+    texts = ["[[#fig8_1][x]] [[#tab_2]] [[#intro][y]]", "#+caption: Figure 8.1: one\n#+caption: Table 2.3: two\n#+caption: Figure 4: no", "[[u][a\n   b\n    c]] d\n   e ]]", "#+caption: Table 1.2: see Figure 3.4", ":END:\nx\n:END:\n\ny"]
+    assert column(spark, texts, lambda c: rx.rewrite(c, markup.ANCHOR_STEPS)) == ["[[fig8_1][x]] [[tab_2]] [[#intro][y]]", "<<fig8_1>>\n#+caption: Figure 8.1: one\n<<tab2_3>>\n#+caption: Table 2.3: two\n#+caption: Figure 4: no", "[[u][a b  c]] d\n   e ]]", "<<tab1_2>>\n#+caption: Table 1.2: see Figure 3.4", ":END:\n\nx\n:END:\n\ny"]
+
+
+def test_large_divergences_are_left_out(spark):
+    a, b = "same " * 20 + "x" * 81 + " mid " * 20 + "cat", "same " * 20 + " mid " * 20 + "cut"
+    df = spark.createDataFrame([(a, b), (None, "")], "a string, b string").select(evaluate.divergences(evaluate.align("a", "b")["ops"]).alias("d"))
+    want = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal" and max(o[2] - o[1], o[4] - o[3]) <= 80]
+    assert [[tuple(o) for o in r.d] for r in df.collect()] == [want, []]
+
+
+def test_assets_images_and_prefixes(spark):
+    html = ['<head a="1"><script src="a.js"> </script><script>x</script><link rel="s"><link\nx><script src="b.js"></script></head><link no>', "<link one>", "", None]
+    assert column(spark, html, web.head_assets) == [['<script src="a.js"> </script>', '<link rel="s">', '<script src="b.js"></script>'], ["<link one>"], [], None]
+    assert column(spark, ["https://h.net/a?type=s1&x=2", "https://o.org/a?type=s1", None], lambda c: web.sized_image(c, ("h.net",))) == ["https://h.net/a?type=w966&x=2", None, None]
+    assert column(spark, ["a/b", "a", "", "."], names.image_prefix) == ["../../images", "../images", "images", "images"]
+
+
+def test_numeric_order_and_longest_first(spark):
+    df = spark.createDataFrame([("10",), ("9",), ("x",), ("100",)], "k string")
+    assert [r.k for r in analytics.by_number(df, "k").collect()] == ["9", "10", "100", "x"]
+    assert column(spark, ["alphabet", "al+x", "b"], lambda c: F.regexp_extract(c, rx.any_of(("al", "alpha", "al+")), 0)) == ["alpha", "al+", ""]
