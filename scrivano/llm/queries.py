@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import alignment_table
 from .chat import ESCAPES, chat_digest
 from .exact import exact_dedup
 from .mixing import pfair_mix
@@ -75,6 +76,11 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_array_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    """Groups and links of two tokenizers' tokens in every document, with the corpus-wide counts."""
+    return alignment_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +94,7 @@ QUERIES = {
         op8_pfair_mix,
         op9_spotsigs,
         op10_suffix_array_dedup,
+        op11_cross_tokenizer_alignment,
     )
 }
 _GAPS = """list_transform(regexp_split_to_array(text, '{p}'), lambda x: length(x))"""
