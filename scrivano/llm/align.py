@@ -18,13 +18,17 @@ from .scratch import materialize
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters of text in a block, or one text.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Shares of a pair in the first stage of its count.
 SALTS = 16
 #: Words of SentencePiece that a worker remembers before it starts afresh.
 ROOM = 300_000
 #: Links that are laid out at a time, or those of one document.
-LINKS = 4 << 20
+LINKS = 1 << 20
+#: Characters beyond which the tokenizers library encodes a text.
+LONG = 1 << 20
+#: Tokens whose bytes are laid out at a time.
+STEP = 1 << 16
 #: The word cut of byte-level BPE files (fixed value).
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -50,7 +54,8 @@ class Tokens:
         self.pool = np.frombuffer(b"".join(table), dtype=np.uint8)
 
     def text(self, ids: np.ndarray) -> np.ndarray:
-        return ragged(self.pool, self.starts[ids], self.sizes[ids])
+        parts = (ids[k : k + STEP] for k in range(0, len(ids), STEP))
+        return np.concatenate([self.pool[:0], *(ragged(self.pool, self.starts[x], self.sizes[x]) for x in parts)])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,15 +75,14 @@ class ByteLevel:
 
     def __init__(self, data: bytes):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_str(data.decode("utf-8"))
-        self.slow.encode_special_tokens = True
+        self.data, self.library = data, None
         told = json.loads(data)
         core, alphabet = told["model"], byte_alphabet()
         special = {t["content"] for t in told.get("added_tokens", [])}
-        table = [b""] * self.slow.get_vocab_size()
-        for token, k in (core["vocab"] | {t["content"]: t["id"] for t in told.get("added_tokens", [])}).items():
+        known = core["vocab"] | {t["content"]: t["id"] for t in told.get("added_tokens", [])}
+        table = [b""] * (max(known.values()) + 1)
+        for token, k in known.items():
             table[k] = token.encode("utf-8") if token in special else bytes(alphabet[c] for c in token)
         self.tokens = Tokens(table)
         merges = [m if isinstance(m, list) else m.split(" ") for m in core["merges"]]
@@ -91,10 +95,17 @@ class ByteLevel:
             ranks = {table[k]: k for token, k in core["vocab"].items() if token not in special}
             self.fast = tiktoken.Encoding("own", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is None or max(map(len, texts), default=0) > BLOCK // 4:
-            return [e.ids for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
-        return [self.fast.encode_ordinary(t) for t in texts]
+    def slow(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.data.decode("utf-8"))
+            self.library.encode_special_tokens = True
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        fast = self.fast and self.fast.encode_ordinary
+        return [np.array(fast(t) if fast and len(t) <= LONG else self.slow(t), dtype=np.int64) for t in texts]
 
 
 class _Index(dict):
@@ -258,7 +269,7 @@ def align_block(byte_level: ByteLevel, pieces: Pieces, decimal: Tokens, texts: l
     said = np.frombuffer(b"".join(said), dtype=np.uint8)
     lists = byte_level.encode([" " + t for t in some])
     count_a = np.array([len(x) for x in lists], dtype=np.int64)
-    a = np.concatenate([np.array(x, dtype=np.int64) for x in lists]) if lists else np.zeros(0, dtype=np.int64)
+    a = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
     b, count_b = pieces.encode(some)
     ok = _agree(byte_level.tokens, a, count_a, said, lengths) & _agree(pieces.tokens, b, count_b, said, lengths)
     a, b = a[np.repeat(ok, count_a)], b[np.repeat(ok, count_b)]
