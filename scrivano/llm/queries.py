@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .align import alignment_table
 from .chat import ESCAPES, chat_digest
 from .exact import exact_dedup
+from .language import language_id
 from .mixing import pfair_mix
 from .near import minhash_near_dedup
 from .pieces import token_table
@@ -14,6 +15,7 @@ from .quality import quality_classifier
 from .secrets import secret_digest
 from .spots import spotsigs
 from .substring import substring_dedup, suffix_array_dedup
+from .whiten import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,16 @@ def op11_cross_tokenizer_alignment(spark, sf_dir):
     return alignment_table(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    """Whitened components of every finite embedding."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark, sf_dir):
+    """The language of every whole text, learned from the rows that aren't held out."""
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +107,8 @@ QUERIES = {
         op9_spotsigs,
         op10_suffix_array_dedup,
         op11_cross_tokenizer_alignment,
+        op12_embedding_whitening,
+        op13_language_id,
     )
 }
 _GAPS = """list_transform(regexp_split_to_array(text, '{p}'), lambda x: length(x))"""
