@@ -151,9 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, sure: fl
     gets the weights, FEATURES numbers a head at most.
     """
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"), (F.coalesce("toxic", F.lit(0)) <= 0).alias("clean"))
-    # At most max_labels rows of an id and two flags.
-    picked = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", *HEADS).mapInArrow(_featured, "ids array<int>, good boolean, clean boolean")
+    # At most max_labels rows of an id and two flags, each by the majority of its labels; a tie is against the document.
+    voted = known.groupBy("doc_id").agg(*((2 * F.count_if(h) > F.count("*")).alias(h) for h in HEADS))
+    picked = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
+    # One text an id, that of least hash, so that max_labels bounds the sample's rows too.
+    text = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", *HEADS).agg(text)
+    sample = found.select("text", *HEADS).mapInArrow(_featured, "ids array<int>, good boolean, clean boolean")
     sample = materialize(sample)
     total = sample.agg(F.count("*").alias("n"), *(F.count_if(h).alias(h) for h in HEADS)).first()
     counts = sample.select(F.explode("ids").alias("id"), *HEADS).groupBy("id").agg(F.count("*").alias("n"), *(F.count_if(h).alias(h) for h in HEADS)).where("n >= 3")
@@ -274,8 +278,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, max_labels: int = 20_
 
     docs: doc_id, text, source (host), lang (path).  labels: doc_id, quality, toxic.
     Null text: empty, judged by its style and site.  Null source or lang: a site
-    of its own.  Null or repeated label rows: nulls are left out, one row of an
-    id counts.  No labels: no evidence, every document is kept at the even prior.
+    of its own.  Null or repeated label rows: nulls are left out, the majority of an id's
+    rows counts, a tie as low or toxic.  Repeated ids: the text of least hash is learned from.  No labels: no evidence, every document is kept at the even prior.
     Repeated rows are judged alike; empty table: no rows.
     """
     return quality_scores(docs, train(docs, labels, max_labels), columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -24,18 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-#: The tables of the open ``temporary`` blocks.
-_OPEN: list[list[DataFrame]] = []
+#: The tables of the open ``temporary`` blocks of this thread.
+_OPEN: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("open", default=())
 
 
 @contextlib.contextmanager
 def temporary():
     """Remove at the end the tables that are written inside, but for those taken out of the list."""
-    _OPEN.append([])
+    tables: list[DataFrame] = []
+    before = _OPEN.set((*_OPEN.get(), tables))
     try:
-        yield _OPEN[-1]
+        yield tables
     finally:
-        discard(*_OPEN.pop())
+        _OPEN.reset(before)
+        discard(*tables)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -46,8 +49,8 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    if _OPEN:
-        _OPEN[-1].append(out)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(out)
     return out
 
 

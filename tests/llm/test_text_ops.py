@@ -245,6 +245,34 @@ def test_pfair_by_brute_force(spark, weights):
     assert got == slots
 
 
+@pytest.mark.parametrize("heavy", [{}, {"b3": 40, "s7": 25, "zz": 300, "a": 2}])
+def test_pfair_of_many_sources(spark, heavy):
+    """20,000 sources: all slots once, windows kept, every prefix within one block of each weight."""
+    names = [f"s{k}" for k in range(20_000)] + ["b3", "zz", "a"]
+    df = spark.createDataFrame([(k, "x", s) for k, s in enumerate(names)], "doc_id long, text string, source string")
+    period = sum(heavy.get(s, 1) for s in names)
+    plan = mixing.period_slots(mixing.shares(df, heavy or {"none": 1})).collect()
+    assert sorted(p.slot for p in plan) == list(range(period))
+    assert all(p.release <= p.slot < p.deadline and p.period == period for p in plan)
+    turns = collections.defaultdict(list)
+    for p in plan:
+        turns[p.source].append(p.slot)
+    assert {s: len(x) for s, x in turns.items()} == {s: heavy.get(s, 1) for s in names}
+    for s, x in turns.items():
+        share = len(x) / period
+        # Just before and just after each of its slots a source is farthest from its weight.
+        assert all(abs(j - share * t) < 1 and abs(j + 1 - share * (t + 1)) < 1 for j, t in enumerate(sorted(x)))
+
+
+def test_pfair_joins_agree(spark, monkeypatch):
+    """The turns joined by shuffles, null ids and a hot source give what the broadcast gives."""
+    rows = [(None if k % 3 else k, "x" * (k % 50) + str(k), f"s{k % 40}" if k % 2 else "hot") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = sorted(map(str, mixing.pfair_mix(df, block=60, bucket=32).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    assert sorted(map(str, mixing.pfair_mix(df, block=60, bucket=32).collect())) == told
+
+
 def test_pfair_order_of_a_source(spark):
     df = spark.createDataFrame([(k, "x" * 10, "s") for k in range(50)], "doc_id long, text string, source string")
     got = mixing.pfair_mix(df, block=35, bucket=4).collect()
@@ -463,3 +491,20 @@ def test_sites_shrink_to_the_prior(spark):
     labels = spark.createDataFrame([(k, 0 if k % 2 else 1, 0) for k in range(200)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.quality_posterior for r in quality.quality_classifier(df, labels).collect()}
     assert got[900] < got[2000] < 0.5 < got[0]
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """Thousands of rows of one id and conflicting labels: the sample has a row for each picked id."""
+    from scrivano.llm import scratch
+
+    texts = spark.createDataFrame([(1, f"text {k}") for k in range(3000)] + [(2, "b"), (3, "c"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (2, 0, 0), (3, 0, 1), (4, 1, None), (4, 1, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    with scratch.temporary() as tables:
+        first = quality.train(texts, labels, max_labels=3)
+        sample = tables[0]
+        assert sample.count() <= 3
+    with scratch.temporary() as tables:
+        quality.train(texts, labels, max_labels=100)
+        assert sorted((r.good, r.clean) for r in tables[0].collect()) == [(False, False), (False, True), (True, True), (True, True)]
+    again = quality.train(texts.repartition(7), labels.repartition(5), max_labels=3)
+    assert all(np.array_equal(a[0], b[0]) and a[1:] == b[1:] for a, b in zip(first, again, strict=True))
