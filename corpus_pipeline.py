@@ -15,7 +15,7 @@ from scrivano.llm.mixing import pfair_mix
 from scrivano.llm.near import minhash_near_dedup
 from scrivano.llm.pieces import DEFAULT_MODEL, read_model, sentencepiece_tokens
 from scrivano.llm.quality import quality_classifier
-from scrivano.llm.scratch import materialize, temporary
+from scrivano.llm.scratch import discard, materialize, temporary
 
 #: The tokenizer's model file.
 MODEL = DEFAULT_MODEL
@@ -94,6 +94,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each to the written table of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if at == 0 else materialize(docs), sf_dir)
-    return docs
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        with temporary() as tables:
+            done = materialize(stage(spark, docs, sf_dir))
+            # What the stage has written on its way goes, and then its input.
+            tables[:] = [t for t in tables if t is not done]
+        if at:
+            discard(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
