@@ -1,4 +1,4 @@
-"""Registry of the named queries and of the SQL that checks them.
+"""The named queries and the SQL that checks them.
 
 A query is (spark, sf_dir) -> DataFrame over whole tables, or over a golden
 fixture where the driver's tables hold no such input.
@@ -6,33 +6,14 @@ fixture where the driver's tables hold no such input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markup, names, render, rx, web
 from ..operators import analytics, articles, books, classify, evaluate, lines, match, outline, parse
 from .fixtures import frame, values
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its own name, with the SQL that must give the same rows."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLES, QUERIES, query, table
 
 # -- classification ------------------------------------------------------------
 #: Rules for the driver's invented prose: two categories by common words, one by layout.
@@ -286,24 +267,28 @@ def transcript_cer(spark, sf_dir):
 
 
 def _passages(spark, sf_dir):
-    """(k, hyp, ref): a document and the passage of its number, spread over tasks as a text takes long."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("text").alias("hyp"))
-    ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.col("text").alias("ref"))
-    return docs.join(ref, "k").repartition(32, "k")
+    """(doc_id, probe, hyp, ref): the span of each benchmark passage in each document that holds it, and the passage."""
+    found = evaluate.located(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    span = F.substring("text", F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
+    return found.select("doc_id", "probe", span.alias("hyp"), F.col("words").alias("ref"))
 
 
 @query()
 def transcript_opcodes(spark, sf_dir):
-    """EVL-03/05: alignment, ratio and distance bound of whole documents and benchmark passages by position."""
-    return _passages(spark, sf_dir).select("k", evaluate.align("hyp", "ref").alias("a")).select("k", "a.distance", "a.blocks", "a.ratio", F.size("a.ops").alias("n_ops"))
+    """EVL-03/05: alignment, ratio and distance bound of every benchmark passage in every document.
+
+    Without SQL: DuckDB has no alignment; tests/test_evaluate.py has a brute-force version."""
+    rows = evaluate.align(_passages(spark, sf_dir), "hyp", "ref")
+    bound = evaluate.distance(F.col("ops"), F.col("hyp"), F.col("ref"))
+    return rows.select("doc_id", "probe", bound.alias("distance"), F.size(evaluate.differing(F.col("ops"))).alias("blocks"), evaluate.ratio(F.col("ops")).alias("ratio"), F.size("ops").alias("n_ops"))
 
 
 @query()
 def doc_benchmark_distance(spark, sf_dir):
-    """EVL-04/08: edit distance and error rate of whole documents and benchmark passages by position.
+    """EVL-04/08: edit distance and error rate of every benchmark passage in every document.
 
-    Without SQL: DuckDB's levenshtein counts bytes of what isn't ASCII."""
-    return evaluate.error_rates(_passages(spark, sf_dir)).select("k", "projection", "dist", "cer")
+    Without SQL: DuckDB's levenshtein counts bytes of what isn't ASCII; brute force in tests/test_evaluate.py."""
+    return evaluate.error_rates(_passages(spark, sf_dir)).select("doc_id", "probe", "projection", "dist", "cer")
 
 
 @query("SELECT doc_id, translate(regexp_replace(text, '[\\s]+', '', 'g'), '[](){}「」『』〈〉《》‘’“”''\"…', '') AS content FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9 .,\\n\\[\\](){}]', '', 'g') AS text FROM documents)")
@@ -991,9 +976,9 @@ def page_heading_skips(spark, sf_dir):
 @query()
 def transcript_divergences(spark, sf_dir):
     """FLT-08: differences that are shown, and those left out for their size. Without SQL: DuckDB has no alignment."""
-    rows = _passages(spark, sf_dir).select("k", evaluate.align("hyp", "ref").alias("a"))
-    shown = F.size(evaluate.divergences(F.col("a.ops")))
-    return rows.select("k", "a.ratio", shown.alias("n_shown"), (F.col("a.blocks") - shown).alias("n_large"))
+    rows = evaluate.align(_passages(spark, sf_dir), "hyp", "ref")
+    shown = F.size(evaluate.divergences(F.col("ops")))
+    return rows.select("doc_id", "probe", evaluate.ratio(F.col("ops")).alias("ratio"), shown.alias("n_shown"), (F.size(evaluate.differing(F.col("ops"))) - shown).alias("n_large"))
 
 
 @query("SELECT page_id, CASE WHEN contains(url, 'example.org') OR contains(url, 'example.net') THEN regexp_replace(url, '\\?utm_source=[a-z]+', '?utm_source=w966') END AS image FROM pages")
@@ -1049,3 +1034,7 @@ def doc_org_fixups(spark, sf_dir):
     book = markup.promote_org(markup.prefix_index(markup.strip_org_header(org), F.concat(F.lit("ch"), number)))
     anchored = F.concat(F.lit("#+caption: Figure "), number, F.lit(".2: x [[#fig"), number, F.lit("_2][a\n   b]]"))
     return table(spark, sf_dir, "documents").select("doc_id", book.alias("org"), rx.rewrite(anchored, markup.ANCHOR_STEPS).alias("anchored"))
+
+
+# The queries of other modules are registered with these.
+from . import structure  # noqa: E402, F401

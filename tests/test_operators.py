@@ -127,10 +127,10 @@ def test_alignment_bounds_the_distance(spark):
                 b.insert(rng.randint(0, len(b)), rng.choice("abcd"))
         pairs.append((k, a, "".join(b)))
     df = spark.createDataFrame(pairs, "k int, a string, b string")
-    rows = df.select("a", "b", evaluate.align("a", "b").alias("r"), F.levenshtein("a", "b").alias("d")).collect()
+    rows = evaluate.align(df, "a", "b").select("a", "b", evaluate.distance(F.col("ops"), F.col("a"), F.col("b")).alias("bound"), F.levenshtein("a", "b").alias("d")).collect()
     for r in rows:
-        assert r.r.distance >= r.d
-        assert (r.r.distance == 0) == (r.a == r.b)
+        assert r.bound >= r.d
+        assert (r.bound == 0) == (r.a == r.b)
 
 
 def test_markdown_blocks(spark):
@@ -358,7 +358,7 @@ def test_org_fixups(spark):
 
 def test_large_divergences_are_left_out(spark):
     a, b = "same " * 20 + "x" * 81 + " mid " * 20 + "cat", "same " * 20 + " mid " * 20 + "cut"
-    df = spark.createDataFrame([(a, b), (None, "")], "a string, b string").select(evaluate.divergences(evaluate.align("a", "b")["ops"]).alias("d"))
+    df = evaluate.align(spark.createDataFrame([(a, b), (None, "")], "a string, b string"), "a", "b").select(evaluate.divergences(F.col("ops")).alias("d"))
     want = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal" and max(o[2] - o[1], o[4] - o[3]) <= 80]
     assert [[tuple(o) for o in r.d] for r in df.collect()] == [want, []]
 
