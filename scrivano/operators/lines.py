@@ -5,8 +5,10 @@ Every operator takes and returns (key, pos, line) tables: order is a column.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.markup import heading_level, is_structural
@@ -118,15 +120,29 @@ def trim_edges(lines: DataFrame, drop: Column, key: str = "doc_id") -> DataFrame
 def parents(lines: DataFrame, level: str = "level", key: str = "doc_id") -> DataFrame:
     """Add parent: the position of the nearest line before of a lower level, whatever the depth.
 
-    The deepest level, one number, is read first; there is a window for each level."""
-    deepest = lines.agg(F.max(level)).first()[0] or 0
-    before = _order(key).rowsBetween(W.unboundedPreceding, -1)
-    latest = {k: F.max(F.when(F.col(level) == k, F.col("pos"))).over(before) for k in range(1, deepest)}
-    parent = F.lit(None).cast("int")
-    for k in range(deepest, 1, -1):
-        lower = F.greatest(*(latest[j] for j in range(1, k)), F.lit(-1))
-        parent = F.when(F.col(level) == k, F.nullif(lower, F.lit(-1))).otherwise(parent)
-    return lines.withColumn("parent", parent)
+    Lines without a level have none.  Levels and positions alone are sorted by document;
+    a task reads them in a stream and keeps the open levels, no more than the deepest has.
+    """
+    own = lines.schema[key]
+    kind = T.StructType([T.StructField("_key", own.dataType), T.StructField("_pos", T.LongType()), T.StructField("parent", T.LongType())])
+    known = lines.where(F.col(level).isNotNull()).select(F.col(key).alias("_key"), F.col("pos").cast("long").alias("_pos"), F.col(level).cast("long").alias("_level"))
+
+    def run(batches):
+        open_, before = [], object()
+        for batch in batches:
+            told = []
+            for k, pos, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != before:
+                    open_, before = [], k
+                while open_ and open_[-1][0] >= depth:
+                    open_.pop()
+                told.append(open_[-1][1] if open_ else None)
+                open_.append((depth, pos))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.int64())], ["_key", "_pos", "parent"])
+
+    found = known.repartition("_key").sortWithinPartitions("_key", "_pos").mapInArrow(run, kind)
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("pos") == F.col("_pos"))
+    return lines.join(found, same, "left").select(*lines.columns, F.col("parent").cast(lines.schema["pos"].dataType).alias("parent"))
 
 
 def drop_blocks(lines: DataFrame, begin: Column, end: Column, key: str = "doc_id") -> DataFrame:

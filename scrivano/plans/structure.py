@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tree
+from ..operators import convert, tree
 from .registry import query, table
 
 
@@ -117,3 +117,149 @@ def _stream_sql() -> str:
 def page_stream(spark, sf_dir):
     """HTML-07, SRC-23: headings, texts, images and marks of every page in one stream, overlaps settled by priority."""
     return tree.ordered_stream(table(spark, sf_dir, "pages"), list(_PARTS))
+
+
+# -- Markdown ------------------------------------------------------------------------
+#: What a line of a document becomes, by its length modulo 16: every construct of Markdown, open and closed.
+_MARKS = (
+    ("# ", ""), ("### ", "  "), ("```python ", ""), ("```", None), ("| ", " | **b** |"), ("|---| --- |", None), ("> ", ""), ("<!-- ", ""), ("", " -->"), ("  <!-- x -->  ", None), ("---", None), ("", None), ("**bold** `code` ", " [l](u) ![i](v)"), (">", ""), ("", ""), ("```", "```"),
+)
+
+
+def _markdown(spark, sf_dir):
+    """Documents as Markdown: each line dressed by its length."""
+
+    def dressed(x):
+        out = x
+        for k, (left, right) in enumerate(_MARKS):
+            out = F.when(F.length(x) % len(_MARKS) == k, F.lit(left) if right is None else F.concat(F.lit(left), x, F.lit(right))).otherwise(out)
+        return out
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), dressed), "\n").alias("text"))
+
+
+def _dressed_sql() -> str:
+    return "CASE length(x) % 16 " + " ".join(f"WHEN {k} THEN " + (f"'{left}'" if right is None else f"concat('{left}', x, '{right}')") for k, (left, right) in enumerate(_MARKS)) + " END"
+
+
+def _inline_sql(x: str) -> str:
+    x = f"regexp_replace({x}, '\\*\\*([^*]+)\\*\\*', '*\\1*', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '`([^`]+)`', '~\\1~', 'g'), '\\[([^\\]]+)\\]\\(([^)]+)\\)', '[[\\2][\\1]]', 'g')"
+
+
+_BARE = r"regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+#: The automaton line by line, as a recursion; then what each line gives.
+_ORG = rf"""
+    WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_dressed_sql()} AS line
+                      FROM (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+    f AS MATERIALIZED (SELECT *, {_BARE} AS bare, regexp_matches(line, '^\s*<!--.*-->\s*$') AS one, regexp_matches(line, '^\s*<!--') AND NOT contains(line, '-->') AS opens FROM l),
+    g AS MATERIALIZED (SELECT *, CASE WHEN opens THEN 1 WHEN starts_with(line, '```') THEN 2 ELSE 0 END AS n, CASE WHEN contains(line, '-->') THEN 0 ELSE 1 END AS c,
+                 CASE WHEN regexp_matches(line, '^```\s*$') THEN 0 ELSE 2 END AS k FROM f),
+    w(doc_id, pos, state, after) AS (
+        SELECT doc_id, pos, 0, n FROM g WHERE pos = 0
+        UNION ALL SELECT g.doc_id, g.pos, w.after, CASE w.after WHEN 0 THEN g.n WHEN 1 THEN g.c ELSE g.k END FROM w JOIN g ON g.doc_id = w.doc_id AND g.pos = w.pos + 1),
+    s AS (SELECT g.*, w.state, w.after, CASE WHEN state = 2 THEN CASE WHEN k = 0 THEN 'end' ELSE 'code' END WHEN state = 1 OR one OR opens THEN 'gone' WHEN bare = '' THEN 'blank'
+                 WHEN regexp_matches(bare, '^-{{3,}}$') THEN 'rule' WHEN regexp_matches(line, '^#{{1,6}}\s+.+$') THEN 'heading' WHEN starts_with(line, '```') THEN 'begin'
+                 WHEN starts_with(bare, '|') THEN 'table' WHEN starts_with(bare, '>') THEN 'quote' ELSE 'text' END AS kind
+          FROM g JOIN w USING (doc_id, pos)),
+    t AS (SELECT *, lag(kind) OVER v AS before, lead(kind) OVER v AS next, last_value(CASE WHEN kind = 'begin' THEN regexp_extract(line, '^```([\p{{L}}\p{{N}}_]*)', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS lang
+          FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
+    o AS (SELECT doc_id, pos, concat(CASE kind
+        WHEN 'blank' THEN chr(10) WHEN 'rule' THEN concat('-----', chr(10))
+        WHEN 'heading' THEN concat(repeat('*', length(regexp_extract(line, '^(#{{1,6}})', 1))), ' ', {_inline_sql("regexp_replace(bare, '^#+[[:space:]]+', '')")}, chr(10), chr(10))
+        WHEN 'begin' THEN concat(CASE WHEN lang <> '' THEN '#+BEGIN_SRC ' || lang ELSE '#+BEGIN_EXAMPLE' END, chr(10))
+        WHEN 'code' THEN concat(line, chr(10))
+        WHEN 'end' THEN concat(CASE WHEN lang <> '' THEN '#+END_SRC' ELSE '#+END_EXAMPLE' END, chr(10), chr(10))
+        WHEN 'table' THEN concat(CASE WHEN regexp_matches(bare, '^\|[\s\-:]+\|$') OR regexp_matches(bare, '^\|(\s*-+\s*\|)+\s*$') THEN concat('|', array_to_string(list_transform(list_filter(string_split(bare, '|'), lambda c: trim(c) <> ''), lambda c: '----------'), '+'), '|') ELSE {_inline_sql("bare")} END, chr(10), CASE WHEN next IS DISTINCT FROM 'table' THEN chr(10) ELSE '' END)
+        WHEN 'quote' THEN concat(CASE WHEN before IS DISTINCT FROM 'quote' THEN '#+BEGIN_QUOTE' || chr(10) ELSE '' END, regexp_replace(line, '^>\s?', ''), chr(10), CASE WHEN next IS DISTINCT FROM 'quote' THEN '#+END_QUOTE' || chr(10) || chr(10) ELSE '' END)
+        WHEN 'text' THEN concat({_inline_sql("line")}, chr(10)) ELSE '' END,
+        CASE WHEN next IS NULL AND after = 2 THEN concat(CASE WHEN lang <> '' THEN '#+END_SRC' ELSE '#+END_EXAMPLE' END, chr(10), chr(10)) ELSE '' END) AS part FROM t),
+    z AS (SELECT doc_id, string_agg(part, '' ORDER BY pos) AS org FROM o GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN org = '' THEN '' ELSE left(org, length(org) - 1) END AS org FROM z"""
+
+
+@query(_ORG)
+def doc_markdown_org(spark, sf_dir):
+    """STM-05: every document, its lines dressed as Markdown, in Org; the SQL walks line by line."""
+    return convert.markdown_to_org(_markdown(spark, sf_dir))
+
+
+# -- structured documents --------------------------------------------------------------
+_DOC_LINES = "(SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
+
+
+def _structured(spark, sf_dir):
+    """Documents as structured JSON: headings, lists three deep, tables, and runs of four styles, by the lines' lengths."""
+
+    def word(x, k):
+        return F.coalesce(F.get(F.split(x, " ", -1), F.lit(k)), F.lit(""))
+
+    def run(text, bold=None, italic=None, font=None, url=None):
+        style = F.struct(F.lit(bold).cast("boolean").alias("bold"), F.lit(italic).cast("boolean").alias("italic"), F.when(F.lit(font is not None), F.struct(F.lit(font).alias("fontFamily"))).alias("weightedFontFamily"), F.when(F.lit(url is not None), F.struct(F.lit(url).alias("url"))).alias("link"))
+        return F.struct(F.struct(text.alias("content"), style.alias("textStyle")).alias("textRun"))
+
+    def paragraph(runs, style=None, bullet=None):
+        return F.struct(F.struct(style.alias("namedStyleType")).alias("paragraphStyle") if style is not None else F.lit(None).cast("struct<namedStyleType:string>").alias("paragraphStyle"), (bullet if bullet is not None else F.lit(None).cast("struct<listId:string,nestingLevel:int>")).alias("bullet"), runs.alias("elements"))
+
+    def part(x, i):
+        blank = F.lit(" ")
+        rest = F.concat(blank, F.array_join(F.slice(F.split(x, " ", -1), 5, 2**31 - 1), " "))
+        runs = F.array(run(F.concat(word(x, 0), blank), bold=True), run(F.concat(word(x, 1), blank), italic=True), run(word(x, 2), font="Courier New"), run(word(x, 3), url="u"), run(rest))
+        n = F.length(x)
+        style = F.when(n % 8 == 0, F.concat(F.lit("HEADING_"), (i % 3 + 1).cast("string"))).otherwise(F.lit("NORMAL_TEXT"))
+        bullet = F.when((n % 8).between(1, 3), F.struct(F.when(F.floor(n / 8) % 3 > 0, F.lit("a")).otherwise(F.lit("b")).alias("listId"), (n % 3).cast("int").alias("nestingLevel")))
+        cell = lambda k: F.struct(F.array(F.struct(paragraph(F.array(run(word(x, k)))).alias("paragraph"))).alias("content"))
+        rows = F.array(F.struct(F.array(cell(0), cell(1)).alias("tableCells")), F.struct(F.array(cell(2), cell(3)).alias("tableCells")))
+        return F.struct(F.when(n % 8 != 4, paragraph(runs, style, bullet)).alias("paragraph"), F.when(n % 8 == 4, F.struct(rows.alias("tableRows"))).alias("table"))
+
+    def glyphs(*names):
+        return F.struct(F.array(*(F.struct(F.lit(g).alias("glyphType")) for g in names)).alias("nestingLevels"))
+
+    lists = F.create_map(F.lit("a"), glyphs("DECIMAL", "ALPHA", "ROMAN"), F.lit("b"), glyphs("BULLET", "BULLET", "BULLET"))
+    content = F.transform(F.split("text", "\n", -1), part)
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.struct(content.alias("content")).alias("body"), lists.alias("lists"))).alias("json"))
+
+
+_STRUCTURED = r"""
+    WITH l AS (SELECT doc_id, pos, x, length(x) AS n, list_transform([1, 2, 3, 4], lambda k: coalesce(string_split(x, ' ')[k], '')) AS w, array_to_string(list_slice(string_split(x, ' '), 5, NULL), ' ') AS rest FROM """ + _DOC_LINES + r"""),
+    p AS (SELECT *, regexp_replace(concat('**', trim(w[1]), '***', trim(w[2]), '*`', trim(w[3]), '`[', trim(w[4]), '](u) ', rest), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t,
+                 CASE WHEN n % 8 = 4 THEN 'table' WHEN n % 8 = 0 THEN 'heading' WHEN n % 8 <= 3 THEN 'item' ELSE 'paragraph' END AS kind, n % 3 AS level, (n // 8) % 3 > 0 AS ordered FROM l),
+    q AS (SELECT a.*, (SELECT count(*) FROM p b WHERE b.doc_id = a.doc_id AND b.kind = 'item' AND b.level = a.level AND b.ordered AND b.pos <= a.pos
+                       AND b.pos > coalesce((SELECT max(c.pos) FROM p c WHERE c.doc_id = a.doc_id AND c.pos < a.pos AND (c.kind <> 'item' OR c.level < a.level)), -1)) AS nth FROM p a),
+    r AS (SELECT doc_id, pos, unnest([false, true]) AS counted, kind, level, ordered, nth, t, w, pos % 3 + 1 AS h FROM q),
+    s AS (SELECT doc_id, pos, counted, CASE kind WHEN 'heading' THEN concat(repeat('#', CAST(h AS INT)), ' ', t, chr(10), chr(10))
+             WHEN 'item' THEN concat(repeat('   ', CAST(level AS INT)), CASE WHEN ordered AND counted THEN concat(nth, '. ') WHEN ordered THEN '1. ' ELSE '- ' END, t, chr(10))
+             WHEN 'table' THEN concat('| ', trim(w[1]), ' | ', trim(w[2]), ' |', chr(10), '|---|---|', chr(10), '| ', trim(w[3]), ' | ', trim(w[4]), ' |', chr(10), chr(10)) ELSE concat(t, chr(10), chr(10)) END AS part FROM r)
+    SELECT doc_id, left(string_agg(part, '' ORDER BY pos) FILTER (NOT counted), -1) AS markdown, left(string_agg(part, '' ORDER BY pos) FILTER (counted), -1) AS counted FROM s GROUP BY doc_id"""
+
+
+@query(_STRUCTURED)
+def doc_json_markdown(spark, sf_dir):
+    """STM-06: structured JSON made of every document as Markdown, plain and with counted lists."""
+    docs = _structured(spark, sf_dir)
+    return convert.document_to_markdown(docs).join(convert.document_to_markdown(docs, counted=True).withColumnRenamed("markdown", "counted"), "doc_id")
+
+
+def _nested(spark, sf_dir):
+    """Documents as trees of tabs: a line's depth grows line by line and falls to the top again, up to 40 deep."""
+    wide = F.col("doc_id") % 40 + 2
+
+    def depth(i):
+        return i % wide
+
+    def part(x, i):
+        own = F.struct(F.concat(F.lit("t."), i.cast("string")).alias("tabId"), x.alias("title"))
+        deeper = (depth(i + 1) > depth(i)) & (i + 1 < F.size("l"))
+        left = F.when((i > 0) & (depth(i) <= depth(i - 1)), F.lit(",")).otherwise(F.lit(""))
+        up = F.when(i + 1 < F.size("l"), depth(i) - depth(i + 1)).otherwise(depth(i)).cast("int")
+        right = F.when(deeper, F.lit(',"childTabs":[')).otherwise(F.concat(F.lit("}"), F.repeat(F.lit("]}"), up)))
+        return F.concat(left, F.lit('{"tabProperties":'), F.to_json(own), right)
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    return docs.select("doc_id", F.concat(F.lit('{"tabs":['), F.array_join(F.transform("l", part), ""), F.lit("]}")).alias("json"))
+
+
+@query(f"SELECT doc_id, CAST(pos AS INT) AS idx, concat('t.', pos) AS tab_id, x AS title, CAST(pos % (doc_id % 40 + 2) AS BIGINT) AS depth FROM {_DOC_LINES}")
+def doc_tab_tree(spark, sf_dir):
+    """SRC-11: trees of tabs made of every document, flattened in preorder with their depths."""
+    return convert.json_tabs(_nested(spark, sf_dir))
