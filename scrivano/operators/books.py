@@ -108,3 +108,89 @@ def chapters(lines: DataFrame, titles: dict[str, str], variants: dict[str, str]
     every = done.unionByName(blank).withColumn("after", F.last("takes", ignorenulls=True).over(upto))
     kept = every.where((F.col("kind") != "gone") & (F.col("takes").isNotNull() | ~F.coalesce(F.col("after"), F.lit(False))))
     return preface.unionByName(kept.select(key, "pos", "kind", "line"))
+
+
+#: Fixed value: a lecture's number, as a heading or as a plain line.
+LECTURE = r"^(?:#\s+)?(\d+강)$"
+# Headings that are none: items, captions, and what has no Hangul.
+NO_HEADING = r"^[①②③④⑤⑥⑦⑧⑨⑩⑪⑫]|^[<〈].*[>〉]$|^[^가-힣]*$"
+
+
+def lectures(lines: DataFrame, parts: dict[str, str], table: dict[str, tuple[str, str | None]], back: tuple[str, ...] = (INDEX,), start: str | None = None, preface: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """Three-level books: (key, pos, sub, kind, line) with '* part', '** lecture', '*** item'.
+
+    parts: number -> title.  table: lecture number -> (title, part), in the order of the book.
+    A line or heading 'N강' is a lecture and takes the next non-blank line; its title is
+    the table's, else that line.  A part begins with its first lecture: its heading is made
+    before it, with sub 0, the lecture being sub 1.  A part's own heading, one whose next
+    heading is a lecture, goes.  After the index's heading all headings go.  False headings
+    become text.  What stands before the heading ``start`` goes, but for what follows the
+    first heading of ``preface``.  kind: preface, part, lecture, back, item, false, text.
+    Null lines count as blank.
+    """
+    first: dict[str, str] = {}
+    begun: set[str] = set()
+    for number, (_, part) in table.items():
+        if part and part not in begun:
+            begun.add(part)
+            first[number] = f"* {part} {parts.get(part, '')}"
+    line = F.coalesce(F.col("line"), F.lit(""))
+    rows = lines.select(key, "pos", line.alias("line"), strip(line).alias("bare"))
+    order = W.partitionBy(key).orderBy("pos")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("heading", F.when(F.col("line").rlike(r"^#\s+.*\S\s*$"), strip(sub(F.col("line"), r"^#\s+", ""))))
+    begins = F.min(F.when(F.col("line").rlike(rf"^#\s+{re.escape(start)}\s*$"), F.col("pos"))).over(W.partitionBy(key)) if start else F.lit(None).cast("int")
+    rows = rows.withColumn("begin", F.coalesce(begins, F.lit(-1)))
+    kept_names = F.coalesce(F.col("heading").isin(*preface), F.lit(False)) if preface else F.lit(False)
+    front = rows.where("pos < begin").withColumn("since", F.max(kept_names.cast("int")).over(upto)).where("since = 1")
+    front_line = F.when(kept_names, F.concat(F.lit("* "), F.col("heading"))).when(F.col("heading").isNotNull(), F.concat(F.lit("** "), F.col("heading"))).otherwise(F.col("line"))
+    head = front.select(key, "pos", F.lit(1).alias("sub"), F.lit("preface").alias("kind"), front_line.alias("line"))
+
+    body = rows.where("pos >= begin")
+    marked = F.when(F.col("line").rlike(r"^#\s+") | F.col("bare").rlike(r"^\d+강$"), F.col("bare"))
+    filled = body.where("bare <> ''").withColumn("next", F.lead("line").over(order))
+    filled = filled.withColumn("ahead", F.first(marked, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
+    filled = filled.withColumn("number", F.nullif(F.regexp_extract("bare", LECTURE, 1), F.lit("")))
+    cover = F.coalesce(F.col("heading").isin(*parts.values()) & F.col("ahead").rlike(LECTURE), F.lit(False)) if parts else F.lit(False)
+
+    def taking(could: Column) -> DataFrame:
+        """Which lines are lectures, every other one of a run of numbers, and which are taken by the one before."""
+        run = filled.withColumn("could", could).withColumn("run", F.sum((~F.col("could")).cast("int")).over(upto))
+        nth = F.row_number().over(W.partitionBy(key, "run", "could").orderBy("pos"))
+        run = run.withColumn("takes", F.col("could") & (nth % 2 == 1))
+        return run.withColumn("taken", F.coalesce(F.lag("takes").over(order), F.lit(False)))
+
+    token = F.col("number").isNotNull()
+    listed = F.lit(False)
+    if INDEX in back:
+        found = taking(token).where((F.col("heading") == INDEX) & ~F.col("taken") & ~cover)
+        at = found.groupBy(F.col(key).alias("_k")).agg(F.min("pos").alias("index_at"))
+        filled = filled.join(at, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+        listed = F.coalesce(F.col("pos") > F.col("index_at"), F.lit(False)) & F.col("line").rlike(r"^#\s+")
+    told = taking(token & ~listed)
+    h = F.col("heading")
+    title = F.coalesce(_looked_up({k: v[0] for k, v in table.items()}, F.col("number")), strip(sub(F.col("next"), r"^#\s+", "")), F.lit(""))
+    part = F.struct(F.lit(0).alias("sub"), F.lit("part").alias("kind"), _looked_up(first, F.col("number")).alias("line"))
+
+    def one(kind: str, value: Column) -> Column:
+        return F.array(F.struct(F.lit(1).alias("sub"), F.lit(kind).alias("kind"), value.alias("line")))
+
+    lecture = one("lecture", strip(F.concat(F.lit("** "), F.col("number"), F.lit(" "), title)))
+    rules = [
+        (F.col("taken") | (listed & ~F.col("taken")), F.slice(lecture, 1, 0)),
+        (F.col("takes"), F.when(part["line"].isNotNull(), F.concat(F.array(part), lecture)).otherwise(lecture)),
+        (h.isNull(), one("text", F.col("line"))),
+        (cover, F.slice(lecture, 1, 0)),
+        (h.isin(*back) if back else F.lit(False), one("back", F.concat(F.lit("* "), h))),
+        (h.rlike(NO_HEADING), one("false", h)),
+    ]
+    out = one("item", F.concat(F.lit("*** "), h))
+    for test, value in reversed(rules):
+        out = F.when(test, value).otherwise(out)
+    done = told.select(key, "pos", "takes", out.alias("out"))
+    # Blank lines between a lecture's number and its title go with them.
+    blank = body.where("bare = ''").select(key, "pos", F.lit(None).cast("boolean").alias("takes"), one("text", F.col("line")).alias("out"))
+    every = done.unionByName(blank).withColumn("after", F.last("takes", ignorenulls=True).over(upto))
+    every = every.withColumn("more", F.max(F.col("takes").isNotNull().cast("int")).over(order.rowsBetween(1, W.unboundedFollowing)) == 1)
+    kept = every.where(F.col("takes").isNotNull() | ~F.coalesce(F.col("after"), F.lit(False)) | ~F.coalesce("more", F.lit(False)))
+    return head.unionByName(kept.select(key, "pos", F.explode("out").alias("o")).select(key, "pos", "o.*"))

@@ -69,12 +69,6 @@ def unfill(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return packed.select(key, "pos", F.array_join(F.transform("all", lambda x: x["v"]), " ").alias("line"))
 
 
-def drop_repeats(lines: DataFrame, same: Column, key: str = "doc_id") -> DataFrame:
-    """Drop a line whose next line has the same value of ``same``: the last of a run stays."""
-    following = F.lead(same).over(_order(key))
-    return lines.withColumn("_next", following).where(~F.coalesce(F.col("_next") == same, F.lit(False))).drop("_next")
-
-
 def drop_repeat_headings(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Drop a Markdown heading whose next element is a heading of its level and whole text, white space and bullet aside.
 

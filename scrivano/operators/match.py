@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .rounds import settled
+
 
 def last_write(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row of each key."""
@@ -52,20 +54,53 @@ def ordinal_join(left: DataFrame, right: DataFrame, group: str, left_order: list
     return a.join(b, [group, "nth"], "left")
 
 
-def category_paths(nodes: DataFrame, node: str = "id", parent: str = "parent", name: str = "name", joint: str = "/", deepest: int = 64) -> DataFrame:
-    """(node, depth, path) from the root down; a parent that is missing or already on the path ends it."""
-    spark: SparkSession = nodes.sparkSession
-    view = "_category_nodes"
-    nodes.select(F.col(node).cast("string").alias("id"), F.col(parent).cast("string").alias("parent"), F.col(name).cast("string").alias("name")).createOrReplaceTempView(view)
-    walk = spark.sql(f"""
-        WITH RECURSIVE up (id, top, seen, path, depth) AS (
-            SELECT id, parent, array(id), name, 1 FROM {view}
-            UNION ALL
-            SELECT up.id, n.parent, concat(up.seen, array(n.id)), concat(n.name, '{joint}', up.path), up.depth + 1
-            FROM up JOIN {view} n ON up.top = n.id
-            WHERE NOT array_contains(up.seen, n.id) AND up.depth < {int(deepest)})
-        SELECT id, depth, path FROM up""")
-    return last_write(walk, ["id"], ["depth"])
+def category_paths(nodes: DataFrame, node: str = "id", parent: str = "parent", name: str = "name", joint: str = "/") -> DataFrame:
+    """(id, depth, path) from the root down; a parent that is missing or already on the path ends it.
+
+    Paths of any depth, by doubling: in each round a node's path, as far as it is known,
+    is joined with the path of the node where it ends, so that n steps take log2(n) rounds.
+    Of nodes with one id the first by parent and name counts; a null id is left out.
+    """
+    text = [F.col(c).cast("string").alias(a) for c, a in ((node, "id"), (parent, "parent"), (name, "name"))]
+    rows = nodes.select(*text).where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("parent", "name")).alias("r")).select("id", "r.parent", F.coalesce("r.name", F.lit("")).alias("name"))
+    known = rows.select(F.col("id").alias("top"))
+    # seen: the ids of the path from the node up; top: the next one, null at an end.
+    walk = rows.join(known, F.col("parent") == F.col("top"), "left").select("id", F.array("id").alias("seen"), F.array("name").alias("names"), F.when(F.col("top") != F.col("id"), F.col("top")).alias("top"))
+    walk = settled(walk)
+    while walk.where("top IS NOT NULL").limit(1).count():
+        up = walk.select(F.col("id").alias("u_id"), F.col("seen").alias("u_seen"), F.col("names").alias("u_names"), F.col("top").alias("u_top"))
+        both = walk.join(up, F.col("top") == F.col("u_id"), "left")
+        # The first node of the upper path that is on the lower one closes a circle.
+        again = F.array_position(F.transform("u_seen", lambda x: F.array_contains("seen", x)), F.lit(True))
+        stop = F.when(again > 0, again - 1).otherwise(F.size("u_seen")).cast("int")
+        open_ = (again == 0) & F.col("u_top").isNotNull() & ~F.array_contains("seen", F.col("u_top"))
+        both = both.select("*", stop.alias("stop"), open_.alias("open"))
+        more = F.col("top").isNotNull()
+        longer = [F.when(more, F.concat(c, F.slice(f"u_{c}", 1, F.col("stop")))).otherwise(F.col(c)).alias(c) for c in ("seen", "names")]
+        walk = settled(both.select("id", *longer, F.when(more & F.col("open"), F.col("u_top")).alias("top")))
+    return walk.select("id", F.size("seen").alias("depth"), F.array_join(F.reverse("names"), joint).alias("path"))
+
+
+def free_names(files: DataFrame, key: str, folder: str, now: str, wanted: str) -> DataFrame:
+    """(key, name, moves): every file under its wanted name, or that name with -2, -3, ..., unique in its folder.
+
+    wanted may have an extension, before which the number goes.  A file that has its wanted
+    name keeps it.  Of several that want one name the first by its present name, then key,
+    gets it; the n-th loser asks for the name n numbers further, and so on in rounds until
+    nobody moves.  moves tells the number asked for, 1 for the name itself.  Keys are
+    unique; a null wanted name keeps the present one.
+    """
+    want = F.coalesce(F.col(wanted), F.col(now))
+    rows = files.select(F.col(key).alias("key"), F.coalesce(F.col(folder), F.lit("")).alias("folder"), F.col(now).alias("now"), want.alias("want"))
+    rows = settled(rows.withColumn("moves", F.lit(1)).withColumn("fixed", F.coalesce(F.col("now") == F.col("want"), F.lit(False)) & (F.row_number().over(W.partitionBy("folder", "now").orderBy("key")) == 1)))
+    stem, ext = (F.regexp_extract("want", r"(?s)^(.*?)(\.[^./]*)?\z", k) for k in (1, 2))
+    name = F.when(F.col("moves") == 1, F.col("want")).otherwise(F.concat(stem, F.lit("-"), F.col("moves").cast("string"), ext))
+    while True:
+        order = W.partitionBy("folder", "name").orderBy(F.desc("fixed"), "now", "key")
+        asked = rows.withColumn("name", name).withColumn("nth", F.row_number().over(order))
+        rows = settled(asked.select("key", "folder", "now", "want", (F.col("moves") + F.when(F.col("fixed"), 0).otherwise(F.col("nth") - 1)).cast("int").alias("moves"), (F.col("fixed") | (F.col("nth") == 1)).alias("fixed")))
+        if not rows.where("NOT fixed").limit(1).count():
+            return rows.select(F.col("key").alias(key), name.alias("name"), "moves")
 
 
 def common_span(spans: DataFrame, group: str, start: str = "start", stop: str = "stop") -> DataFrame:

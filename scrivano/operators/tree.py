@@ -22,13 +22,13 @@ def tag_pattern(raw: tuple[str, ...] = RAW) -> str:
     return r"(?is)<!--.*?-->|" + "|".join(rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in raw) + r"|</?[a-z][^>]*>"
 
 
-def matches(docs: DataFrame, pattern: str, key: str, text: str) -> DataFrame:
+def matches(docs: DataFrame, pattern: str | Column, key: str, text: str) -> DataFrame:
     """(key, ord, start, found): every match of a pattern in the order of the text, start from 0.
 
-    The keys are unique.  A match's place is the length of all gaps and matches before it.
+    The pattern may be a column, and finds one character at least.  The keys are unique.  A match's place is the length of all gaps and matches before it.
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(F.col(text), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     rows = docs.select(key, gaps.alias("gap"), found.alias("found")).where(F.size("found") > 0)
     rows = rows.select(key, F.posexplode(F.arrays_zip(F.slice("gap", 1, F.size("found")).alias("gap"), "found")).alias("ord", "m")).select(key, "ord", "m.gap", "m.found")
     before = W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)

@@ -291,10 +291,13 @@ def doc_benchmark_distance(spark, sf_dir):
     return evaluate.error_rates(_passages(spark, sf_dir)).select("doc_id", "probe", "projection", "dist", "cer")
 
 
-@query("SELECT doc_id, translate(regexp_replace(text, '[\\s]+', '', 'g'), '[](){}「」『』〈〉《》‘’“”''\"…', '') AS content FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9 .,\\n\\[\\](){}]', '', 'g') AS text FROM documents)")
+_SIGNS = "「x」 『y』 (z) “q” ‘r’ … "
+
+
+@query(f"SELECT doc_id, translate(regexp_replace(concat('{_SIGNS}', text), '[\\s\\x{{85}}\\p{{Z}}]+', '', 'g'), '[](){{}}「」『』〈〉《》‘’“”''\"…', '') AS content FROM documents")
 def doc_content_key(spark, sf_dir):
-    """EVL-02, MSC-06: content without white space and brackets, of every document."""
-    text = rx.sub(F.col("text"), r"[^a-zA-Z0-9 .,\n\[\](){}]", "")
+    """EVL-02, MSC-06: content of every whole document without white space, brackets and quotes, some of each added."""
+    text = F.concat(F.lit(_SIGNS), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.translate(rx.nospace(text), markup.BRACKETS, "").alias("content"))
 
 
@@ -358,12 +361,6 @@ def doc_repeated_lines(spark, sf_dir):
     return lines.first_seen(_lines(spark, sf_dir), "line").where("nth > 1").select("doc_id", "pos", F.col("nth").cast("long").alias("nth"))
 
 
-@query(f"SELECT doc_id, CAST(pos AS INT) AS pos, line FROM (SELECT *, lead(substr(line, 1, 8)) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM {_LINES}) WHERE NOT coalesce(nx = substr(line, 1, 8), false)")
-def doc_drop_repeats(spark, sf_dir):
-    """The window of WIN-05 on lines with one beginning; for headings see doc_drop_repeat_headings."""
-    return lines.drop_repeats(_lines(spark, sf_dir), F.substring("line", 1, 8))
-
-
 @query()
 def doc_drop_repeat_headings(spark, sf_dir):
     """WIN-05: of equal headings in a row the last stays; all other lines stay."""
@@ -460,12 +457,6 @@ def nation_region(spark, sf_dir):
     return out.select("n_name", "r_name", F.concat("r_name", F.lit("/"), "n_name").alias("path"))
 
 
-@query("SELECT * FROM (VALUES ('1', 1, 'root'), ('2', 2, 'root/a'), ('3', 3, 'root/a/leaf'), ('4', 2, 'root/b'), ('5', 3, 'root/b/leaf'), ('6', 1, 'lost'), ('7', 1, 'self'), ('8', 2, 'y/x'), ('9', 2, 'x/y')) AS t(id, depth, path)")
-def category_paths(spark, sf_dir):
-    """JON-05, D13: ancestor paths; missing parents and cycles end them."""
-    return match.category_paths(frame(spark, "nodes"))
-
-
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def last_write_wins(spark, sf_dir):
     """JON-11: the latest event of each user."""
@@ -493,12 +484,12 @@ def span_intersection(spark, sf_dir):
     return match.common_span(spans, "event_type")
 
 
-@query("SELECT doc_id, strpos(text, substr(text, 101, 40)) AS at, length(text) - length(replace(text, substr(text, 101, 40), '')) = length(substr(text, 101, 40)) AND length(substr(text, 101, 40)) > 0 AS once FROM documents WHERE length(text) >= 141")
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN strpos(text, substr(text, 101, 40)) END AS at, coalesce(length(text) > 100 AND length(text) - length(replace(text, substr(text, 101, 40), '')) = length(substr(text, 101, 40)), false) AS once FROM documents")
 def anchored_once(spark, sf_dir):
-    """JON-15/16: where a stretch stands, and whether it occurs exactly once."""
-    part = F.substring("text", 101, 40)
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 141)
-    return docs.select("doc_id", match.locate(F.col("text"), part, (40,)).cast("long").alias("at"), match.occurs_once(F.col("text"), part).alias("once"))
+    """JON-15/16: where a stretch of each document stands, null without one, and whether it occurs exactly once."""
+    text = F.coalesce("text", F.lit(""))
+    part = F.substring(text, 101, 40)
+    return table(spark, sf_dir, "documents").select("doc_id", match.locate(text, part, (40,)).cast("long").alias("at"), match.occurs_once(text, part).alias("once"))
 
 
 @query()
@@ -531,20 +522,6 @@ def unused_lines(spark, sf_dir):
 
 
 # -- counts ----------------------------------------------------------------------
-_WORDS = "(SELECT conv_id, w AS tag FROM (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM conversations))"
-
-
-def _words(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations")
-    return t.select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tag")).distinct()
-
-
-@query(f"SELECT tag, count(*) AS n FROM {_WORDS} GROUP BY tag ORDER BY n DESC, tag LIMIT 50")
-def word_freq_top(spark, sf_dir):
-    """AGG-01, SRT-03/04: the 50 most frequent words of conversations."""
-    return analytics.top(analytics.tag_counts(_words(spark, sf_dir)), 50, F.desc("n"), "tag")
-
-
 _ALL_WORDS = r"(SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tag FROM conversations)"
 
 
@@ -575,12 +552,6 @@ def event_cooccur(spark, sf_dir):
     return analytics.top(analytics.pair_counts(tags, "user_id"), 100, F.desc("n"), "a", "b")
 
 
-@query(f"SELECT count(DISTINCT CASE WHEN length(tag) < 14 THEN conv_id END) AS groups, count(DISTINCT CASE WHEN length(tag) < 14 THEN tag END) AS unique_tags, count(*) AS raw, count(*) FILTER (length(tag) < 14) AS clean, count(*) FILTER (length(tag) >= 14) AS noise FROM {_WORDS}")
-def word_totals(spark, sf_dir):
-    """AGG-03: totals of a tagged corpus."""
-    return analytics.corpus_totals(_words(spark, sf_dir), "conv_id", "tag", F.length("tag") >= 14)
-
-
 @query("SELECT CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day, count(*) AS n FROM events GROUP BY ALL")
 def event_datetree(spark, sf_dir):
     """AGG-07, SRT-02: events by year, month and day, newest first."""
@@ -839,7 +810,7 @@ def capsule_requests(spark, sf_dir):
 _OUTLINE_SQL = """
     WITH l AS (SELECT doc_id, CAST(unnest(range(len(w))) AS BIGINT) AS i, unnest(w) AS line
                FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL)),
-    k AS (SELECT doc_id, i, regexp_replace(line, '[^a-zA-Z ]', '', 'g') AS line, 1 + (i // 3 + doc_id) % 10 AS level FROM l),
+    k AS (SELECT doc_id, i, regexp_replace(line, '[*#:]', '', 'g') AS line, 1 + (i // 3 + doc_id) % 10 AS level FROM l),
     m AS (SELECT doc_id, i, trim(line) AS title, CASE WHEN i % 3 = 0 THEN level ELSE 0 END AS level FROM k WHERE i % 3 = 0 OR trim(line) <> ''),
     e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM m)
     SELECT a.doc_id, CAST(a.nth AS INT) AS nth, CASE WHEN a.level > 0 THEN 'heading' ELSE 'paragraph' END AS kind, CAST(a.level AS INT) AS level,
@@ -853,7 +824,7 @@ _OUTLINE_SQL = """
 def org_tree(spark, sf_dir):
     """ORG-01/02, SRC-09: Org outlines made of every document's lines, as elements with their parents."""
     rows = lines.explode_lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
-    plain = F.regexp_replace("line", "[^a-zA-Z ]", "")
+    plain = F.regexp_replace("line", "[*#:]", "")
     stars = F.repeat(F.lit("*"), (1 + (F.floor(F.col("pos") / 3) + F.col("doc_id")) % 10).cast("int"))
     heading = F.concat(stars, F.lit(" h "), F.trim(plain), F.lit("\n:PROPERTIES:\n:ID: * x\n:END:"))
     made = rows.select("doc_id", "pos", F.when(F.col("pos") % 3 == 0, heading).otherwise(F.concat(F.lit("#+HWPX: "), F.col("pos").cast("string"), F.lit("\n"), plain)).alias("line"))
@@ -1037,4 +1008,4 @@ def doc_org_fixups(spark, sf_dir):
 
 
 # The queries of other modules are registered with these.
-from . import structure  # noqa: E402, F401
+from . import corpus, structure  # noqa: E402, F401
