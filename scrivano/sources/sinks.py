@@ -11,11 +11,6 @@ def by_category(docs: DataFrame, path: str, category: str = "category", mode: st
     docs.write.mode(mode).partitionBy(category).parquet(path)
 
 
-def report(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines."""
-    rows.write.mode(mode).json(path)
-
-
 def manifest(assets: DataFrame, key: str = "page") -> DataFrame:
     """(key, manifest): one JSON text with the assets of a page and their digests.
 
