@@ -40,6 +40,12 @@ TAG_ALIASES = {"node.js": "nodejs", "node": "nodejs", "k8s": "kubernetes", "db":
 UNCATEGORIZED = "_uncategorized"
 
 
+def _sought(pattern: str) -> str:
+    """The pattern without '.*' at its ends: a search finds the same, without trying every start for it."""
+    pattern = pattern.removeprefix(".*")
+    return pattern.removesuffix(".*") if not pattern.endswith("\\.*") else pattern
+
+
 def score(category: Category, title: Column, content: Column, name: Column, w: Weights = Weights()) -> Column:
     """Keywords count each, a title pattern and a name hint once; at most ``w.most``."""
     low_title, low_name = F.lower(title), F.lower(name)
@@ -52,7 +58,7 @@ def score(category: Category, title: Column, content: Column, name: Column, w: W
     parts = [hit(F.contains(low_title, F.lit(k.lower())), w.title_keyword) for k in category.keywords]
     parts += [hit(F.contains(preview, F.lit(k.lower())), w.content_keyword) for k in category.keywords]
     if category.patterns:
-        parts.append(hit(title.rlike("(?iu)(?:" + ")|(?:".join(category.patterns) + ")"), w.title_pattern))
+        parts.append(hit(title.rlike("(?iu)(?:" + ")|(?:".join(map(_sought, category.patterns)) + ")"), w.title_pattern))
     if category.hints:
         parts.append(hit(low_name.rlike("|".join(h.lower() for h in category.hints)), w.file_hint))
     return F.least(F.lit(w.most), sum(parts, zero)).cast("long")

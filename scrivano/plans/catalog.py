@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, names, render, rx, web
 from ..operators import analytics, articles, books, classify, evaluate, lines, match, outline, parse
-from .fixtures import frame, values
+from .fixtures import frame, mixed, mixed_sql, values
 from .registry import ORACLES, QUERIES, query, table
 
 # -- classification ------------------------------------------------------------
@@ -62,19 +62,19 @@ def doc_category_counts(spark, sf_dir):
     return _prose(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.count_if("needs_review").alias("n_review"), F.max("score").alias("best"))
 
 
-@query(_classify_sql(classify.DEFAULT, f"(SELECT id, title, text, coalesce(name, '') AS name FROM {values('titles')})", "id", "title", "text", "name").replace("\\[.*\\]", "\\[.*\\]"))
+@query(_classify_sql(classify.DEFAULT, f"(SELECT id, title, text, coalesce(name, '') AS name FROM {mixed_sql('titles')})", "id", "title", "text", "name").replace("\\[.*\\]", "\\[.*\\]"))
 def title_classify(spark, sf_dir):
     """CLS-01/02: the default Korean categories."""
-    return classify.classify(frame(spark, "titles"), classify.DEFAULT).drop("title", "text", "name")
+    return classify.classify(mixed(table(spark, sf_dir, "documents"), "titles"), classify.DEFAULT).drop("title", "text", "name")
 
 
 _TAGS = ", ".join(f"CASE WHEN contains(t, '{k}') THEN '{classify.TAG_ALIASES.get(k, k)}' END" for k in (*classify.AUTO_TAGS, *classify.TAG_ALIASES))
 
 
-@query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter([{_TAGS}], lambda x: x IS NOT NULL))), ',') AS tags FROM (SELECT id, lower(concat(title, ' ', substr(text, 1, 1000))) AS t FROM {values('titles')})")
+@query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter([{_TAGS}], lambda x: x IS NOT NULL))), ',') AS tags FROM (SELECT id, lower(concat(title, ' ', substr(text, 1, 1000))) AS t FROM {mixed_sql('titles')})")
 def title_tags(spark, sf_dir):
     """CLS-03, AGG-18, SRT-08: tags found in titles and texts."""
-    return frame(spark, "titles").select("id", F.array_join(classify.auto_tags(F.col("title"), F.col("text")), ",").alias("tags"))
+    return mixed(table(spark, sf_dir, "documents"), "titles").select("id", F.array_join(classify.auto_tags(F.col("title"), F.col("text")), ",").alias("tags"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{_TAGS}], lambda x: x IS NOT NULL))), ',') AS tags FROM (SELECT doc_id, lower(concat(split_part(text, chr(10), 1), ' ', substr(text, 1, 1000))) AS t FROM documents)")
@@ -92,12 +92,12 @@ _SLUG = f"array_to_string(list_transform(string_split({_BARE}, '-'), lambda w: C
 @query(
     f"SELECT id, {_SLUG} AS slug, substr(translate({_BARE}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 1, 80) AS blog_slug, "
     r"coalesce(nullif(regexp_replace(regexp_replace(title, '[<>:\"/\\|?*]', '-', 'g'), '\s+', '-', 'g'), ''), 'untitled') AS safe "
-    f"FROM {values('titles')}"
+    f"FROM {mixed_sql('titles')}"
 )
 def title_slugs(spark, sf_dir):
     """STR-01/02, PRJ-01: slugs and safe file names."""
     t = F.col("title")
-    return frame(spark, "titles").select("id", names.slug(t).alias("slug"), names.blog_slug(t).alias("blog_slug"), names.safe_name(t).alias("safe"))
+    return mixed(table(spark, sf_dir, "documents"), "titles").select("id", names.slug(t).alias("slug"), names.blog_slug(t).alias("blog_slug"), names.safe_name(t).alias("safe"))
 
 
 @query("SELECT event_id, concat(strftime(ts, '%Y%m%d'), 't', strftime(ts, '%H%M%S'), '--', event_type, '__', event_type, '_x.md') AS name FROM events")
@@ -110,22 +110,22 @@ def event_names(spark, sf_dir):
 _NAME = r"^(\d{8}[tT]\d{6})--(.+?)(?:__(.+?))?\.([^.]+)$"
 
 
-@query(f"SELECT id, CASE WHEN f THEN upper(regexp_extract(name, '{_NAME}', 1)) END AS stamp, CASE WHEN f THEN regexp_extract(name, '{_NAME}', 2) END AS title, nullif(CASE WHEN f THEN regexp_extract(name, '{_NAME}', 3) END, '') AS tags, CASE WHEN f THEN regexp_extract(name, '{_NAME}', 4) END AS ext FROM (SELECT *, regexp_matches(name, '{_NAME}') AS f FROM {values('names')})")
+@query(f"SELECT id, CASE WHEN f THEN upper(regexp_extract(name, '{_NAME}', 1)) END AS stamp, CASE WHEN f THEN regexp_extract(name, '{_NAME}', 2) END AS title, nullif(CASE WHEN f THEN regexp_extract(name, '{_NAME}', 3) END, '') AS tags, CASE WHEN f THEN regexp_extract(name, '{_NAME}', 4) END AS ext FROM (SELECT *, regexp_matches(name, '{_NAME}') AS f FROM {mixed_sql('names')})")
 def name_parse(spark, sf_dir):
     """STR-05: the parts of file names."""
-    return frame(spark, "names").select("id", *(c.alias(k) for k, c in names.parse_name(F.col("name")).items()))
+    return mixed(table(spark, sf_dir, "documents"), "names").select("id", *(c.alias(k) for k, c in names.parse_name(F.col("name")).items()))
 
 
-@query(f"SELECT id, CASE WHEN regexp_replace(trim(coalesce(title, '')), '\\s+', '-', 'g') = '' THEN 'uncategorized' ELSE regexp_replace(trim(title), '\\s+', '-', 'g') END AS folder FROM {values('titles')}")
+@query(f"SELECT id, CASE WHEN regexp_replace(trim(coalesce(title, '')), '\\s+', '-', 'g') = '' THEN 'uncategorized' ELSE regexp_replace(trim(title), '\\s+', '-', 'g') END AS folder FROM {mixed_sql('titles')}")
 def folders(spark, sf_dir):
     """STR-17: category folder names."""
-    return frame(spark, "titles").select("id", names.folder(F.col("title")).alias("folder"))
+    return mixed(table(spark, sf_dir, "documents"), "titles").select("id", names.folder(F.col("title")).alias("folder"))
 
 
-@query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(string_split(spec, ','), lambda p: CASE WHEN regexp_matches(trim(p), '^\\d+$') THEN [CAST(trim(p) AS INT)] WHEN regexp_matches(trim(p), '^\\d+\\s*-\\s*\\d+$') THEN range(CAST(trim(split_part(p, '-', 1)) AS INT), CAST(trim(split_part(p, '-', 2)) AS INT) + 1) ELSE [] END)), lambda n: n >= 1 AND n <= total))), ',') AS pages FROM {values('pages_spec')} WHERE trim(spec) <> '' UNION ALL SELECT id, array_to_string(range(1, total + 1), ',') FROM {values('pages_spec')} WHERE trim(spec) = ''")
+@query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(string_split(spec, ','), lambda p: CASE WHEN regexp_matches(trim(p), '^\\d+$') THEN [CAST(trim(p) AS INT)] WHEN regexp_matches(trim(p), '^\\d+\\s*-\\s*\\d+$') THEN range(CAST(trim(split_part(p, '-', 1)) AS INT), CAST(trim(split_part(p, '-', 2)) AS INT) + 1) ELSE [] END)), lambda n: n >= 1 AND n <= total))), ',') AS pages FROM {mixed_sql('pages_spec')} WHERE trim(spec) <> '' UNION ALL SELECT id, array_to_string(range(1, total + 1), ',') FROM {mixed_sql('pages_spec')} WHERE trim(spec) = ''")
 def page_ranges(spark, sf_dir):
     """FLT-07: page range specifications."""
-    return frame(spark, "pages_spec").select("id", F.array_join(names.page_numbers(F.col("spec"), F.col("total")), ",").alias("pages"))
+    return mixed(table(spark, sf_dir, "documents"), "pages_spec").select("id", F.array_join(names.page_numbers(F.col("spec"), F.col("total")), ",").alias("pages"))
 
 
 # -- markup ----------------------------------------------------------------------
@@ -137,10 +137,10 @@ def _decoded(x: str) -> str:
     return f"trim(regexp_replace(replace({x}, chr(8203), ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 
 
-@query(f"SELECT id, {_decoded('text')} AS decoded, {_decoded('''regexp_replace(text, '<[^>]+>', '', 'g')''')} AS clean FROM {values('markup')}")
+@query(f"SELECT id, {_decoded('text')} AS decoded, {_decoded('''regexp_replace(text, '<[^>]+>', '', 'g')''')} AS clean FROM {mixed_sql('markup')}")
 def markup_decode(spark, sf_dir):
     """STR-08 (named), STR-09: entities and tags."""
-    return frame(spark, "markup").select("id", markup.decode_entities(F.col("text")).alias("decoded"), markup.strip_tags(F.col("text")).alias("clean"))
+    return mixed(table(spark, sf_dir, "documents"), "markup").select("id", markup.decode_entities(F.col("text")).alias("decoded"), markup.strip_tags(F.col("text")).alias("clean"))
 
 
 @query(f"SELECT page_id, {_decoded('''regexp_replace(html, '<[^>]+>', '', 'g')''')} AS clean FROM pages")
@@ -178,12 +178,12 @@ def url_parts(spark, sf_dir):
         regexp_replace(text, '표\\s*<sequence>\\s*\\d+\\s*</sequence>\\s*:\\s*', '<표> ', 'g') AS caption,
         regexp_matches(trim(text), '^<[^>]+>$') AND NOT regexp_matches(trim(text), '^</?[A-Za-z!]') AS is_caption,
         regexp_matches(trim(text), '^템플릿\\s*\\d+') AS is_placeholder,
-        regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS has_letter FROM {values('markup')}"""
+        regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AS has_letter FROM {mixed_sql('markup')}"""
 )
 def markup_rewrites(spark, sf_dir):
     """STR-06/13/20/25/42/54, FLT-04/14/15: single-pass rewrites and predicates."""
     t = F.col("text")
-    return frame(spark, "markup").select(
+    return mixed(table(spark, sf_dir, "documents"), "markup").select(
         "id",
         markup.unescape_markdown(t).alias("plain"),
         markup.first_heading(t).alias("heading"),
@@ -198,10 +198,10 @@ def markup_rewrites(spark, sf_dir):
     )
 
 
-@query(f"SELECT id, len(m) AS n, coalesce(m[1], '') AS first FROM (SELECT id, list_filter(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3)), lambda w: regexp_matches(w, '^[가-힣][.?!][가-힣]$')) AS w, list_transform(list_filter(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3)), lambda w: regexp_matches(w, '^[가-힣][.?!][가-힣]$')), lambda w: substr(w, 1, 2)) AS m FROM {values('markup')})")
+@query(f"SELECT id, len(m) AS n, coalesce(m[1], '') AS first FROM (SELECT id, list_filter(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3)), lambda w: regexp_matches(w, '^[가-힣][.?!][가-힣]$')) AS w, list_transform(list_filter(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3)), lambda w: regexp_matches(w, '^[가-힣][.?!][가-힣]$')), lambda w: substr(w, 1, 2)) AS m FROM {mixed_sql('markup')})")
 def lint_stops(spark, sf_dir):
     """STR-55: sentence ends that run into the next word."""
-    return frame(spark, "markup").select("id", markup.hangul_after_stop(F.col("text")).alias("m")).select("id", F.size("m").cast("long").alias("n"), F.coalesce(F.get("m", F.lit(0)), F.lit("")).alias("first"))
+    return mixed(table(spark, sf_dir, "documents"), "markup").select("id", markup.hangul_after_stop(F.col("text")).alias("m")).select("id", F.size("m").cast("long").alias("n"), F.coalesce(F.get("m", F.lit(0)), F.lit("")).alias("first"))
 
 
 _SIGNS = (("^□\\s*(.+)$", "'□ '", 1), ("^[oO○]\\s+(.+)$", "'o '", 1), ("^\\((\\d+|[가-힣])\\)\\s*(.+)$", "concat('(', regexp_extract(s, '^\\((\\d+|[가-힣])\\)', 1), ') ')", 2), ("^[-–—]\\s+(.+)$", "'- '", 1), ("^[⋅·•]\\s*(.+)$", "'·'", 1))
@@ -212,11 +212,11 @@ _SIGNS = (("^□\\s*(.+)$", "'□ '", 1), ("^[oO○]\\s+(.+)$", "'o '", 1), ("^\
     + " ".join(f"WHEN regexp_matches(s, '{p}') THEN {b}" for p, b, _ in _SIGNS)
     + " WHEN cap OR regexp_matches(s, '^(\\d+[\\.-])+\\d*\\.?\\s+') THEN '' ELSE coalesce((['', '', '□ ', 'o ', '- ', '·'])[level], '') END AS bullet, CASE "
     + " ".join(f"WHEN regexp_matches(s, '{p}') THEN regexp_extract(s, '{p}', {g})" for p, _, g in _SIGNS)
-    + f" ELSE s END AS clean FROM (SELECT id, level, s, regexp_matches(s, '^<([^>]+)>$') AS cap FROM (SELECT id, level, regexp_replace(trim(text), '\\*\\*([^*]+)\\*\\*', '\\1', 'g') AS s FROM {values('headings')}))"
+    + f" ELSE s END AS clean FROM (SELECT id, level, s, regexp_matches(s, '^<([^>]+)>$') AS cap FROM (SELECT id, level, regexp_replace(trim(text), '\\*\\*([^*]+)\\*\\*', '\\1', 'g') AS s FROM {mixed_sql('headings')}))"
 )
 def heading_levels(spark, sf_dir):
     """STR-32: level, bullet and text of headings."""
-    return frame(spark, "headings").select("id", *(c.alias(k) for k, c in markup.heading_level(F.col("text"), F.col("level")).items()))
+    return mixed(table(spark, sf_dir, "documents"), "headings").select("id", *(c.alias(k) for k, c in markup.heading_level(F.col("text"), F.col("level")).items()))
 
 
 _SEAM_RULES = (
@@ -237,10 +237,10 @@ _SEAM_RULES = (
 )
 
 
-@query("SELECT id, " + ", ".join("CASE " + " ".join(f"WHEN {test} THEN '{r[k]}'" for test, *r in _SEAM_RULES) + f" ELSE '{other}' END AS {name}" for k, other, name in ((0, "nospace", "seam"), (1, "mid-eojeol", "reason"))) + f" FROM (SELECT id, rtrim(tail) AS t, ltrim(head) AS h FROM {values('seams')})")
+@query("SELECT id, " + ", ".join("CASE " + " ".join(f"WHEN {test} THEN '{r[k]}'" for test, *r in _SEAM_RULES) + f" ELSE '{other}' END AS {name}" for k, other, name in ((0, "nospace", "seam"), (1, "mid-eojeol", "reason"))) + f" FROM (SELECT id, rtrim(tail) AS t, ltrim(head) AS h FROM {mixed_sql('seams')})")
 def seam_decisions(spark, sf_dir):
     """STR-31: how the halves of split paragraphs join."""
-    return frame(spark, "seams").select("id", *(c.alias(k) for k, c in markup.seam(F.col("tail"), F.col("head")).items()))
+    return mixed(table(spark, sf_dir, "documents"), "seams").select("id", *(c.alias(k) for k, c in markup.seam(F.col("tail"), F.col("head")).items()))
 
 
 def _content_sql(x: str, mode: str) -> str:
@@ -254,15 +254,20 @@ def _content_sql(x: str, mode: str) -> str:
     return body
 
 
-@query("SELECT id, projection, hyp_key, ref_key FROM (" + " UNION ALL ".join(f"SELECT id, '{name}' AS projection, {_content_sql('hyp', mode)} AS hyp_key, {_content_sql('ref', mode)} AS ref_key FROM {values('transcripts')}" for name, mode in evaluate.PROJECTIONS.items()) + ") WHERE hyp_key <> '' AND ref_key <> ''")
+def _projected_sql(source: str) -> str:
+    arms = " UNION ALL ".join(f"SELECT id, '{name}' AS projection, {_content_sql('hyp', mode)} AS hyp_key, {_content_sql('ref', mode)} AS ref_key FROM {source}" for name, mode in evaluate.PROJECTIONS.items())
+    return f"SELECT id, projection, hyp_key, ref_key FROM ({arms}) WHERE hyp_key <> '' AND ref_key <> ''"
+
+
+@query(_projected_sql(mixed_sql("transcripts")))
 def transcript_projections(spark, sf_dir):
     """EVL-01/02/07: comparable content of transcripts, in three projections."""
-    return evaluate.projections(frame(spark, "transcripts")).select("id", "projection", "hyp_key", "ref_key")
+    return evaluate.projections(mixed(table(spark, sf_dir, "documents"), "transcripts")).select("id", "projection", "hyp_key", "ref_key")
 
 
-@query(f"SELECT id, projection, levenshtein(hyp_key, ref_key) AS dist, levenshtein(hyp_key, ref_key) / greatest(length(ref_key), 1)::DOUBLE AS cer FROM ({ORACLES['transcript_projections']})")
+@query(f"SELECT id, projection, levenshtein(hyp_key, ref_key) AS dist, levenshtein(hyp_key, ref_key) / greatest(length(ref_key), 1)::DOUBLE AS cer FROM ({_projected_sql(values('transcripts'))})")
 def transcript_cer(spark, sf_dir):
-    """EVL-04/08: edit distance and error rate."""
+    """EVL-04/08: edit distance and error rate of golden rows; doc_benchmark_distance has those of the tables."""
     return evaluate.error_rates(frame(spark, "transcripts")).select("id", "projection", "dist", "cer")
 
 
@@ -418,10 +423,10 @@ def markdown_block_counts(spark, sf_dir):
     return parse.markdown_blocks(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT id, coalesce(nullif(regexp_extract(coalesce(text, ''), '#([\\p{{L}}\\p{{N}}_]+)', 1), ''), CASE WHEN trim(split_part(text, chr(10), 1)) <> '' AND length(trim(split_part(text, chr(10), 1))) <= 20 THEN trim(split_part(text, chr(10), 1)) END, '(미분류)') AS topic FROM {values('posts')}")
+@query(f"SELECT id, coalesce(nullif(regexp_extract(coalesce(text, ''), '#([\\p{{L}}\\p{{N}}_]+)', 1), ''), CASE WHEN trim(split_part(text, chr(10), 1)) <> '' AND length(trim(split_part(text, chr(10), 1))) <= 20 THEN trim(split_part(text, chr(10), 1)) END, '(미분류)') AS topic FROM {mixed_sql('posts')}")
 def post_topics(spark, sf_dir):
     """STR-18, AGG-06: topics of posts."""
-    return frame(spark, "posts").select("id", names.topic(F.col("text")).alias("topic"))
+    return mixed(table(spark, sf_dir, "documents"), "posts").select("id", names.topic(F.col("text")).alias("topic"))
 
 
 # -- matching --------------------------------------------------------------------
@@ -598,11 +603,11 @@ def doc_front_matter(spark, sf_dir):
 _DESC = "replace(replace(regexp_replace(coalesce(description, ''), '[{}]', '', 'g'), '\"', '\\\"'), chr(10), ' ')"
 
 
-@query(f"SELECT id, concat('@software{{', regexp_replace(full_name, '[^A-Za-z0-9]', '', 'g'), ',', chr(10), '  title = {{', full_name, '}},', chr(10), '  author = {{', owner, '}},', chr(10), '  url = {{', url, '}},', chr(10), '  urldate = {{', split_part(starred, 'T', 1), '}},', chr(10), '  abstract = {{', {_DESC}, '}},', chr(10), '  keywords = {{a, b}},', chr(10), '  note = {{stars: ', stars, ', language: ', coalesce(language, 'unknown'), '}}', chr(10), '}}', chr(10)) AS entry FROM {values('stars')}")
+@query(f"SELECT id, concat('@software{{', regexp_replace(full_name, '[^A-Za-z0-9]', '', 'g'), ',', chr(10), '  title = {{', full_name, '}},', chr(10), '  author = {{', owner, '}},', chr(10), '  url = {{', url, '}},', chr(10), '  urldate = {{', split_part(starred, 'T', 1), '}},', chr(10), '  abstract = {{', {_DESC}, '}},', chr(10), '  keywords = {{a, b}},', chr(10), '  note = {{stars: ', stars, ', language: ', coalesce(language, 'unknown'), '}}', chr(10), '}}', chr(10)) AS entry FROM {mixed_sql('stars')}")
 def bibtex_entries(spark, sf_dir):
     """STR-51, SNK-07, SRC-25: bibliography entries."""
     c = F.col
-    return frame(spark, "stars").select("id", render.bibtex(c("full_name"), c("owner"), c("url"), c("starred"), c("description"), F.array(F.lit("a"), F.lit("b")), c("stars"), c("language")).alias("entry"))
+    return mixed(table(spark, sf_dir, "documents"), "stars").select("id", render.bibtex(c("full_name"), c("owner"), c("url"), c("starred"), c("description"), F.array(F.lit("a"), F.lit("b")), c("stars"), c("language")).alias("entry"))
 
 
 _LINK = "CASE WHEN coalesce(url, '') = '' THEN '(링크 없음)' ELSE concat('🔗 ', url) END"
@@ -612,10 +617,10 @@ _BODY = f"""CASE cls WHEN 'raw' THEN CASE WHEN rule = 'comment' THEN coalesce(or
     ELSE concat(coalesce(nullif(CASE WHEN lang = 'en' THEN en ELSE ko END, ''), nullif(ko, ''), '(요약 없음)'), chr(10), chr(10), {_LINK}, CASE WHEN rule = 'bio' THEN concat(chr(10), '(링크는 프로필 참조)') ELSE '' END) END"""
 
 
-@query(f"SELECT note_id, platform, body, length(body) AS n_chars, CASE WHEN length(body) > max_chars THEN length(body) - max_chars END AS over, CASE WHEN rule = 'comment' THEN {_LINK} END AS comment FROM (SELECT *, {_BODY} AS body FROM {values('notes')} CROSS JOIN (VALUES {_P}) AS p(platform, cls, max_chars, lang, rule))")
+@query(f"SELECT note_id, platform, body, length(body) AS n_chars, CASE WHEN length(body) > max_chars THEN length(body) - max_chars END AS over, CASE WHEN rule = 'comment' THEN {_LINK} END AS comment FROM (SELECT *, {_BODY} AS body FROM {mixed_sql('notes')} CROSS JOIN (VALUES {_P}) AS p(platform, cls, max_chars, lang, rule))")
 def bundles(spark, sf_dir):
     """JON-12, STR-23, SNK-11, FLT-10, MSC-08/14: a note for every surface, with its excess."""
-    return render.bundle(frame(spark, "notes"))
+    return render.bundle(mixed(table(spark, sf_dir, "documents"), "notes"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents")

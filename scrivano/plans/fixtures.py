@@ -1,12 +1,15 @@
 """Small golden inputs for what the driver's tables do not hold: markup, Korean, structure.
 
 Each is a list of rows; ``frame`` makes a DataFrame of it and ``values`` the same
-rows as SQL, so a query and its oracle read one input.
+rows as SQL, so a query and its oracle read one input.  ``mixed`` and ``mixed_sql`` put
+every line of every document into them: the k-th line of a document goes into the k-th
+row, in turn, at the places that ``MIX`` names, so that input and work grow with the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     "titles": (
@@ -157,3 +160,52 @@ def values(name: str) -> str:
 
     body = ", ".join("(" + ", ".join(one(v, k) for v, k in zip(r, kinds, strict=True)) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS v({', '.join(columns)}))"
+
+
+#: Where a line goes: expressions that Spark and DuckDB read alike, of the row's columns, line and pos.
+MIX: dict[str, dict[str, str]] = {
+    "titles": {"title": "(title || ' ' || line)", "text": "(text || ' ' || line)"},
+    "names": {"name": "replace(name, '--', ('--' || translate(split_part(line, ' ', 2), '.,|', '') || '-'))"},
+    "pages_spec": {"spec": "CASE WHEN spec = '' THEN spec ELSE (spec || ',' || (length(line) % 90) || '-' || (length(line) % 90 + pos % 7)) END", "total": "CAST(total + pos % 50 AS INT)"},
+    "markup": {"text": "(text || ' ' || line)"},
+    "headings": {"text": "(text || ' ' || line)"},
+    "seams": {"tail": "(line || tail)", "head": "(head || line)"},
+    "transcripts": {"hyp": "(hyp || chr(10) || line)", "ref": "(ref || chr(10) || substr(line, 1 + pos % 3))"},
+    "posts": {"text": "CASE WHEN pos % 2 = 0 THEN (text || chr(10) || line) ELSE (line || chr(10) || text) END"},
+    "stars": {"full_name": "(full_name || split_part(line, ' ', 1))", "description": "(description || ' ' || line)", "stars": "CAST(stars + pos AS INT)"},
+    "notes": {"original": "(original || line)", "commentary": "(line || commentary)", "ko": "(ko || line)", "url": "(url || '/' || pos)"},
+    "dates": {"text": "(substr(line, 1, 20) || ' ' || text)"},
+    "notes_fn": {"text": "(text || line || '[fn:' || (length(line) % 12) || ']' || chr(10) || '[fn:' || (length(line) % 7) || '] x')"},
+    "mixed_md": {"text": "(text || ' **' || split_part(line, ' ', 1) || '** ' || line)"},
+    "images": {"size": "CAST(size + length(line) - 80 AS INT)", "head": "(head || line)"},
+    "albums": {"media_url": "(media_url || split_part(line, ' ', 1))", "a": "(a || length(line))"},
+    "exports": {"text": "(text || line)"},
+}
+
+_MIXED_LINES = "(SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+def _mixed_columns(name: str) -> dict[str, str]:
+    """Column -> expression; the first column, the key, becomes the line's number in the corpus."""
+    columns = [c.strip().split()[0] for c in FIXTURES[name][0].split(",")]
+    return {c: "doc_id * 1000000 + pos" if k == 0 else MIX[name].get(c, c) for k, c in enumerate(columns)}
+
+
+def mixed(docs: DataFrame, name: str) -> DataFrame:
+    """The golden rows with the documents' lines in them."""
+    schema, rows = FIXTURES[name]
+    golden = docs.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"_k INT, {schema}")
+    key = golden.columns[1]
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    both = lines.join(F.broadcast(golden.drop(key)), F.col("pos") % len(rows) == F.col("_k"))
+    # Dealt anew, so that what is computed from a column meets the column and not its expression.
+    return both.select(*(F.expr(e).alias(c) for c, e in _mixed_columns(name).items())).repartition(key)
+
+
+def mixed_sql(name: str) -> str:
+    """The same rows as a SQL relation."""
+    n = len(FIXTURES[name][1])
+    golden = f"(SELECT *, row_number() OVER () - 1 AS _k FROM {values(name)})"
+    key = next(iter(_mixed_columns(name)))
+    told = ", ".join(f"{e} AS {c}" for c, e in _mixed_columns(name).items())
+    return f"(SELECT {told} FROM {_MIXED_LINES} l JOIN (SELECT * EXCLUDE ({key}) FROM {golden}) g ON l.pos % {n} = g._k)"
