@@ -385,24 +385,6 @@ def doc_unfill(spark, sf_dir):
 
 
 # -- parsing ---------------------------------------------------------------------
-@query(
-    "SELECT * FROM (VALUES (1, 1, 'Main', 't.0', 0, 3, 4, concat('hello', chr(10), 'world')), (1, 2, 'Child', 't.1', 1, 6, 6, 'in child'), (1, 3, 'Last', NULL, 0, 8, 8, 'end')) AS t(id, idx, name, tab_id, depth, line_start, line_end, content)"
-)
-def tab_split(spark, sf_dir):
-    """STM-01, D3: tabs of an exported document (the oracle states the golden rows)."""
-    return parse.split_tabs(frame(spark, "tabs"), "id")
-
-
-@query("SELECT * FROM (VALUES (1, 'Main'), (1, 'Child')) AS t(id, name)")
-def tab_subtree(spark, sf_dir):
-    """FLT-01/02: the first tab that fits and what lies below it."""
-    return parse.subtree(parse.split_tabs(frame(spark, "tabs"), "id"), "mai", "id").select("id", "name")
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'text', NULL, NULL, NULL, NULL, 'lead text'), (1, 1, 'title', 1, 2, 3, 4, 'A title'), (1, 2, 'text', 5, 6, 7, 8, concat('line one', chr(10), 'line two')), (1, 3, 'image', 0, 0, 9, 9, '')) AS t(page, idx, label, x1, y1, x2, y2, text)")
-def ocr_blocks(spark, sf_dir):
-    """STM-15, D9: labelled blocks of recognised pages."""
-    return parse.grounded_blocks(frame(spark, "grounded"))
 
 
 @query("SELECT * FROM (VALUES (1, 0, 'page_boundary', 'open sentence', 'goes on'), (1, 2, 'image_interrupt', 'goes on', 'after image.'), (1, 5, 'eq_interrupt', 'next open', 'eq end,'), (1, 7, 'table_interrupt', 'eq end,', 'cell'), (1, 9, 'samepage_break', 'cell', 'same page')) AS t(doc_id, pos, class, tail, head)")
@@ -468,12 +450,6 @@ def last_write_wins(spark, sf_dir):
     return match.last_write(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT * FROM (VALUES (1, '1', 'key', 'one'), (2, '1.1', 'key', 'new'), (3, '4.1', 'suffix', 'new'), (4, '9.9', 'none', NULL), (5, '2.3.4', 'suffix', 'deep')) AS t(ord, k, how, body)")
-def suffix_fallback(spark, sf_dir):
-    """JON-09, STR-40: equal keys first, then what follows the first dot; the first such key counts."""
-    return match.suffix_join(frame(spark, "template"), frame(spark, "content"), "k", "pos", ["body"])
-
-
 @query("SELECT o_custkey, nth, o_orderkey, l_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders) LEFT JOIN (SELECT o_custkey, l_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) AS nth FROM lineitem JOIN orders ON l_orderkey = o_orderkey) USING (o_custkey, nth)")
 def ordinal_join(spark, sf_dir):
     """JON-10: the k-th order of a customer with the k-th of its order lines."""
@@ -640,62 +616,18 @@ def tag_cleaning(spark, sf_dir):
     return frame(spark, "raw_tags").select("id", web.raw_tag(F.col("tag")).alias("raw"), web.clean_tag(F.col("tag")).alias("clean"))
 
 
-@query(_rows("id, text", "1, concat('# Head', chr(10), chr(10), 'body', chr(10), chr(10), chr(10), 'end', chr(10), chr(10), '```json', chr(10), '{}', chr(10), '```')", "2, 'plain'", "3, 'é'"))
-def export_cleaning(spark, sf_dir):
-    """STR-24, MSC-17: converted wiki exports."""
-    return frame(spark, "exports").select("id", web.clean_export(F.col("text")).alias("text"))
-
-
 @query(_rows("id, title, authors, date, body", "1, 'A & B', 'X Y, Z', 'May 1', '<d-article><h2 id=\"in\">Intro</h2><p>t</p></d-article>'", "2, 'Untitled', '', '', ''"))
 def paper_front(spark, sf_dir):
     """HTML-01/02: head and body of article pages."""
     return frame(spark, "papers").select("id", *(c.alias(k) for k, c in web.paper_front(F.col("html")).items()), web.paper_body(F.col("html")).alias("body"))
 
 
-@query(_rows("id, nth, url", "1, '01', 'u1'", "1, '02', 'u2'", "2, '01', 's'", "4, '01', 'w'"))
-def album_images(spark, sf_dir):
-    """MSC-02, WIN-11: images of posts by kind."""
-    return web.image_rows(frame(spark, "albums").select("id", "media_type", "media_url", F.array("a", "b").alias("children")))
-
-
-@query(_rows("id, stamp, expiry", "1, '20250304T090501', 'expired'", "75, '20251231T000015', 'week'", "3, NULL, 'fortnight'", "4, '20240102T235904', 'fine'", "5, NULL, 'unknown'", "6, NULL, 'unknown'"))
-def post_times(spark, sf_dir):
-    """HTML-08, MSC-10: stamps of posts, expiry of tokens."""
-    return frame(spark, "dates").select("id", web.post_time(F.col("text"), F.col("id")).alias("stamp"), web.expiry(F.col("expires"), F.to_date(F.lit("2025-01-14"))).alias("expiry"))
-
-
-@query(_rows("id, resolved, unresolved, unused", "1, '1', '10,2', '3'", "2, '', '', ''", "3, '', '', '1'"))
-def footnote_check(spark, sf_dir):
-    """JON-07, SET-04, STM-10: footnote references against definitions."""
-    return frame(spark, "notes_fn").select("id", *(c.alias(k) for k, c in web.footnotes(F.col("text")).items()))
-
-
-@query(_rows("id, org, plain", "1, '*b* ~c~ [[u][t]] ![[i.png][a]]', '**b** `c` [t](u) ![a](i.png)'", "2, concat('### 1.2 Title', chr(10), '## 3 keep', chr(10), '#### *4) bold*', chr(10), '### ① x'), concat('### Title', chr(10), '## 3 keep', chr(10), '#### **bold**', chr(10), '### x')", "3, '', ''"))
-def markdown_inline(spark, sf_dir):
-    """STR-33/35/36: inline marks and heading numbers."""
-    return frame(spark, "mixed_md").select("id", web.org_inline(F.col("text")).alias("org"), web.unnumbered(F.col("text")).alias("plain"))
-
-
-@query(_rows("id, broken", "1, true", "2, true", "3, false", "4, false", "5, true"))
-def broken_images(spark, sf_dir):
-    """VER-01: files that are no images."""
-    return frame(spark, "images").select("id", web.broken_image(F.col("size"), F.col("head")).alias("broken"))
-
-
 @query(_rows("doc_id, text", "1, array_to_string(['#+options: H:5', '***** - Parent: child — detail', '***** - Parent: other', '***** - Full', 'text', '***** - kept', '***** - With: colon', '***** - plain', '**** four', '***** - orphan'], chr(10))", "2, 'no headings'"))
 def level_merge(spark, sf_dir):
     """ORG-04, JON-17, WIN-08/09, STR-43: level-6 items lifted to level 5."""
     return lines.assemble(outline.merge_levels(frame(spark, "levels")))
 
 
-@query(_rows("n, line", "1, '* 2025'", "2, '** 2025-03 March'", "3, '*** 2025-03-04 Tuesday'", "4, '**** 09:00 - short line'", "5, '**** 11:22 - #여행 오늘의 글'", "6, '* 2024'", "7, '** 2024-12 December'", "8, '*** 2024-12-31 Tuesday'", "9, '**** 23:00 - a line that is much longer than twenty characters'"))
-def date_tree_outline(spark, sf_dir):
-    """SNK-05/06, SRT-01/02, STR-19/20: posts as an outline by day (the first lines of its parts)."""
-    rows = outline.date_tree_lines(frame(spark, "posts").where("text <> ''"))
-    # Nine golden rows.
-    return rows.select(F.row_number().over(W.orderBy("ord")).alias("n"), F.split_part("line", F.lit("\n"), F.lit(1)).alias("line"))
-
-
 @query(_rows("doc_id, text, merged, skipped, missed", "1, concat('사이에 전이', chr(10), chr(10), '끝.'), 1, 1, 1"))
 def seam_merge(spark, sf_dir):
     """STM-11: seams applied in order, with an audit."""
@@ -704,20 +636,6 @@ def seam_merge(spark, sf_dir):
     return outline.apply_seams(texts, splits)
 
 
-@query(_rows("doc_id, lo, hi", "1, 0, 11"))
-def body_bounds(spark, sf_dir):
-    """STM-12: where a book's body begins and ends."""
-    return outline.body_bounds(frame(spark, "blocks"), "open", ("Heading",))
-
-
-@query(_rows("section, nth, slot, text, status", "'a', 1, '템플릿1', 'one', 'filled'", "'a', 2, '템플릿2', '템플릿2', 'short'", "'b', 1, '템플릿3', 'x', 'filled'", "'b', 2, NULL, 'y', 'extra'"))
-def template_fill(spark, sf_dir):
-    """ORG-03, JON-10, AGG-12: placeholders filled in order."""
-    slots = spark.createDataFrame([("a", 0, "템플릿1"), ("a", 5, "템플릿2"), ("b", 0, "템플릿3")], "section string, pos int, slot string")
-    content = spark.createDataFrame([("a", 3, "one"), ("b", 1, "x"), ("b", 2, "y")], "section string, pos int, text string")
-    return outline.fill_template(slots, content)
-
-
 @query('''SELECT n_regionkey AS table_id, concat(CASE WHEN max(n_nationkey % 3 < 2) THEN '[cols="1,1,1"]' ELSE '[cols="1,1"]' END, chr(10), '|===', chr(10), string_agg(concat('| ', n_nationkey, chr(10), CASE WHEN n_nationkey % 3 = 0 THEN '2+' WHEN n_nationkey % 3 = 1 THEN '2.3+' ELSE '.3+' END, '| ', n_name, chr(10)), chr(10) ORDER BY n_nationkey), chr(10), '|===') AS text FROM nation GROUP BY n_regionkey''')
 def adoc_render(spark, sf_dir):
     """SNK-10: tables with spans, one for each region."""
@@ -1013,4 +931,4 @@ def doc_org_fixups(spark, sf_dir):
 
 
 # The queries of other modules are registered with these.
-from . import corpus, structure  # noqa: E402, F401
+from . import corpus, fed, structure  # noqa: E402, F401

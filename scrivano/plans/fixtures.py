@@ -174,7 +174,7 @@ MIX: dict[str, dict[str, str]] = {
     "posts": {"text": "CASE WHEN pos % 2 = 0 THEN (text || chr(10) || line) ELSE (line || chr(10) || text) END"},
     "stars": {"full_name": "(full_name || split_part(line, ' ', 1))", "description": "(description || ' ' || line)", "stars": "CAST(stars + pos AS INT)"},
     "notes": {"original": "(original || line)", "commentary": "(line || commentary)", "ko": "(ko || line)", "url": "(url || '/' || pos)"},
-    "dates": {"text": "(substr(line, 1, 20) || ' ' || text)"},
+    "dates": {"text": "(line || ' ' || text)"},
     "notes_fn": {"text": "(text || line || '[fn:' || (length(line) % 12) || ']' || chr(10) || '[fn:' || (length(line) % 7) || '] x')"},
     "mixed_md": {"text": "(text || ' **' || split_part(line, ' ', 1) || '** ' || line)"},
     "images": {"size": "CAST(size + length(line) - 80 AS INT)", "head": "(head || line)"},
