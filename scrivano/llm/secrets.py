@@ -9,6 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 
 class Rule(NamedTuple):
     """A kind of secret.  A match counts if its group has ``least`` characters or more.
@@ -149,24 +151,60 @@ def _holds(query, bit: dict[str, Column]) -> Column:
 
 
 # -- the index -----------------------------------------------------------------
+class Index(NamedTuple):
+    """A kept inverted index: the texts by number, and the postings of the trigrams it knows.
+
+    rows: rid, doc_id, text.  postings: trigram, rid, sorted by trigram in each file, so that
+    a question reads the row groups of its trigrams.
+    """
+
+    rows: DataFrame
+    postings: DataFrame
+    wanted: tuple[str, ...]
+
+
+def build_index(docs: DataFrame, wanted) -> Index:
+    """Number the rows of docs and write them and the postings of the wanted trigrams, lower-cased.
+
+    Postings stay in the tasks that read their texts: a trigram that most texts hold is
+    spread like them.  Null text: empty, without postings.
+    """
+    wanted = tuple(sorted(wanted))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
+    low = F.lower("text")
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted))) if wanted else F.array().cast("array<string>")
+    found = rows.select("rid", low.alias("low")).select("rid", F.explode(held).alias("trigram"))
+    return Index(rows, materialize(found.select("trigram", "rid").sortWithinPartitions("trigram", "rid")), wanted)
+
+
 #: Trigrams to a word of bits.
 _BITS = 62
 
 
-def postings(text: Column, wanted: list[str]) -> list[Column]:
-    """The index, by document: words of bits, a bit for each wanted trigram that the text holds."""
-    low = F.lower(text)
-    words = []
-    for w in range(0, len(wanted), _BITS):
-        bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(wanted[w : w + _BITS])]
-        words.append(sum(bits[1:], bits[0]))
-    return words
+def ask(index: Index, queries: dict[str, object]) -> DataFrame:
+    """(rid, rules): for each text that satisfies a query or more, their bits in the order of queries.
+
+    The postings of the queries' trigrams are read, and only those; they meet by text, each as
+    a bit, and the Boolean queries are decided on the bits.  A query of None fits no posting and
+    has to be asked of all texts otherwise.
+    """
+    asked = sorted(set().union(*(trigrams(q) for q in queries.values())))
+    if not set(asked) <= set(index.wanted):
+        raise ValueError("the index doesn't know all trigrams of the queries")
+    if not asked:
+        return index.rows.where("false").select("rid", F.lit(0).cast("long").alias("rules"))
+    numbers = F.create_map(*(F.lit(x) for n, t in enumerate(asked) for x in (t, n)))
+    some = index.postings.where(F.col("trigram").isin(*asked)).select("rid", numbers[F.col("trigram")].alias("n"))
+    words = [F.bit_or(F.when(F.floor(F.col("n") / _BITS) == w, F.pow(F.lit(2.0), F.col("n") % _BITS).cast("long")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(-(-len(asked) // _BITS))]
+    met = some.groupBy("rid").agg(*words)
+    bit = {t: F.col(f"w{n // _BITS}").bitwiseAND(F.lit(1 << n % _BITS).cast("long")) != 0 for n, t in enumerate(asked)}
+    rules = sum((F.when(_holds(q, bit), F.lit(1 << k)).otherwise(F.lit(0)) for k, q in enumerate(queries.values()) if q is not None), F.lit(0))
+    return met.select("rid", rules.cast("long").alias("rules")).where("rules <> 0")
 
 
-def candidates(held: list[Column], wanted: list[str], rules: list[tuple[Rule, object]]) -> Column:
-    """Intersect the postings: the bits of the rules whose query a document satisfies."""
-    bit = {t: held[i // _BITS].bitwiseAND(F.lit(1 << i % _BITS).cast("long")) != 0 for i, t in enumerate(wanted)}
-    return sum((F.when(_holds(q, bit), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, q) in enumerate(rules)), F.lit(0)).cast("long")
+#: Candidates whose numbers are broadcast; more are joined by shuffles, with the same result.
+CANDIDATES = 1_000_000
 
 
 # -- verification --------------------------------------------------------------
@@ -222,32 +260,44 @@ def secret_scan(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
     n_hex.  Positions are code points, the end exclusive; each rule's matches are
     the leftmost ones that don't overlap, and those too short are dropped.
 
-    A Boolean query on trigrams is derived from each pattern (``trigram_query``).  One
-    pass finds the wanted trigrams of each document; its postings are kept as bits by
-    document, so they are intersected where the text is and no text is shuffled.  Only
-    candidates meet the pattern; a rule without mandatory trigrams (hex) scans every
-    text.  Lower-cased trigrams only widen the set.
+    A Boolean query on trigrams is derived from each pattern (``trigram_query``) and asked
+    of the inverted index (``build_index``, ``ask``).  Only candidates meet the pattern; a rule
+    without mandatory trigrams (hex) scans every text.  Lower-cased trigrams only widen the set.
 
     Null text: empty, no spans.  Null or repeated doc_id: each row has its own
     result.  Empty table: no rows.  The spans of one document are kept in one array; a
     text with m matches takes time in proportion to its length and m ** 1.5.
     """
-    rules = (*BASE, *more)
-    known = [(r, trigram_query(r.pattern)) for r in rules]
-    indexed = [(r, q) for r, q in known if q is not None]
-    wanted = sorted(set().union(*(trigrams(q) for _, q in indexed)))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    words = postings(F.col("text"), wanted)
-    rows = rows.withColumns({f"held{i}": w for i, w in enumerate(words)})
-    rows = rows.withColumn("rules", candidates([F.col(f"held{i}") for i in range(len(words))], wanted, indexed))
-    place = {r.kind: i for i, (r, _) in enumerate(indexed)}
-    for rank, (rule, _) in enumerate(known):
-        picked = F.col("rules").bitwiseAND(F.lit(1 << place[rule.kind]).cast("long")) != 0 if rule.kind in place else None
-        rows = with_matches(rows, rule, f"m{rank}", picked)
-    out = rows.select("doc_id", *(_ranked(F.col(f"m{i}"), i, r.kind).alias(f"f{i}") for i, (r, _) in enumerate(known)))
-    spans = F.array_sort(F.concat(*(F.col(f"f{i}") for i in range(len(known)))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
-    return out.select("doc_id", *(F.size(f"f{i}").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)), spans.alias("spans"))
+    known = {r.kind: (rank, r, trigram_query(r.pattern)) for rank, r in enumerate((*BASE, *more))}
+    queries = {k: q for k, (_, _, q) in known.items() if q is not None}
+    index = build_index(docs, set().union(*(trigrams(q) for q in queries.values())))
+    asked = materialize(ask(index, queries))
+    few = asked.count() <= CANDIDATES
+    picked = index.rows.join(F.broadcast(asked) if few else asked.hint("shuffle_merge"), "rid").select("rid", "text", "rules")
+
+    def spans_of(rows: DataFrame, kinds: list[str]) -> DataFrame:
+        for kind in kinds:
+            rank, rule, query = known[kind]
+            wanted = None if query is None else F.col("rules").bitwiseAND(F.lit(1 << list(queries).index(kind)).cast("long")) != 0
+            rows = with_matches(rows, rule, f"m{rank}", wanted)
+        found = F.concat(*(_ranked(F.col(f"m{known[k][0]}"), known[k][0], k) for k in kinds))
+        # Texts without matches stay: a filter would be pushed down, and all steps be computed again in it.
+        return rows.select("rid", found.alias("found"))
+
+    parts = [spans_of(picked, list(queries)), spans_of(index.rows.select("rid", "text"), [k for k in known if k not in queries])] if len(queries) < len(known) else [spans_of(picked, list(queries))]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    # One row a text and way of search: their spans, in order.
+    joined = every.groupBy("rid").agg(F.flatten(F.collect_list("found")).alias("found"))
+    spans = F.array_sort("found", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
+    out = index.rows.select("rid", "doc_id").join(joined.select("rid", spans.alias("spans")), "rid", "left")
+    out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<rank: int, kind: string, start: int, stop: int>>")))
+    return out.select("doc_id", *(F.size(F.filter("spans", _is(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)), "spans")
+
+
+def _is(rank: int):
+    return lambda s: s["rank"] == rank
 
 
 def span_text(spans: Column) -> Column:

@@ -72,6 +72,27 @@ def test_trigram_queries_are_necessary():
             assert re.search(rule.pattern, text) and holds(query, text.lower())
 
 
+def test_the_index_is_kept_and_asked(spark, monkeypatch):
+    """One index answers several questions; what it says is what the texts hold; both joins agree."""
+    rows = ODD + [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    index = secrets.build_index(docs(spark, rows).repartition(3), {"tok", "oke", "ken", "the", "aki", "ghp", "zzz"})
+    texts = {r.rid: r.text.lower() for r in index.rows.collect()}
+    assert len(texts) == len(rows)
+    said = {"all": ("and", frozenset(["tok", "ken", "the"])), "some": ("or", frozenset(["aki", ("and", frozenset(["ghp", "tok"]))])), "none": "zzz", "open": None}
+    got = {r.rid: r.rules for r in secrets.ask(index, said).collect()}
+    want = {}
+    for rid, t in texts.items():
+        bits = (all(x in t for x in ("tok", "ken", "the"))) + 2 * ("aki" in t or ("ghp" in t and "tok" in t)) + 4 * ("zzz" in t)
+        if bits:
+            want[rid] = bits
+    assert got == want and got
+    with pytest.raises(ValueError):
+        secrets.ask(index, {"x": "abc"})
+    told = sorted(map(str, secrets.secret_digest(docs(spark, rows)).collect()))
+    monkeypatch.setattr(secrets, "CANDIDATES", 0)
+    assert sorted(map(str, secrets.secret_digest(docs(spark, rows)).collect())) == told
+
+
 def test_very_many_matches(spark):
     """Matches of one text by the tens of thousands take seconds, not the square of their number."""
     import time
