@@ -34,6 +34,15 @@ def _only(docs: DataFrame, dedup) -> DataFrame:
     return numbered.join(kept.hint("shuffle_merge"), name, "left_semi").drop(name)
 
 
+def _aside(docs: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns that an operator would replace under other names, and the way back."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = "_" + mark
+    back = {mark + c: c for c in docs.columns if c in taken}
+    return docs.withColumnsRenamed({c: m for m, c in back.items()}), back
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents of low quality or likely toxic ones.
 
@@ -41,7 +50,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns are kept, an empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_classifier(docs, labels).where("keep").select(*docs.columns)
+    own, back = _aside(docs, ("quality_evidence", "clean_evidence", "quality_posterior", "clean_posterior", "keep"))
+    return quality_classifier(own, labels).where("keep").select(*own.columns).withColumnsRenamed(back)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +75,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the documents in the order of the mixed stream; none is lost.
 
-    A null source is the source ''.  Extra columns are kept but for those that are named
-    like the schedule's (``pfair_mix``); an empty table stays empty.
+    A null source is the source ''.  Extra columns are kept; an empty table stays empty.
     """
-    return pfair_mix(docs).repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id").select(*docs.columns)
+    own, back = _aside(docs, ("block", "release", "deadline", "slot"))
+    mixed = pfair_mix(own).repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id")
+    return mixed.select(*own.columns).withColumnsRenamed(back)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
