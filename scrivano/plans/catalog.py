@@ -387,18 +387,6 @@ def doc_unfill(spark, sf_dir):
 # -- parsing ---------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'page_boundary', 'open sentence', 'goes on'), (1, 2, 'image_interrupt', 'goes on', 'after image.'), (1, 5, 'eq_interrupt', 'next open', 'eq end,'), (1, 7, 'table_interrupt', 'eq end,', 'cell'), (1, 9, 'samepage_break', 'cell', 'same page')) AS t(doc_id, pos, class, tail, head)")
-def layout_splits(spark, sf_dir):
-    """STM-13, WIN-04, SET-06, FLT-16: split paragraphs by what splits them."""
-    return parse.layout_splits(frame(spark, "blocks"))
-
-
-@query("SELECT * FROM (VALUES (1, 1, 0, 'a', 1, 1), (1, 1, 1, 'b', 1, 1), (1, 1, 2, 'c', 1, 1), (1, 2, 0, 'wide', 2, 1), (1, 2, 1, 'x', 1, 1), (1, 3, 0, 'tall', 1, 3), (1, 3, 1, 'y', 1, 1), (1, 4, 0, 'both | sign', 2, 3)) AS t(doc_id, pos, ord, text, colspan, rowspan)")
-def adoc_cells(spark, sf_dir):
-    """TBL-02, AGG-14: AsciiDoc cells with their spans."""
-    return parse.adoc_cells(frame(spark, "adoc").where("line <> '|==='"))
-
-
 @query()
 def markdown_block_counts(spark, sf_dir):
     """STM-02, AGG-10: blocks of every document by kind, from the sequential parser."""
@@ -663,20 +651,6 @@ def article_protect(spark, sf_dir):
     return back.withColumn("leftover", web.residue(F.col("back"))["leftover"].cast("int"))
 
 
-@query(_rows("id, org", "1, concat('x', chr(10), '| a | > |', chr(10), '| b | |', chr(10), 'y')").replace("'| b | |'", "'| b |  |'"))
-def html_tables(spark, sf_dir):
-    """STR-28: HTML tables as pipe rows."""
-    docs = spark.createDataFrame([(1, "x\n<table><tr><td>a</td><td>&gt;</td></tr><tr><th> b </th><td></td></tr></table>\ny")], "id int, t string")
-    return docs.select("id", articles.tables_to_org(F.col("t")).alias("org"))
-
-
-@query(_rows("id, t", "1, concat('* Energy α_1 ≤', chr(10), 'body \\(\\alpha\\)')"))
-def plain_headings(spark, sf_dir):
-    """STR-29: maths in headings."""
-    docs = spark.createDataFrame([(1, "* Energy \\(\\alpha_{1} \\leq \\mathrm{x}\\)\nbody \\(\\alpha\\)")], "id int, t string")
-    return docs.select("id", articles.plain_headings(F.col("t")).alias("t"))
-
-
 _ODT = """<o xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><table:table><table:table-header-rows><table:table-row><table:table-cell table:number-columns-spanned="2"><text:p>Head<text:span> er</text:span></text:p></table:table-cell><table:covered-table-cell/></table:table-row></table:table-header-rows><table:table-row><table:table-cell table:number-rows-spanned="3"><text:p>a</text:p><text:p>b</text:p></table:table-cell><table:table-cell/></table:table-row></table:table></o>"""
 
 
@@ -686,34 +660,6 @@ def odt_cells(spark, sf_dir):
     return articles.odt_cells(spark.createDataFrame([(1, _ODT), (2, None)], "doc_id int, xml string"))
 
 
-@query(_rows("page, log_no, title, category_no, add_date, total", "1, '11', 'A & B', '5', '2025', 40", "1, '12', '한', '0', '', 40"))
-def post_listing(spark, sf_dir):
-    """SRC-20/21: posts of a listing payload."""
-    raw = '{"postList":[{"logNo":"11","title":"A+%26amp%3B+B","categoryNo":"5","addDate":"2025"},{"logNo":"12","title":"%ED%95%9C"}],"totalCount":"40"}'
-    return articles.listing(spark.createDataFrame([(1, raw)], "page int, raw string")).withColumn("total", F.col("total").cast("int"))
-
-
-@query(_rows("no, name, parent, post_count, open", "'57', 'flat', NULL, 0, true", "'1', 'root', NULL, 0, true", "'2', 'leaf', '1', 7, false"))
-def category_schemas(spark, sf_dir):
-    """MSC-01, SRC-22: flat and nested category maps."""
-    raw = spark.createDataFrame([('{"57": "flat"}',), ('{"1": {"name": "root"}, "2": {"name": "leaf", "parent": 1, "post_count": 7, "open": false}}',)], "raw string")
-    return articles.category_table(raw).withColumn("post_count", F.col("post_count").cast("int"))
-
-
-@query(_rows("id, org", "1, concat('| h1 | h2 |', chr(10), '|---+---|', chr(10), '| a | b |', chr(10), '| c |  |')"))
-def org_tables(spark, sf_dir):
-    """TBL-01: AsciiDoc blocks as Org tables."""
-    return spark.createDataFrame([(1, "[cols=\"1,1\"]\n|===\n|h1\n|h2\n\n|a\n|b\n\n|c\n|===")], "id int, t string").select("id", articles.org_table(F.col("t")).alias("org"))
-
-
-@query(_rows("id, t", "1, concat('text', chr(10), '### 3-2-1. One', chr(10), '#### 3-2-1-4. Deep')"))
-def chapter_demotion(spark, sf_dir):
-    """STR-38/39: headings demoted and renumbered, longest numbers first."""
-    steps = (rx.Step("three", r" 6\.(\d+)\.(\d+) ", " 3-2-$1-$2. "), rx.Step("two", r" 6\.(\d+) ", " 3-2-$1. "))
-    docs = spark.createDataFrame([(1, "# Title\ntext\n## 6.1 One\n### 6.1.4 Deep")], "id int, t string")
-    return docs.select("id", articles.demote(F.col("t"), steps).alias("t"))
-
-
 @query(_rows("id, pre, pairs", "1, '…ab【cd】ef…', 'A-b-c'"))
 def contexts_and_pairs(spark, sf_dir):
     """STR-52/57, MSC-11: context of a match, replacement pairs."""
@@ -721,14 +667,6 @@ def contexts_and_pairs(spark, sf_dir):
     return one.select("id", markup.around(F.col("t"), F.lit(3), F.lit(2), 2).alias("pre"), web.replace_pairs(F.col("s"), web.pairs(F.col("raw"))).alias("pairs"))
 
 
-@query(_rows("page, url, status, kind", "'https://a/x', 'https://a/i.png', 200, 'own'", "'https://a/x', 'https://b/j', 200, 'external'", "'https://a/x', 'data:1', 200, 'data'", "'https://a/x', 'https://a/favicon.ico', 404, 'own'", "'https://a/x', 'https://a/z', 404, 'failed'"))
-def capsule_requests(spark, sf_dir):
-    """JON-20, VER-02, MSC-20: requests of a page by kind, the first of each URL."""
-    p = "https://a/x"
-    log = [(p, "https://a/i.png", 200, 1), (p, "https://a/i.png", 404, 2), (p, "https://b/j", 200, 3), (p, "data:1", 200, 4), (p, "https://a/favicon.ico", 404, 5), (p, "https://a/z", 404, 6)]
-    return articles.requests(spark.createDataFrame(log, "page string, url string, status int, nth int"))
-
-
 # -- outlines and books made of the documents' lines ----------------------------
 _OUTLINE_SQL = """
     WITH l AS (SELECT doc_id, CAST(unnest(range(len(w))) AS BIGINT) AS i, unnest(w) AS line

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import markup, web
-from ..operators import match, outline, parse
+from ..functions import rx, web
+from ..operators import articles, match, outline, parse
 from .fixtures import _MIXED_LINES as _LINES
 from .fixtures import mixed, mixed_sql
 from .registry import query, table
@@ -224,3 +224,134 @@ def word_tags(spark, sf_dir):
     counted = words.groupBy("tag").agg(F.count("*").alias("n"))
     rows = counted.select(web.raw_tag(F.col("tag")).alias("raw"), web.clean_tag(F.col("tag")).alias("clean"), "n").where("raw IS NOT NULL")
     return rows.groupBy("raw", "clean").agg(F.sum("n").alias("n"))
+
+
+# -- layouts, tables and headings made of lines ----------------------------------------------------
+_W = "translate(split_part(line, ' ', {k}), '.,|<>&#*\"', '')"
+W1, W2 = _W.format(k=1), _W.format(k=2)
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, pos, n, CASE n % 11 WHEN 0 THEN 'image' WHEN 1 THEN 'page_number' WHEN 2 THEN 'equation' WHEN 3 THEN 'table' WHEN 4 THEN 'chart' ELSE 'text' END AS type, n % 10 = 0 AS titled, pos // 4 AS page,
+             CASE WHEN n % 2 = 0 THEN concat(' ', regexp_replace(line, '[.]+$', ''), ' ') ELSE line END AS text FROM {_COUNTED}),
+    c AS (SELECT *, count(*) FILTER (type = 'image') OVER w AS i, count(*) FILTER (type = 'equation') OVER w AS q, count(*) FILTER (type IN ('table', 'chart')) OVER w AS t FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    k AS (SELECT *, lead(titled) OVER w AS b_titled, lead(text) OVER w AS b_text, lead(page) OVER w AS b_page, lead(i) OVER w AS b_i, lead(q) OVER w AS b_q, lead(t) OVER w AS b_t FROM c WHERE type = 'text' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    s AS (SELECT *, rtrim(text) AS tail, ltrim(b_text) AS head FROM k WHERE NOT titled AND NOT b_titled)
+    SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN b_i > i THEN 'image_interrupt' WHEN b_q > q THEN 'eq_interrupt' WHEN b_t > t THEN 'table_interrupt' WHEN page <> b_page THEN 'page_boundary' ELSE 'samepage_break' END AS class, tail, head
+    FROM s WHERE tail <> '' AND head <> '' AND NOT regexp_matches(tail, '[.!?…。」』）)\\]"''”’]$') AND NOT regexp_matches(head, '^[*#-]')"""
+)
+def layout_splits(spark, sf_dir):
+    """STM-13, WIN-04, SET-06, FLT-16: split paragraphs of layouts made of every document, by what splits them."""
+    n, line = F.col("n"), F.col("line")
+    kind = F.lit("text")
+    for k, name in enumerate(("image", "page_number", "equation", "table", "chart")):
+        kind = F.when(n % 11 == k, F.lit(name)).otherwise(kind)
+    text = F.when(n % 2 == 0, F.concat(F.lit(" "), F.regexp_replace(line, "[.]+$", ""), F.lit(" "))).otherwise(line)
+    blocks = _lines(spark, sf_dir).select("doc_id", "pos", kind.alias("type"), text.alias("text"), F.when(n % 10 == 0, F.lit(1)).alias("text_level"), F.floor(F.col("pos") / 4).alias("page"))
+    return parse.layout_splits(blocks)
+
+
+@query(
+    f"""SELECT doc_id, CAST(pos AS INT) AS pos, 0 AS ord, {W1} AS text, CASE n % 3 WHEN 1 THEN 2 ELSE 1 END AS colspan, CASE n % 3 WHEN 2 THEN 3 ELSE 1 END AS rowspan FROM {_COUNTED}
+    UNION ALL SELECT doc_id, CAST(pos AS INT), 1, {W2}, CASE (n // 3) % 2 WHEN 1 THEN 2 ELSE 1 END, CASE (n // 3) % 2 WHEN 1 THEN 3 ELSE 1 END FROM {_COUNTED}"""
+)
+def adoc_cells(spark, sf_dir):
+    """TBL-02, AGG-14: AsciiDoc cells with their spans, two made of every line."""
+    n = F.col("n")
+    first = F.when(n % 3 == 0, "|").when(n % 3 == 1, "2+|").otherwise(".3+|")
+    second = F.when(F.floor(n / 3) % 2 == 0, " |").otherwise(" 2.3+|")
+    rows = _lines(spark, sf_dir).select("doc_id", "pos", F.concat(first, F.expr(W1), second, F.expr(W2)).alias("line"))
+    return parse.adoc_cells(rows)
+
+
+def _joined(rows, piece, sep: str = "\n"):
+    """A text for each document: a piece of each line, in order."""
+    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", piece.alias("v")))).alias("all"))
+    return packed.select("doc_id", F.array_join(F.transform("all", lambda x: x["v"]), sep).alias("t"))
+
+
+@query(f"SELECT doc_id, concat('x', chr(10), string_agg(concat('| ', {W1}, ' | ', trim(concat('< ', {W2})), ' |'), chr(10) ORDER BY pos), chr(10), 'y') AS org FROM {_COUNTED} GROUP BY doc_id")
+def html_tables(spark, sf_dir):
+    """STR-28: HTML tables with a row for every line, as pipe rows."""
+    row = F.concat(F.lit("<tr>\n<td>"), F.expr(W1), F.lit("</td><th a='b'> &lt; "), F.expr(W2), F.lit(" </th></tr>"))
+    made = _joined(_lines(spark, sf_dir), row, "")
+    return made.select("doc_id", articles.tables_to_org(F.concat(F.lit("x\n<table>"), F.col("t"), F.lit("</table>\ny"))).alias("org"))
+
+
+@query(
+    f"""SELECT doc_id, string_agg(CASE WHEN n % 2 = 0 THEN concat('* ', {W1}, ' ', CASE n % 3 WHEN 0 THEN 'α' WHEN 1 THEN 'β' ELSE 'γ' END, '_', n, ' ≤ and ', trim(concat('∂ ', {W2})), ' end') ELSE concat(line, ' \\(\\alpha\\)') END, chr(10) ORDER BY pos) AS t
+    FROM {_COUNTED} GROUP BY doc_id"""
+)
+def plain_headings(spark, sf_dir):
+    """STR-29: maths in the headings that every second line becomes."""
+    n = F.col("n")
+    sign = F.when(n % 3 == 0, "\\alpha").when(n % 3 == 1, "\\beta").otherwise("\\gamma")
+    heading = F.concat(F.lit("* "), F.expr(W1), F.lit(" \\("), sign, F.lit("_{"), n.cast("string"), F.lit("} \\leq \\mathrm{x}\\) and \\[\\partial "), F.expr(W2), F.lit("\\] end"))
+    made = _joined(_lines(spark, sf_dir), F.when(n % 2 == 0, heading).otherwise(F.concat("line", F.lit(" \\(\\alpha\\)"))))
+    return made.select("doc_id", articles.plain_headings(F.col("t")).alias("t"))
+
+
+@query(
+    f"""SELECT doc_id, concat(first(r ORDER BY pos), chr(10), CASE WHEN bool_or(n % 3 > 0) THEN '|---+---|' ELSE '|---|' END, coalesce(chr(10) || nullif(array_to_string(list(r ORDER BY pos)[2:], chr(10)), ''), '')) AS org
+    FROM (SELECT *, CASE WHEN n % 3 > 0 THEN concat('| ', {W1}, ' | ', {W2}, ' |') WHEN bool_or(n % 3 > 0) OVER (PARTITION BY doc_id) THEN concat('| ', {W1}, ' |  |') ELSE concat('| ', {W1}, ' |') END AS r FROM {_COUNTED}) GROUP BY doc_id"""
+)
+def org_tables(spark, sf_dir):
+    """TBL-01: AsciiDoc blocks with a row for every line, as Org tables."""
+    cells = F.concat(F.lit("|"), F.expr(W1), F.when(F.col("n") % 3 > 0, F.concat(F.lit("\n|"), F.expr(W2))).otherwise(F.lit("")))
+    made = _joined(_lines(spark, sf_dir), cells, "\n\n")
+    return made.select("doc_id", articles.org_table(F.concat(F.lit('[cols="1,1"]\n|===\n'), F.col("t"), F.lit("\n|==="))).alias("org"))
+
+
+@query(
+    f"""SELECT doc_id, coalesce(string_agg(CASE n % 4 WHEN 0 THEN concat('### 3-2-', pos % 9, '. ', line) WHEN 1 THEN concat('#### 3-2-', pos % 9, '-', n, '. ', line) ELSE line END, chr(10) ORDER BY pos) FILTER (n % 4 < 2 OR n % 7 > 0), '') AS t
+    FROM {_COUNTED} GROUP BY doc_id"""
+)
+def chapter_demotion(spark, sf_dir):
+    """STR-38/39: headings made of lines, demoted and renumbered, longest numbers first."""
+    steps = (rx.Step("three", r" 6\.(\d+)\.(\d+) ", " 3-2-$1-$2. "), rx.Step("two", r" 6\.(\d+) ", " 3-2-$1. "))
+    n, line, pos = F.col("n"), F.col("line"), (F.col("pos") % 9).cast("string")
+    made = F.when(n % 4 == 0, F.concat(F.lit("## 6."), pos, F.lit(" "), line)).when(n % 4 == 1, F.concat(F.lit("### 6."), pos, F.lit("."), n.cast("string"), F.lit(" "), line)).when(n % 7 == 0, F.concat(F.lit("# "), line)).otherwise(line)
+    return _joined(_lines(spark, sf_dir), made).select("doc_id", articles.demote(F.col("t"), steps).alias("t"))
+
+
+# -- payloads and requests ---------------------------------------------------------------------------
+_TITLE_WORDS = "(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2))"
+_SAFE = f"regexp_replace({_TITLE_WORDS}, '[^A-Za-z ]', '', 'g')"
+
+
+@query(f"SELECT source AS page, CAST(doc_id AS VARCHAR) AS log_no, trim(regexp_replace(concat({_SAFE}, ' & é'), ' +', ' ', 'g')) AS title, CASE WHEN doc_id % 3 = 0 THEN '0' ELSE CAST(doc_id % 17 AS VARCHAR) END AS category_no, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('2025. ', doc_id % 12) END AS add_date, CAST(count(*) OVER (PARTITION BY source) AS INT) AS total FROM documents")
+def post_listing(spark, sf_dir):
+    """SRC-20/21: listing payloads, one for each source with a post for every document."""
+    words = F.regexp_replace(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))), "[^A-Za-z ]", "")
+    title = F.concat(F.replace(words, F.lit(" "), F.lit("+")), F.lit("+%26amp%3B+%C3%A9"))
+    number = F.col("doc_id").cast("string")
+    category = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(',"categoryNo":"'), (F.col("doc_id") % 17).cast("string"), F.lit('"')))
+    date = F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(',"addDate":"2025. '), (F.col("doc_id") % 12).cast("string"), F.lit('"')))
+    post = F.concat(F.lit('{"logNo":"'), number, F.lit('","title":"'), title, F.lit('"'), category, date, F.lit("}"))
+    pages = _docs(spark, sf_dir).groupBy(F.col("source").alias("page")).agg(F.concat(F.lit('{"postList":['), F.array_join(F.array_sort(F.collect_list(post)), ","), F.lit('],"totalCount":"'), F.count("*").cast("string"), F.lit('"}')).alias("raw"))
+    return articles.listing(pages).withColumn("total", F.col("total").cast("int"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS no, lang AS name, CASE WHEN doc_id % 2 = 1 THEN CAST(doc_id // 2 AS VARCHAR) END AS parent, CASE WHEN doc_id % 2 = 1 THEN CAST(n_chars AS INT) ELSE 0 END AS post_count, doc_id % 2 = 0 OR doc_id % 3 = 0 AS open FROM documents")
+def category_schemas(spark, sf_dir):
+    """MSC-01, SRC-22: flat and nested category maps, one made of every document."""
+    nested = F.to_json(F.struct(F.col("lang").alias("name"), F.floor(F.col("doc_id") / 2).alias("parent"), F.col("n_chars").alias("post_count"), (F.col("doc_id") % 3 == 0).alias("open")))
+    flat = F.concat(F.lit('"'), "lang", F.lit('"'))
+    raw = F.concat(F.lit('{"'), F.col("doc_id").cast("string"), F.lit('": '), F.when(F.col("doc_id") % 2 == 1, nested).otherwise(flat), F.lit("}"))
+    return articles.category_table(_docs(spark, sf_dir).select(raw.alias("raw"))).withColumn("post_count", F.col("post_count").cast("int"))
+
+
+_LOG = """(SELECT url AS page, unnest(range(len(h))) AS nth, unnest(h) AS h, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin FROM (SELECT url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages))"""
+
+
+@query(
+    f"""WITH r AS (SELECT page, nth, origin, CASE WHEN length(h) % 5 = 0 THEN 404 ELSE 200 END AS status, CASE length(h) % 4 WHEN 0 THEN concat(origin, '/i') WHEN 1 THEN concat('https://cdn.net', h) WHEN 2 THEN concat('data:', h) ELSE concat(origin, h, '/favicon.ico') END AS url FROM {_LOG}),
+    f AS (SELECT *, row_number() OVER (PARTITION BY page, url ORDER BY nth) AS k FROM r)
+    SELECT page, url, status, CASE WHEN starts_with(url, 'data:') THEN 'data' WHEN status >= 400 AND NOT ends_with(url, 'favicon.ico') THEN 'failed' WHEN starts_with(url, origin) THEN 'own' ELSE 'external' END AS kind FROM f WHERE k = 1"""
+)
+def capsule_requests(spark, sf_dir):
+    """JON-20, VER-02, MSC-20: the requests that every page's links make, by kind, the first of each URL."""
+    rows = table(spark, sf_dir, "pages").select(F.col("url").alias("page"), F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("origin"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("nth", "h"))
+    size = F.length("h")
+    url = F.when(size % 4 == 0, F.concat("origin", F.lit("/i"))).when(size % 4 == 1, F.concat(F.lit("https://cdn.net"), "h")).when(size % 4 == 2, F.concat(F.lit("data:"), "h")).otherwise(F.concat("origin", "h", F.lit("/favicon.ico")))
+    return articles.requests(rows.select("page", url.alias("url"), F.when(size % 5 == 0, 404).otherwise(200).alias("status"), "nth"))

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from scrivano.functions import web
-from scrivano.operators import match, outline, parse
+from scrivano.functions import rx, web
+from scrivano.operators import articles, match, outline, parse
 from scrivano.plans.fixtures import frame
 
 
@@ -68,3 +68,34 @@ def test_title_rules(spark):
     got = {r.id: (r.category, r.score) for r in classify.classify(frame(spark, "titles"), classify.DEFAULT).collect()}
     assert got[1][0] == "development" and got[2][0] == "architecture" and got[3][0] == "operations" and got[4][0] == "products" and got[7] == ("_uncategorized", 0)
     assert [classify._sought(p) for p in (".*a.*", "^a.*", ".*a$", r"a\.*", "a.*b")] == ["a", "^a", "a$", r"a\.*", "a.*b"]
+
+
+def test_layouts_and_cells(spark):
+    want = [(1, 0, "page_boundary", "open sentence", "goes on"), (1, 2, "image_interrupt", "goes on", "after image."), (1, 5, "eq_interrupt", "next open", "eq end,"), (1, 7, "table_interrupt", "eq end,", "cell"), (1, 9, "samepage_break", "cell", "same page")]
+    assert rows(parse.layout_splits(frame(spark, "blocks"))) == want
+    cells = parse.adoc_cells(frame(spark, "adoc").where("line <> '|==='")).select("doc_id", "pos", "ord", "text", "colspan", "rowspan")
+    assert rows(cells) == [(1, 1, 0, "a", 1, 1), (1, 1, 1, "b", 1, 1), (1, 1, 2, "c", 1, 1), (1, 2, 0, "wide", 2, 1), (1, 2, 1, "x", 1, 1), (1, 3, 0, "tall", 1, 3), (1, 3, 1, "y", 1, 1), (1, 4, 0, "both | sign", 2, 3)]
+
+
+def one(spark, text, f):
+    return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first().x
+
+
+def test_tables_and_headings(spark):
+    assert one(spark, "x\n<table><tr><td>a</td><td>&gt;</td></tr><tr><th> b </th><td></td></tr></table>\ny", articles.tables_to_org) == "x\n| a | > |\n| b |  |\ny"
+    assert one(spark, "* Energy \\(\\alpha_{1} \\leq \\mathrm{x}\\)\nbody \\(\\alpha\\)", articles.plain_headings) == "* Energy α_1 ≤\nbody \\(\\alpha\\)"
+    assert one(spark, '[cols="1,1"]\n|===\n|h1\n|h2\n\n|a\n|b\n\n|c\n|===', articles.org_table) == "| h1 | h2 |\n|---+---|\n| a | b |\n| c |  |"
+    steps = (rx.Step("three", r" 6\.(\d+)\.(\d+) ", " 3-2-$1-$2. "), rx.Step("two", r" 6\.(\d+) ", " 3-2-$1. "))
+    assert one(spark, "# Title\ntext\n## 6.1 One\n### 6.1.4 Deep", lambda t: articles.demote(t, steps)) == "text\n### 3-2-1. One\n#### 3-2-1-4. Deep"
+
+
+def test_payloads(spark):
+    raw = '{"postList":[{"logNo":"11","title":"A+%26amp%3B+B","categoryNo":"5","addDate":"2025"},{"logNo":"12","title":"%ED%95%9C"}],"totalCount":"40"}'
+    got = articles.listing(spark.createDataFrame([(1, raw)], "page int, raw string")).select("log_no", "title", "category_no", "add_date", "total").collect()
+    assert sorted((r[0], r[1], r[2], r[3], int(r[4])) for r in got) == [("11", "A & B", "5", "2025", 40), ("12", "한", "0", "", 40)]
+    raw = spark.createDataFrame([('{"57": "flat"}',), ('{"1": {"name": "root"}, "2": {"name": "leaf", "parent": 1, "post_count": 7, "open": false}}',)], "raw string")
+    assert rows(articles.category_table(raw).select("no", "name", "parent", "post_count", "open")) == [("1", "root", None, 0, True), ("2", "leaf", "1", 7, False), ("57", "flat", None, 0, True)]
+    p = "https://a/x"
+    log = [(p, "https://a/i.png", 200, 1), (p, "https://a/i.png", 404, 2), (p, "https://b/j", 200, 3), (p, "data:1", 200, 4), (p, "https://a/favicon.ico", 404, 5), (p, "https://a/z", 404, 6)]
+    got = articles.requests(spark.createDataFrame(log, "page string, url string, status int, nth int")).select("url", "status", "kind")
+    assert rows(got) == sorted([("https://a/i.png", 200, "own"), ("https://b/j", 200, "external"), ("data:1", 200, "data"), ("https://a/favicon.ico", 404, "own"), ("https://a/z", 404, "failed")], key=str)
