@@ -180,16 +180,20 @@ def test_pandas_is_there():
 
 
 def test_documents_meet_their_passages(spark):
-    """Whole documents, not passages among themselves or a prefix."""
+    """Every passage that stands in a document as a whole meets it, wherever it stands; ratios as difflib has them for equal texts, and near them else."""
     d = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     refs = {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
-    got = {r.k: r for r in catalog.QUERIES["transcript_opcodes"](spark, d).collect()}
-    assert set(got) == set(docs) & set(refs)
-    for k in sorted(got, key=lambda k: len(docs[k]))[:5] + [max(got, key=lambda k: len(docs[k]))]:
-        assert got[k].ratio == pytest.approx(difflib.SequenceMatcher(None, docs[k], refs[k], autojunk=False).ratio())
-    far = {(r.k, r.projection) for r in catalog.QUERIES["doc_benchmark_distance"](spark, d).collect()}
-    assert {k for k, name in far if name == "body"} == set(got)
+    got = {(r.doc_id, r.probe): r for r in catalog.QUERIES["transcript_opcodes"](spark, d).collect()}
+    whole = {(k, p) for k, t in docs.items() for p, w in refs.items() if w in t}
+    assert whole and whole <= set(got)
+    spans = {(r.doc_id, r.probe): docs[r.doc_id][r.start : r.stop] for r in catalog.QUERIES["anchored_spans"](spark, d).where("probe IS NOT NULL").collect()}
+    assert set(spans) == set(got)
+    for key in got:
+        exact = difflib.SequenceMatcher(None, spans[key], refs[key[1]], autojunk=False).ratio()
+        assert got[key].ratio == pytest.approx(exact, abs=0.02 if exact < 1 else 0)
+    far = {(r.doc_id, r.probe) for r in catalog.QUERIES["doc_benchmark_distance"](spark, d).where("projection = 'body'").collect()}
+    assert far == set(got)
     tags = {r.doc_id for r in catalog.QUERIES["doc_tags"](spark, d).collect()}
     assert tags == set(docs)
 
