@@ -194,19 +194,10 @@ def paragraph_kept(text: Column) -> Column:
     return (F.length(text) >= 10) & text.rlike("[가-힣]")
 
 
-# Anchors and texts of headings that a book's contents leave out.
-SKIPPED_ANCHORS = (
-    "^between-pages-", "^illustrations", "^contents$", "^thinking$", "^humor$", "^composition$", "^demonstration$",
-    "^participation$", "^animation$", "^ii$", "^iii$", "^iv$", "^v$", r"^\(a\)$", r"^\(b\)$", r"^\(c\)$", "^whooping-cranes",
-    "^national-park-service", "^principles-of-interpretation$", "^the-visitor", "^raw-material", "^the-story",
-    "^not-instruction", "^the-chiefaim", "^toward-a-perfect", "^for-the-younger", "^the-written-word$", "^past-",
-    "^nothing-in-excess$", "^the-mystery", "^the-priceless", "^of-gadgetry$", "^the-happy", "^vistas-of-beauty$",
-)
-SKIPPED_TITLES = ("THINKING", "HUMOR", "DEMONSTRATION", "PARTICIPATION", "ANIMATION")
-
+def skip_heading(anchor: Column, title: Column, anchors: tuple[str, ...], titles: tuple[str, ...] = (), most: int = 50) -> Column:
+    """Whether contents leave a heading out: by its anchor, as a note between pages, by length or by its title.
 
-def skip_heading(anchor: Column, title: Column, anchors: tuple[str, ...] = SKIPPED_ANCHORS, titles: tuple[str, ...] = SKIPPED_TITLES, most: int = 50) -> Column:
-    """Whether contents leave a heading out: by its anchor, as a note between pages, by length or by its title."""
+    anchors: patterns; titles: in capitals.  Both are a book's own."""
     by_anchor = anchor.rlike("(?iu)" + "|".join(f"(?:{a})" for a in anchors)) if anchors else F.lit(False)
     by_title = title.rlike(r"(?U)^\d+쪽과 \d+쪽 사이$") | (F.length(title) > most) | F.upper(title).isin(*titles)
     return F.coalesce(by_anchor, F.lit(False)) | F.coalesce(by_title, F.lit(False))

@@ -239,8 +239,8 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """key and the blocks of each document."""
     spark = docs.sparkSession
     spark.udtf.register("markdown_blocks", MarkdownBlocks)
-    docs.select(F.col(key).alias("k"), F.col(text).alias("t")).createOrReplaceTempView("_markdown_docs")
-    return spark.sql("SELECT d.k, b.* FROM _markdown_docs d, LATERAL markdown_blocks(d.t) b").withColumnRenamed("k", key)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return spark.sql("SELECT d.k, b.* FROM {rows} d, LATERAL markdown_blocks(d.t) b", rows=rows).withColumnRenamed("k", key)
 
 
 def layout_splits(blocks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -598,12 +598,6 @@ def _rows(columns: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + r + ')' for r in rows)}) AS t({columns})"
 
 
-@query(_rows("id, raw, clean", "1, '철학,', '철학'", "2, '통일(종합)', '통일(종합)'", "3, '존재와_시간).', '존재와_시간'", "4, NULL, NULL", "5, NULL, NULL", "6, 'λογος:', 'λογος'", "7, '(a)b', 'a)b'", "8, 'A&B', 'A&B'", "9, '[x]''', 'x]'"))
-def tag_cleaning(spark, sf_dir):
-    """STR-14/15/16: scanned tags as written and for counting."""
-    return frame(spark, "raw_tags").select("id", web.raw_tag(F.col("tag")).alias("raw"), web.clean_tag(F.col("tag")).alias("clean"))
-
-
 @query(_rows("id, title, authors, date, body", "1, 'A & B', 'X Y, Z', 'May 1', '<d-article><h2 id=\"in\">Intro</h2><p>t</p></d-article>'", "2, 'Untitled', '', '', ''"))
 def paper_front(spark, sf_dir):
     """HTML-01/02: head and body of article pages."""
@@ -660,13 +654,6 @@ def odt_cells(spark, sf_dir):
     return articles.odt_cells(spark.createDataFrame([(1, _ODT), (2, None)], "doc_id int, xml string"))
 
 
-@query(_rows("id, pre, pairs", "1, '…ab【cd】ef…', 'A-b-c'"))
-def contexts_and_pairs(spark, sf_dir):
-    """STR-52/57, MSC-11: context of a match, replacement pairs."""
-    one = spark.createDataFrame([(1, "abcdef", "x=A;;y=b ;; z = c", "x-y-z")], "id int, t string, raw string, s string")
-    return one.select("id", markup.around(F.col("t"), F.lit(3), F.lit(2), 2).alias("pre"), web.replace_pairs(F.col("s"), web.pairs(F.col("raw"))).alias("pairs"))
-
-
 # -- outlines and books made of the documents' lines ----------------------------
 _OUTLINE_SQL = """
     WITH l AS (SELECT doc_id, CAST(unnest(range(len(w))) AS BIGINT) AS i, unnest(w) AS line

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rx, web
+from ..functions import markup, rx, web
 from ..operators import articles, match, outline, parse
 from .fixtures import _MIXED_LINES as _LINES
 from .fixtures import mixed, mixed_sql
@@ -217,7 +217,7 @@ def date_tree_outline(spark, sf_dir):
     r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS tag FROM documents), d AS (SELECT doc_id, tag, replace(replace(replace(tag, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS raw FROM w WHERE regexp_matches(tag, '[\p{L}\p{N}]'))
     SELECT raw, regexp_replace(regexp_replace(raw, '[,:;.!?"'']+$', ''), '^[,:;.!?"''\[(<]+', '') AS clean, count(*) AS n FROM d WHERE NOT regexp_matches(tag, '^x[0-9A-Fa-f]+;|[(\[{<>)\]}&|]') GROUP BY ALL"""
 )
-def word_tags(spark, sf_dir):
+def tag_cleaning(spark, sf_dir):
     """STR-14/15/16: every word of the documents as a tag, as written and for counting; those with brackets are in the tests."""
     words = _docs(spark, sf_dir).select(F.explode(F.split("text", r"\s+", -1)).alias("tag")).where(F.col("tag").rlike(r"[\p{L}\p{N}]") & ~F.col("tag").rlike(r"[(\[{<>)\]}&|]"))
     # Each distinct word is cleaned once.
@@ -355,3 +355,16 @@ def capsule_requests(spark, sf_dir):
     size = F.length("h")
     url = F.when(size % 4 == 0, F.concat("origin", F.lit("/i"))).when(size % 4 == 1, F.concat(F.lit("https://cdn.net"), "h")).when(size % 4 == 2, F.concat(F.lit("data:"), "h")).otherwise(F.concat("origin", "h", F.lit("/favicon.ico")))
     return articles.requests(rows.select("page", url.alias("url"), F.when(size % 5 == 0, 404).otherwise(200).alias("status"), "nth"))
+
+
+@query(
+    f"""SELECT doc_id, CAST(pos AS INT) AS pos, concat('…', substr(line, greatest(n // 2 - 4, 1), least(n // 2, 5)), '【', substr(line, n // 2 + 1, 3), '】', substr(line, n // 2 + 4, 5), '…') AS pre,
+    replace(replace(concat(line, ' A', n, ' z'), concat('A', n), 'b'), 'z', {W2}) AS pairs FROM {_COUNTED} WHERE n > 0"""
+)
+def contexts_and_pairs(spark, sf_dir):
+    """STR-52/57, MSC-11: the context of the middle of every line, and replacement pairs made of it."""
+    n = F.col("n").cast("string")
+    rows = _lines(spark, sf_dir).where("n > 0")
+    raw = F.concat(F.lit("A"), n, F.lit("=b ;; z = "), F.expr(W2))
+    context = markup.around(F.col("line"), (F.floor(F.col("n") / 2) + 1).cast("int"), F.lit(3), 5)
+    return rows.select("doc_id", "pos", context.alias("pre"), web.replace_pairs(F.concat("line", F.lit(" A"), n, F.lit(" z")), web.pairs(raw)).alias("pairs"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scrivano.functions import rx, web
+from scrivano.functions import markup, rx, web
 from scrivano.operators import articles, match, outline, parse
 from scrivano.plans.fixtures import frame
 
@@ -99,3 +99,11 @@ def test_payloads(spark):
     log = [(p, "https://a/i.png", 200, 1), (p, "https://a/i.png", 404, 2), (p, "https://b/j", 200, 3), (p, "data:1", 200, 4), (p, "https://a/favicon.ico", 404, 5), (p, "https://a/z", 404, 6)]
     got = articles.requests(spark.createDataFrame(log, "page string, url string, status int, nth int")).select("url", "status", "kind")
     assert rows(got) == sorted([("https://a/i.png", 200, "own"), ("https://b/j", 200, "external"), ("data:1", 200, "data"), ("https://a/favicon.ico", 404, "own"), ("https://a/z", 404, "failed")], key=str)
+
+
+def test_tags_and_contexts(spark):
+    got = rows(frame(spark, "raw_tags").select("id", web.raw_tag(F.col("tag")), web.clean_tag(F.col("tag"))))
+    want = [(1, "철학,", "철학"), (2, "통일(종합)", "통일(종합)"), (3, "존재와_시간).", "존재와_시간"), (4, None, None), (5, None, None), (6, "λογος:", "λογος"), (7, "(a)b", "a)b"), (8, "A&B", "A&B"), (9, "[x]'", "x]")]
+    assert got == want
+    one_ = spark.createDataFrame([("abcdef", "x=A;;y=b ;; z = c", "x-y-z")], "t string, raw string, s string")
+    assert tuple(one_.select(markup.around(F.col("t"), F.lit(3), F.lit(2), 2), web.replace_pairs(F.col("s"), web.pairs(F.col("raw")))).first()) == ("…ab【cd】ef…", "A-b-c")
