@@ -315,20 +315,27 @@ def chapter_demotion(spark, sf_dir):
 
 
 # -- payloads and requests ---------------------------------------------------------------------------
+#: Range of ids whose posts share a payload.
+POSTS = 1000
 _TITLE_WORDS = "(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2))"
 _SAFE = f"regexp_replace({_TITLE_WORDS}, '[^A-Za-z ]', '', 'g')"
 
 
 @query(f"SELECT source AS page, CAST(doc_id AS VARCHAR) AS log_no, trim(regexp_replace(concat({_SAFE}, ' & é'), ' +', ' ', 'g')) AS title, CASE WHEN doc_id % 3 = 0 THEN '0' ELSE CAST(doc_id % 17 AS VARCHAR) END AS category_no, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('2025. ', doc_id % 12) END AS add_date, CAST(count(*) OVER (PARTITION BY source) AS INT) AS total FROM documents")
 def post_listing(spark, sf_dir):
-    """SRC-20/21: listing payloads, one for each source with a post for every document."""
+    """SRC-20/21: listing payloads of every source, with a post for every document."""
     words = F.regexp_replace(F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))), "[^A-Za-z ]", "")
     title = F.concat(F.replace(words, F.lit(" "), F.lit("+")), F.lit("+%26amp%3B+%C3%A9"))
     number = F.col("doc_id").cast("string")
     category = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(',"categoryNo":"'), (F.col("doc_id") % 17).cast("string"), F.lit('"')))
     date = F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(',"addDate":"2025. '), (F.col("doc_id") % 12).cast("string"), F.lit('"')))
     post = F.concat(F.lit('{"logNo":"'), number, F.lit('","title":"'), title, F.lit('"'), category, date, F.lit("}"))
-    pages = _docs(spark, sf_dir).groupBy(F.col("source").alias("page")).agg(F.concat(F.lit('{"postList":['), F.array_join(F.array_sort(F.collect_list(post)), ","), F.lit('],"totalCount":"'), F.count("*").cast("string"), F.lit('"}')).alias("raw"))
+    docs = _docs(spark, sf_dir)
+    # As the service does, a source's posts come in payloads of so many, each with the source's count.
+    nth = F.floor(F.col("doc_id") / POSTS)
+    pages = docs.groupBy(F.col("source").alias("page"), nth.alias("nth")).agg(F.concat(F.lit('{"postList":['), F.array_join(F.array_sort(F.collect_list(post)), ","), F.lit("]")).alias("posts"))
+    counts = docs.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n"))
+    pages = pages.join(counts, F.col("page").eqNullSafe(F.col("of"))).select("page", F.concat("posts", F.lit(',"totalCount":"'), F.col("n").cast("string"), F.lit('"}')).alias("raw"))
     return articles.listing(pages).withColumn("total", F.col("total").cast("int"))
 
 
