@@ -119,18 +119,27 @@ def locate(text: Column, words: Column, sizes: tuple[int, ...] = (60, 40, 30, 24
     return F.coalesce(*(F.when(F.length(words) > 0, x) for x in found))
 
 
+#: Rows of a table of ranges that go to every task; more meet the lines by a shuffle.
+RANGES = 10_000
+
+
+def _few(ranges: DataFrame) -> DataFrame:
+    """The table of ranges, sent to the lines: a source's lines are many and would all go to one task."""
+    return F.broadcast(ranges) if ranges.limit(RANGES + 1).count() <= RANGES else ranges
+
+
 def place_ranges(lines: DataFrame, ranges: DataFrame, source: str = "source") -> DataFrame:
     """Lines by a table of ranges (out_ord, source, lo, hi), pos from 1: (out_ord, source, pos, line).
 
     The range table is small by its kind, a row for each stretch that an editor chose.
     """
     hit = (F.col("r.source") == F.col(f"l.{source}")) & F.col("l.pos").between(F.col("r.lo"), F.col("r.hi"))
-    return lines.alias("l").join(ranges.alias("r"), hit).select("r.out_ord", f"l.{source}", "l.pos", "l.line")
+    return lines.alias("l").join(_few(ranges).alias("r"), hit).select("r.out_ord", f"l.{source}", "l.pos", "l.line")
 
 
 def unused_lines(lines: DataFrame, ranges: DataFrame, source: str = "source") -> DataFrame:
     """Lines that no range takes; substantive tells if they hold more than blanks and rules."""
     hit = (F.col("r.source") == F.col(f"l.{source}")) & F.col("l.pos").between(F.col("r.lo"), F.col("r.hi"))
-    left = lines.alias("l").join(ranges.alias("r"), hit, "left_anti")
+    left = lines.alias("l").join(_few(ranges).alias("r"), hit, "left_anti")
     bare = F.trim("line")
     return left.withColumn("substantive", (bare != "") & (bare != "---"))
