@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rx import sub
+from .pieces import pieces
 from .tree import matches
 
 #: The table of rules: what is done in the order of ord; candidates are only reported.
@@ -144,7 +145,7 @@ def lint(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches):
         find = _finder(words)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for at, t in enumerate(batch.column(1).to_pylist()):
                 breaks = [k for k, c in enumerate(t or "") if c == "\n"]
@@ -166,7 +167,7 @@ def fixed(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "t
 
     def run(batches):
         find = _finder(words)
-        for batch in batches:
+        for batch in pieces(batches):
             texts, counts = [], []
             for t in batch.column(1).to_pylist():
                 parts, at, n = [], 0, 0
