@@ -41,6 +41,11 @@ class Step(NamedTuple):
     replacement: str = ""
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f mentions it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def rewrite(text: Column, steps: Iterable[Step]) -> Column:
     """Apply steps in order."""
     return reduce(lambda t, s: sub(t, s.pattern, s.replacement), steps, text)
