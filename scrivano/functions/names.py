@@ -20,16 +20,30 @@ TAG_NAMES = {
 }
 
 
+def hyphenated(title: Column) -> Column:
+    """Words joined by hyphens."""
+    return sub(strip(sub(title, rf"[^\p{{L}}\p{{N}}_\s\x{{85}}\p{{Z}}-]+", "")), rf"[\s\x{{85}}\p{{Z}}-]+", "-")
+
+
+def lowered(words: Column) -> Column:
+    """Hyphenated words, those that start with an ASCII letter in lower case."""
+    low = F.transform(F.split(words, "-", -1), lambda w: F.when(w.rlike("^[A-Za-z]"), F.lower(w)).otherwise(w))
+    return F.when(F.lower(words) == words, words).otherwise(F.array_join(low, "-"))
+
+
+def shortened(words: Column, limit: int = 80) -> Column:
+    """Hyphenated words with only A-Z lowered, cut to ``limit`` characters."""
+    return F.translate(F.substring(words, 1, limit), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def slug(title: Column) -> Column:
     """Words joined by hyphens; words that start with an ASCII letter in lower case."""
-    words = sub(sub(strip(sub(title, rf"[^\p{{L}}\p{{N}}_\s\x{{85}}\p{{Z}}-]", "")), rf"{SPACE}+", "-"), "-+", "-")
-    return F.array_join(F.transform(F.split(words, "-", -1), lambda w: F.when(w.rlike("^[A-Za-z]"), F.lower(w)).otherwise(w)), "-")
+    return lowered(hyphenated(title))
 
 
 def blog_slug(title: Column, limit: int = 80) -> Column:
     """As slug, with only A-Z lowered, cut to ``limit`` characters."""
-    words = sub(sub(strip(sub(title, rf"[^\p{{L}}\p{{N}}_\s\x{{85}}\p{{Z}}-]", "")), rf"{SPACE}+", "-"), "-+", "-")
-    return F.substring(F.translate(words, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 1, limit)
+    return shortened(hyphenated(title), limit)
 
 
 def tag_names(tags: Column) -> Column:

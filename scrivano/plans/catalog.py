@@ -96,8 +96,9 @@ _SLUG = f"array_to_string(list_transform(string_split({_BARE}, '-'), lambda w: C
 )
 def title_slugs(spark, sf_dir):
     """STR-01/02, PRJ-01: slugs and safe file names."""
-    t = F.col("title")
-    return mixed(table(spark, sf_dir, "documents"), "titles").select("id", names.slug(t).alias("slug"), names.blog_slug(t).alias("blog_slug"), names.safe_name(t).alias("safe"))
+    # Both slugs are made of the words, which are found once.
+    rows = mixed(table(spark, sf_dir, "documents"), "titles").select("id", "title", names.hyphenated(F.col("title")).alias("words"))
+    return rows.select("id", names.lowered(F.col("words")).alias("slug"), names.shortened(F.col("words")).alias("blog_slug"), names.safe_name(F.col("title")).alias("safe"))
 
 
 @query("SELECT event_id, concat(strftime(ts, '%Y%m%d'), 't', strftime(ts, '%H%M%S'), '--', event_type, '__', event_type, '_x.md') AS name FROM events")
