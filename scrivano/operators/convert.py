@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.rx import SPACE, strip, sub
+from ..functions.rx import SPACE, let, strip, sub
 from ..functions.web import org_inline
 from .automaton import line_states
-from .lines import explode_lines, parents
+from .lines import explode_lines
 from .tree import matches
 
 # States of Markdown: text, a comment over lines, a code block.
@@ -120,48 +122,89 @@ def table_text(table: Column) -> Column:
     return F.array_join(F.transform(F.coalesce(table["tableRows"], F.array()), row), "\n")
 
 
+def _parts(d: Column) -> Column:
+    """The parts of a parsed document in order: kind, level, ordered, text; null kinds for what is no part."""
+
+    def part(e):
+        p, bullet = e["paragraph"], e["paragraph"]["bullet"]
+        style = F.coalesce(p["paragraphStyle"]["namedStyleType"], F.lit(""))
+        item = bullet.isNotNull() & (bullet["listId"].isNotNull() | bullet["nestingLevel"].isNotNull())
+        depth = F.coalesce(bullet["nestingLevel"], F.lit(0))
+        glyph = F.get(F.try_element_at(d["lists"], bullet["listId"])["nestingLevels"], depth)["glyphType"]
+        heading = F.coalesce(F.replace(style, F.lit("HEADING_"), F.lit("")).try_cast("int"), F.lit(1))
+
+        def told(text):
+            kind = F.when(p.isNull(), F.when(e["table"].isNotNull(), "table")).when(style.startswith("HEADING"), "heading").when(item, "item").when(text != "", "paragraph")
+            return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "heading", heading).when(k == "item", depth).alias("level"), F.coalesce(glyph.isin(*NUMBERED), F.lit(False)).alias("ordered"), text.alias("text")))
+
+        return let(F.when(p.isNotNull(), paragraph_text(p)).otherwise(table_text(e["table"])), told)
+
+    return F.transform(d["body"]["content"], part)
+
+
+def _parsed(docs: DataFrame, key: str, json: str) -> DataFrame:
+    return docs.select(key, F.from_json(json, DOCUMENT).alias("d")).select(key, _parts(F.col("d")).alias("parts"))
+
+
 def document_parts(docs: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:
     """(key, pos, kind, level, ordered, text) of the parts of a structured document.
 
     kind: heading, item, paragraph or table; level of a heading from 1, of an item from 0.
     """
-    said = docs.select(key, F.from_json(json, DOCUMENT).alias("d")).select(key, F.posexplode("d.body.content").alias("pos", "e"), F.col("d.lists").alias("lists"))
-    p, bullet = F.col("e.paragraph"), F.col("e.paragraph.bullet")
-    style = F.coalesce(F.col("e.paragraph.paragraphStyle.namedStyleType"), F.lit(""))
-    item = bullet.isNotNull() & (bullet["listId"].isNotNull() | bullet["nestingLevel"].isNotNull())
-    text = F.when(p.isNotNull(), paragraph_text(p)).otherwise(table_text(F.col("e.table")))
-    kind = F.when(p.isNull(), F.when(F.col("e.table").isNotNull(), "table")).when(style.startswith("HEADING"), "heading").when(item, "item").when(text != "", "paragraph")
-    depth = F.coalesce(bullet["nestingLevel"], F.lit(0))
-    glyph = F.get(F.try_element_at("lists", bullet["listId"])["nestingLevels"], depth)["glyphType"]
-    level = F.when(F.col("kind") == "heading", F.coalesce(F.replace(style, F.lit("HEADING_"), F.lit("")).try_cast("int"), F.lit(1))).when(F.col("kind") == "item", depth)
-    rows = said.withColumn("kind", kind).where("kind IS NOT NULL")
-    return rows.select(key, "pos", "kind", level.alias("level"), F.coalesce(glyph.isin(*NUMBERED), F.lit(False)).alias("ordered"), text.alias("text"))
+    return _parsed(docs, key, json).select(key, F.posexplode("parts").alias("pos", "p")).select(key, "pos", "p.*").where("kind IS NOT NULL")
 
 
-def document_to_markdown(docs: DataFrame, key: str = "doc_id", json: str = "json", counted: bool = False) -> DataFrame:
-    """(key, markdown) of structured documents; what can't be read is ''.
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _numbers(levels: pd.Series) -> pd.Series:
+    """The numbers of the items of documents: twice the level, 1 added for ordered ones; -1 for other parts."""
+
+    def numbers(codes):
+        # Open parts, the deepest last: depth, and how many of each kind stand right below.
+        open_, out = [(-2, {})], []
+        for code in () if codes is None else codes:
+            depth = code // 2
+            while open_[-1][0] >= depth:
+                open_.pop()
+            below = open_[-1][1]
+            below[code] = below.get(code, 0) + 1
+            out.append(below[code])
+            open_.append((depth, {}))
+        return out
+
+    return levels.map(numbers)
 
-    Numbered items all say 1, as Markdown counts them itself.  With ``counted`` they have
-    their numbers: an item counts those of its level since the last shallower item or the
+
+def documents_to_markdown(docs: DataFrame, key: str = "doc_id", json: str = "json") -> DataFrame:
+    """(key, markdown, counted) of structured documents; what can't be read is ''.
+
+    Numbered items of markdown all say 1, as Markdown counts them itself.  Those of counted
+    have their numbers: an item counts those of its level since the last shallower item or the
     last part that is no item; the nearest part before of a lower level marks that place.
+    A document is read once, and its row holds it until both are written.
     """
-    rows = document_parts(docs, key, json)
-    number = F.lit(1)
-    if counted:
-        deep = F.when(F.col("kind") == "item", F.col("level") + 2).otherwise(F.lit(1))
-        rows = parents(rows.withColumn("deep", deep), "deep", key)
-        number = F.row_number().over(W.partitionBy(key, "parent", "deep", "ordered").orderBy("pos"))
-    sign = F.when(F.col("ordered"), F.concat(number.cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-    item = F.concat(F.repeat(F.lit("   "), F.coalesce("level", F.lit(0))), sign, F.col("text"))
     empty = F.lit("")
-    out = (
-        F.when(F.col("kind") == "heading", F.array(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text")), empty))
-        .when(F.col("kind") == "item", F.array(item))
-        .otherwise(F.array(F.col("text"), empty))
-    )
-    packed = rows.select(key, "pos", out.alias("out")).groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("all"))
-    told = packed.select("_key", F.array_join(F.flatten(F.transform("all", lambda x: x["out"])), "\n").alias("markdown"))
-    return docs.select(key).join(told, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("markdown", empty).alias("markdown"))
+    rows = _parsed(docs, key, json).select(key, F.filter("parts", lambda p: p["kind"].isNotNull()).alias("parts"))
+    codes = F.transform("parts", lambda p: F.when(p["kind"] == "item", p["level"] * 2 + p["ordered"].cast("int")).otherwise(F.lit(-1)))
+    rows = rows.withColumn("numbers", _numbers(codes))
+
+    def text(counted):
+        def lines(p, i):
+            number = F.get("numbers", i).cast("string") if counted else F.lit("1")
+            sign = F.when(p["ordered"], F.concat(number, F.lit(". "))).otherwise(F.lit("- "))
+            return (
+                F.when(p["kind"] == "heading", F.array(F.concat(F.repeat(F.lit("#"), p["level"]), F.lit(" "), p["text"]), empty))
+                .when(p["kind"] == "item", F.array(F.concat(F.repeat(F.lit("   "), p["level"]), sign, p["text"])))
+                .otherwise(F.array(p["text"], empty))
+            )
+
+        return F.coalesce(F.array_join(F.flatten(F.transform("parts", lines)), "\n"), empty)
+
+    return rows.select(key, text(False).alias("markdown"), text(True).alias("counted"))
+
+
+def document_to_markdown(docs: DataFrame, key: str = "doc_id", json: str = "json", counted: bool = False) -> DataFrame:
+    """(key, markdown) of structured documents, plain or ``counted``."""
+    return documents_to_markdown(docs, key, json).select(key, F.col("counted" if counted else "markdown").alias("markdown"))
 
 
 #: Tokens of JSON: keys with their colon, other strings, and brackets.

@@ -236,8 +236,7 @@ _STRUCTURED = r"""
 @query(_STRUCTURED)
 def doc_json_markdown(spark, sf_dir):
     """STM-06: structured JSON made of every document as Markdown, plain and with counted lists."""
-    docs = _structured(spark, sf_dir)
-    return convert.document_to_markdown(docs).join(convert.document_to_markdown(docs, counted=True).withColumnRenamed("markdown", "counted"), "doc_id")
+    return convert.documents_to_markdown(_structured(spark, sf_dir))
 
 
 def _nested(spark, sf_dir):
