@@ -22,7 +22,16 @@ def tag_pattern(raw: tuple[str, ...] = RAW) -> str:
     return r"(?is)<!--.*?-->|" + "|".join(rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in raw) + r"|</?[a-z][^>]*>"
 
 
-def matches(docs: DataFrame, pattern: str | Column, key: str, text: str) -> DataFrame:
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by key to as many tasks as the session has for a shuffle.
+
+    Marks are small and much alike: merged by their compressed size, as is usual, they would be
+    one task for many pages, which holds far more in its sorts than it reads.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def matches(docs: DataFrame, pattern: str | Column, key: str, text: str, deal: bool = False) -> DataFrame:
     """(key, ord, start, found): every match of a pattern in the order of the text, start from 0.
 
     The pattern may be a column, and finds one character at least.  The keys are unique.  A match's place is the length of all gaps and matches before it.
@@ -31,6 +40,7 @@ def matches(docs: DataFrame, pattern: str | Column, key: str, text: str) -> Data
     found = F.regexp_extract_all(F.col(text), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     rows = docs.select(key, gaps.alias("gap"), found.alias("found")).where(F.size("found") > 0)
     rows = rows.select(key, F.posexplode(F.arrays_zip(F.slice("gap", 1, F.size("found")).alias("gap"), "found")).alias("ord", "m")).select(key, "ord", "m.gap", "m.found")
+    rows = dealt(rows, key) if deal else rows
     before = W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     return rows.select(key, "ord", (F.sum(F.col("gap") + F.length("found")).over(before) - F.length("found")).alias("start"), "found")
 
@@ -40,7 +50,7 @@ def tags(pages: DataFrame, key: str = "page_id", html: str = "html", raw: tuple[
 
     Comments and raw elements stand alone, as ``!`` and by their names.
     """
-    rows = matches(pages, tag_pattern(raw), key, html)
+    rows = matches(pages, tag_pattern(raw), key, html, deal=True)
     name = F.when(F.col("found").startswith("<!--"), "!").otherwise(F.lower(F.regexp_extract("found", "^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1)))
     alone = F.col("name").isin("!", *raw, *VOID) | F.col("found").rlike("/>$")
     sign = F.when(alone, 0).when(F.col("found").startswith("</"), -1).otherwise(1)
