@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
+from json import loads
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +17,7 @@ from ..functions.rx import SPACE, let, strip, sub
 from ..functions.web import org_inline
 from .automaton import line_states
 from .lines import explode_lines
-from .tree import matches
+from .pieces import pieces
 
 # States of Markdown: text, a comment over lines, a code block.
 TEXT, NOTE, CODE = 0, 1, 2
@@ -208,45 +213,51 @@ def document_to_markdown(docs: DataFrame, key: str = "doc_id", json: str = "json
 
 
 #: Tokens of JSON: keys with their colon, other strings, and brackets.
-TOKEN = r'"[^"\\]*(?:\\.[^"\\]*)*"(?:\s*:)?|[{}\[\]]'
+TOKEN = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"(\s*:)?|[{}\[\]]', re.ASCII)
+
+
+def _tabs(text: str, lists: tuple[str, ...], properties: str) -> list[tuple[str, str, int]]:
+    """(tab_id, title, depth) of the tabs of a JSON text, in preorder."""
+    # Open brackets, the innermost last: whether it lists tabs, the tab it is, the tab whose properties it has.
+    open_, tabs, depth, name, asked = [(False, None, None)], [], -1, None, None
+    for token in TOKEN.finditer(text):
+        sign, own, asking = token[0], token[1] if token[2] else None, None
+        if sign in ("{", "["):
+            listed, around, _ = open_[-1]
+            tab = {"tabId": [], "title": [], "depth": depth} if listed and sign == "{" else None
+            if tab:
+                tabs.append(tab)
+            lists_tabs = sign == "[" and name in lists
+            depth += lists_tabs
+            open_.append((lists_tabs, tab, around if name == properties else None))
+        elif sign in ("}", "]"):
+            if len(open_) > 1:
+                depth -= open_.pop()[0]
+        elif own is None:
+            if asked is not None:
+                # A string token is a JSON text of its own; halves of pairs have no UTF-8.
+                with contextlib.suppress(ValueError):
+                    asked.append(loads(sign).encode("utf-8", "replace").decode())
+        elif own in ("tabId", "title") and open_[-1][2]:
+            asking = open_[-1][2][own]
+        name, asked = own, asking
+    return [(max(t["tabId"], default=""), max(t["title"], default="Untitled"), t["depth"]) for t in tabs]
 
 
 def json_tabs(docs: DataFrame, key: str = "doc_id", json: str = "json", lists: tuple[str, ...] = ("tabs", "childTabs"), properties: str = "tabProperties") -> DataFrame:
     """(key, idx, tab_id, title, depth) of trees of tabs in JSON, in preorder, idx from 0.
 
-    Nesting may go to any depth: nothing is parsed recursively.  Brackets have their level
-    by a running sum of +1 and -1; the bracket around a token is the last one opened on its
-    level; depth is the number of open lists of tabs.  A tab without properties is Untitled.
+    Nesting may go to any depth: nothing is parsed recursively.  A text's tokens are read once
+    where the text is, with the open brackets at hand; depth is the number of open lists of
+    tabs around a tab.  A tab without properties is Untitled.
     """
-    order = W.partitionBy(key).orderBy("ord")
-    sign = F.when(F.col("found").isin("{", "["), 1).when(F.col("found").isin("}", "]"), -1).otherwise(0)
-    rows = matches(docs, TOKEN, key, json).withColumn("sign", sign)
-    rows = rows.withColumn("level", F.sum("sign").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    name = F.regexp_extract("found", r'(?s)^"(.*)"\s*:\z', 1)
-    rows = rows.withColumn("name", F.lag(name).over(order)).withColumn("value", F.lead("found").over(order)).withColumn("own", name)
-    rows = rows.select(key, "ord", "found", "sign", "level", "name", "own", "value", ((F.col("found") == "[") & F.coalesce(F.col("name").isin(*lists), F.lit(False))).alias("listing"))
-
-    def within(rows: DataFrame, out: str, *fields: str) -> DataFrame:
-        """Add the bracket around each token; of a closing one, the bracket that it closes."""
-        # A bracket is looked for on the level inside it, and looks on the level around it.
-        as_child = F.struct((F.col("level") - F.greatest("sign", F.lit(0)) - F.least("sign", F.lit(0))).alias("g"), F.lit(0).alias("role"))
-        as_parent = F.struct(F.col("level").alias("g"), F.lit(1).alias("role"))
-        both = rows.withColumn("_r", F.explode(F.when(F.col("sign") == 1, F.array(as_child, as_parent)).otherwise(F.array(as_child))))
-        opener = F.when(F.col("_r.role") == 1, F.struct("ord", *fields))
-        found = F.last(opener, ignorenulls=True).over(W.partitionBy(key, "_r.g").orderBy("ord", "_r.role").rowsBetween(W.unboundedPreceding, 0))
-        return both.withColumn(out, found).where("_r.role = 0").drop("_r")
-
-    rows = within(rows, "up", "listing", "name")
-    change = F.when(F.col("listing"), 1).when((F.col("sign") == -1) & F.col("up.listing"), -1).otherwise(0)
-    rows = rows.withColumn("depth", F.sum(change).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    tab = (F.col("found") == "{") & F.coalesce(F.col("up.listing"), F.lit(False))
-    rows = rows.withColumn("tab", F.when(tab, F.col("ord")).otherwise(F.when(F.col("sign") == 1, F.col("up.ord"))))
-    rows = within(rows, "inside", "name", "tab")
-    told = rows.where((F.col("inside.name") == properties) & F.col("own").isin("tabId", "title"))
-    # A string token is a JSON text of its own.
-    plain = F.get(F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>"), F.lit(0))
-    told = told.groupBy(F.col(key).alias("_key"), F.col("inside.tab").alias("_tab")).agg(F.max(F.when(F.col("own") == "tabId", plain)).alias("tab_id"), F.max(F.when(F.col("own") == "title", plain)).alias("title"))
-    tabs = rows.where(tab).select(key, "ord", "depth")
-    idx = F.row_number().over(W.partitionBy(key).orderBy("ord")) - 1
-    both = tabs.join(told, (F.col(key) == F.col("_key")) & (F.col("ord") == F.col("_tab")), "left")
-    return both.select(key, idx.alias("idx"), F.coalesce("tab_id", F.lit("")).alias("tab_id"), F.coalesce("title", F.lit("Untitled")).alias("title"), "depth")
+    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("idx int, tab_id string, title string, depth long").fields])
+
+    def run(batches):
+        for batch in pieces(batches):
+            rows = [(at, idx, *tab) for at, text in enumerate(batch.column(1).to_pylist()) for idx, tab in enumerate(_tabs(text or "", lists, properties))]
+            at, idx, tab_id, title, depth = zip(*rows, strict=True) if rows else [()] * 5
+            told = [pa.array(idx, pa.int32()), pa.array(tab_id, pa.string()), pa.array(title, pa.string()), pa.array(depth, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *told], schema.names)
+
+    return docs.select(key, json).mapInArrow(run, schema)
