@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rx import sub
+from ..functions.rx import let, sub
 from .pieces import pieces
-from .tree import matches
 
 #: The table of rules: what is done in the order of ord; candidates are only reported.
 SCHEMA = "ord int, kind string, pattern string, replacement string, note string"
 _FILE = "safe_regex array<struct<pattern: string, replace: string, desc: string>>, literal array<struct<`from`: string, `to`: string, desc: string>>, candidate_regex array<struct<pattern: string, desc: string>>"
 #: Words of a lint table that go to the tasks.
 MOST_WORDS = 1_000_000
+#: Rows of candidates that a task's Python gathers; a text's places by one rule stay together.
+ROWS = 10_000
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -48,25 +49,35 @@ def _packed(rules: DataFrame) -> Column:
     return some.agg(F.array_sort(F.collect_list("r"))).scalar()
 
 
-def rewritten(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def rewritten(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
     """(key, text, log): the rules folded over each text; log has ord, note and n, the matches each rule met.
 
     The rules are data, read with the query: another table gives other results by the same plan.
-    A null text stays null.
+    A null text stays null.  Without ``counted`` matches are not counted and there is no log.
     """
     start = F.struct(F.col("_text").alias("t"), F.array().cast("array<struct<ord: int, note: string, n: bigint>>").alias("log"))
 
+    def changed(t, r):
+        literal = r["kind"] == "literal"
+        return F.when(literal, F.replace(t, r["pattern"], r["replacement"])).otherwise(F.regexp_replace(t, F.when(literal, F.lit("x")).otherwise(r["pattern"]), F.when(literal, F.lit("x")).otherwise(r["replacement"])))
+
     def step(acc, r):
         literal = r["kind"] == "literal"
         many = F.floor((F.length(acc["t"]) - F.length(F.replace(acc["t"], r["pattern"], F.lit("")))) / F.length(r["pattern"])).cast("long")
         count = F.when(literal, many).otherwise(F.regexp_count(acc["t"], F.when(literal, F.lit("x")).otherwise(r["pattern"])).cast("long"))
-        new = F.when(literal, F.replace(acc["t"], r["pattern"], r["replacement"])).otherwise(F.regexp_replace(acc["t"], F.when(literal, F.lit("x")).otherwise(r["pattern"]), F.when(literal, F.lit("x")).otherwise(r["replacement"])))
-        told = F.struct(r["ord"].alias("ord"), r["note"].alias("note"), count.alias("n"))
-        return F.struct(new.alias("t"), F.concat(acc["log"], F.array(told)).alias("log"))
+
+        def told(n):
+            # A text without matches is not searched again.
+            new = F.when(n > 0, changed(acc["t"], r)).otherwise(acc["t"])
+            return F.struct(new.alias("t"), F.concat(acc["log"], F.array(F.struct(r["ord"].alias("ord"), r["note"].alias("note"), n.alias("n")))).alias("log"))
+
+        return let(count, told)
 
     own = docs.select(F.col(key), F.col(text).alias("_text"), _packed(rules).alias("_rules"))
-    done = F.aggregate(F.filter(F.coalesce("_rules", F.array()), lambda r: r["kind"] != "candidate"), start, step)
-    return own.select(key, done.alias("d")).select(key, F.col("d.t").alias("text"), F.col("d.log").alias("log"))
+    done = F.filter(F.coalesce("_rules", F.array()), lambda r: r["kind"] != "candidate")
+    if not counted:
+        return own.select(key, F.aggregate(done, F.col("_text"), changed).alias("text"))
+    return own.select(key, F.aggregate(done, start, step).alias("d")).select(key, F.col("d.t").alias("text"), F.col("d.log").alias("log"))
 
 
 def audit(done: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -75,18 +86,41 @@ def audit(done: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def candidates(done: DataFrame, rules: DataFrame, key: str = "doc_id", width: int = 12) -> DataFrame:
-    """(key, ord, note, start, context): what the candidate rules find in the rewritten texts, with ``width`` characters around, on one line."""
-    asked = done.select(F.col(key).alias("_key"), F.col("text").alias("_text"), _packed(rules).alias("_rules")).select("_key", "_text", F.explode(F.filter("_rules", lambda r: r["kind"] == "candidate")).alias("r"))
-    asked = asked.select(F.struct("_key", "r.ord", "r.note").alias("at"), "_text", F.col("r.pattern").alias("pattern"))
-    found = matches(asked, F.col("pattern"), "at", "_text").where("found <> ''")
-    packed = found.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct("at.ord", "at.note", "start", F.length("found").alias("n"))).alias("all"))
-    both = done.join(packed, F.col(key) == F.col("_key"))
-
-    def context(x):
-        begin = F.greatest(x["start"] - width, F.lit(0)).cast("int")
-        return F.struct(x["ord"].alias("ord"), x["note"].alias("note"), x["start"].alias("start"), F.replace(F.substring(F.col("text"), begin + 1, (x["start"] + x["n"] + width).cast("int") - begin), F.lit("\n"), F.lit(" ")).alias("context"))
-
-    return both.select(key, F.explode(F.transform("all", context)).alias("x")).select(key, "x.*")
+    """(key, ord, note, start, context): what the candidate rules find in the rewritten texts, with ``width`` characters around, on one line.
+
+    A match's place is the length of all gaps and matches before it.  A text is searched where
+    it is; contexts are cut from the whole text by place.
+    """
+    schema = T.StructType([done.schema[key], *T.StructType.fromDDL("ord int, note string, start long, context string").fields])
+
+    def found(r):
+        gaps, sizes = (F.transform(x, lambda y: F.length(y)) for x in (F.split("text", r["pattern"], -1), F.regexp_extract_all("text", r["pattern"], F.lit(0))))
+        return F.struct(r["ord"].alias("ord"), r["note"].alias("note"), gaps.alias("gaps"), sizes.alias("sizes"))
+
+    def run(batches):
+        for batch in pieces(batches):
+
+            def packed(rows, keys=batch.column(0)):
+                at, *told = zip(*rows, strict=True)
+                kinds = (pa.int32(), pa.string(), pa.int64(), pa.string())
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(told, kinds, strict=True))], schema.names)
+
+            rows = []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                for r in batch.column(2)[at].as_py() if text is not None else ():
+                    start = 0
+                    for gap, size in zip(r["gaps"], r["sizes"], strict=False):
+                        start += gap + size
+                        if size:
+                            rows.append((at, r["ord"], r["note"], start - size, text[max(start - size - width, 0) : start + width].replace("\n", " ")))
+                    if len(rows) >= ROWS:
+                        yield packed(rows)
+                        rows = []
+            if rows:
+                yield packed(rows)
+
+    asked = done.select(key, "text", F.coalesce(_packed(rules.where("kind = 'candidate'")), F.array()).alias("_rules"))
+    return asked.select(key, "text", F.transform("_rules", found).alias("_found")).mapInArrow(run, schema)
 
 
 def _words(rules: DataFrame) -> list[tuple[str, str, str, str]]:

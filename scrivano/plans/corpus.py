@@ -45,7 +45,7 @@ _STEPS, _COUNTS, _LAST = _folded_sql()
 @query(f"WITH {_STEPS} SELECT doc_id, text FROM {_LAST}")
 def doc_rules(spark, sf_dir):
     """SRC-05, STR-47: ordered rules from a table, folded over every document."""
-    return rules.rewritten(table(spark, sf_dir, "documents"), _rules(spark)).select("doc_id", "text")
+    return rules.rewritten(table(spark, sf_dir, "documents"), _rules(spark), counted=False)
 
 
 @query(f"WITH {_STEPS} SELECT * FROM ({_COUNTS}) WHERE n > 0")
@@ -75,7 +75,7 @@ def _places(source: str, pattern: str, literal: bool = False) -> str:
 )
 def doc_rule_candidates(spark, sf_dir):
     """SNK-09: what the candidate rules find in the rewritten documents, in context."""
-    return rules.candidates(rules.rewritten(table(spark, sf_dir, "documents"), _rules(spark)), _rules(spark))
+    return rules.candidates(rules.rewritten(table(spark, sf_dir, "documents"), _rules(spark), counted=False), _rules(spark))
 
 
 # -- lint ----------------------------------------------------------------------------
