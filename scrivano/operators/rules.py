@@ -82,7 +82,8 @@ def rewritten(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str
 
 def audit(done: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ord, note, n): the rules of ``rewritten`` that changed a text."""
-    return done.select(key, F.explode("log").alias("x")).select(key, "x.ord", "x.note", "x.n").where("n > 0")
+    # Spark would test the size of what is exploded first, and fold the rules over each text once more for each test.
+    return done.select(key, F.explode_outer("log").alias("x")).select(key, "x.ord", "x.note", "x.n").where("n > 0")
 
 
 def candidates(done: DataFrame, rules: DataFrame, key: str = "doc_id", width: int = 12) -> DataFrame:
