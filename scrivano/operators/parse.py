@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.functions import udtf
 
@@ -116,8 +118,10 @@ ORG_NUMBER = r"(?md)^\s*:HWPX_IDX:\s*(\d+)"
 def org_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, token, kind): the tokens of Org texts in order; blank lines are none.
 
-    kind: block, heading, paragraph, or title, date, number, directive, which are no elements."""
-    rows = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(ORG_TOKEN), F.lit(0))).alias("pos", "token"))
+    kind: block, heading, paragraph, or title, date, number, directive, which are no elements.
+    A text's tokens follow one another where the text was."""
+    # Spark would test the size of what is exploded first, and search each text once more for each test.
+    rows = docs.select(key, F.posexplode_outer(F.regexp_extract_all(text, F.lit(ORG_TOKEN), F.lit(0))).alias("pos", "token"))
     t = F.col("token")
     kind = (
         F.when(t.rlike(r"^#\+TITLE:"), "title").when(t.rlike(r"^#\+DATE:"), "date").when(t.rlike(r"^#\+HWPX:\s*\d"), "number")
@@ -127,27 +131,51 @@ def org_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def org_elements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Elements of Org outlines: key, pos, kind, level (0 if no heading), title, number, parent.
+    """Elements of Org outlines: key, pos, kind, level (0 if no heading), title, number, parent, nth, parent_nth.
 
     title: a heading's or paragraph's text, a block as it stands.  number: a heading's from
     its drawer, another element's from the '#+HWPX:' line between it and the element before.
     parent: the position of the nearest heading above of a lower level; for what is no
-    heading the nearest heading.  In the order of pos this is the tree in preorder.
-    Null texts have no elements."""
-    rows = org_tokens(docs, key, text).where("kind NOT IN ('title', 'date', 'directive')")
-    order = W.partitionBy(key).orderBy("pos")
+    heading the nearest heading.  nth and parent_nth number the elements from 1.  In the order
+    of pos this is the tree in preorder.  Null texts have no elements.
+    A text's tokens are read in a stream where the text is, with the open headings at hand."""
+    # Keys may be null: a text is told by its row.
+    rows = org_tokens(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key")).alias("_at"), text), "_at", text)
+    rows = rows.where("kind NOT IN ('title', 'date', 'directive')")
     told = F.when(F.col("kind") == "number", F.regexp_extract("token", r"^#\+HWPX:\s*(\d+)", 1).cast("int"))
-    rows = rows.withColumn("gap", F.coalesce(F.sum((F.col("kind") != "number").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("told", F.last(told, ignorenulls=True).over(W.partitionBy(key, "gap").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
     is_heading = F.col("kind") == "heading"
     own = F.try_element_at(F.regexp_extract_all("token", F.lit(ORG_NUMBER), F.lit(1)), F.lit(-1)).cast("int")
     title = F.when(is_heading, F.regexp_extract("token", r"^\*+\s+([^\n]+)", 1)).when(F.col("kind") == "paragraph", strip(F.col("token"))).otherwise(F.col("token"))
     level = F.when(is_heading, F.length(F.regexp_extract("token", r"^(\*+)", 1))).otherwise(F.lit(0))
-    out = rows.where("kind <> 'number'").select(key, "pos", "kind", level.alias("level"), title.alias("title"), F.when(is_heading, own).otherwise(F.col("told")).alias("number"))
-    # What is no heading stands below all levels.
-    below = F.max("level").over(W.partitionBy(key)) + 1
-    ranked = out.withColumn("rank", F.when(F.col("level") > 0, F.col("level")).otherwise(below))
-    return L.parents(ranked, "rank", key).drop("rank")
+    rows = rows.select(F.col("_at.key").alias(key), "pos", "kind", level.alias("level"), title.alias("title"), F.when(is_heading, own).otherwise(told).alias("number"), F.col("_at.row").alias("_row"))
+    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL("pos int, kind string, level int, title string, number int, parent int, nth int, parent_nth int").fields])
+
+    def run(batches):
+        before, nth, number, open_ = None, 0, None, []
+        for batch in batches:
+            kept, numbers, parents, nths, parent_nths = [], [], [], [], []
+            for row, pos, kind, depth, given in zip(*(batch.column(c).to_pylist() for c in ("_row", "pos", "kind", "level", "number")), strict=True):
+                if row != before:
+                    before, nth, number, open_ = row, 0, None, []
+                kept.append(kind != "number")
+                if kind == "number":
+                    number = number if given is None else given
+                    continue
+                nth += 1
+                while depth and open_ and open_[-1][0] >= depth:
+                    open_.pop()
+                _, parent, parent_nth = open_[-1] if open_ else (0, None, None)
+                numbers.append(given if depth else number)
+                parents.append(parent)
+                nths.append(nth)
+                parent_nths.append(parent_nth)
+                if depth:
+                    open_.append((depth, pos, nth))
+                number = None
+            own = batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(5)), *(pa.array(c, pa.int32()) for c in (numbers, parents, nths, parent_nths))], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def org_meta(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

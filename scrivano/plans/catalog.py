@@ -672,18 +672,16 @@ _OUTLINE_SQL = """
 @query(_OUTLINE_SQL)
 def org_tree(spark, sf_dir):
     """ORG-01/02, SRC-09: Org outlines made of every document's lines, as elements with their parents."""
-    rows = lines.explode_lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
-    plain = F.regexp_replace("line", "[*#:]", "")
-    stars = F.repeat(F.lit("*"), (1 + (F.floor(F.col("pos") / 3) + F.col("doc_id")) % 10).cast("int"))
-    heading = F.concat(stars, F.lit(" h "), F.trim(plain), F.lit("\n:PROPERTIES:\n:ID: * x\n:END:"))
-    made = rows.select("doc_id", "pos", F.when(F.col("pos") % 3 == 0, heading).otherwise(F.concat(F.lit("#+HWPX: "), F.col("pos").cast("string"), F.lit("\n"), plain)).alias("line"))
-    found = parse.org_elements(lines.assemble(made))
-    # Positions of tokens as numbers of elements.
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))
-    found = found.withColumn("nth", nth)
-    up = found.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("nth").alias("parent_nth"))
-    both = found.join(up, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("p")), "left")
-    return both.select("doc_id", "nth", "kind", "level", F.trim("title").alias("title"), "number", F.col("parent_nth").alias("parent"))
+
+    def made(line, i):
+        plain = F.regexp_replace(line, "[*#:]", "")
+        stars = F.repeat(F.lit("*"), (1 + (F.floor(i / 3) + F.col("doc_id")) % 10).cast("int"))
+        heading = F.concat(stars, F.lit(" h "), F.trim(plain), F.lit("\n:PROPERTIES:\n:ID: * x\n:END:"))
+        return F.when(i % 3 == 0, heading).otherwise(F.concat(F.lit("#+HWPX: "), i.cast("string"), F.lit("\n"), plain))
+
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    found = parse.org_elements(docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), made), "\n").alias("text")))
+    return found.select("doc_id", "nth", "kind", "level", F.trim("title").alias("title"), "number", F.col("parent_nth").alias("parent"))
 
 
 @query()
